@@ -3,7 +3,7 @@
 Words become numbers within blocks of documents. A block asks for the counts of
 its distinct n-grams; requests go to shards by the hash of the n-gram, where equal
 ones meet and are summed, and the sums go back to the block. Rows between stages
-hold arrays, one for each block and shard, and no n-gram is shuffled more than
+hold compressed arrays, one for each block and shard, and no n-gram is shuffled more than
 once a block, however frequent. The score of a word is its n-gram's count over its
 context's, or `alpha` times the score of the next shorter n-gram where the count
 is below `least`; a document's score is the sum of their logarithms.
@@ -15,12 +15,34 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._common import WordHash, materialize, mix, ngram_hashes, utf8_column
 
 
+def squeezed(x: np.ndarray) -> bytes:
+    """zstandard over the planes of equal significance of an array's bytes."""
+    planes = x.view(np.uint8).reshape(len(x), x.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def spread(data: bytes, kind) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).view(kind).ravel()
+
+
+def steps(ascending: np.ndarray) -> bytes:
+    """An ascending array as the differences of its members."""
+    return squeezed(np.diff(ascending, prepend=np.zeros(1, np.uint64)))
+
+
+def summed(data: bytes) -> np.ndarray:
+    return np.cumsum(spread(data, np.uint64), dtype=np.uint64)
+
+
 def _blocker(block_words: int):
     """Blocks of documents: ids, lengths, distinct word hashes and word places."""
     names = ["block", "ids", "missing", "sizes", "vocabulary", "places"]
@@ -33,10 +55,9 @@ def _blocker(block_words: int):
         def flush():
             joined = np.concatenate([*words, np.zeros(0, np.uint64)])
             own, places = np.unique(joined, return_inverse=True)
-            kind = np.uint16 if len(own) < 1 << 16 else np.uint32
             key = mix(np.array([len(ids), len(joined), *(0 if x is None else x & ((1 << 64) - 1) for x in ids), int(joined.sum(dtype=np.uint64))], np.uint64))
             block = int(np.bitwise_xor.reduce(mix(key + np.arange(len(key), dtype=np.uint64))).view(np.int64))
-            row = [block, [x or 0 for x in ids], [x is None for x in ids], sizes, own.tobytes(), places.astype(kind).tobytes()]
+            row = [block, [x or 0 for x in ids], [x is None for x in ids], sizes, steps(own), squeezed(places.astype(np.uint32))]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names)
 
         for batch in batches:
@@ -56,8 +77,7 @@ def _blocker(block_words: int):
 
 
 def block_words_of(vocabulary: bytes, places: bytes) -> np.ndarray:
-    own = np.frombuffer(vocabulary, np.uint64)
-    return own[np.frombuffer(places, np.uint16 if len(own) < 1 << 16 else np.uint32)]
+    return summed(vocabulary)[spread(places, np.uint32)]
 
 
 def grams(words: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarray]:
@@ -83,10 +103,10 @@ def _asker(order: int, shards: int):
                 # the high bits choose the shard, so that a shard's keys stay in order
                 cuts = np.searchsorted((keys >> np.uint64(32)).astype(np.int64) * shards >> 32, np.arange(shards + 1))
                 some = [k for k in range(shards) if cuts[k] < cuts[k + 1]]
-                small = np.minimum(counts, 255).astype(np.uint8)
+                counted = [packed(counts[cuts[k] : cuts[k + 1]]) for k in some]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([keys[cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary()),
-                    pa.array([small[cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary()), pa.array([(counts[cuts[k] : cuts[k + 1]][counts[cuts[k] : cuts[k + 1]] >= 255]).tobytes() for k in some], pa.binary()),
+                    pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([steps(keys[cuts[k] : cuts[k + 1]]) for k in some], pa.binary()),
+                    pa.array([x[0] for x in counted], pa.binary()), pa.array([x[1] for x in counted], pa.binary()),
                 ], ["shard", "block", "keys", "counts", "large"])
 
     return run
@@ -94,18 +114,18 @@ def _asker(order: int, shards: int):
 
 def packed(counts: np.ndarray) -> tuple[bytes, bytes]:
     """One byte each; those of 255 or more follow in eight."""
-    return np.minimum(counts, 255).astype(np.uint8).tobytes(), counts[counts >= 255].astype(np.int64).tobytes()
+    return squeezed(np.minimum(counts, 255).astype(np.uint8)), counts[counts >= 255].astype(np.int64).tobytes()
 
 
 def unpacked(small: bytes, large: bytes) -> np.ndarray:
-    out = np.frombuffer(small, np.uint8).astype(np.int64)
+    out = spread(small, np.uint8).astype(np.int64)
     out[out == 255] = np.frombuffer(large, np.int64)
     return out
 
 
 def _summer(table: pa.Table) -> pa.Table:
     """All requests of a shard: sums for each."""
-    keys = [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()]
+    keys = [summed(x) for x in table["keys"].to_pylist()]
     counts = np.concatenate([unpacked(a, b) for a, b in zip(table["counts"].to_pylist(), table["large"].to_pylist(), strict=True)])
     joined = np.concatenate(keys)
     order = np.argsort(joined, kind="stable")
@@ -150,7 +170,7 @@ def _scorer(order: int, alpha: float, least: int, total_words: int):
     return score
 
 
-def stupid_backoff(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 2, alpha: float = 0.4, least: int = 2, block_words: int = 400_000, shard_words: int = 2_000_000, shards: int | None = None) -> DataFrame:
+def stupid_backoff(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 2, alpha: float = 0.4, least: int = 2, block_words: int = 1_000_000, shard_words: int = 1_000_000, shards: int | None = None) -> DataFrame:
     """doc_id, n_words, score, mean_score of every row of docs.
 
     Words are runs between ASCII white space, A-Z in lower case. Counts are over all
