@@ -8,10 +8,10 @@
 3. Posting lists with equal members are skipped but for one. Every list names a
    pivot, its most central member; members meet under their pivot, so that a
    group of near copies costs rows in proportion to its size, not to its square.
-4. Under a pivot, sets are linked to it, and those that it does not link are
-   compared with all the others: collisions are counted over the signatures, and
-   pairs with `need` of them are confirmed on the full sets. Larger groups are
-   dealt over pairs of blocks.
+4. Under a pivot, collisions are counted over the signatures, and members without
+   a partner that has `need` of them drop out. The rest are linked to the pivot, and
+   those that it does not link compared with all the others, on signatures and then
+   on full sets. Larger groups are dealt over pairs of blocks.
 5. Links are merged into components.
 """
 
@@ -159,6 +159,37 @@ def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
+def _sifter(coords: int, need: int):
+    """Members of a group with a partner in it that agrees on `need` coordinates."""
+
+    def partnered(table: pa.Table) -> np.ndarray:
+        nid, side = table["nid"].to_numpy(), table["side"].to_numpy()
+        sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, coords)
+        hub = nid == table["pivot"][0].as_py()
+        across = table["bi"][0].as_py() != table["bj"][0].as_py()
+        found = np.zeros(len(nid), bool)
+        if hub.any():
+            found = (sigs == sigs[int(np.argmax(hub))]).sum(axis=1) >= need
+            if found.sum() <= hub.sum():
+                found[:] = False
+        for i in np.flatnonzero(~found & ~hub).tolist():
+            for start in range(0, len(nid), 2048):
+                part = slice(start, start + 2048)
+                near = (sigs[part] == sigs[i]).sum(axis=1) >= need
+                near &= (nid[part] != nid[i]) & ((side[part] != side[i]) | hub[part] if across else True)
+                if near.any():
+                    found[part] |= near
+                    found[i] = True
+        return nid[found]
+
+    def run(batches):
+        for table in runs(batches, ["pivot", "bi", "bj"]):
+            if table.num_rows > 1 and len(nid := partnered(table)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nid), table["pivot"][0].as_py(), np.int64)), pa.array(nid)], ["pivot", "nid"])
+
+    return run
+
+
 def _linker(coords: int, need: int, num: int, den: int):
     def links_of(table: pa.Table) -> list[tuple[int, int]]:
         nid = table["nid"].to_numpy()
@@ -208,6 +239,20 @@ def _linker(coords: int, need: int, num: int, den: int):
     return run
 
 
+def _grouped(under: DataFrame, by_nid: DataFrame, block: int) -> DataFrame:
+    """Members with the columns of by_nid, sorted by pivot and pair of blocks of about `block` members.
+
+    A member goes to the pairs with its own block, a pivot to all.
+    """
+    blocks = under.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("k"))
+    dealt = under.join(blocks, "pivot").withColumn("own", F.pmod(F.xxhash64("nid"), F.col("k")).cast("int"))
+    every = F.expr("flatten(transform(sequence(0, k - 1), i -> transform(sequence(i, k - 1), j -> struct(i as bi, j as bj))))")
+    own = F.expr("transform(sequence(0, k - 1), i -> struct(least(i, own) as bi, greatest(i, own) as bj))")
+    dealt = dealt.select("pivot", "nid", F.col("own").alias("side"), F.explode(F.when(F.col("nid") == F.col("pivot"), every).otherwise(own)).alias("pair"))
+    dealt = dealt.select("pivot", "nid", "side", "pair.bi", "pair.bj").join(by_nid.hint("shuffle_merge"), "nid")
+    return dealt.repartition("pivot", "bi", "bj").sortWithinPartitions("pivot", "bi", "bj")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 85, den: int = 100, coords: int = 128, block: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
@@ -225,11 +270,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialize(rows.mapInArrow(_signer(shingle, coords), "doc_id long, nid long, n_shingles long, sig binary"), "signed")
     some = signed.where("nid is not null")
-    nodes = some.groupBy("nid").agg(F.first("sig").alias("sig"))
+    nodes = materialize(some.groupBy("nid").agg(F.first("sig").alias("sig")), "nodes")
     copies = materialize(some.groupBy("nid").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "copies")
 
     counts = np.zeros(SKETCH, np.int64)
-    for slot, n in some.select("sig").mapInArrow(_sketcher(coords), "slot long, n long").groupBy("slot").agg(F.sum("n")).collect():
+    for slot, n in nodes.select("sig").mapInArrow(_sketcher(coords), "slot long, n long").groupBy("slot").agg(F.sum("n")).collect():
         counts[slot] = n  # at most SKETCH rows, whatever the input
     posts = nodes.mapInArrow(_poster(coords, coords - need + 1, spark.sparkContext.broadcast(counts)), "key long, nid long, central long")
     posts = materialize(posts, "posts")
@@ -239,18 +284,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     pivots = met.where("central = top").groupBy("key").agg(F.min("nid").alias("pivot"))
     under = materialize(met.join(pivots, "key").select("pivot", "nid").distinct(), "under")
 
-    blocks = under.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("k"))
-    dealt = under.join(blocks, "pivot").withColumn("own", F.pmod(F.xxhash64("nid"), F.col("k")).cast("int"))
-    other = F.explode(F.when(F.col("nid") == F.col("pivot"), F.expr("flatten(transform(sequence(0, k - 1), i -> transform(sequence(i, k - 1), j -> struct(i as bi, j as bj))))")).otherwise(F.expr("transform(sequence(0, k - 1), i -> struct(least(i, own) as bi, greatest(i, own) as bj))")))
-    dealt = dealt.select("pivot", "nid", F.col("own").alias("side"), other.alias("pair")).select("pivot", "nid", "side", "pair.bi", "pair.bj")
+    sifted = _grouped(under, nodes, block).mapInArrow(_sifter(coords, need), "pivot long, nid long")
+    under = materialize(sifted.distinct(), "sifted")
 
     wanted = under.select("nid").distinct().join(copies, "nid").where("least is not null").select("least")
     words = np.zeros(BLOOM_BITS // 64, np.int64)
     for slot, bits in wanted.mapInArrow(_bloom_rows, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits")).collect():
         words[slot] = bits  # at most BLOOM_BITS / 64 rows
     sets = rows.mapInArrow(_set_maker(shingle, coords, spark.sparkContext.broadcast(words)), "nid long, items binary, sig binary")
-    grouped = dealt.join(sets.hint("shuffle_merge"), "nid").select("pivot", "bi", "bj", "nid", "side", "items", "sig")
-    grouped = grouped.repartition("pivot", "bi", "bj").sortWithinPartitions("pivot", "bi", "bj")
+    grouped = _grouped(under, sets, block)
     links = grouped.mapInArrow(_linker(coords, need, num, den), "a long, b long")
 
     labels = materialize(connected_components(links), "components")
