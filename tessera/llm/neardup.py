@@ -22,13 +22,14 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._common import WordHash, connected_components, materialize, mix, ngram_hashes, runs, utf8_column
 
 SKETCH = 1 << 16
-BLOOM_BITS = 1 << 23
+MOST_BLOOM_BITS = 1 << 28
 
 
 def shingle_set(words: np.ndarray, n: int) -> np.ndarray:
@@ -91,7 +92,9 @@ def _sketcher(coords: int):
     return run
 
 
-def _poster(coords: int, prefix: int, sketch):
+def _poster(coords: int, prefix: int, sketch, only=None):
+    """Postings of each set; with a filter, those whose key passes it."""
+
     def run(batches):
         counts = sketch.value
         rank = np.floor(2 * np.log2(counts + 1.0)).astype(np.uint64)
@@ -106,35 +109,63 @@ def _poster(coords: int, prefix: int, sketch):
                 nid = part.column(0).to_numpy()
                 # the most central first; the low bits break ties
                 central = (counts[slots].sum(axis=1).clip(0, (1 << 30) - 1).astype(np.int64) << 32) | (mix(nid.view(np.uint64)) >> np.uint64(32)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64).ravel()), pa.array(np.repeat(nid, prefix)), pa.array(np.repeat(central, prefix))], ["key", "nid", "central"])
+                key, nid, central = first.view(np.int64).ravel(), np.repeat(nid, prefix), np.repeat(central, prefix)
+                if only is not None:
+                    some = passing(only.value, key)
+                    key, nid, central = key[some], nid[some], central[some]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(nid), pa.array(central)], ["key", "nid", "central"])
 
     return run
 
 
-def _bloom(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _places(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     h = mix(ids.view(np.uint64))
-    return (h % np.uint64(BLOOM_BITS)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(BLOOM_BITS)).astype(np.int64)
+    return (h & np.uint64(size - 1)).astype(np.int64), (h >> np.uint64(32) & np.uint64(size - 1)).astype(np.int64)
+
+
+def _bloom_rows(size: int):
+    def run(batches):
+        bits = np.zeros(size, bool)
+        for batch in batches:
+            for at in _places(batch.column(0).to_numpy(), size):
+                bits[at] = True
+        words = np.packbits(bits).view(np.int64)
+        at = np.flatnonzero(words)
+        for low in range(0, len(at), 1 << 16):
+            own = at[low : low + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(words[own])], ["slot", "bits"])
 
+    return run
+
+
+def bloom_filter(ids: DataFrame) -> Broadcast:
+    """Bits for a column of ids, ten each or more up to MOST_BLOOM_BITS (32 MB); beyond, more ids pass by chance."""
+    size = 1 << 20
+    n = ids.count()
+    while size < min(10 * n, MOST_BLOOM_BITS):
+        size *= 2
+    rows = ids.mapInArrow(_bloom_rows(size), "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(size // 64, np.int64)
+    words[rows["slot"].to_numpy()] = rows["bits"].to_numpy()
+    return ids.sparkSession.sparkContext.broadcast(words)
 
-def _bloom_rows(batches):
-    bits = np.zeros(BLOOM_BITS, bool)
-    for batch in batches:
-        for at in _bloom(batch.column(0).to_numpy()):
-            bits[at] = True
-    words = np.packbits(bits).view(np.int64)
-    at = np.flatnonzero(words)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], ["slot", "bits"])
+
+def passing(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    bits = words.view(np.uint8)
+    out = np.ones(len(ids), bool)
+    for at in _places(ids, 64 * len(words)):
+        out &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+    return out
 
 
 def _set_maker(shingle: int, coords: int, bloom):
     by = multipliers(coords)
 
     def run(batches):
-        hashes, bits = WordHash(), np.unpackbits(bloom.value.view(np.uint8)).astype(bool)
+        hashes = WordHash()
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
-            one, two = _bloom(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
-            batch = batch.filter(pa.array(bits[one] & bits[two]))
+            batch = batch.filter(pa.array(passing(bloom.value, batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))))
             for at in range(0, batch.num_rows, 512):
                 nids, sets, sigs = [], [], []
                 for text in utf8_column(batch.column(1).slice(at, 512)):
@@ -276,10 +307,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     counts = np.zeros(SKETCH, np.int64)
     for slot, n in nodes.select("sig").mapInArrow(_sketcher(coords), "slot long, n long").groupBy("slot").agg(F.sum("n")).collect():
         counts[slot] = n  # at most SKETCH rows, whatever the input
-    posts = nodes.mapInArrow(_poster(coords, coords - need + 1, spark.sparkContext.broadcast(counts)), "key long, nid long, central long")
-    posts = materialize(posts, "posts")
+    sketch, prefix = spark.sparkContext.broadcast(counts), coords - need + 1
+    posts = nodes.mapInArrow(_poster(coords, prefix, sketch), "key long, nid long, central long")
     lists = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("central").alias("top"), F.bit_xor(F.xxhash64("nid")).alias("members")).where("n > 1")
     lists = materialize(lists.groupBy("members", "n", "top").agg(F.min("key").alias("key")).select("key", "top"), "lists")
+    posts = nodes.mapInArrow(_poster(coords, prefix, sketch, bloom_filter(lists.select("key"))), "key long, nid long, central long")
     met = materialize(posts.join(lists, "key").select("key", "nid", "central", "top"), "met")
     pivots = met.where("central = top").groupBy("key").agg(F.min("nid").alias("pivot"))
     under = materialize(met.join(pivots, "key").select("pivot", "nid").distinct(), "under")
@@ -287,11 +319,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sifted = _grouped(under, nodes, block).mapInArrow(_sifter(coords, need), "pivot long, nid long")
     under = materialize(sifted.distinct(), "sifted")
 
-    wanted = under.select("nid").distinct().join(copies, "nid").where("least is not null").select("least")
-    words = np.zeros(BLOOM_BITS // 64, np.int64)
-    for slot, bits in wanted.mapInArrow(_bloom_rows, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits")).collect():
-        words[slot] = bits  # at most BLOOM_BITS / 64 rows
-    sets = rows.mapInArrow(_set_maker(shingle, coords, spark.sparkContext.broadcast(words)), "nid long, items binary, sig binary")
+    wanted = bloom_filter(under.select("nid").distinct().join(copies, "nid").where("least is not null").select("least"))
+    sets = rows.mapInArrow(_set_maker(shingle, coords, wanted), "nid long, items binary, sig binary")
     grouped = _grouped(under, sets, block)
     links = grouped.mapInArrow(_linker(coords, need, num, den), "a long, b long")
 
