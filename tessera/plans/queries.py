@@ -60,6 +60,17 @@ def updated(d):
 
 DISTANCE = "sqrt(power((n.lon - 104.045e0) * 111320e0 * cos(radians(30.645e0)), 2) + power((n.lat - 30.645e0) * 110540e0, 2))"
 
+#: Distinct users a minute without a row for each: their merged intervals, then running sums over the
+#: minutes at which one begins or ends, of which only the first 20 of a plateau can be among the top 20.
+SWEEP = """
+SELECT minute, n FROM (SELECT 60 * m AS minute, n FROM (SELECT n, explode(sequence(at, least(next - 1, at + 19))) AS m FROM (
+  SELECT at, sum(step) OVER (ORDER BY at) AS n, lead(at) OVER (ORDER BY at) AS next FROM (SELECT at, sum(step) AS step FROM (
+    SELECT user_id, explode(array(struct(min(s) AS at, 1L AS step), struct(max(e) + 1 AS at, -1L AS step))) AS x FROM (
+      SELECT user_id, s, e, count(CASE WHEN before IS NULL OR s > before THEN 1 END) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM (
+        SELECT user_id, s, e, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (
+          SELECT user_id, (start_ts - 60) div 60 AS s, end_ts div 60 AS e FROM segments))) GROUP BY user_id, island) LATERAL VIEW inline(array(x)) AS at, step GROUP BY at))
+  WHERE n > 0 AND next IS NOT NULL)) ORDER BY n DESC, minute LIMIT 20"""
+
 #: name: (expressions, body by dialect)
 BODIES = {
     "road_nodes": (world, lambda d: "SELECT node_id, lon, lat FROM nodes"),
@@ -107,7 +118,7 @@ BODIES = {
     "append_roots": (updated, lambda d: "SELECT eid, k, root FROM roots"),
     "scaling_prefix_counts": (updated, lambda d: " UNION ALL ".join(f"SELECT CAST({p} AS BIGINT) AS pct, count(DISTINCT e.tid) AS n_trajectories, count(*) AS n_entries FROM entries e JOIN ordinal USING (user_id) CROSS JOIN cutoff WHERE o <= {d.idiv(f'n * {p}', 100)}" for p in (20, 40, 60, 80, 100))),
     "dense_cells_topk": (world, lambda d: "SELECT cx, cy, CAST(sum(k) AS BIGINT) AS weight, sum(k * mx) / sum(k) AS lon, sum(k * my) / sum(k) AS lat FROM (SELECT k, (min_lon + max_lon) / 2e0 AS mx, (min_lat + max_lat) / 2e0 AS my, CAST(floor((min_lon + max_lon) / 2e0 / 0.02e0) AS BIGINT) AS cx, CAST(floor((min_lat + max_lat) / 2e0 / 0.02e0) AS BIGINT) AS cy FROM edges JOIN env USING (eid)) c GROUP BY cx, cy ORDER BY weight DESC, cx, cy LIMIT 30"),
-    "dense_minutes_topk": (world, lambda d: f"SELECT minute, count(DISTINCT user_id) AS n FROM (SELECT user_id, 60 * m AS minute FROM (SELECT user_id, {d.series(d.idiv('start_ts - 60', 60), d.idiv('end_ts', 60))} AS m FROM segments) s) t GROUP BY minute ORDER BY n DESC, minute LIMIT 20"),
+    "dense_minutes_topk": (world, lambda d: SWEEP if d is Spark else f"SELECT minute, count(DISTINCT user_id) AS n FROM (SELECT user_id, 60 * m AS minute FROM (SELECT user_id, {d.series(d.idiv('start_ts - 60', 60), d.idiv('end_ts', 60))} AS m FROM segments) s) t GROUP BY minute ORDER BY n DESC, minute LIMIT 20"),
     "center_weight": (windowed, lambda d: f"SELECT CAST(sum(v.k) AS BIGINT) AS weight, count(*) AS n_edges FROM windows w CROSS JOIN edges e JOIN env v ON v.eid = e.eid WHERE {ix.segment_hits('e.alon', 'e.alat', 'e.blon', 'e.blat', 'w')}"),
     "nearest_nodes_topk": (world, lambda d: f"SELECT n.node_id, round({DISTANCE}, 3) AS meters FROM nodes n ORDER BY {DISTANCE}, n.node_id LIMIT 64"),
     "new_edge_candidates": (world, lambda d: f"SELECT p.node_id AS u, q.node_id AS v FROM (SELECT n.node_id FROM nodes n ORDER BY {DISTANCE}, n.node_id LIMIT 64) p JOIN (SELECT n.node_id FROM nodes n ORDER BY {DISTANCE}, n.node_id LIMIT 64) q ON p.node_id < q.node_id LEFT JOIN edges e ON e.a = p.node_id AND e.b = q.node_id WHERE e.eid IS NULL ORDER BY u, v LIMIT 10"),
