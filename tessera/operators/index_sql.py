@@ -2,7 +2,8 @@
 
 Edge MMR: a node (h, j) of an edge with k entries exists if (j + 1) * 2^h <= k, so
 each level pairs the nodes of the level below. Points: packed B-trees and a Morton
-R-tree take rank // capacity as leaf and group upward by fan-out.
+R-tree take rank // capacity as leaf and group upward by fan-out. The domain tags
+in the hashes are fixed values of the record formats.
 """
 
 from __future__ import annotations
