@@ -10,9 +10,11 @@ from __future__ import annotations
 class Spark:
     epoch = staticmethod(lambda x: f"unix_timestamp({x})")
     idiv = staticmethod(lambda a, b: f"(({a}) div ({b}))")
+    u16 = staticmethod(lambda x: f"lpad(hex(cast({x} as bigint)), 4, '0')")
     u32 = staticmethod(lambda x: f"lpad(hex(cast({x} as bigint)), 8, '0')")
     u64 = staticmethod(lambda x: f"lpad(hex(cast({x} as bigint)), 16, '0')")
     f64 = staticmethod(lambda x: f"lpad(hex(cast(reflect('java.lang.Double', 'doubleToRawLongBits', {x}) as bigint)), 16, '0')")
+    little = staticmethod(lambda x: f"regexp_replace(reverse({x}), '(.)(.)', '$2$1')")
     sha = staticmethod(lambda *xs: f"sha2(unhex(concat({', '.join(xs)})), 256)")
     text_hex = staticmethod(lambda x: "'" + x.encode().hex() + "'")
     ordered = staticmethod(lambda x, order: f"array_join(transform(array_sort(collect_list(struct({order} as o, {x} as x))), s -> s.x), '')")
@@ -26,9 +28,11 @@ class Spark:
 class Duck:
     epoch = staticmethod(lambda x: f"CAST(floor(epoch({x})) AS BIGINT)")
     idiv = staticmethod(lambda a, b: f"(({a}) // ({b}))")
+    u16 = staticmethod(lambda x: f"printf('%04X', CAST({x} AS BIGINT))")
     u32 = staticmethod(lambda x: f"printf('%08X', CAST({x} AS BIGINT))")
     u64 = staticmethod(lambda x: f"printf('%016X', CAST({x} AS BIGINT))")
     f64 = staticmethod(lambda x: f"hex(CAST(CAST({x} AS BIT) AS BLOB))")
+    little = staticmethod(lambda x: f"regexp_replace(reverse({x}), '(.)(.)', '\\2\\1', 'g')")
     sha = staticmethod(lambda *xs: f"sha256(unhex({' || '.join(xs)}))")
     text_hex = staticmethod(lambda x: "'" + x.encode().hex() + "'")
     ordered = staticmethod(lambda x, order: f"string_agg({x}, '' ORDER BY {order})")

@@ -11,6 +11,11 @@ from __future__ import annotations
 from tessera.functions.dialect import overlaps, segment_hits
 
 
+def rank(select: str, source: str, order: str) -> str:
+    """The select with ranks r from 0 by a total order; Spark's form is tables.ranked on the parts of this text."""
+    return f"SELECT {select}, CAST(row_number() OVER (ORDER BY {order}) - 1 AS BIGINT) AS r FROM {source}"
+
+
 def mmr(d, levels: int, source: str = "entries", prefix: str = "") -> list[tuple[str, str]]:
     p = prefix
     out = [(f"{p}leaf0", f"SELECT eid, row_number() OVER (PARTITION BY eid ORDER BY start_ts, end_ts, tid) - 1 AS j, {d.sha('tid', d.u32('start_ts'), d.u32('end_ts'))} AS hash, start_ts AS lo, end_ts AS hi FROM {source}")]
@@ -46,17 +51,28 @@ def fine(windows: str) -> list[tuple[str, str]]:
 
 
 def btree(d, key: str, cap: int, fanout: int, levels: int) -> list[tuple[str, str]]:
-    """Merkle B-tree over points by (key, point_id, tid); level 0 are the leaves, the last has one node."""
+    """Merkle B-tree over points by (key, point_id, tid); level 0 are the leaves; the root is the node of the first level that has one."""
     tid = f"concat({d.u64(32)}, tid)"
     entry = f"concat(kx, {d.u64('point_id')}, {tid})"
     out = [
-        (f"{key}_rank", f"SELECT point_id, tid, {key}, {d.f64(f'CAST({key} AS DOUBLE)')} AS kx, CAST(row_number() OVER (ORDER BY {key}, point_id, tid) - 1 AS BIGINT) AS r FROM points"),
+        (f"{key}_rank", rank(f"point_id, tid, {key}, {d.f64(f'CAST({key} AS DOUBLE)')} AS kx", "points", f"{key}, point_id, tid")),
         (f"{key}_level0", f"SELECT {d.idiv('r', cap)} AS idx, {d.sha(d.text_hex('THREE-MBT-LEAF-v1'), d.u64('count(*)'), d.ordered(entry, 'r'))} AS hash, min(CAST({key} AS DOUBLE)) AS lo, max(CAST({key} AS DOUBLE)) AS hi FROM {key}_rank GROUP BY {d.idiv('r', cap)}"),
     ]
     for h in range(1, levels + 1):
         child = f"concat(lox, hix, {d.u64(32)}, hash)"
         out.append((f"{key}_level{h}", f"SELECT {d.idiv('idx', fanout)} AS idx, {d.sha(d.text_hex('THREE-MBT-INTERNAL-v1'), d.u64('count(*)'), d.ordered(child, 'idx'))} AS hash, min(lo) AS lo, max(hi) AS hi FROM (SELECT idx, hash, lo, hi, {d.f64('lo')} AS lox, {d.f64('hi')} AS hix FROM {key}_level{h - 1}) children GROUP BY {d.idiv('idx', fanout)}"))
-    return out
+    return [*out, *tree_top(key, levels, "idx, hash, lo, hi")]
+
+
+def tree_top(prefix: str, levels: int, columns: str) -> list[tuple[str, str]]:
+    """Nodes up to the first level that has one node, which is the root's."""
+    every = " UNION ALL ".join(f"SELECT CAST({h} AS BIGINT) AS h, {columns} FROM {prefix}_level{h}" for h in range(levels + 1))
+    return [
+        (f"{prefix}_levels", every),
+        (f"{prefix}_top", f"SELECT min(h) AS top FROM (SELECT h FROM {prefix}_levels GROUP BY h HAVING count(*) = 1) single"),
+        (f"{prefix}_nodes", f"SELECT l.* FROM {prefix}_levels l JOIN {prefix}_top ON l.h <= top"),
+        (f"{prefix}_rootnode", f"SELECT l.* FROM {prefix}_levels l JOIN {prefix}_top ON l.h = top"),
+    ]
 
 
 def morton(d, bits: int = 32) -> list[tuple[str, str]]:
@@ -69,3 +85,25 @@ def morton(d, bits: int = 32) -> list[tuple[str, str]]:
         ("gridded", f"SELECT point_id, tid, ts, lon, lat, {x('lon')} AS gx, {x('lat')} AS gy FROM points CROSS JOIN bounds"),
         ("keyed", f"SELECT point_id, tid, ts, lon, lat, concat({d.u32(half(bits // 2))}, {d.u32(half(0))}) AS morton FROM gridded"),
     ]
+
+
+def rtree(d, cap: int, fanout: int, levels: int) -> list[tuple[str, str]]:
+    """Merkle R-tree over points in Morton order; numbers enter its hashes little-endian.
+
+    Record of a point: u64 point_id, trajectory id, f64 lon, lat, ts. Leaf: H("L", u32 n, records);
+    internal: H("I", u16 n, box and hash of each child); root: H("R", box, hash).
+    """
+    box = "min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1"
+    f = lambda c: d.little(d.f64(c))
+    corners = ", ".join(f(c) for c in ("x0", "y0", "x1", "y1"))
+    record = f"concat({d.little(d.u64('point_id'))}, tid, {f('lon')}, {f('lat')}, {f('CAST(ts AS DOUBLE)')})"
+    out = [
+        ("rt_records", f"SELECT {d.idiv('r', cap)} AS idx, r, {record} AS record, lon AS x0, lat AS y0, lon AS x1, lat AS y1 FROM morton_rank"),
+        ("rt_level0", f"SELECT idx, {d.sha(d.text_hex('L'), d.little(d.u32('count(*)')), d.ordered('record', 'r'))} AS hash, {box} FROM rt_records GROUP BY idx"),
+    ]
+    for h in range(1, levels + 1):
+        up = d.idiv("idx", fanout)
+        out.append((f"rt_level{h}", f"SELECT {up} AS idx, {d.sha(d.text_hex('I'), d.little(d.u16('count(*)')), d.ordered('child', 'idx'))} AS hash, {box} FROM (SELECT idx, concat({corners}, hash) AS child, x0, y0, x1, y1 FROM rt_level{h - 1}) children GROUP BY {up}"))
+    out += tree_top("rt", levels, "idx, hash, x0, y0, x1, y1")
+    out.append(("rt_root", f"SELECT {d.sha(d.text_hex('R'), *map(f, ('x0', 'y0', 'x1', 'y1')), 'hash')} AS root FROM rt_rootnode"))
+    return out

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.functions.dialect import Duck, Spark
+from tessera.operators import chains
 from tessera.operators import index_sql as ix
 from tessera.operators.mmr import mmr_nodes
+from tessera.operators.tables import ranked
 from tessera.plans.world import MAIN, matrix, render, world
 
 CAP, FANOUT, LEVELS = 128, 64, 3  # points of up to 128 * 64^3 in a tree
@@ -40,7 +43,7 @@ def chained(d):
 
 def points(d):
     return [*world(d), ("windows", MAIN), *(x for key in ("lon", "lat", "ts") for x in ix.btree(d, key, CAP, FANOUT, LEVELS)), *ix.morton(d),
-            ("morton_rank", "SELECT point_id, tid, ts, lon, lat, morton, CAST(row_number() OVER (ORDER BY morton, point_id) - 1 AS BIGINT) AS r FROM keyed")]
+            ("morton_rank", ix.rank("point_id, tid, ts, lon, lat, morton", "keyed", "morton, point_id")), *ix.rtree(d, CAP, FANOUT, LEVELS)]
 
 
 def updated(d):
@@ -48,7 +51,8 @@ def updated(d):
     return [
         *world(d),
         ("cutoff", f"SELECT count(*) AS n, greatest(1, {d.idiv('count(*) * 60', 100)}) AS n_base FROM ids"),
-        ("ordinal", "SELECT user_id, row_number() OVER (ORDER BY user_id) AS o FROM ids"),
+        ("user_rank", ix.rank("user_id", "ids", "user_id")),
+        ("ordinal", "SELECT user_id, r + 1 AS o FROM user_rank"),
         ("base", "SELECT e.eid, e.tid, e.start_ts, e.end_ts FROM entries e JOIN ordinal USING (user_id) CROSS JOIN cutoff WHERE o <= n_base"),
         ("delta", "SELECT e.eid, e.tid, e.start_ts, e.end_ts, e.user_id, e.seq FROM entries e JOIN ordinal USING (user_id) CROSS JOIN cutoff WHERE o > n_base"),
         ("tails", "SELECT eid, max(start_ts) AS tail FROM base GROUP BY eid"),
@@ -71,6 +75,12 @@ SELECT minute, n FROM (SELECT 60 * m AS minute, n FROM (SELECT n, explode(sequen
           SELECT user_id, (start_ts - 60) div 60 AS s, end_ts div 60 AS e FROM segments))) GROUP BY user_id, island) LATERAL VIEW inline(array(x)) AS at, step GROUP BY at))
   WHERE n > 0 AND next IS NOT NULL)) ORDER BY n DESC, minute LIMIT 20"""
 
+#: Suffix states of the sorted lists, from the tail to the front, a step of all edges at a time.
+CHAIN = f"""WITH RECURSIVE states AS (
+  SELECT eid, total AS pos, '{chains.LIST_TAIL}' AS state FROM ranked WHERE rank = 1
+  UNION ALL SELECT s.eid, s.pos - 1, {Duck.sha(Duck.text_hex(chains.LIST), Duck.sha(Duck.text_hex(chains.ENTRY), 'r.tid', Duck.u32('r.start_ts'), Duck.u32('r.end_ts')), 's.state')}
+  FROM states s JOIN ranked r ON r.eid = s.eid AND r.rank = s.pos) SELECT eid, pos, state FROM states"""
+
 #: name: (expressions, body by dialect)
 BODIES = {
     "road_nodes": (world, lambda d: "SELECT node_id, lon, lat FROM nodes"),
@@ -103,16 +113,21 @@ BODIES = {
     "sorted_prefix_scan": (chained, lambda d: "SELECT eid, rank, total, tid, start_ts, end_ts FROM prefix"),
     "boundary_witness": (chained, lambda d: "SELECT c.eid, c.k, r.tid, r.start_ts, r.end_ts FROM cut c JOIN ranked r ON r.eid = c.eid AND r.rank = c.k + 1"),
     "sorted_list_candidates": (chained, lambda d: "SELECT DISTINCT p.tid FROM prefix p CROSS JOIN windows w WHERE p.end_ts >= w.q_start"),
+    "list_chain_states": (chained, lambda d: "SELECT eid, pos, state FROM {chain}" if d is Spark else f"SELECT eid, pos, state FROM ({CHAIN}) c"),
+    "list_chain_roots": (chained, lambda d: "SELECT eid, state AS root FROM {chain} WHERE pos = 0" if d is Spark else f"SELECT eid, state AS root FROM ({CHAIN}) c WHERE pos = 0"),
     "query_counters": (chained, lambda d: "SELECT (SELECT count(*) FROM open_edges) AS n_open, (SELECT count(*) FROM edges) - (SELECT count(*) FROM open_edges) AS n_pruned, (SELECT count(*) FROM prefix) AS n_scanned, (SELECT count(*) FROM cut c JOIN ranked r ON r.eid = c.eid AND r.rank = c.k + 1) AS n_boundary"),
     "btree_leaves_lon": (points, lambda d: "SELECT idx, hash, lo, hi FROM lon_level0"),
     "btree_leaves_lat": (points, lambda d: "SELECT idx, hash, lo, hi FROM lat_level0"),
     "btree_leaves_time": (points, lambda d: "SELECT idx, hash, lo, hi FROM ts_level0"),
-    "btree_root": (points, lambda d: f"SELECT {d.sha(d.text_hex('THREE-MBT-ROOT-v1'), 'x.hash', 'y.hash', 't.hash')} AS root FROM lon_level{LEVELS} x CROSS JOIN lat_level{LEVELS} y CROSS JOIN ts_level{LEVELS} t"),
+    "btree_root": (points, lambda d: f"SELECT {d.sha(d.text_hex('THREE-MBT-ROOT-v1'), 'x.hash', 'y.hash', 't.hash')} AS root FROM lon_rootnode x CROSS JOIN lat_rootnode y CROSS JOIN ts_rootnode t"),
     "btree_visited_leaves": (points, lambda d: "SELECT 'lon' AS dim, count(*) AS n FROM lon_level0 CROSS JOIN windows w WHERE hi >= w.min_lon AND lo <= w.max_lon UNION ALL SELECT 'lat', count(*) FROM lat_level0 CROSS JOIN windows w WHERE hi >= w.min_lat AND lo <= w.max_lat UNION ALL SELECT 'time', count(*) FROM ts_level0 CROSS JOIN windows w WHERE hi >= w.q_start AND lo <= w.q_end"),
     "three_way_candidates": (points, lambda d: "SELECT DISTINCT tid FROM points CROSS JOIN windows w WHERE lon BETWEEN w.min_lon AND w.max_lon INTERSECT SELECT tid FROM points CROSS JOIN windows w WHERE lat BETWEEN w.min_lat AND w.max_lat INTERSECT SELECT tid FROM points CROSS JOIN windows w WHERE ts BETWEEN w.q_start AND w.q_end"),
     "rtree_candidates": (points, lambda d: "SELECT DISTINCT tid FROM points CROSS JOIN windows w WHERE lon BETWEEN w.min_lon AND w.max_lon AND lat BETWEEN w.min_lat AND w.max_lat AND ts BETWEEN w.q_start AND w.q_end"),
     "morton_order": (points, lambda d: "SELECT point_id, morton, r FROM morton_rank"),
     "rtree_leaves": (points, lambda d: f"SELECT {d.idiv('r', CAP)} AS leaf, count(*) AS n, min(lon) AS min_lon, min(lat) AS min_lat, max(lon) AS max_lon, max(lat) AS max_lat FROM morton_rank GROUP BY {d.idiv('r', CAP)}"),
+    "rtree_nodes": (points, lambda d: "SELECT h, idx, hash, x0, y0, x1, y1 FROM rt_nodes"),
+    "btree_nodes": (points, lambda d: " UNION ALL ".join(f"SELECT '{dim}' AS dim, h, idx, hash, lo, hi FROM {key}_nodes" for dim, key in (("lon", "lon"), ("lat", "lat"), ("time", "ts")))),
+    "rtree_root": (points, lambda d: "SELECT root FROM rt_root"),
     "rtree_visited_leaves": (points, lambda d: f"SELECT count(*) AS n FROM (SELECT min(lon) AS x0, min(lat) AS y0, max(lon) AS x1, max(lat) AS y1 FROM morton_rank GROUP BY {d.idiv('r', CAP)}) l CROSS JOIN windows w WHERE x1 >= w.min_lon AND x0 <= w.max_lon AND y1 >= w.min_lat AND y0 <= w.max_lat"),
     "time_safe_delta": (updated, lambda d: "SELECT eid, tid, start_ts, end_ts FROM safe"),
     "append_roots": (updated, lambda d: "SELECT eid, k, root FROM roots"),
@@ -138,9 +153,20 @@ def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         more = {"mmr_nodes": mmr_nodes(spark.sql(render(ctes, f"SELECT eid, tid, start_ts, end_ts FROM {source}"), events=events))}
         own = {"mmr": "SELECT eid, h, j, pos, hash, lo, hi FROM {mmr_nodes}", "mmr_k": "SELECT eid, count(*) AS k FROM {mmr_nodes} WHERE h = 0 GROUP BY eid"}
         text = render([(n, own.get(n, sql)) for n, sql in ctes], body(Spark))
+    if "{chain}" in text:
+        lists = spark.sql(render(ctes, "SELECT eid, rank, total, tid, start_ts, end_ts FROM ranked"), events=events)
+        more["chain"] = chains.list_states(lists)
+    for name, sql in ctes:
+        part = RANK.fullmatch(sql)
+        if part and re.search(rf"\b{name} AS \(", text):
+            select, order, source = part.groups()
+            rows = spark.sql(render(ctes, f"SELECT {select} FROM {source}"), events=events)
+            more[name + "s"] = ranked(rows, order.split(", "), label=name)
+            text = text.replace(f"{name} AS ({sql})", f"{name} AS (SELECT * FROM {{{name}s}})")
     used = {"events": events, **more}
     return spark.sql(text, **{k: v for k, v in used.items() if "{" + k + "}" in text})
 
 
+RANK = re.compile(r"SELECT (.*), CAST\(row_number\(\) OVER \(ORDER BY ([a-z_, ]+)\) - 1 AS BIGINT\) AS r FROM ([a-z_]+)")
 QUERIES = {name: partial(run, name=name) for name in BODIES}
 ORACLE = {name: render(ctes(Duck), body(Duck)) for name, (ctes, body) in BODIES.items()}

@@ -3,11 +3,14 @@
 import glob
 import hashlib
 import os
+import struct
 
 import duckdb
 import pytest
 
+from tessera.functions.dialect import Spark
 from tessera.plans.queries import ORACLE, QUERIES
+from tessera.plans.world import render, world
 from tessera.sources import road, trajectories
 from tessera.streaming import mmr_stream
 
@@ -51,6 +54,23 @@ def test_roots_against_appends(spark):
     assert {r["eid"]: r["root"] for r in QUERIES["mmr_roots"](spark, SF).collect()} == true
 
 
+def test_rtree_hashes_against_packed_records(spark):
+    """Leaves of up to 128 points, then one level of up to 64 children, packed with struct."""
+    points = {r["point_id"]: r for r in spark.sql(render(world(Spark), "SELECT point_id, tid, ts, lon, lat FROM points"), events=spark.read.parquet(f"{SF}/events.parquet")).collect()}
+    order = [points[r["point_id"]] for r in QUERIES["morton_order"](spark, SF).orderBy("r").collect()]
+    sha = lambda b: hashlib.sha256(b).digest()
+    leaves = []
+    for i in range(0, len(order), 128):
+        part = order[i : i + 128]
+        raw = b"".join(struct.pack("<Q32sddd", p["point_id"], bytes.fromhex(p["tid"]), p["lon"], p["lat"], p["ts"]) for p in part)
+        lon, lat = [p["lon"] for p in part], [p["lat"] for p in part]
+        leaves.append(struct.pack("<dddd", min(lon), min(lat), max(lon), max(lat)) + sha(b"L" + struct.pack("<I", len(part)) + raw))
+    nodes = QUERIES["rtree_nodes"](spark, SF)
+    assert len(order) == len(points)
+    assert [struct.pack("<dddd", r["x0"], r["y0"], r["x1"], r["y1"]) + bytes.fromhex(r["hash"]) for r in nodes.where("h = 0").orderBy("idx").collect()] == leaves
+    assert [bytes.fromhex(r["hash"]) for r in nodes.where("h = 1").collect()] == [sha(b"I" + struct.pack("<H", len(leaves)) + b"".join(leaves))]
+
+
 @pytest.mark.parametrize("k", range(0, 70, 7))
 def test_peaks(k):
     peaks = []
