@@ -8,17 +8,23 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.dialect import Spark as d
+from tessera.operators.tables import running
+
+
+def numbered(entries: DataFrame) -> DataFrame:
+    """(eid, tid, start_ts, end_ts, j): places of the entries of an edge, whose ranges may lie in many tasks."""
+    rows = running(entries.select("eid", "tid", "start_ts", "end_ts"), ["start_ts", "end_ts", "tid"], {"j": "1L"}, ["eid"], label="mmr-order")
+    return rows.withColumn("j", F.col("j") - 1)
 
 
 def mmr_leaves(entries: DataFrame) -> DataFrame:
     """(eid, j, hash, lo, hi): entries of each edge by start, end and trajectory."""
-    order = Window.partitionBy("eid").orderBy("start_ts", "end_ts", "tid")
     hashed = F.expr(d.sha("tid", d.u32("start_ts"), d.u32("end_ts")))
-    return entries.select("eid", (F.row_number().over(order) - 1).cast("long").alias("j"), hashed.alias("hash"), F.col("start_ts").alias("lo"), F.col("end_ts").alias("hi"))
+    return numbered(entries).select("eid", "j", hashed.alias("hash"), F.col("start_ts").alias("lo"), F.col("end_ts").alias("hi"))
 
 
 def mmr_nodes(entries: DataFrame) -> DataFrame:
