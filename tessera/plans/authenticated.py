@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.dialect import Spark as d
-from tessera.operators import chains, proofs, spatial_tree
+from tessera.operators import chains, list_proofs, proofs, spatial_tree
 from tessera.operators import index_sql as ix
 from tessera.operators.mmr import mmr_nodes, numbered
 from tessera.operators.tables import stored
@@ -90,13 +90,35 @@ def verified_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vo_tokens(spark, sf_dir).where("tid is not null").select("tid").distinct()
 
 
-def binary_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+def list_tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    """Binary tree, placed edges, ranked entries, suffix states and the road."""
     road = Road(spark, sf_dir)
     entries = stored(road.sql("SELECT eid, tid, rank, total, start_ts, end_ts FROM ranked", (("ranked", RANKED),)), "ranked")
-    heads = chains.list_states(entries).where("pos = 0").select("eid", F.col("state").alias("root"))
+    states = stored(chains.list_states(entries), "chain")
+    heads = states.where("pos = 0").select("eid", F.col("state").alias("root"))
     counts = entries.groupBy("eid").agg(F.count("*").alias("k"), F.count_distinct("tid").alias("weight"))
     edges = road.edges.join(counts.select("eid", "weight"), "eid", "left").fillna(0, ["weight"])
-    return spatial_tree.binary_tree(road.nodes, edges, heads.join(counts.select("eid", "k"), "eid"), THETA)[0]
+    tree, placed = spatial_tree.binary_tree(road.nodes, edges, heads.join(counts.select("eid", "k"), "eid"), THETA)
+    return tree, placed, entries, states, road.edges
+
+
+def binary_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return list_tree(spark, sf_dir)[0]
+
+
+def list_vo_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return list_proofs.proof_tokens(*list_tree(spark, sf_dir), spark.sql(MAIN))
+
+
+def list_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trajectories of the main window as the proof over sorted lists discloses them."""
+    return list_vo_tokens(spark, sf_dir).where("tid is not null").select("tid").distinct()
+
+
+def list_verify_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built, windows = list_tree(spark, sf_dir), spark.sql(matrix(d))
+    root = built[0].where("path = ''").first()["hash"]
+    return list_proofs.verify_report(list_proofs.proof_tokens(*built, windows), built[4], windows, root)
 
 
 def binary_tree_root(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,6 +127,6 @@ def binary_tree_root(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RANKED = "SELECT eid, tid, start_ts, end_ts, CAST(row_number() OVER (PARTITION BY eid ORDER BY start_ts, user_id, seq) AS BIGINT) AS rank, count(*) OVER (PARTITION BY eid) AS total FROM entries"
 
-QUERIES = {f.__name__: f for f in (sem_tree, sem_leaf_edges, l0_root, sem_origins, vo_tokens, vo_sizes, verify_report, verified_candidates, binary_tree, binary_tree_root)}
+QUERIES = {f.__name__: f for f in (sem_tree, sem_leaf_edges, l0_root, sem_origins, vo_tokens, vo_sizes, verify_report, verified_candidates, binary_tree, binary_tree_root, list_vo_tokens, list_candidates, list_verify_report)}
 #: The candidates that a proof discloses are those of the plain query.
-SAME_AS = {"verified_candidates": "coarse_candidates"}
+SAME_AS = {"verified_candidates": "coarse_candidates", "list_candidates": "coarse_candidates"}

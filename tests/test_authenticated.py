@@ -6,7 +6,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import proofs, spatial_tree
+from tessera.operators import list_proofs, proofs, spatial_tree
 from tessera.plans import authenticated as auth
 from tessera.plans.queries import ORACLE, QUERIES
 from tessera.plans.world import MAIN
@@ -170,3 +170,25 @@ def test_tampered_proofs(spark, built, tokens, windows, tmp_path):
     wider = (window[0] - 0.01, *window[1:])
     with pytest.raises(proofs.Rejected):
         proofs.verify_files(f"{tmp_path}/p", f"{tmp_path}/r", wider, root)
+
+
+def test_list_proofs(spark, windows):
+    built = tuple(df.persist() for df in auth.list_tree(spark, SF))
+    root = built[0].where("path = ''").first()["hash"]
+    tokens = list_proofs.proof_tokens(*built, windows).persist()
+    shown = lambda df: list_proofs.verify_report(df, built[4], windows, root).first()
+    assert shown(tokens)["accepted"], shown(tokens)
+    assert {r["tid"] for r in tokens.where("tid is not null").collect()} == {r["tid"] for r in QUERIES["coarse_candidates"](spark, SF).collect()}
+    assert tokens.where("token = 12").count() >= tokens.where("tid is not null").count() > 0
+    many = auth.list_verify_report(spark, SF).collect()
+    assert len(many) == 30 and all(r["accepted"] for r in many), many
+    one = tokens.where("token = 12").first()["body"]
+    bad = {
+        "a later end": tokens.withColumn("body", F.when(F.col("body") == one, F.concat(F.expr("substr(body, 1, length(body) - 1)"), F.lit("f"))).otherwise(F.col("body"))),
+        "an entry dropped": tokens.where(F.col("body") != one),
+        "an edge dropped": tokens.where("token <> 10"),
+        "a wrong suffix": tokens.withColumn("body", F.when(F.col("token") == 11, F.regexp_replace("body", "..$", "00")).otherwise(F.col("body"))),
+        "a box moved": tokens.withColumn("body", F.when(F.col("token") < 3, F.regexp_replace("body", "^.{16}", "405a0000000000ff")).otherwise(F.col("body"))),
+    }
+    for name, df in bad.items():
+        assert not shown(df)["accepted"], name
