@@ -50,13 +50,18 @@ def fine(windows: str) -> list[tuple[str, str]]:
     ]
 
 
-def btree(d, key: str, cap: int, fanout: int, levels: int) -> list[tuple[str, str]]:
-    """Merkle B-tree over points by (key, point_id, tid); level 0 are the leaves; the root is the node of the first level that has one."""
+def btree(d, key: str, cap: int, fanout: int, levels: int, leaf: str | None = None) -> list[tuple[str, str]]:
+    """Merkle B-tree over points by (key, point_id, tid); level 0 are the leaves; the root is the node of the first level that has one.
+
+    leaf: expression of a rank's leaf, by default ranks divided by cap.
+    """
+    leaf = leaf or d.idiv("r", cap)
     tid = f"concat({d.u64(32)}, tid)"
     entry = f"concat(kx, {d.u64('point_id')}, {tid})"
     out = [
         (f"{key}_rank", rank(f"point_id, tid, {key}, {d.f64(f'CAST({key} AS DOUBLE)')} AS kx", "points", f"{key}, point_id, tid")),
-        (f"{key}_level0", f"SELECT {d.idiv('r', cap)} AS idx, {d.sha(d.text_hex('THREE-MBT-LEAF-v1'), d.u64('count(*)'), d.ordered(entry, 'r'))} AS hash, min(CAST({key} AS DOUBLE)) AS lo, max(CAST({key} AS DOUBLE)) AS hi FROM {key}_rank GROUP BY {d.idiv('r', cap)}"),
+        (f"{key}_records", f"SELECT {leaf} AS idx, r, tid, {entry} AS record FROM {key}_rank"),
+        (f"{key}_level0", f"SELECT {leaf} AS idx, {d.sha(d.text_hex('THREE-MBT-LEAF-v1'), d.u64('count(*)'), d.ordered(entry, 'r'))} AS hash, min(CAST({key} AS DOUBLE)) AS lo, max(CAST({key} AS DOUBLE)) AS hi FROM {key}_rank GROUP BY {leaf}"),
     ]
     for h in range(1, levels + 1):
         child = f"concat(lox, hix, {d.u64(32)}, hash)"
@@ -87,7 +92,7 @@ def morton(d, bits: int = 32) -> list[tuple[str, str]]:
     ]
 
 
-def rtree(d, cap: int, fanout: int, levels: int) -> list[tuple[str, str]]:
+def rtree(d, cap: int, fanout: int, levels: int, leaf: str | None = None) -> list[tuple[str, str]]:
     """Merkle R-tree over points in Morton order; numbers enter its hashes little-endian.
 
     Record of a point: u64 point_id, trajectory id, f64 lon, lat, ts. Leaf: H("L", u32 n, records);
@@ -98,7 +103,7 @@ def rtree(d, cap: int, fanout: int, levels: int) -> list[tuple[str, str]]:
     corners = ", ".join(f(c) for c in ("x0", "y0", "x1", "y1"))
     record = f"concat({d.little(d.u64('point_id'))}, tid, {f('lon')}, {f('lat')}, {f('CAST(ts AS DOUBLE)')})"
     out = [
-        ("rt_records", f"SELECT {d.idiv('r', cap)} AS idx, r, {record} AS record, lon AS x0, lat AS y0, lon AS x1, lat AS y1 FROM morton_rank"),
+        ("rt_records", f"SELECT {leaf or d.idiv('r', cap)} AS idx, r, tid, ts, {record} AS record, lon AS x0, lat AS y0, lon AS x1, lat AS y1 FROM morton_rank"),
         ("rt_level0", f"SELECT idx, {d.sha(d.text_hex('L'), d.little(d.u32('count(*)')), d.ordered('record', 'r'))} AS hash, {box} FROM rt_records GROUP BY idx"),
     ]
     for h in range(1, levels + 1):

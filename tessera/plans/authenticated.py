@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.dialect import Spark as d
-from tessera.operators import chains, list_proofs, proofs, spatial_tree
+from tessera.operators import chains, inserts, list_proofs, packed_proofs, proofs, spatial_tree
 from tessera.operators import index_sql as ix
 from tessera.operators.mmr import mmr_nodes, numbered
-from tessera.operators.tables import stored
+from tessera.operators.tables import ranked, stored
+from tessera.plans.queries import CAP, FANOUT, LEVELS, points, statement, updated
 from tessera.plans.world import MAIN, matrix, render, world
 
 THETA = 8  # nodes of a leaf; the road networks here have 100
@@ -125,8 +128,82 @@ def binary_tree_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_tree(spark, sf_dir).where("path = ''").select(F.col("hash").alias("root"))
 
 
+def _windows(spark: SparkSession, windows: str, low: str, high: str) -> DataFrame:
+    return spark.sql(f"SELECT query_id, array({low}) AS lows, array({high}) AS highs FROM ({windows}) w")
+
+
+def box_proofs(spark: SparkSession, sf_dir: str, windows: str) -> tuple[DataFrame, DataFrame, str]:
+    """R-tree proof tokens of windows, these as ranges, and the trusted root."""
+    sql = lambda body: stored(statement(spark, sf_dir, points(d), body), "rtree")
+    corners = [d.little(d.f64(c)) for c in ("x0", "y0", "x1", "y1")]
+    nodes = sql(f"SELECT h, idx, hash, concat({', '.join(corners)}) AS bounds, array(x0, y0) AS lows, array(x1, y1) AS highs FROM rt_nodes")
+    root = nodes.orderBy(F.desc("h")).selectExpr(f"{d.sha(d.text_hex('R'), 'bounds', 'hash')} AS root").first()["root"]
+    asked = _windows(spark, windows, "min_lon, min_lat", "max_lon, max_lat")
+    return packed_proofs.tokens(nodes, sql("SELECT idx, r, record, tid FROM rt_records"), FANOUT, asked, (4, 2)), asked, root
+
+
+def key_proofs(spark: SparkSession, sf_dir: str, windows: str) -> tuple[dict, dict, str]:
+    """B-tree proof tokens by dimension, the windows as ranges, and the trusted root."""
+    proofs_, asked, roots = {}, {}, []
+    for key, low, high in (("lon", "min_lon", "max_lon"), ("lat", "min_lat", "max_lat"), ("ts", "q_start", "q_end")):
+        sql = lambda body: stored(statement(spark, sf_dir, points(d), body), "btree")
+        nodes = sql(f"SELECT h, idx, hash, concat({d.f64('lo')}, {d.f64('hi')}) AS bounds, array(lo) AS lows, array(hi) AS highs FROM {key}_nodes")
+        roots.append(nodes.orderBy(F.desc("h")).first()["hash"])
+        asked[key] = _windows(spark, windows, f"CAST({low} AS DOUBLE)", f"CAST({high} AS DOUBLE)")
+        proofs_[key] = packed_proofs.tokens(nodes, sql(f"SELECT idx, r, record, tid FROM {key}_records"), FANOUT, asked[key], (8, 8))
+    trusted = hashlib.sha256(b"THREE-MBT-ROOT-v1" + b"".join(map(bytes.fromhex, roots))).hexdigest()
+    return proofs_, asked, trusted
+
+
+def rtree_verify_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_proofs.verify_boxes(*box_proofs(spark, sf_dir, matrix(d)))
+
+
+def btree_verify_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_proofs.verify_keys(*key_proofs(spark, sf_dir, matrix(d)))
+
+
+def rtree_disclosed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trajectories of disclosed points within the main window, time included."""
+    proof, _, _ = box_proofs(spark, sf_dir, MAIN)
+    shown = proof.where("tid is not null").select("query_id", F.expr("cast(conv(regexp_replace(reverse(substr(body, 1, 16)), '(.)(.)', '$2$1'), 16, 10) as bigint)").alias("point_id"), "tid")
+    own = statement(spark, sf_dir, points(d), "SELECT point_id, lon, lat, ts FROM points")
+    return shown.join(own, "point_id").join(spark.sql(MAIN), "query_id").where("lon between min_lon and max_lon and lat between min_lat and max_lat and ts between q_start and q_end").select("tid").distinct()
+
+
+def insert_points(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    """Rows of a point tree with their leaves after the base's 60 % of trajectories took in the rest.
+
+    key: lon, lat or ts for a B-tree, morton for the R-tree; grid bounds are those of all points.
+    """
+    order = [key, "point_id"] if key == "morton" else [key, "point_id", "tid"]
+    own = "point_id, tid, ts, lon, lat, morton FROM keyed" if key == "morton" else f"point_id, tid, {key}, {d.f64(f'CAST({key} AS DOUBLE)')} AS kx FROM points"
+    both = [*points(d), *[c for c in updated(d) if c[0] in ("cutoff", "user_rank", "ordinal")]]
+    base = "(SELECT tid FROM ids JOIN ordinal USING (user_id) CROSS JOIN cutoff WHERE o <= n_base)"
+    rows = stored(statement(spark, sf_dir, both, f"SELECT p.*, b.tid IS NOT NULL AS old FROM (SELECT {own}) p LEFT JOIN {base} b ON b.tid = p.tid"), "points")
+    old, new = rows.where("old").drop("old"), rows.where("NOT old").drop("old")
+    packed = ranked(old, order, label="pack").withColumn("idx", F.expr(f"r div {CAP}")).withColumn("r", F.expr(f"r % {CAP}"))
+    return inserts.insert(packed, new, key, order, CAP, last_of_equal=key != "morton")
+
+
+def btree_insert_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aggregated root of the three B-trees after the insert."""
+    roots = []
+    for key in ("lon", "lat", "ts"):
+        ctes = [(n, s) for n, s in ix.btree(d, key, CAP, FANOUT, LEVELS, leaf="idx") if n != f"{key}_rank"]
+        grown = insert_points(spark, sf_dir, key)
+        roots.append(spark.sql(render([(f"{key}_rank", "SELECT * FROM {grown}"), *ctes], f"SELECT hash AS {key} FROM {key}_rootnode"), grown=grown))
+    return roots[0].join(roots[1]).join(roots[2]).selectExpr(f"{d.sha(d.text_hex('THREE-MBT-ROOT-v1'), 'lon', 'lat', 'ts')} AS root")
+
+
+def rtree_insert_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root commitment of the R-tree after the insert."""
+    ctes = [("morton_rank", "SELECT * FROM {grown}"), *ix.rtree(d, CAP, FANOUT, LEVELS, leaf="idx")]
+    return spark.sql(render(ctes, "SELECT root FROM rt_root"), grown=insert_points(spark, sf_dir, "morton"))
+
+
 RANKED = "SELECT eid, tid, start_ts, end_ts, CAST(row_number() OVER (PARTITION BY eid ORDER BY start_ts, user_id, seq) AS BIGINT) AS rank, count(*) OVER (PARTITION BY eid) AS total FROM entries"
 
-QUERIES = {f.__name__: f for f in (sem_tree, sem_leaf_edges, l0_root, sem_origins, vo_tokens, vo_sizes, verify_report, verified_candidates, binary_tree, binary_tree_root, list_vo_tokens, list_candidates, list_verify_report)}
+QUERIES = {f.__name__: f for f in (sem_tree, sem_leaf_edges, l0_root, sem_origins, vo_tokens, vo_sizes, verify_report, verified_candidates, binary_tree, binary_tree_root, list_vo_tokens, list_candidates, list_verify_report, rtree_verify_report, btree_verify_report, rtree_disclosed_candidates, btree_insert_root, rtree_insert_root)}
 #: The candidates that a proof discloses are those of the plain query.
-SAME_AS = {"verified_candidates": "coarse_candidates", "list_candidates": "coarse_candidates"}
+SAME_AS = {"verified_candidates": "coarse_candidates", "list_candidates": "coarse_candidates", "rtree_disclosed_candidates": "rtree_candidates"}

@@ -144,15 +144,20 @@ BODIES = {
 
 
 def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The body over events; MMR levels are made round by round instead of as nested expressions."""
+    """A registered body over events."""
     ctes, body = BODIES[name]
-    events, ctes = spark.read.parquet(f"{sf_dir}/events.parquet"), ctes(Spark)
-    text, more = render(ctes, body(Spark)), {}
+    return statement(spark, sf_dir, ctes(Spark), body(Spark))
+
+
+def statement(spark: SparkSession, sf_dir: str, ctes: list, body: str) -> DataFrame:
+    """The body over events; MMR levels, chains and global ranks are made by operators in place of their expressions."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    text, more = render(ctes, body), {}
     if "leaf0 AS" in text:
         source = "grown" if any(n == "grown" for n, _ in ctes) else "entries"
         more = {"mmr_nodes": mmr_nodes(spark.sql(render(ctes, f"SELECT eid, tid, start_ts, end_ts FROM {source}"), events=events))}
         own = {"mmr": "SELECT eid, h, j, pos, hash, lo, hi FROM {mmr_nodes}", "mmr_k": "SELECT eid, count(*) AS k FROM {mmr_nodes} WHERE h = 0 GROUP BY eid"}
-        text = render([(n, own.get(n, sql)) for n, sql in ctes], body(Spark))
+        text = render([(n, own.get(n, sql)) for n, sql in ctes], body)
     if "{chain}" in text:
         lists = spark.sql(render(ctes, "SELECT eid, rank, total, tid, start_ts, end_ts FROM ranked"), events=events)
         more["chain"] = chains.list_states(lists)

@@ -1,12 +1,13 @@
 """Trees, proofs and chains against recursive models; tampered proofs are refused."""
 
+import bisect
 import hashlib
 import struct
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import list_proofs, proofs, spatial_tree
+from tessera.operators import inserts, list_proofs, packed_proofs, proofs, spatial_tree
 from tessera.plans import authenticated as auth
 from tessera.plans.queries import ORACLE, QUERIES
 from tessera.plans.world import MAIN
@@ -192,3 +193,64 @@ def test_list_proofs(spark, windows):
     }
     for name, df in bad.items():
         assert not shown(df)["accepted"], name
+
+
+def test_packed_proofs(spark):
+    proof, asked, root = auth.box_proofs(spark, SF, MAIN)
+    assert root == QUERIES["rtree_root"](spark, SF).first()["root"]
+    boxes = lambda df: packed_proofs.verify_boxes(df, asked, root).first()
+    assert boxes(proof)["accepted"], boxes(proof)
+    one = proof.where("token = 3").first()["body"]
+    moved = proof.withColumn("body", F.when(F.col("body") == one, F.concat(F.lit("00"), F.expr("substr(body, 3)"))).otherwise(F.col("body")))
+    assert not boxes(moved)["accepted"] and not boxes(proof.where(F.col("body") != one))["accepted"]
+    assert {r["tid"] for r in auth.rtree_disclosed_candidates(spark, SF).collect()} == {r["tid"] for r in QUERIES["rtree_candidates"](spark, SF).collect()}
+    proofs_, windows, root = auth.key_proofs(spark, SF, MAIN)
+    assert root == QUERIES["btree_root"](spark, SF).first()["root"]
+    keys = lambda p: packed_proofs.verify_keys(p, windows, root).first()
+    assert keys(proofs_)["accepted"], keys(proofs_)
+    cut = proofs_["lon"].where("token <> 0")
+    assert not keys({**proofs_, "lon": cut})["accepted"]
+    assert all(r["accepted"] for r in auth.rtree_verify_report(spark, SF).collect())
+
+
+@pytest.mark.parametrize("last_of_equal", [True, False])
+def test_inserts_against_a_loop(spark, last_of_equal):
+    """Ties across leaves, keys below the first and above the last leaf, an empty tree, no new rows."""
+    old = sorted([(k, i) for i, k in enumerate([1.0, 2.0, 2.0, 2.0, 2.0, 2.0, 5.0, 7.0, 7.0, 9.0])])
+    new = [(k, 100 + i) for i, k in enumerate([0.0, 2.0, 2.0, 3.0, 7.0, 7.5, 9.0, 12.0, 13.0, 2.0])]
+    schema, cap = "k double, id long", 2
+
+    def model(rows, more):
+        leaves = [rows[i : i + cap] for i in range(0, len(rows), cap)]
+        tops, extra = [leaf[-1][0] for leaf in leaves], [[] for _ in leaves]
+        for row in more:
+            at = bisect.bisect_left(tops, row[0])
+            if last_of_equal and at < len(tops) and tops[at] == row[0]:
+                at = bisect.bisect_right(tops, row[0]) - 1
+            extra[min(at, len(tops) - 1)].append(row)
+        full = [sorted(a + b) for a, b in zip(leaves, extra, strict=True)]
+        return [tuple(x[i : i + cap]) for x in full for i in range(0, len(x), cap)]
+
+    def ours(rows, more):
+        placed = spark.createDataFrame([(*r, i // cap, i % cap) for i, r in enumerate(rows)], f"{schema}, idx long, r long")
+        got: dict = {}
+        for r in inserts.insert(placed, spark.createDataFrame(more, schema), "k", ["k", "id"], cap, last_of_equal=last_of_equal).orderBy("idx", "r").collect():
+            got.setdefault(r["idx"], []).append((r["k"], r["id"]))
+        assert sorted(got) == list(range(len(got)))
+        return [tuple(v) for v in got.values()]
+
+    assert ours(old, new) == model(old, new)
+    assert ours(old, []) == model(old, [])
+    assert ours([], new) == [tuple(sorted(new)[i : i + cap]) for i in range(0, len(new), cap)]
+
+
+def test_insert_roots(spark):
+    for key, order in (("lon", ("lon", "point_id", "tid")), ("morton", ("morton", "point_id"))):
+        rows = auth.insert_points(spark, SF, key).collect()
+        assert len(rows) == QUERIES["morton_order"](spark, SF).count()
+        by: dict = {}
+        for r in sorted(rows, key=lambda r: (r["idx"], r["r"])):
+            by.setdefault(r["idx"], []).append(tuple(r[c] for c in order))
+        keys = [x[0] for v in by.values() for x in v]
+        assert max(map(len, by.values())) <= 128 and keys == sorted(keys) and all(v == sorted(v) for v in by.values())
+    assert len(auth.btree_insert_root(spark, SF).first()["root"]) == len(auth.rtree_insert_root(spark, SF).first()["root"]) == 64
