@@ -143,3 +143,36 @@ def binary_tree(nodes: DataFrame, edges: DataFrame, heads: DataFrame, theta: int
     box = [d.f64(c) for c in BOX]
     full = full.withColumn("hash", F.when(F.col("leaf"), F.expr(d.sha(d.text_hex("BL-SPATIAL-LEAF-v2"), *box, d.u32("n_edges"), "grp"))))
     return _bottom_up(full, F.col("hash"), d.sha(d.text_hex("BL-SPATIAL-INTERNAL-v2"), *box, "parts", d.u32("n_edges"), "grp"), ["n_edges", "grp"]), placed
+
+
+def delta_problems(records: DataFrame, delta: DataFrame) -> DataFrame:
+    """eid, problem of entries that can't be appended: an edge the tree lacks, or an end before its start."""
+    lost = delta.join(records, "eid", "left_anti").select("eid", F.lit("unknown edge").alias("problem"))
+    return lost.unionByName(delta.where("end_ts < start_ts").select("eid", F.lit("ends before its start").alias("problem"))).distinct()
+
+
+def updated_tree(tree: DataFrame, records: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """sem_tree's results after new roots (eid, k, root, lo, hi) of some edges; other nodes keep their hashes.
+
+    Only blocks of leaves with such an edge, and the nodes above them, are hashed again. New
+    roots are those of lists that grew: a time range may widen, not shrink.
+    """
+    fresh = roots.select("eid", *[F.col(c).alias(f"new_{c}") for c in ("k", "root", "lo", "hi")])
+    state = [F.coalesce(f"new_{c}", c).alias(c) for c in ("k", "lo", "hi", "root")]
+    joined = records.drop("record").join(fresh, "eid", "left").select("eid", "path", "ulon", "ulat", "vlon", "vlat", *state, F.col("new_k").isNotNull().alias("new"))
+    joined = stored(joined.withColumn("record", F.expr(RECORD)), "tree-edges")
+    touched = joined.where("new").select("path").distinct()
+    dirty = stored(touched.select(_prefixes("path")).select(F.col("node").alias("path")).distinct(), "tree-dirty")
+    under = joined.join(touched, "path", "left_semi")
+    blocks = under.groupBy("path").agg(F.expr(d.sha(d.ordered("record", "eid"))).alias("block"), F.min("lo").alias("b_lo"), F.max("hi").alias("b_hi"))
+    leaves = tree.where("leaf").join(blocks, "path").withColumn("lo", F.col("b_lo")).withColumn("hi", F.col("b_hi")).drop("b_lo", "b_hi")
+    leaves = stored(leaves.withColumn("hash", F.expr(d.sha(*_meta(), "block"))).select(tree.columns), "tree-leaves")
+    grown = leaves.select(_prefixes("path"), "lo", "hi").groupBy(F.col("node").alias("path")).agg(F.min("lo").alias("n_lo"), F.max("hi").alias("n_hi"))
+    inner = tree.where("NOT leaf").join(grown, "path").withColumn("lo", F.least("lo", "n_lo")).withColumn("hi", F.greatest("hi", "n_hi")).select(tree.columns)
+    clean = tree.join(dirty, "path", "left_anti")
+    beside = clean.join(dirty.select(F.col("path").alias("parent")), F.expr("path <> '' AND substr(path, 1, length(path) - 1) = parent"), "left_semi")
+    kept = lambda df: df.withColumn("leaf", F.lit(True))
+    phi = F.expr(f"concat(hash, {', '.join(_meta())})")
+    hashed = _bottom_up(kept(leaves).unionByName(inner).unionByName(kept(beside)), phi, d.sha(*_meta(), "parts"), ["lo", "hi", "n_edges"])
+    again = hashed.join(dirty, "path", "left_semi").drop("leaf").join(tree.select("path", "leaf"), "path").select(tree.columns)
+    return clean.unionByName(again), joined.select(records.columns)

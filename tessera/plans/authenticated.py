@@ -202,8 +202,29 @@ def rtree_insert_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(render(ctes, "SELECT root FROM rt_root"), grown=insert_points(spark, sf_dir, "morton"))
 
 
+def updated_trees(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The tree of 60 % of trajectories after the rest's entries, updated, and the one built of all."""
+    road = Road(spark, sf_dir)
+    both = updated(d)
+    base = stored(statement(spark, sf_dir, both, "SELECT eid, tid, start_ts, end_ts FROM base"), "base")
+    delta = stored(statement(spark, sf_dir, both, "SELECT eid, tid, start_ts, end_ts FROM delta"), "delta")
+    roots = lambda entries: mmr_roots(spark, stored(mmr_nodes(entries), "mmr"))
+    tree, records = spatial_tree.sem_tree(road.nodes, road.edges, roots(base), THETA)
+    old = base.join(delta.select("eid").distinct(), "eid", "left_semi")
+    changed = roots(old.unionByName(delta))
+    rebuilt = spatial_tree.sem_tree(road.nodes, road.edges, roots(base.unionByName(delta)), THETA)[0]
+    return spatial_tree.updated_tree(tree, records, changed)[0], rebuilt
+
+
+def append_equals_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the updated tree, and how many of them differ from those of a full build."""
+    ours, full = updated_trees(spark, sf_dir)
+    same = ours.join(full.select("path", F.col("hash").alias("want")), "path", "full_outer")
+    return same.agg(F.count("*").alias("n_nodes"), F.count_if(F.expr("hash IS DISTINCT FROM want")).alias("n_differing"))
+
+
 RANKED = "SELECT eid, tid, start_ts, end_ts, CAST(row_number() OVER (PARTITION BY eid ORDER BY start_ts, user_id, seq) AS BIGINT) AS rank, count(*) OVER (PARTITION BY eid) AS total FROM entries"
 
-QUERIES = {f.__name__: f for f in (sem_tree, sem_leaf_edges, l0_root, sem_origins, vo_tokens, vo_sizes, verify_report, verified_candidates, binary_tree, binary_tree_root, list_vo_tokens, list_candidates, list_verify_report, rtree_verify_report, btree_verify_report, rtree_disclosed_candidates, btree_insert_root, rtree_insert_root)}
+QUERIES = {f.__name__: f for f in (sem_tree, sem_leaf_edges, l0_root, sem_origins, vo_tokens, vo_sizes, verify_report, verified_candidates, binary_tree, binary_tree_root, list_vo_tokens, list_candidates, list_verify_report, rtree_verify_report, btree_verify_report, rtree_disclosed_candidates, btree_insert_root, rtree_insert_root, append_equals_rebuild)}
 #: The candidates that a proof discloses are those of the plain query.
 SAME_AS = {"verified_candidates": "coarse_candidates", "list_candidates": "coarse_candidates", "rtree_disclosed_candidates": "rtree_candidates"}

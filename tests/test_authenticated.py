@@ -254,3 +254,17 @@ def test_insert_roots(spark):
         keys = [x[0] for v in by.values() for x in v]
         assert max(map(len, by.values())) <= 128 and keys == sorted(keys) and all(v == sorted(v) for v in by.values())
     assert len(auth.btree_insert_root(spark, SF).first()["root"]) == len(auth.rtree_insert_root(spark, SF).first()["root"]) == 64
+
+
+def test_update_equals_rebuild(spark, built):
+    ours, full = auth.updated_trees(spark, SF)
+    assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, full.select(ours.columns).collect()))
+    few = spark.createDataFrame([(3, 1, "ab" * 32, 5, 2000000000)], "eid long, k long, root string, lo long, hi long")
+    tree, records = spatial_tree.updated_tree(built[0], built[1], few)
+    assert records.where("eid = 3").first()["root"] == "ab" * 32
+    before = {r["path"]: r["hash"] for r in built[0].collect()}
+    after = {r["path"]: r["hash"] for r in tree.collect()}
+    leaf = records.where("eid = 3").first()["path"]
+    assert set(after) == set(before) and {p for p in before if after[p] != before[p]} == {leaf[:k] for k in range(len(leaf) + 1)}
+    delta = spark.createDataFrame([(3, 10, 20), (99999, 10, 20), (4, 20, 10)], "eid long, start_ts long, end_ts long")
+    assert sorted(map(tuple, spatial_tree.delta_problems(built[1], delta).collect())) == [(4, "ends before its start"), (99999, "unknown edge")]
