@@ -11,7 +11,7 @@ from tessera.functions.dialect import Duck, Spark
 from tessera.operators import chains
 from tessera.operators import index_sql as ix
 from tessera.operators.mmr import mmr_nodes
-from tessera.operators.tables import ranked
+from tessera.operators.tables import ranked, stored
 from tessera.plans.world import MAIN, matrix, render, world
 
 CAP, FANOUT, LEVELS = 128, 64, 3  # points of up to 128 * 64^3 in a tree
@@ -168,6 +168,13 @@ def statement(spark: SparkSession, sf_dir: str, ctes: list, body: str) -> DataFr
             rows = spark.sql(render(ctes, f"SELECT {select} FROM {source}"), events=events)
             more[name + "s"] = ranked(rows, order.split(", "), label=name)
             text = text.replace(f"{name} AS ({sql})", f"{name} AS (SELECT * FROM {{{name}s}})")
+            ctes = [(n, f"SELECT * FROM {{{name}s}}" if n == name else x) for n, x in ctes]
+    for name, sql in ctes:  # leaves of a packed tree, which every level above would read anew
+        if name.endswith("_level0") and name[:-1] + "1 AS (" in text:
+            leaves = render(ctes, f"SELECT * FROM {name}")
+            used = {"events": events, **more}
+            more[name + "s"] = stored(spark.sql(leaves, **{k: v for k, v in used.items() if "{" + k + "}" in leaves}), name)
+            text = text.replace(f"{name} AS ({sql})", f"{name} AS (SELECT * FROM {{{name}s}})")
     used = {"events": events, **more}
     return spark.sql(text, **{k: v for k, v in used.items() if "{" + k + "}" in text})
 
