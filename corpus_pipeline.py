@@ -22,8 +22,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the least doc_id."""
-    return without(docs, neardup.near_duplicates(docs).where("not kept")).dropDuplicates(["doc_id"])
+    """One document of each group of near duplicates, that with the least doc_id.
+
+    Rows that repeat both doc_id and text count once. Rows that share a doc_id but not
+    the text are told apart by it and stay together; so do rows without a doc_id.
+    """
+    return without(docs, neardup.near_duplicates(docs).where("not kept")).dropDuplicates(["doc_id", "text"])
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

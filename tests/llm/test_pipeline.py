@@ -31,13 +31,13 @@ def test_stages(spark):
 
 
 def test_stages_on_odd_rows(spark, tmp_path):
-    docs = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0), (3, "a b c", "en", None, 5), (3, "a b c", "en", None, 5), (None, "a b c d e f", "en", "s", 11)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0), (3, "a b c", "en", None, 5), (3, "a b c", "en", None, 5), (None, "a b c d e f", "en", "s", 11), (None, "u v w x y z", "en", "s", 11), (None, "u v w x y z", "en", "s", 11)], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     docs.where("false").write.parquet(f"{tmp_path}/none/documents.parquet")
     for where in (tmp_path, f"{tmp_path}/none"):
         for name in ("labels", "benchmark"):
             spark.read.parquet(f"{SF}/{name}.parquet").where("false").write.parquet(f"{where}/{name}.parquet")
-    assert sorted(str(r[0]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == ["3", "None"]
+    assert sorted(str(r[0]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == ["3", "None", "None"]
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
 
 
