@@ -27,7 +27,13 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows that repeat both doc_id and text count once. Rows that share a doc_id but not
     the text are told apart by it and stay together; so do rows without a doc_id.
     """
-    return without(docs, neardup.near_duplicates(docs).where("not kept")).dropDuplicates(["doc_id", "text"])
+    rows = neardup.near_duplicates(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and("kept").alias("kept"))
+    marks = materialize(rows.where("n > 1 or (not kept and doc_id is not null)"), "marks")
+    repeated = marks.where("n > 1 and (kept or doc_id is null)")
+    out = docs.join(marks, docs["doc_id"].eqNullSafe(marks["doc_id"]), "left_anti")
+    if repeated.isEmpty():  # else texts would be shuffled for nothing
+        return out
+    return out.unionByName(docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
