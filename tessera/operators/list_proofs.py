@@ -9,8 +9,9 @@ first, so that the chain is rebuilt with one state in memory.
 from __future__ import annotations
 
 import hashlib
+import os
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from functools import reduce
 
 import pandas as pd
@@ -20,12 +21,13 @@ from pyspark.sql import functions as F
 from tessera.functions.dialect import Spark as d
 from tessera.functions.dialect import segment_hits
 from tessera.operators import chains
-from tessera.operators.proofs import REPORT, Rejected, in_order
+from tessera.operators.proofs import ORDER, REPORT, Rejected, hits, in_order
 from tessera.operators.spatial_tree import BOX
 
 # Fixed values of the proof format: token types. Entries are a list of their own in it.
 PRUNED_LEAF, PRUNED_INTERNAL, LEAF, INTERNAL = 1, 2, 3, 4
 EDGE_OPAQUE, EDGE_PREFIX, ENTRY = 10, 11, 12
+MAGIC, VERSION, HEADER = b"BLVO0002", 2, ">8sIQQ"
 FORMATS = {
     PRUNED_LEAF: ">ddddI32s", PRUNED_INTERNAL: ">dddd32s32sI32s", LEAF: ">ddddI", INTERNAL: ">ddddI",
     EDGE_OPAQUE: ">II32s", EDGE_PREFIX: ">IIIB32s", ENTRY: ">I32sII",
@@ -190,3 +192,78 @@ def verify_report(tokens: DataFrame, road: DataFrame, windows: DataFrame, root:
         yield pd.DataFrame(report(), columns=columns)
 
     return in_order(own).select("query_id", "token", "body", "hit", "w", "q_start", "q_end").mapInPandas(stream, REPORT)
+
+
+def sizes(tokens: DataFrame) -> DataFrame:
+    """Bytes of each query's proof file with its entries, and their numbers."""
+    entry = F.col("token") == ENTRY
+    size = F.when(entry, struct.calcsize(FORMATS[ENTRY])).otherwise(1 + F.expr("length(body) div 2"))
+    return tokens.groupBy("query_id").agg((F.lit(struct.calcsize(HEADER)) + F.sum(size)).alias("proof_bytes"), F.count_if(~entry).alias("n_tokens"), F.count_if(entry).alias("n_entries"))
+
+
+def save(tokens: DataFrame, query_id: str, path: str) -> None:
+    """A query's proof file for its client: tokens, then the entries of each list in their order."""
+    own = tokens.where(F.col("query_id") == query_id)
+    entry = F.col("token") == ENTRY
+    n = own.agg(F.count_if(~entry), F.count_if(entry)).first()
+    with open(path, "wb") as f:
+        f.write(struct.pack(HEADER, MAGIC, VERSION, n[0], n[1]))
+        for r in own.where(~entry).orderBy(*ORDER).toLocalIterator():
+            f.write(bytes([r["token"]]) + bytes.fromhex(r["body"]))
+        for r in own.where(entry).orderBy("place", "of_node", "eid", F.desc("pos")).toLocalIterator():
+            f.write(bytes.fromhex(r["body"]))
+
+
+def _backwards(f, start: int, n: int, size: int, block: int = 4096) -> Iterator[bytes]:
+    """The n records from `start` on, last first, a block in memory at a time."""
+    for high in range(n, 0, -block):
+        low = max(0, high - block)
+        f.seek(start + low * size)
+        data = f.read((high - low) * size)
+        for k in range(high - low - 1, -1, -1):
+            yield data[k * size : (k + 1) * size]
+
+
+def verify_file(path: str, window: tuple, road: Mapping[int, tuple], root: str) -> set[str]:
+    """Trajectory ids of a proof file that holds; raises Rejected otherwise.
+
+    window: box, q_start, q_end; road: the client's own copy, eid: (ulon, ulat, vlon, vlat).
+    """
+    *box, q_start, q_end = window
+    check, ids, size = Verifier(tuple(box), q_start, q_end), set(), struct.calcsize(FORMATS[ENTRY])
+    with open(path, "rb") as f, open(path, "rb") as g:
+
+        def exactly(n: int) -> bytes:
+            data = f.read(n)
+            if len(data) != n:
+                raise Rejected("a file ends early")
+            return data
+
+        magic, version, n_tokens, n_entries = struct.unpack(HEADER, exactly(struct.calcsize(HEADER)))
+        if (magic, version) != (MAGIC, VERSION):
+            raise Rejected("not a file of this format")
+        at = entries = os.path.getsize(path) - n_entries * size
+        for _ in range(n_tokens):
+            token = exactly(1)[0]
+            if token not in FORMATS or token == ENTRY:
+                raise Rejected("malformed token")
+            body = exactly(struct.calcsize(FORMATS[token]))
+            hit = None
+            if token in (EDGE_OPAQUE, EDGE_PREFIX):
+                ends = road.get(struct.unpack(">I", body[:4])[0])
+                hit = None if ends is None else hits(*ends, tuple(box))
+            check.take(token, body, hit)
+            if token == EDGE_PREFIX:
+                n = check.left
+                if at + n * size > entries + n_entries * size:
+                    raise Rejected("entries are missing")
+                for record in _backwards(g, at, n, size):
+                    check.take(ENTRY, record, None)
+                    _, tid, start, end = struct.unpack(FORMATS[ENTRY], record)
+                    if start <= q_end and end >= q_start:
+                        ids.add(tid.hex())
+                at += n * size
+        if f.tell() != entries or at != entries + n_entries * size:
+            raise Rejected("a file goes on after its end")
+    check.finish(bytes.fromhex(root))
+    return ids

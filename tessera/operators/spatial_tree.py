@@ -83,7 +83,7 @@ def _meta(prefix: str = "") -> list[str]:
 RECORD = d.sha(d.u32("eid"), d.f64("ulon"), d.f64("ulat"), d.f64("vlon"), d.f64("vlat"), d.u32("k"), d.u32("lo"), d.u32("hi"), "root")
 
 
-def _bottom_up(nodes: DataFrame, children: F.Column, internal: str, carry: list[str]) -> DataFrame:
+def bottom_up(nodes: DataFrame, children: F.Column, internal: str, carry: list[str]) -> DataFrame:
     """nodes with hashes: leaves have one, internal nodes get it from their children, deepest first."""
     nodes = stored(nodes.withColumn("depth", F.length("path")), "tree-nodes")
     deepest = nodes.agg(F.max("depth")).first()[0] or 0
@@ -98,6 +98,24 @@ def _bottom_up(nodes: DataFrame, children: F.Column, internal: str, carry: list[
     return reduce(DataFrame.unionByName, [*levels, level]).select("path", "leaf", "origin", *BOX, *carry, "hash")
 
 
+def skeleton(vertices: DataFrame, records: DataFrame, more: dict, block: str) -> DataFrame:
+    """path, leaf, origin, box, columns of `more`, n_edges and block of every node of a three-way tree.
+
+    more: name: (aggregate over the edges below, value without edges); block: aggregate over a
+    leaf's edges, null without them.
+    """
+    of_edges = records.select(_prefixes("path"), "ulon", "ulat", "vlon", "vlat", *more).groupBy(F.col("node").alias("path")).agg(
+        F.min(F.least("ulon", "vlon")).alias("e0"), F.min(F.least("ulat", "vlat")).alias("e1"), F.max(F.greatest("ulon", "vlon")).alias("e2"), F.max(F.greatest("ulat", "vlat")).alias("e3"), *[f.alias(n) for n, (f, _) in more.items()])
+    blocks = records.groupBy("path").agg(F.count("*").alias("n_edges"), F.expr(block).alias("block"))
+    normal = vertices.groupBy("path").agg(*[f(c).alias(f"v{k}") for k, (f, c) in enumerate(((F.min, "lon"), (F.min, "lat"), (F.max, "lon"), (F.max, "lat")))]).withColumn("leaf", F.lit(True)).withColumn("origin", F.lit("normal"))
+    inner = normal.where("path <> ''").select(F.expr("explode(transform(sequence(0, length(path) - 1), i -> substr(path, 1, i)))").alias("path")).distinct()
+    zeros = [F.lit(0.0).alias(f"v{k}") for k in range(4)]
+    shape = normal.unionByName(inner.select(F.concat("path", F.lit("1")).alias("path"), *zeros, F.lit(True).alias("leaf"), F.lit("middle").alias("origin")))
+    shape = shape.unionByName(inner.select("path", *zeros, F.lit(False).alias("leaf"), F.lit("internal").alias("origin")))
+    box = [F.coalesce(f"e{k}", f"v{k}").alias(c) for k, c in enumerate(BOX)]
+    return shape.join(of_edges, "path", "left").join(blocks, "path", "left").select("path", "leaf", "origin", *box, *[F.coalesce(n, F.lit(x)).alias(n) for n, (_, x) in more.items()], F.coalesce("n_edges", F.lit(0)).alias("n_edges"), "block")
+
+
 def sem_tree(nodes: DataFrame, edges: DataFrame, roots: DataFrame, theta: int) -> tuple[DataFrame, DataFrame]:
     """Tree of left, middle and right children; returns its nodes and the edge records with their leaf.
 
@@ -110,19 +128,11 @@ def sem_tree(nodes: DataFrame, edges: DataFrame, roots: DataFrame, theta: int) -
     records = edge_places(vertices, edges).join(roots.select("eid", "k", "root", "lo", "hi"), "eid", "left")
     records = records.select("eid", "path", "ulon", "ulat", "vlon", "vlat", F.coalesce("k", F.lit(0)).alias("k"), F.coalesce("lo", F.lit(EMPTY_LO)).alias("lo"), F.coalesce("hi", F.lit(EMPTY_HI)).alias("hi"), F.coalesce("root", F.expr(none)).alias("root"))
     records = stored(records.withColumn("record", F.expr(RECORD)), "tree-edges")
-    of_edges = records.select(_prefixes("path"), "ulon", "ulat", "vlon", "vlat", "lo", "hi").groupBy(F.col("node").alias("path")).agg(
-        F.min(F.least("ulon", "vlon")).alias("e0"), F.min(F.least("ulat", "vlat")).alias("e1"), F.max(F.greatest("ulon", "vlon")).alias("e2"), F.max(F.greatest("ulat", "vlat")).alias("e3"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    blocks = records.groupBy("path").agg(F.count("*").alias("n_edges"), F.expr(d.sha(d.ordered("record", "eid"))).alias("block"))
-    normal = vertices.groupBy("path").agg(*[f(c).alias(f"v{k}") for k, (f, c) in enumerate(((F.min, "lon"), (F.min, "lat"), (F.max, "lon"), (F.max, "lat")))]).withColumn("leaf", F.lit(True)).withColumn("origin", F.lit("normal"))
-    inner = normal.where("path <> ''").select(F.expr("explode(transform(sequence(0, length(path) - 1), i -> substr(path, 1, i)))").alias("path")).distinct()
-    zeros = [F.lit(0.0).alias(f"v{k}") for k in range(4)]
-    shape = normal.unionByName(inner.select(F.concat("path", F.lit("1")).alias("path"), *zeros, F.lit(True).alias("leaf"), F.lit("middle").alias("origin")))
-    shape = shape.unionByName(inner.select("path", *zeros, F.lit(False).alias("leaf"), F.lit("internal").alias("origin")))
-    box = [F.coalesce(f"e{k}", f"v{k}").alias(c) for k, c in enumerate(BOX)]
-    full = shape.join(of_edges, "path", "left").join(blocks, "path", "left").select("path", "leaf", "origin", *box, F.coalesce("lo", F.lit(EMPTY_LO)).alias("lo"), F.coalesce("hi", F.lit(EMPTY_HI)).alias("hi"), F.coalesce("n_edges", F.lit(0)).alias("n_edges"), F.coalesce("block", F.expr("sha2(unhex(''), 256)")).alias("block"))
+    times = {"lo": (F.min("lo"), EMPTY_LO), "hi": (F.max("hi"), EMPTY_HI)}
+    full = skeleton(vertices, records, times, d.sha(d.ordered("record", "eid"))).withColumn("block", F.coalesce("block", F.expr("sha2(unhex(''), 256)")))
     full = full.withColumn("hash", F.when(F.col("leaf"), F.expr(d.sha(*_meta(), "block"))))
     phi = F.expr(f"concat(hash, {', '.join(_meta())})")
-    return _bottom_up(full.drop("block"), phi, d.sha(*_meta(), "parts"), ["lo", "hi", "n_edges"]), records
+    return bottom_up(full.drop("block"), phi, d.sha(*_meta(), "parts"), ["lo", "hi", "n_edges"]), records
 
 
 def binary_tree(nodes: DataFrame, edges: DataFrame, heads: DataFrame, theta: int) -> tuple[DataFrame, DataFrame]:
@@ -142,7 +152,7 @@ def binary_tree(nodes: DataFrame, edges: DataFrame, heads: DataFrame, theta: int
     full = full.withColumn("origin", F.expr("if(leaf, 'normal', 'internal')"))
     box = [d.f64(c) for c in BOX]
     full = full.withColumn("hash", F.when(F.col("leaf"), F.expr(d.sha(d.text_hex("BL-SPATIAL-LEAF-v2"), *box, d.u32("n_edges"), "grp"))))
-    return _bottom_up(full, F.col("hash"), d.sha(d.text_hex("BL-SPATIAL-INTERNAL-v2"), *box, "parts", d.u32("n_edges"), "grp"), ["n_edges", "grp"]), placed
+    return bottom_up(full, F.col("hash"), d.sha(d.text_hex("BL-SPATIAL-INTERNAL-v2"), *box, "parts", d.u32("n_edges"), "grp"), ["n_edges", "grp"]), placed
 
 
 def delta_problems(records: DataFrame, delta: DataFrame) -> DataFrame:
@@ -173,6 +183,27 @@ def updated_tree(tree: DataFrame, records: DataFrame, roots: DataFrame) -> tuple
     beside = clean.join(dirty.select(F.col("path").alias("parent")), F.expr("path <> '' AND substr(path, 1, length(path) - 1) = parent"), "left_semi")
     kept = lambda df: df.withColumn("leaf", F.lit(True))
     phi = F.expr(f"concat(hash, {', '.join(_meta())})")
-    hashed = _bottom_up(kept(leaves).unionByName(inner).unionByName(kept(beside)), phi, d.sha(*_meta(), "parts"), ["lo", "hi", "n_edges"])
+    hashed = bottom_up(kept(leaves).unionByName(inner).unionByName(kept(beside)), phi, d.sha(*_meta(), "parts"), ["lo", "hi", "n_edges"])
     again = hashed.join(dirty, "path", "left_semi").drop("leaf").join(tree.select("path", "leaf"), "path").select(tree.columns)
     return clean.unionByName(again), joined.select(records.columns)
+
+
+def updated_binary_tree(tree: DataFrame, placed: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """binary_tree's results after new heads (eid, k, root) of some edges' lists; the tree's shape stays.
+
+    Only groups of nodes with such an edge, and the nodes above them, are hashed again.
+    """
+    fresh = heads.select("eid", F.col("k").alias("new_k"), F.col("root").alias("new_root"))
+    joined = placed.join(fresh, "eid", "left").select("eid", "path", F.coalesce("new_k", "k").alias("k"), F.coalesce("new_root", "root").alias("root"), F.col("new_k").isNotNull().alias("new"))
+    joined = stored(joined.withColumn("hash", F.expr(chains.edge_hash("eid", "k", "root"))), "tree-edges")
+    touched = joined.where("new").select("path").distinct()
+    dirty = stored(touched.select(_prefixes("path")).select(F.col("node").alias("path")).distinct(), "tree-dirty")
+    groups = chains.group_roots(joined.join(touched, "path", "left_semi").select(F.col("path").alias("key"), "eid", "hash")).select(F.col("key").alias("path"), F.col("state").alias("new_grp"))
+    here = tree.join(dirty, "path").join(groups, "path", "left").withColumn("grp", F.coalesce("new_grp", "grp")).select(tree.columns)
+    box = [d.f64(c) for c in BOX]
+    here = here.withColumn("hash", F.when(F.col("leaf"), F.expr(d.sha(d.text_hex("BL-SPATIAL-LEAF-v2"), *box, d.u32("n_edges"), "grp"))))
+    clean = tree.join(dirty, "path", "left_anti")
+    beside = clean.join(dirty.select(F.col("path").alias("parent")), F.expr("path <> '' AND substr(path, 1, length(path) - 1) = parent"), "left_semi")
+    hashed = bottom_up(here.unionByName(beside.withColumn("leaf", F.lit(True))), F.col("hash"), d.sha(d.text_hex("BL-SPATIAL-INTERNAL-v2"), *box, "parts", d.u32("n_edges"), "grp"), ["n_edges", "grp"])
+    again = hashed.join(dirty, "path", "left_semi").drop("leaf").join(tree.select("path", "leaf"), "path").select(tree.columns)
+    return clean.unionByName(again), joined.select(placed.columns)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.dialect import Spark as d
-from tessera.operators import chains, inserts, list_proofs, packed_proofs, proofs, spatial_tree
+from tessera.operators import chains, inserts, list_proofs, packed_proofs, proofs, road_tree, spatial_tree
 from tessera.operators import index_sql as ix
 from tessera.operators.mmr import mmr_nodes, numbered
 from tessera.operators.tables import ranked, stored
@@ -223,8 +223,83 @@ def append_equals_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same.agg(F.count("*").alias("n_nodes"), F.count_if(F.expr("hash IS DISTINCT FROM want")).alias("n_differing"))
 
 
+def btree_json_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of the three proofs of each window of the matrix as compact JSON."""
+    parts, windows = {}, spark.sql(matrix(d))
+    for key, low, high in (("lon", "min_lon", "max_lon"), ("lat", "min_lat", "max_lat"), ("ts", "q_start", "q_end")):
+        sql = lambda body: stored(statement(spark, sf_dir, points(d), body), "btree")
+        nodes = sql(f"SELECT h, idx, hash, array(lo) AS lows, array(hi) AS highs FROM {key}_nodes")
+        records = sql(f"SELECT {d.idiv('r', CAP)} AS idx, CAST({key} AS DOUBLE) AS key, point_id, tid FROM {key}_rank")
+        asked = _windows(spark, matrix(d), f"CAST({low} AS DOUBLE)", f"CAST({high} AS DOUBLE)")
+        parts[key] = packed_proofs.json_sizes(nodes, records, FANOUT, asked, {"ts": "time"}.get(key, key))
+    return packed_proofs.composite_json_sizes(parts, windows)
+
+
+def list_vo_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return list_proofs.sizes(list_proofs.proof_tokens(*list_tree(spark, sf_dir), spark.sql(matrix(d))))
+
+
+def updated_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The binary tree of 60 % of trajectories after the rest's entries, and one of all in the same shape.
+
+    Only lists that got an entry are chained again, and only groups and paths of their edges hashed.
+    """
+    road, both = Road(spark, sf_dir), [*updated(d), ("own", "SELECT e.eid, e.tid, e.start_ts, e.end_ts, e.user_id, e.seq, o <= n_base AS old FROM entries e JOIN ordinal USING (user_id) CROSS JOIN cutoff")]
+    rows = stored(statement(spark, sf_dir, both, "SELECT eid, tid, start_ts, end_ts, user_id, seq, old FROM own"), "list-rows")
+
+    def heads(entries: DataFrame) -> DataFrame:
+        order = Window.partitionBy("eid").orderBy("start_ts", "user_id", "seq")
+        lists = entries.select("eid", "tid", "start_ts", "end_ts", F.row_number().over(order).cast("long").alias("rank"), F.count("*").over(Window.partitionBy("eid")).alias("total"))
+        return stored(chains.list_states(lists).groupBy("eid").agg(F.max("pos").alias("k"), F.min_by("state", "pos").alias("root")), "list-heads")
+
+    base = rows.where("old")
+    weight = base.groupBy("eid").agg(F.count_distinct("tid").alias("weight"))
+    edges = road.edges.join(weight, "eid", "left").fillna(0, ["weight"])
+    tree, placed = spatial_tree.binary_tree(road.nodes, edges, heads(base), THETA)
+    touched = heads(rows.join(rows.where("NOT old").select("eid").distinct(), "eid", "left_semi"))
+    return spatial_tree.updated_binary_tree(tree, placed, touched)[0], spatial_tree.binary_tree(road.nodes, edges, heads(rows), THETA)[0]
+
+
+def list_update_equals_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the updated binary tree, and how many of them differ from those of a full build."""
+    ours, full = updated_lists(spark, sf_dir)
+    same = ours.join(full.select("path", F.col("hash").alias("want")), "path", "full_outer")
+    return same.agg(F.count("*").alias("n_nodes"), F.count_if(F.expr("hash IS DISTINCT FROM want")).alias("n_differing"))
+
+
+def road_tree_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root of the road network's own tree."""
+    road = Road(spark, sf_dir)
+    return road_tree.road_tree(road.nodes, road.edges, THETA)[0].where("path = ''").select(F.col("hash").alias("root"))
+
+
+N_NEW_EDGES = 10
+
+
+def road_new_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges that the road experiment adds."""
+    road = Road(spark, sf_dir)
+    rows = [(t, min(u, v), max(u, v), round(m, 3)) for t, u, v, m in road_tree.new_edges(stored(road.nodes, "nodes"), stored(road.edges, "edges"), N_NEW_EDGES)]
+    return spark.createDataFrame(rows, "target int, a long, b long, meters double")
+
+
+def road_update_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole road's proof before and after new edges: root, sizes, and whether it holds."""
+    road = Road(spark, sf_dir)
+    nodes, edges = stored(road.nodes, "nodes"), stored(road.edges, "edges")
+    grown = stored(road_tree.with_new_edges(nodes, edges, road_tree.new_edges(nodes, edges, N_NEW_EDGES)), "edges")
+    out = []
+    for state, own in (("before", edges), ("after", grown)):
+        tree, placed = road_tree.road_tree(nodes, own, THETA)
+        tokens = stored(road_tree.proof_tokens(tree, placed), "road-proof")
+        root = tree.where("path = ''").first()["hash"]
+        report = road_tree.verify_report(tokens, root, own.count()).drop("n_edges")
+        out.append(report.join(road_tree.payload_bytes(tokens)).select(F.lit(state).alias("state"), F.lit(root).alias("root"), "*"))
+    return out[0].unionByName(out[1])
+
+
 RANKED = "SELECT eid, tid, start_ts, end_ts, CAST(row_number() OVER (PARTITION BY eid ORDER BY start_ts, user_id, seq) AS BIGINT) AS rank, count(*) OVER (PARTITION BY eid) AS total FROM entries"
 
-QUERIES = {f.__name__: f for f in (sem_tree, sem_leaf_edges, l0_root, sem_origins, vo_tokens, vo_sizes, verify_report, verified_candidates, binary_tree, binary_tree_root, list_vo_tokens, list_candidates, list_verify_report, rtree_verify_report, btree_verify_report, rtree_disclosed_candidates, btree_insert_root, rtree_insert_root, append_equals_rebuild)}
+QUERIES = {f.__name__: f for f in (sem_tree, sem_leaf_edges, l0_root, sem_origins, vo_tokens, vo_sizes, verify_report, verified_candidates, binary_tree, binary_tree_root, list_vo_tokens, list_candidates, list_verify_report, rtree_verify_report, btree_verify_report, rtree_disclosed_candidates, btree_insert_root, rtree_insert_root, append_equals_rebuild, btree_json_sizes, list_vo_sizes, list_update_equals_rebuild, road_tree_root, road_new_edges, road_update_report)}
 #: The candidates that a proof discloses are those of the plain query.
 SAME_AS = {"verified_candidates": "coarse_candidates", "list_candidates": "coarse_candidates", "rtree_disclosed_candidates": "rtree_candidates"}
