@@ -3,6 +3,8 @@
     python -m tessera list
     python -m tessera run NAME DATA OUT
     python -m tessera prove DATA PROOF RESULTS
+    python -m tessera cross-range tree|lists DATA OUT [REPEATS]
+    python -m tessera scaling|update DATA OUT
     python -m tessera check PROOF RESULTS ROOT MIN_LON MIN_LAT MAX_LON MAX_LAT START END
 """
 
@@ -12,8 +14,9 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from tessera import experiments
 from tessera.operators import proofs
-from tessera.plans import authenticated
+from tessera.plans import analytics, authenticated
 from tessera.plans.queries import QUERIES
 from tessera.plans.world import MAIN
 
@@ -23,7 +26,7 @@ def session() -> SparkSession:
 
 
 def main(args: list[str]) -> int:
-    known = QUERIES | authenticated.QUERIES
+    known = QUERIES | analytics.QUERIES | authenticated.QUERIES
     match args:
         case ["list"]:
             print("\n".join(sorted(known)))
@@ -34,6 +37,10 @@ def main(args: list[str]) -> int:
             built = authenticated.main_tree(spark, data)
             proofs.save(proofs.proof_tokens(*built, spark.sql(MAIN)), "main", proof, results)
             print(built[0].where("path = ''").first()["hash"])
+        case ["cross-range", engine, data, out, *repeats] if engine in experiments.ENGINES and len(repeats) < 2:
+            experiments.cross_range(session(), data, out, engine, *map(int, repeats))
+        case ["scaling" | "update" as name, data, out]:
+            {"scaling": experiments.scaling, "update": experiments.update}[name](session(), data, out)
         case ["check", proof, results, root, *window] if len(window) == 6:
             try:
                 ids = proofs.verify_files(proof, results, [*map(float, window[:4]), *map(int, window[4:])], root)

@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 from tessera.functions.dialect import Spark
+from tessera.plans import analytics
 from tessera.plans.queries import ORACLE, QUERIES
 from tessera.plans.world import render, world
 from tessera.sources import road, trajectories
@@ -25,10 +26,10 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES | analytics.QUERIES))
 def test_oracle(spark, duck, name):
-    found = duck.sql(ORACLE[name])
-    df = QUERIES[name](spark, SF)
+    found = duck.sql((ORACLE | analytics.ORACLE)[name])
+    df = (QUERIES | analytics.QUERIES)[name](spark, SF)
     assert sorted(df.columns) == sorted(found.columns)
     key = lambda row: tuple(f"{v:.9g}" if isinstance(v, float) else str(v) for v in row)
     assert sorted(key(r) for r in df.select(found.columns).collect()) == sorted(key(r) for r in found.fetchall())
