@@ -4,12 +4,16 @@ Assignments, access keys and long hexadecimal strings are found by pattern. Beyo
 them, a string in a sensitive context (a credential word shortly before it) is a
 candidate. Its novelty is the number of bytes that it adds to a zstandard frame
 primed with the identifiers common in code and with the text around it: known
-words and repeated names add almost nothing, secrets nearly all their bytes.
+words and repeated names add almost nothing, secrets nearly all their bytes. As a
+frame also codes the candidate's own alphabet, these bytes are held against those
+of an even random string of the same length and alphabet. The lines of a private
+key that follow its header are spans if one of them is novel.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import pyarrow as pa
@@ -26,6 +30,13 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 CONTEXT_WORDS = ("password", "passwd", "passphrase", "secret", "token", "api_key", "apikey", "api-key", "credential", "private_key", "private key", "access_key", "access key", "authorization", "bearer")
 CONTEXT = re.compile(r"(?:" + "|".join(map(re.escape, CONTEXT_WORDS)) + r")(?![a-z])", re.IGNORECASE | re.ASCII)
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=@-])[A-Za-z0-9+/_.=-]{16,}(?![@A-Za-z0-9])")
+#: A private key's header, lines of names and values after it, and the lines of its body.
+KEY_HEADER = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----")
+KEY_FIELD = re.compile(r"(?:\s|\\[nr])*[A-Za-z][A-Za-z-]*: (?:(?!\\[nr])[^\r\n])*")
+KEY_PIECE = re.compile(r"\\[nr]|([A-Za-z0-9+/=]+)")
+KEY_LINE = re.compile(r"(?:\s|\\[nr])*([A-Za-z0-9+/=]+)(?=\s|\\[nr]|[\"']|\Z)")
+#: Characters that fill up alphabets of fewer than 16, so that strings of a few characters aren't novel.
+LEAST_ALPHABET = b"0123456789ABCDEF"
 IDENTIFIERS = b" ".join(
     b"password passwd secret token api_key apikey access_key private_key client_secret authorization bearer credential username user login "
     b"account config settings environment variable default example placeholder changeme your_password_here true false null none undefined "
@@ -48,19 +59,76 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def even_strings(candidate: bytes, n: int = 16) -> list[bytes]:
+    """Random strings of the candidate's length, even over its characters."""
+    own = sorted(set(candidate))
+    own += [c for c in LEAST_ALPHABET if c not in own][: max(0, len(LEAST_ALPHABET) - len(own))]
+    draw = random.Random(len(candidate))
+    return [bytes(draw.choices(own, k=len(candidate))) for _ in range(n)]
+
+
 def novelty(candidate: bytes, around: bytes, level: int = 12) -> float:
-    """Bytes that the candidate adds to a frame primed with identifiers and its surroundings, a byte of it."""
+    """Bytes that the candidate adds to a frame primed with identifiers and its surroundings, a byte of an even random string."""
     primed = zstandard.ZstdCompressionDict(IDENTIFIERS + b" " + around, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    press = zstandard.ZstdCompressor(level=level, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False)
-    return (len(press.compress(candidate)) - len(press.compress(b""))) / len(candidate)
+    frames = {"level": level, "write_checksum": False, "write_content_size": False, "write_dict_id": False}
+    press, plain = zstandard.ZstdCompressor(dict_data=primed, **frames), zstandard.ZstdCompressor(**frames)
+    even = min(len(plain.compress(x)) for x in even_strings(candidate)) - len(plain.compress(b""))
+    return (len(press.compress(candidate)) - len(press.compress(b""))) / min(even, len(candidate))
+
+
+def key_lines(text: str) -> list[list[tuple[int, int]]]:
+    """(start, end) of the lines of each private key: up to its END, or without one as far as lines look like a key's."""
+    out = []
+    for header in KEY_HEADER.finditer(text):
+        at = header.end()
+        stop = text.find("-----BEGIN", at)
+        stop = len(text) if stop < 0 else stop
+        end = text.find("-----END", at, stop)
+        while m := KEY_FIELD.match(text, at, stop if end < 0 else end):
+            at = m.end()
+        lines: list[tuple[int, int]] = []
+        whole = True  # the line before was a whole one, so that this may be the last
+        if end >= 0:
+            found = (m.span(1) for m in KEY_PIECE.finditer(text, at, end) if m[1])
+        else:
+            found = []
+            while m := KEY_LINE.match(text, at, stop):
+                found.append(m.span(1))
+                at = m.end()
+        for s, e in found:
+            if e - s >= 16 or (lines and whole):
+                lines.append((s, e))
+            whole = e - s >= 16
+        out.append(lines)
+    return out
+
+
+def uncovered(s: int, e: int, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of s to e that no span covers."""
+    out = []
+    for a, _, b in sorted(x for x in taken if x[0] < e and s < x[2]):
+        if s < a:
+            out.append((s, a))
+        s = max(s, b)
+    return [*out, (s, e)] if s < e else out
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, int]], reach: int, width: int, least: float) -> list[tuple[int, int, int]]:
-    """Incompressible strings within `reach` characters after a credential word that no base span covers."""
+    """Incompressible strings within `reach` characters after a credential word, and lines of private keys, that no base span covers."""
     low = text.lower()
     if not any(w in low for w in CONTEXT_WORDS):
         return []
     out, seen = [], set()
+
+    def is_novel(s: int, e: int) -> bool:
+        around = text[max(0, s - width) : s] + " " + text[e : e + width]
+        return novelty(text[s:e].encode(), around.encode()) >= least
+
+    if "-----BEGIN" in text:
+        for lines in key_lines(text):
+            if any(e - s >= 16 and is_novel(s, e) for s, e in lines):
+                out += [(a, 3, b) for s, e in lines for a, b in uncovered(s, e, taken)]
+        taken = taken + out
     for hint in CONTEXT.finditer(text):
         for m in CANDIDATE.finditer(text, hint.end(), min(len(text), hint.end() + reach + 512)):
             s, e = m.span()
@@ -76,8 +144,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], reach: int, width:
             classes = sum(any(f(c) for c in word) for f in (str.islower, str.isupper, str.isdigit))
             if not any(c.isdigit() for c in word) or classes < 2:
                 continue
-            around = text[max(0, s - width) : s] + " " + text[e : e + width]
-            if novelty(word.encode(), around.encode()) >= least:
+            if is_novel(s, e):
                 out.append((s, 3, e))
     return out
 
