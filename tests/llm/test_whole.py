@@ -2,10 +2,14 @@
 
 import random
 import string
+from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.llm import secrets
+import corpus_pipeline
+from tessera.llm import mixing, quality, secrets
+from tests.llm.test_operators import shingles
 
 ALPHABETS = {"upper hex": "0123456789ABCDEF", "base32": string.ascii_uppercase + "234567", "lower": string.ascii_lowercase + string.digits, "base64": string.ascii_letters + string.digits + "+/", "base62": string.ascii_letters + string.digits}
 
@@ -40,3 +44,34 @@ def test_lines_of_a_private_key(spark):
         assert row["text"].startswith(head[:-1]) and row["doc_id"] == 4 or row["text"].endswith("more text")
     text = head + "put your own key here\n" + tail
     assert secrets.novel_spans(text, [], 40, 400, 0.9) == []
+
+
+def some_words(r, letters, n=60):
+    return " ".join(r.choice([a + b for a in letters for b in letters][:10]) for _ in range(n))
+
+
+def test_small_languages_train_and_calibrate_the_pooled_model(spark):
+    """One language of 100 trusted texts, two of 30, and one whose texts are long."""
+    r = random.Random(6)
+    letters = {"en": "abcd", "de": "mnop", "es": "wxyz", "fr": "ghij"}
+    rows = [(lang, some_words(r, letters[lang], 9_000 if lang == "fr" else 60)) for lang, n in (("en", 100), ("de", 30), ("es", 30), ("fr", 4)) for _ in range(n)]
+    rows += [(lang, some_words(r, "0123#%&")) for lang in ("de", "es")]
+    docs = spark.createDataFrame([(i, text, lang) for i, (lang, text) in enumerate(rows)], "doc_id long, text string, lang string")
+    labels = docs.where(f"doc_id < {len(rows) - 2}").select("doc_id", F.lit(1).alias("quality"))
+    got = {x["doc_id"]: x for x in quality.quality(docs, labels).collect()}
+    for i, (lang, _) in enumerate(rows[:-2]):
+        assert got[i]["perplexity"] < 30, (lang, got[i])
+    for lang in letters:
+        assert sum(got[i]["kept"] for i, (own, _) in enumerate(rows[:-2]) if own == lang) >= 0.9 * sum(own == lang for own, _ in rows[:-2]), lang
+    assert not any(got[len(rows) - k]["kept"] for k in (1, 2))
+
+
+def test_quality_of_small_languages_only(spark):
+    r = random.Random(7)
+    rows = [(i, some_words(r, letters), lang) for i, (lang, letters) in enumerate([("a", "abcd"), ("b", "mnop"), ("c", "wxyz"), (None, "ghij")] * 39)]
+    docs = spark.createDataFrame([*rows, (500, some_words(r, "0123#%&"), "a"), (501, " \n", "a")], "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x for x in quality.quality(docs, docs.where("doc_id <> 500").select("doc_id", F.lit(1).alias("quality"))).collect()}
+    assert all(x["perplexity"] is not None for d, x in got.items() if d != 501)
+    assert sum(got[i]["kept"] for i in range(len(rows))) >= 0.95 * len(rows) and not got[500]["kept"] and not got[501]["kept"]
+    blank = docs.select("doc_id", F.lit(" \t").alias("text"), "lang")
+    assert not any(x["kept"] for x in quality.quality(blank, docs.select("doc_id", F.lit(1).alias("quality"))).collect())
