@@ -22,12 +22,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the least doc_id.
+    """One document of each group of near duplicates of 80 % or more, that with the least doc_id.
 
     Rows that repeat both doc_id and text count once. Rows that share a doc_id but not
     the text are told apart by it and stay together; so do rows without a doc_id.
     """
-    rows = neardup.near_duplicates(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and("kept").alias("kept"))
+    rows = neardup.near_duplicates(docs, num=80).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and("kept").alias("kept"))
     marks = materialize(rows.where("n > 1 or (not kept and doc_id is not null)"), "marks")
     repeated = marks.where("n > 1 and (kept or doc_id is null)")
     out = docs.join(marks, docs["doc_id"].eqNullSafe(marks["doc_id"]), "left_anti")

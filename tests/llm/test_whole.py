@@ -75,3 +75,17 @@ def test_quality_of_small_languages_only(spark):
     assert sum(got[i]["kept"] for i in range(len(rows))) >= 0.95 * len(rows) and not got[500]["kept"] and not got[501]["kept"]
     blank = docs.select("doc_id", F.lit(" \t").alias("text"), "lang")
     assert not any(x["kept"] for x in quality.quality(blank, docs.select("doc_id", F.lit(1).alias("quality"))).collect())
+
+
+def test_near_duplicate_stage_at_four_fifths(spark):
+    """Pairs with a similarity of 0.79 to 0.86: from 0.8 on one stays."""
+    r = random.Random(8)
+    rows, true = [], set()
+    for k in range(60):
+        own = [f"w{r.randrange(10**6)}" for _ in range(200)]
+        texts = [" ".join(own), " ".join(own[: -(k % 30)] + [f"x{r.randrange(10**6)}" for _ in range(k % 30)]) if k % 30 else " ".join(own)]
+        a, b = map(shingles, texts)
+        rows += [(2 * k + j, text, "en", "s", len(text)) for j, text in enumerate(texts)]
+        true |= {2 * k} if 5 * len(a & b) >= 4 * len(a | b) else {2 * k, 2 * k + 1}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {x["doc_id"] for x in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()} == true
