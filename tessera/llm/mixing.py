@@ -1,17 +1,18 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-A source with weight w (in cycle-ths) may place its block i no earlier than slot
+A source with weight w (exact, of a sum of 1) may place its block i no earlier than slot
 floor(i / w) and must place it before slot ceil((i + 1) / w). Serving the released
 block with the earliest deadline keeps every source within one block of its share
-at every slot. The schedule repeats after `cycle` slots, so that it is computed
-once and extended in closed form; documents are only given their places. When a
-source has no block left, the others go on with their weights scaled up, so that
-nothing is dropped.
+at every slot, however many there are. The driver computes the slots of blocks, one
+number each; documents are only given their places. When a source has no block left,
+the others go on with their weights scaled up, so that nothing is dropped.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from array import array
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
@@ -20,12 +21,14 @@ from pyspark.sql import functions as F
 from tessera.llm._common import materialize
 
 NEW = ["mix_source", "mix_block", "mix_slot", "mix_position"]
-#: Schedules of up to so many numbers (16 MB) are broadcast; larger ones are joined by source.
+#: Schedules of up to so many numbers (16 MB) are broadcast; larger ones are joined by source and run of blocks.
 BROADCAST_NUMBERS = 2_000_000
+#: Blocks of a source in one row of the schedule.
+RUN = 4096
 
 
 def shares(weights: dict[str, float], cycle: int) -> dict[str, int]:
-    """Whole slots of a cycle, at least one each, by largest remainders."""
+    """Whole slots of a cycle, at least one each, by largest remainders: close to the exact weights, which schedules use."""
     total = sum(weights.values())
     exact = {s: Fraction(w) / Fraction(total) * cycle for s, w in weights.items()}
     out = {s: max(1, int(x)) for s, x in exact.items()}
@@ -39,50 +42,43 @@ def shares(weights: dict[str, float], cycle: int) -> dict[str, int]:
     return out
 
 
-def schedule(slots: dict[str, int]) -> list[str]:
-    """Earliest deadline first over one cycle; sum(slots.values()) slots."""
-    cycle = sum(slots.values())
-    waiting = [(0, s, 0) for s in sorted(slots)]  # release, source, block
+def until_one_is_through(left: dict[str, int], weights: dict[str, float]) -> dict[str, list[int]]:
+    """Earliest deadline first by the exact weights, up to the slot at which a source has no block left: slots of each."""
+    exact = {s: Fraction(weights[s]) for s in left}
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    parts = {s: int(x * scale) for s, x in exact.items()}
+    total = sum(parts.values())
+    waiting = [(0, s, 0) for s in sorted(left)]  # release, source, block
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
-    out = []
-    for at in range(cycle):
+    out: dict[str, list[int]] = {s: [] for s in left}
+    at = 0
+    while True:
         while waiting and waiting[0][0] <= at:
             _, s, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(i + 1) * cycle // slots[s]), s, i))
+            heapq.heappush(ready, (-(-(i + 1) * total // parts[s]), s, i))
         deadline, s, i = heapq.heappop(ready)
         assert deadline > at
-        out.append(s)
-        if i + 1 < slots[s]:
-            heapq.heappush(waiting, ((i + 1) * cycle // slots[s], s, i + 1))
-    return out
-
+        out[s].append(at)
+        if i + 1 == left[s]:
+            return out
+        heapq.heappush(waiting, ((i + 1) * total // parts[s], s, i + 1))
+        at += 1
 
-def phases(blocks: dict[str, int], weights: dict[str, float], cycle: int) -> list[dict]:
-    """Schedules that follow one another; each ends when a source has no block left.
 
-    A phase has, for each source, the slots of its blocks in one cycle, the number of
-    blocks placed before the phase and in it, and the slot at which the phase begins.
-    """
-    left, done, out, begin = dict(blocks), dict.fromkeys(blocks, 0), [], 0
+def places(blocks: dict[str, int], weights: dict[str, float]) -> dict[str, array]:
+    """The slot of every block of each source; phases follow one another, and each ends when a source has no block left."""
+    left, out, begin = dict(blocks), {s: array("q") for s in blocks}, 0
     while left := {s: n for s, n in left.items() if n > 0}:
-        own = shares({s: weights[s] for s in left}, max(cycle, 16 * len(left)))
-        order = schedule(own)
-        at: dict[str, list[int]] = {s: [] for s in left}
-        for slot, s in enumerate(order):
-            at[s].append(slot)
-        end = min((n - 1) // len(at[s]) * len(order) + at[s][(n - 1) % len(at[s])] + 1 for s, n in left.items())
-        whole, rest = divmod(end, len(order))
-        placed = {s: whole * len(at[s]) + sum(x < rest for x in at[s]) for s in left}
-        out.append({"begin": begin, "cycle": len(order), "slots": at, "before": {s: done[s] for s in left}, "placed": placed})
-        for s in left:
-            done[s] += placed[s]
-            left[s] -= placed[s]
-        begin += end
+        own = until_one_is_through(left, weights) if len(left) > 1 else {s: range(n) for s, n in left.items()}
+        for s, slots in own.items():
+            out[s].extend(begin + x for x in slots)
+            left[s] -= len(slots)
+        begin += sum(map(len, own.values()))
     return out
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, id_col: str = "doc_id", source_col: str = "source", block: int = 64, alpha: float = 0.5, cycle: int = 4096, seed: int = 7, bucket_rows: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, id_col: str = "doc_id", source_col: str = "source", block: int = 64, alpha: float = 0.5, seed: int = 7, bucket_rows: int = 20_000) -> DataFrame:
     """The rows of docs with mix_source, mix_block (of its source), mix_slot and mix_position.
 
     weights: target weight of each source, above 0; a source without one gets the
@@ -95,7 +91,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, id_col: str
     A null source is a source of its own, named ''. Rows that repeat an id or tie
     otherwise all get places of their own. An empty table gives an empty result.
     Columns of docs with the names of the new ones are replaced. The driver holds
-    schedules for the sources, never anything for each row.
+    one number for each block, never anything for each row.
     """
     spark = docs.sparkSession
     docs = docs.drop(*NEW)
@@ -109,7 +105,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, id_col: str
     w = {s: float(n) ** alpha for s, n in counts.items()} if weights is None else {s: float(weights.get(s, min(weights.values()))) for s in counts}
     if any(x <= 0 for x in w.values()):
         raise ValueError("target weights must be above 0")
-    plan = phases({s: -(-n // block) for s, n in counts.items()}, w, cycle)
+    slots = places({s: -(-n // block) for s, n in counts.items()}, w)
 
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("source", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
@@ -118,11 +114,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, id_col: str
     rank = F.col("offset") + F.col("k") - 1
     ranked = ranked.select("row", "source", F.floor(rank / block).cast("long").alias("i"), F.pmod(rank, F.lit(block)).alias("inside"))
 
-    spans = [(s, p["before"][s], p["before"][s] + n, p["begin"], p["cycle"], p["slots"][s]) for p in plan for s, n in p["placed"].items() if n]
-    table = spark.createDataFrame(spans, "of string, low long, high long, begin long, cycle long, slots array<long>")
-    if sum(len(x[-1]) + 8 for x in spans) <= BROADCAST_NUMBERS:
+    spans = [(s, k // RUN, own[k : k + RUN].tolist()) for s, own in slots.items() for k in range(0, len(own), RUN)]
+    table = spark.createDataFrame(spans, "of string, run long, slots array<long>")
+    if sum(map(len, slots.values())) <= BROADCAST_NUMBERS:
         table = F.broadcast(table)
-    placed = ranked.join(table, (F.col("of") == F.col("source")) & (F.col("i") >= F.col("low")) & (F.col("i") < F.col("high")))
-    local = F.col("i") - F.col("low")
-    slot = F.col("begin") + F.floor(local / F.size("slots")) * F.col("cycle") + F.element_at("slots", (F.pmod(local, F.size("slots")) + 1).cast("int"))
+    placed = ranked.withColumn("of_run", F.floor(F.col("i") / RUN)).join(table, (F.col("of") == F.col("source")) & (F.col("run") == F.col("of_run")))
+    slot = F.element_at("slots", (F.pmod("i", F.lit(RUN)) + 1).cast("int"))
     return placed.select("row.*", F.col("source").alias(NEW[0]), F.col("i").alias(NEW[1]), slot.alias(NEW[2]), (slot * block + F.col("inside")).alias(NEW[3]))

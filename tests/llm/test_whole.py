@@ -89,3 +89,30 @@ def test_near_duplicate_stage_at_four_fifths(spark):
         true |= {2 * k} if 5 * len(a & b) >= 4 * len(a | b) else {2 * k, 2 * k + 1}
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert {x["doc_id"] for x in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()} == true
+
+
+def test_mix_stays_at_the_exact_weights():
+    for weights in ({"a": 1.0, "b": 1.0, "c": 1.0}, {"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05}, {"a": 0.0001, "b": 0.9999}, {f"s{k}": 1.0 for k in range(20)}, {f"s{k}": (k + 2) ** 0.5 for k in range(7)}):
+        total = sum(map(Fraction, weights.values()))
+        exact = {s: Fraction(w) / total for s, w in weights.items()}
+        places = mixing.places({s: int(40_000 * w) + 1 for s, w in exact.items()}, weights)
+        assert sorted(x for own in places.values() for x in own) == list(range(sum(map(len, places.values()))))
+        end = min(own[-1] for own in places.values())  # until the first source is through
+        for s, own in places.items():
+            for i, slot in enumerate(own):
+                if slot <= end:
+                    assert i + 1 - (slot + 1) * exact[s] < 1 and slot * exact[s] - i < 1, (weights, s, i)
+
+
+def test_mix_goes_on_when_sources_are_through():
+    places = mixing.places({"a": 3, "b": 500, "c": 90}, {"a": 1.0, "b": 1.0, "c": 2.0})
+    assert sorted(x for own in places.values() for x in own) == list(range(593))
+    assert all(list(own) == sorted(own) for own in places.values())
+
+
+def test_mix_of_many_blocks(spark, monkeypatch):
+    docs = spark.range(30_000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS source")
+    rows = {tuple(x) for x in mixing.mix(docs, block=2).collect()}
+    assert sorted(x[-1] for x in rows) == list(range(30_000))
+    monkeypatch.setattr(mixing, "BROADCAST_NUMBERS", 10)
+    assert rows == {tuple(x) for x in mixing.mix(docs, block=2).collect()}
