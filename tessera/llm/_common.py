@@ -1,13 +1,18 @@
-"""Helpers shared by the operators: cut lineage, hash words, stream sorted runs."""
+"""Helpers shared by the operators: cut lineage, hash words, pack arrays, filter ids, stream sorted runs."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,10 +47,32 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(run):
+    """A function over batches that gives its memory back to the system when a task ends; workers outlive tasks."""
+
+    @functools.wraps(run)
+    def streamed(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # only glibc has it
+                pass
+
+    return streamed
+
+
+def hash_of(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word)
+
+
 class WordHash(dict):
     """bytes -> 64-bit hash, remembered for the words met most recently."""
 
-    limit = 400_000
+    limit = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
@@ -76,6 +103,68 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix(out + np.uint64(n))
 
 
+def squeezed(x: np.ndarray) -> bytes:
+    """zstandard over the planes of equal significance of an array's bytes."""
+    planes = x.view(np.uint8).reshape(len(x), x.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def spread(data: bytes, kind) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).view(kind).ravel()
+
+
+def steps(ascending: np.ndarray) -> bytes:
+    """An ascending array as the differences of its members."""
+    return squeezed(np.diff(ascending, prepend=np.zeros(1, np.uint64)))
+
+
+def summed(data: bytes) -> np.ndarray:
+    return np.cumsum(spread(data, np.uint64), dtype=np.uint64)
+
+
+def _places(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    h = mix(ids.view(np.uint64))
+    return (h & np.uint64(size - 1)).astype(np.int64), (h >> np.uint64(32) & np.uint64(size - 1)).astype(np.int64)
+
+
+def _bloom_rows(size: int):
+    @lean
+    def run(batches):
+        bits = np.zeros(size // 8, np.uint8)
+        for batch in batches:
+            for at in _places(batch.column(0).to_numpy(), size):
+                np.bitwise_or.at(bits, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
+        words = bits.view(np.int64)
+        at = np.flatnonzero(words)
+        for low in range(0, len(at), 1 << 16):
+            own = at[low : low + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(words[own])], ["slot", "bits"])
+
+    return run
+
+
+def bloom_filter(ids: DataFrame, most_bits: int = 1 << 27) -> Broadcast:
+    """Bits for a column of ids, ten each or more up to most_bits (16 MB); beyond, more ids pass by chance."""
+    size = 1 << 20
+    n = ids.count()
+    while size < min(10 * n, most_bits):
+        size *= 2
+    rows = ids.mapInArrow(_bloom_rows(size), "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(size // 64, np.int64)
+    words[rows["slot"].to_numpy()] = rows["bits"].to_numpy()
+    return ids.sparkSession.sparkContext.broadcast(words)
+
+
+def passing(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    bits = words.view(np.uint8)
+    out = np.ones(len(ids), bool)
+    for at in _places(ids, 64 * len(words)):
+        out &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+    return out
+
+
 def utf8_column(column: pa.Array) -> list[bytes | None]:
     """Strings of an Arrow column as UTF-8 bytes, without decoding them."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

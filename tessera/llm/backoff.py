@@ -15,32 +15,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import WordHash, materialize, mix, ngram_hashes, utf8_column
-
-
-def squeezed(x: np.ndarray) -> bytes:
-    """zstandard over the planes of equal significance of an array's bytes."""
-    planes = x.view(np.uint8).reshape(len(x), x.itemsize).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def spread(data: bytes, kind) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).view(kind).ravel()
-
-
-def steps(ascending: np.ndarray) -> bytes:
-    """An ascending array as the differences of its members."""
-    return squeezed(np.diff(ascending, prepend=np.zeros(1, np.uint64)))
-
-
-def summed(data: bytes) -> np.ndarray:
-    return np.cumsum(spread(data, np.uint64), dtype=np.uint64)
+from tessera.llm._common import WordHash, materialize, mix, ngram_hashes, spread, squeezed, steps, summed, utf8_column
 
 
 def _blocker(block_words: int):

@@ -22,14 +22,12 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import WordHash, connected_components, materialize, mix, ngram_hashes, runs, utf8_column
+from tessera.llm._common import WordHash, bloom_filter, connected_components, lean, materialize, mix, ngram_hashes, passing, runs, utf8_column
 
 SKETCH = 1 << 16
-MOST_BLOOM_BITS = 1 << 28
 
 
 def shingle_set(words: np.ndarray, n: int) -> np.ndarray:
@@ -118,46 +116,6 @@ def _poster(coords: int, prefix: int, sketch, only=None):
     return run
 
 
-def _places(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    h = mix(ids.view(np.uint64))
-    return (h & np.uint64(size - 1)).astype(np.int64), (h >> np.uint64(32) & np.uint64(size - 1)).astype(np.int64)
-
-
-def _bloom_rows(size: int):
-    def run(batches):
-        bits = np.zeros(size, bool)
-        for batch in batches:
-            for at in _places(batch.column(0).to_numpy(), size):
-                bits[at] = True
-        words = np.packbits(bits).view(np.int64)
-        at = np.flatnonzero(words)
-        for low in range(0, len(at), 1 << 16):
-            own = at[low : low + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(words[own])], ["slot", "bits"])
-
-    return run
-
-
-def bloom_filter(ids: DataFrame) -> Broadcast:
-    """Bits for a column of ids, ten each or more up to MOST_BLOOM_BITS (32 MB); beyond, more ids pass by chance."""
-    size = 1 << 20
-    n = ids.count()
-    while size < min(10 * n, MOST_BLOOM_BITS):
-        size *= 2
-    rows = ids.mapInArrow(_bloom_rows(size), "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
-    words = np.zeros(size // 64, np.int64)
-    words[rows["slot"].to_numpy()] = rows["bits"].to_numpy()
-    return ids.sparkSession.sparkContext.broadcast(words)
-
-
-def passing(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    bits = words.view(np.uint8)
-    out = np.ones(len(ids), bool)
-    for at in _places(ids, 64 * len(words)):
-        out &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-    return out
-
-
 def _set_maker(shingle: int, coords: int, bloom):
     by = multipliers(coords)
 

@@ -188,15 +188,65 @@ def test_quality(spark, odd, empty):
     assert all(r["kept"] == (r["n_words"] > 0) and r["perplexity"] is None for r in free)
 
 
-def test_kneser_ney_sums_to_one():
+def brute_model(texts):
+    """Interpolated modified Kneser-Ney by its definitions, in dicts: word -> token, and the probability after a context."""
+    docs = [t.split() for t in texts if t.split()]
+    often = {w for w in itertools.chain(*docs) if sum(d.count(w) for d in docs) >= 3}
+    shape = lambda w: "\0" + quality.shape(w.encode()).decode()
+    seqs = [[w if w in often else shape(w) for w in d] for d in docs]
+    tokens = {"\0", *itertools.chain(*seqs)}
+    count = lambda grams: {g: sum(1 for x in grams if x == g) for g in set(grams)}
+    three = count([tuple(s[i : i + 3]) for s in seqs for i in range(len(s) - 2)])
+    pairs = {tuple(s[i : i + 2]) for s in seqs for i in range(len(s) - 1)}
+    two = {g: len({x[0] for x in three if x[1:] == g}) or 1 for g in pairs}
+    one = {w: sum(g[1] == w for g in pairs) for w in tokens if any(g[1] == w for g in pairs)}
+
+    def discounts(counts):
+        n = [max(1, sum(c == k for c in counts.values())) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        raw = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]]
+        return lambda c: min(max(raw[min(c, 3) - 1], 0.05), (0.95, 1.9, 2.9)[min(c, 3) - 1])
+
+    d1, d2, d3 = map(discounts, (one, two, three))
+
+    def p(w, *context):
+        if not context:
+            total = sum(one.values())
+            return (one[w] - d1(one[w]) if w in one else 0) / total + sum(map(d1, one.values())) / total / len(tokens)
+        counts, d = (two, d2) if len(context) == 1 else (three, d3)
+        own = {g[-1]: c for g, c in counts.items() if g[:-1] == context}
+        if not own:
+            return p(w, *context[1:])
+        total = sum(own.values())
+        return (own[w] - d(own[w]) if w in own else 0) / total + sum(map(d, own.values())) / total * p(w, *context[1:])
+
+    token = lambda w: w if w in often else shape(w) if shape(w) in tokens else "\0"
+    return tokens, token, p
+
+
+def test_kneser_ney_brute_force(spark):
+    """Perplexities of each language, and of the pooled model, against the definitions; every model sums to one."""
     r = random.Random(2)
-    text = [("en", words(r, 400).encode()) for _ in range(6)]
-    model = quality.train(text, vocabulary_count=1, shards=3)
-    scorer = quality.Scorer(model)
-    own = range(model["size"])
-    for context in ([5, 9], [2, 2], scorer.tokens("en", text[0][1].split()[3:5]).tolist()):
-        total = sum(np.exp(scorer.log_probabilities(np.array([*context, w]), np.array([True, False, False]))[-1]) for w in own)
-        assert total == pytest.approx(1, abs=1e-6)
+    letters = {"en": "abc", "de": "xyz", "fr": "mn"}
+    text = lambda lang: " ".join(("A" if r.random() < 0.1 else "") + "".join(r.choice(letters[lang]) for _ in range(r.randint(1, 3))) for _ in range(r.randint(1, 25)))
+    rows = [(i, text(lang), lang) for i, lang in enumerate(["en"] * 24 + ["de"] * 16 + ["fr"] * 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    got = {x["doc_id"]: x for x in quality.quality(docs, labels, least=10, prior=0.0, shards=3, block_docs=5).collect()}
+    trains = {x[0] for x in docs.where("pmod(xxhash64(41, doc_id), 1 << 30) / (1 << 30) < 0.5").collect()}
+    own = {"en", "de"}
+    for lang, of in (("en", {"en"}), ("de", {"de"}), ("fr", {"en", "de", "fr"})):
+        tokens, token, p = brute_model([t for i, t, x in rows if x in of and i in trains])
+        for context in ((), ("abc",), (next(iter(tokens)),)):
+            assert sum(p(w, *context) for w in tokens) == pytest.approx(1)
+        for i, t, x in rows:
+            if (x if x in own else "fr") == lang:
+                seq = [token(w) for w in t.split()]
+                logs = [np.log(p(w, *seq[max(0, k - 2) : k])) for k, w in enumerate(seq)]
+                assert got[i]["perplexity"] == pytest.approx(np.exp(-np.mean(logs)), rel=1e-6), (lang, i)
+    for lang in own:
+        held = [np.log(got[i]["perplexity"]) for i, _, x in rows if x == lang and i not in trains]
+        assert got[0 if lang == "en" else 24]["threshold"] == pytest.approx(np.exp(max(held) + 0.1), rel=1e-6)
 
 
 def brute_secrets(text):
