@@ -6,13 +6,14 @@
    that come first in a global order, so this prefix loses none of them. Rarity
    comes from a counting sketch of fixed size over all signatures.
 3. Posting lists with equal members are skipped but for one. Every list names a
-   pivot, its most central member; members meet under their pivot, so that a
-   group of near copies costs rows in proportion to its size, not to its square.
-4. Under a pivot, collisions are counted over the signatures, and members without
-   a partner that has `need` of them drop out. The rest are linked to the pivot, and
-   those that it does not link compared with all the others, on signatures and then
-   on full sets. Larger groups are dealt over pairs of blocks.
-5. Links are merged into components.
+   pivot, its most central member, and members meet under their pivots.
+4. Collisions of members with their pivot are counted over the signatures, and those
+   that have `need` of them are compared with it on full sets: one row a member, in
+   blocks, to each of which the pivot goes, so that a group of near copies costs rows
+   in proportion to its size.
+5. Only members that this does not link to their pivot are compared with all the
+   others of the group, in pairs of blocks, on signatures and then on full sets.
+6. Links are merged into components.
 """
 
 from __future__ import annotations
@@ -63,13 +64,14 @@ def matches_needed(coords: int, num: int, den: int) -> int:
 def _signer(shingle: int, coords: int):
     by = multipliers(coords)
 
+    @lean
     def run(batches):
         hashes = WordHash()
         for batch in batches:
             ids, nids, sizes, sigs = batch.column(0), [], [], []
             for text in utf8_column(batch.column(1)):
                 items = shingle_set(hashes.of((text or b"").lower().split()), shingle)
-                nids.append(np.int64(np.uint64(xxhash.xxh3_64_intdigest(items.tobytes()))) if len(items) else None)
+                nids.append(set_id(items))
                 sizes.append(len(items))
                 sigs.append(signature(items, by).tobytes() if len(items) else None)
             yield pa.RecordBatch.from_arrays([ids, pa.array(nids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "nid", "n_shingles", "sig"])
@@ -78,6 +80,7 @@ def _signer(shingle: int, coords: int):
 
 
 def _sketcher(coords: int):
+    @lean
     def run(batches):
         counts = np.zeros(SKETCH, np.int64)
         for batch in batches:
@@ -93,6 +96,7 @@ def _sketcher(coords: int):
 def _poster(coords: int, prefix: int, sketch, only=None):
     """Postings of each set; with a filter, those whose key passes it."""
 
+    @lean
     def run(batches):
         counts = sketch.value
         rank = np.floor(2 * np.log2(counts + 1.0)).astype(np.uint64)
@@ -116,20 +120,28 @@ def _poster(coords: int, prefix: int, sketch, only=None):
     return run
 
 
-def _set_maker(shingle: int, coords: int, bloom):
+def set_id(items: np.ndarray) -> np.int64 | None:
+    """64 bits that name a set; None for the empty one."""
+    return np.int64(np.uint64(xxhash.xxh3_64_intdigest(items.tobytes()))) if len(items) else None
+
+
+def _set_maker(shingle: int, coords: int, wanted):
+    """Sets whose name passes the filter, of rows whose id passes it or is null."""
     by = multipliers(coords)
 
+    @lean
     def run(batches):
         hashes = WordHash()
         for batch in batches:
-            batch = batch.filter(batch.column(0).is_valid())
-            batch = batch.filter(pa.array(passing(bloom.value, batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))))
-            for at in range(0, batch.num_rows, 512):
+            ids = batch.column(0)
+            batch = batch.filter(pa.compute.or_(ids.is_null(), pa.array(passing(wanted.value, ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)))))
+            for at in range(0, batch.num_rows, 256):
                 nids, sets, sigs = [], [], []
-                for text in utf8_column(batch.column(1).slice(at, 512)):
+                for text in utf8_column(batch.column(1).slice(at, 256)):
                     items = shingle_set(hashes.of((text or b"").lower().split()), shingle)
-                    if len(items):
-                        nids.append(np.int64(np.uint64(xxhash.xxh3_64_intdigest(items.tobytes()))))
+                    nid = set_id(items)
+                    if nid is not None and passing(wanted.value, np.array([nid]))[0]:
+                        nids.append(nid)
                         sets.append(items.tobytes())
                         sigs.append(signature(items, by).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(nids, pa.int64()), pa.array(sets, pa.binary()), pa.array(sigs, pa.binary())], ["nid", "items", "sig"])
@@ -137,6 +149,23 @@ def _set_maker(shingle: int, coords: int, bloom):
     return run
 
 
+def _namer(columns: list[str], text_col: str, shingle: int):
+    @lean
+    def run(batches):
+        hashes = WordHash()
+        for batch in batches:
+            nids = [set_id(shingle_set(hashes.of((x or b"").lower().split()), shingle)) for x in utf8_column(batch.column(columns.index(text_col)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nids, pa.int64())], [*columns, "set_id"])
+
+    return run
+
+
+def with_set_id(docs: DataFrame, text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """docs with set_id, the name of each row's set of shingles as in near_duplicates."""
+    docs = docs.drop("set_id")
+    return docs.mapInArrow(_namer(docs.columns, text_col, shingle), docs.withColumn("set_id", F.lit(None).cast("long")).schema)
+
+
 def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     """den * |a and b| >= num * |a or b| for sorted distinct arrays."""
     if den * min(len(a), len(b)) < num * max(len(a), len(b)):
@@ -148,78 +177,89 @@ def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
-def _sifter(coords: int, need: int):
-    """Members of a group with a partner in it that agrees on `need` coordinates."""
+def _near_pivot(coords: int, need: int):
+    """Members of a block that agree with their pivot on `need` coordinates."""
 
-    def partnered(table: pa.Table) -> np.ndarray:
-        nid, side = table["nid"].to_numpy(), table["side"].to_numpy()
-        sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, coords)
-        hub = nid == table["pivot"][0].as_py()
-        across = table["bi"][0].as_py() != table["bj"][0].as_py()
-        found = np.zeros(len(nid), bool)
-        if hub.any():
-            found = (sigs == sigs[int(np.argmax(hub))]).sum(axis=1) >= need
-            if found.sum() <= hub.sum():
-                found[:] = False
-        for i in np.flatnonzero(~found & ~hub).tolist():
-            for start in range(0, len(nid), 2048):
-                part = slice(start, start + 2048)
-                near = (sigs[part] == sigs[i]).sum(axis=1) >= need
-                near &= (nid[part] != nid[i]) & ((side[part] != side[i]) | hub[part] if across else True)
-                if near.any():
-                    found[part] |= near
-                    found[i] = True
-        return nid[found]
+    @lean
+    def run(batches):
+        for table in runs(batches, ["pivot", "block"]):
+            nid, pivot = table["nid"].to_numpy(), table["pivot"][0].as_py()
+            hub = np.flatnonzero(nid == pivot)
+            if len(hub) and len(nid) > 1:
+                sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, coords)
+                near = nid[((sigs == sigs[hub[0]]).sum(axis=1) >= need) & (nid != pivot)]
+                if len(near):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), pivot, np.int64)), pa.array(near)], ["pivot", "nid"])
 
+    return run
+
+
+def _like_pivot(num: int, den: int):
+    """Members of a block whose sets are similar to their pivot's."""
+
+    @lean
+    def run(batches):
+        for table in runs(batches, ["pivot", "block"]):
+            nid, pivot = table["nid"].to_numpy(), table["pivot"][0].as_py()
+            hub = np.flatnonzero(nid == pivot)
+            if len(hub) and len(nid) > 1:
+                sets = table["items"]
+                own = np.frombuffer(sets[int(hub[0])].as_py(), np.uint64)
+                like = np.array([x for k, x in enumerate(nid.tolist()) if x != pivot and similar(np.frombuffer(sets[k].as_py(), np.uint64), own, num, den)], np.int64)
+                if len(like):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(like), pivot, np.int64)), pa.array(like)], ["pivot", "nid"])
+
+    return run
+
+
+def _sifter(coords: int, need: int):
+    """Members of a pair of blocks, one left over and one of all, with a partner that agrees on `need` coordinates."""
+
+    @lean
     def run(batches):
         for table in runs(batches, ["pivot", "bi", "bj"]):
-            if table.num_rows > 1 and len(nid := partnered(table)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nid), table["pivot"][0].as_py(), np.int64)), pa.array(nid)], ["pivot", "nid"])
+            nid, left = table["nid"].to_numpy(), table["left"].to_numpy(zero_copy_only=False).astype(bool)
+            sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, coords)
+            every = np.flatnonzero(~left)
+            found = np.zeros(len(nid), bool)
+            for i in np.flatnonzero(left).tolist():
+                for start in range(0, len(every), 2048):
+                    part = every[start : start + 2048]
+                    near = part[((sigs[part] == sigs[i]).sum(axis=1) >= need) & (nid[part] != nid[i])]
+                    if len(near):
+                        found[near] = found[i] = True
+            if found.any():
+                own = np.unique(nid[found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), table["pivot"][0].as_py(), np.int64)), pa.array(own)], ["pivot", "nid"])
 
     return run
 
 
 def _linker(coords: int, need: int, num: int, den: int):
+    """Links between a block of members left over and a block of all; no more than tell which hang together."""
+
     def links_of(table: pa.Table) -> list[tuple[int, int]]:
-        nid = table["nid"].to_numpy()
-        _, keep = np.unique(nid, return_index=True)
-        nid, side = nid[keep], table["side"].to_numpy()[keep]
-        pick = table.take(pa.array(keep))
-        raw = pick["items"].to_pylist()
-        sets = [np.frombuffer(x, np.uint64) for x in raw]
-        sigs = np.frombuffer(b"".join(pick["sig"].to_pylist()), np.uint32).reshape(-1, coords)
-        pivot = table["pivot"][0].as_py()
-        across = table["bi"][0].as_py() != table["bj"][0].as_py()
-        group = np.arange(len(nid))
+        nid, left = table["nid"].to_numpy(), table["left"].to_numpy(zero_copy_only=False).astype(bool)
+        _, group = np.unique(nid, return_inverse=True)  # of nids known to hang together
+        sets = table["items"]
+        sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, coords)
+        every = np.flatnonzero(~left)
         out = []
-        hub = np.flatnonzero(nid == pivot)
-        if len(hub):
-            h = int(hub[0])
-            agree = (sigs == sigs[h]).sum(axis=1) >= need
-            for i in np.flatnonzero(agree).tolist():
-                if i != h and similar(sets[i], sets[h], num, den):
-                    group[i] = group[h]
-                    out.append((int(nid[i]), pivot))
-        for i in range(len(nid)):
-            if len(hub) and group[i] == group[hub[0]]:
-                continue  # its links lead to the pivot's component; the others look for it
-            other = group != group[i]
-            if across:
-                other &= (side != side[i]) | (nid == pivot)
-            for start in range(0, len(nid), 2048):
-                part = slice(start, start + 2048)
-                near = np.flatnonzero(other[part] & ((sigs[part] == sigs[i]).sum(axis=1) >= need)) + start
-                for j in near.tolist():
-                    if group[j] != group[i] and similar(sets[i], sets[j], num, den):
+        for i in np.flatnonzero(left).tolist():
+            own = np.frombuffer(sets[i].as_py(), np.uint64)
+            for start in range(0, len(every), 2048):
+                part = every[start : start + 2048]
+                for j in part[(sigs[part] == sigs[i]).sum(axis=1) >= need].tolist():
+                    if group[j] != group[i] and similar(own, np.frombuffer(sets[j].as_py(), np.uint64), num, den):
                         out.append((int(nid[i]), int(nid[j])))
                         group[group == group[i]] = group[j]
         return out
 
+    @lean
     def run(batches):
         found: list[tuple[int, int]] = []
         for table in runs(batches, ["pivot", "bi", "bj"]):
-            if table.num_rows > 1:
-                found += links_of(table)
+            found += links_of(table)
             if len(found) >= 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
                 found = []
@@ -228,32 +268,61 @@ def _linker(coords: int, need: int, num: int, den: int):
     return run
 
 
-def _grouped(under: DataFrame, by_nid: DataFrame, block: int) -> DataFrame:
-    """Members with the columns of by_nid, sorted by pivot and pair of blocks of about `block` members.
+def _blocked(members: DataFrame, block: int, label: str) -> DataFrame:
+    """members (pivot, nid) with n_blocks of about `block` members in the pivot's group, and the own one.
 
-    A member goes to the pairs with its own block, a pivot to all.
+    Only groups of more than a block are joined with their numbers, salted, so that no task has a large group.
     """
-    blocks = under.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("k"))
-    dealt = under.join(blocks, "pivot").withColumn("own", F.pmod(F.xxhash64("nid"), F.col("k")).cast("int"))
-    every = F.expr("flatten(transform(sequence(0, k - 1), i -> transform(sequence(i, k - 1), j -> struct(i as bi, j as bj))))")
-    own = F.expr("transform(sequence(0, k - 1), i -> struct(least(i, own) as bi, greatest(i, own) as bj))")
-    dealt = dealt.select("pivot", "nid", F.col("own").alias("side"), F.explode(F.when(F.col("nid") == F.col("pivot"), every).otherwise(own)).alias("pair"))
-    dealt = dealt.select("pivot", "nid", "side", "pair.bi", "pair.bj").join(by_nid.hint("shuffle_merge"), "nid")
-    return dealt.repartition("pivot", "bi", "bj").sortWithinPartitions("pivot", "bi", "bj")
+    many = members.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n_blocks")).where("n_blocks > 1")
+    many = many.select("pivot", "n_blocks", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = members.withColumn("salt", F.pmod(F.xxhash64("nid", "pivot"), F.lit(SALTS)).cast("int")).join(many, ["pivot", "salt"], "left")
+    dealt = dealt.withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1))).select("pivot", "nid", "n_blocks", F.pmod(F.xxhash64("nid"), F.col("n_blocks")).cast("int").alias("block"))
+    return materialize(dealt, label)
+
 
+def _with_pivot(members: DataFrame, block: int, label: str) -> DataFrame:
+    """(pivot, nid, block): members but for the pivots, in one block each, and the pivot in all."""
+    dealt = _blocked(members.where("nid <> pivot"), block, label)
+    heads = dealt.groupBy("pivot", "block").count().select("pivot", F.col("pivot").alias("nid"), "block")
+    return dealt.select("pivot", "nid", "block").unionByName(heads)
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 85, den: int = 100, coords: int = 128, block: int = 512) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs.
+
+def _across(left: DataFrame, under: DataFrame, block: int) -> DataFrame:
+    """(pivot, nid, left, bi, bj): blocks of the members left over with blocks of all members of their groups."""
+    left = _blocked(left, block, "left")
+    groups = left.groupBy("pivot").agg(F.max("n_blocks").alias("k_left"))
+    with_left = materialize(under.join(groups.select("pivot"), "pivot", "left_semi"), "with-left")
+    every = _blocked(with_left, block, "all")
+    ranges = materialize(groups.join(every.groupBy("pivot").agg(F.max("n_blocks").alias("k_all")), "pivot"), "ranges")
+    salted = ranges.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salt = F.pmod(F.xxhash64("nid", "pivot"), F.lit(SALTS)).cast("int")
+    one = left.withColumn("salt", salt).join(salted, ["pivot", "salt"]).select("pivot", "nid", F.lit(True).alias("left"), F.col("block").alias("bi"), F.explode(F.expr("sequence(0, k_all - 1)")).alias("bj"))
+    other = every.withColumn("salt", salt).join(salted, ["pivot", "salt"]).select("pivot", "nid", F.lit(False).alias("left"), F.explode(F.expr("sequence(0, k_left - 1)")).alias("bi"), F.col("block").alias("bj"))
+    return one.unionByName(other)
+
+
+def _grouped(dealt: DataFrame, by_nid: DataFrame, keys: list[str]) -> DataFrame:
+    """Members with the columns of by_nid, each group in one task and sorted."""
+    return dealt.join(by_nid.hint("shuffle_merge"), "nid").repartition(*keys).sortWithinPartitions(*keys)
+
+
+SALTS = 16
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100, coords: int = 128, block: int = 512) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, set_id, cluster for every row of docs.
 
     Words are runs of anything but ASCII white space, A-Z in lower case. Rows are
     linked if den * |A and B| >= num * |A or B| for their sets of `shingle`-word
-    shingles. component_id is the least doc_id that links reach; kept marks it.
+    shingles. component_id is the least doc_id that links reach; kept marks it. set_id
+    names a row's set, cluster its component by one of its sets.
 
-    A null or wordless text has an empty set, n_shingles 0 and no link. Fewer
-    words than `shingle` make one shingle. Rows with equal sets are linked; rows
-    that repeat a doc_id keep a row each and are kept or not by their component.
+    A null or wordless text has an empty set, n_shingles 0, no link, set_id and cluster
+    null. Fewer words than `shingle` make one shingle. Rows with equal sets are linked;
+    rows that repeat a doc_id keep a row each and are kept or not by their component.
     A null doc_id takes part in links; it is the component_id (null, not kept)
-    only where nothing else is reached. Other columns are ignored.
+    only where nothing else is reached. A text's set is in one task's memory, however
+    long the text. An empty table gives an empty result; other columns are ignored.
     """
     spark, need = docs.sparkSession, matches_needed(coords, num, den)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -269,23 +338,46 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     posts = nodes.mapInArrow(_poster(coords, prefix, sketch), "key long, nid long, central long")
     lists = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("central").alias("top"), F.bit_xor(F.xxhash64("nid")).alias("members")).where("n > 1")
     lists = materialize(lists.groupBy("members", "n", "top").agg(F.min("key").alias("key")).select("key", "top"), "lists")
-    posts = nodes.mapInArrow(_poster(coords, prefix, sketch, bloom_filter(lists.select("key"))), "key long, nid long, central long")
+    listed = bloom_filter(lists.select("key"))
+    posts = nodes.mapInArrow(_poster(coords, prefix, sketch, listed), "key long, nid long, central long")
     met = materialize(posts.join(lists, "key").select("key", "nid", "central", "top"), "met")
     pivots = met.where("central = top").groupBy("key").agg(F.min("nid").alias("pivot"))
     under = materialize(met.join(pivots, "key").select("pivot", "nid").distinct(), "under")
+    for used in (sketch, listed):
+        used.destroy()
+
+    def sets_of(members: DataFrame) -> DataFrame:
+        """nid, items, sig of the members' sets, made again from one row each."""
+        wanted = materialize(members.select("nid").distinct().join(copies, "nid").select("nid", "least"), "wanted")
+        keys = bloom_filter(wanted.select(F.explode(F.array("nid", "least")).alias("id")).where("id is not null"))
+        made = lambda df: df.mapInArrow(_set_maker(shingle, coords, keys), "nid long, items binary, sig binary")
+        out = made(rows.where("doc_id is not null"))
+        if not wanted.where("least is null").isEmpty():
+            out = out.unionByName(made(rows.where("doc_id is null")))
+        out = materialize(out, "sets")
+        keys.destroy()
+        return out
 
-    sifted = _grouped(under, nodes, block).mapInArrow(_sifter(coords, need), "pivot long, nid long")
-    under = materialize(sifted.distinct(), "sifted")
-
-    wanted = bloom_filter(under.select("nid").distinct().join(copies, "nid").where("least is not null").select("least"))
-    sets = rows.mapInArrow(_set_maker(shingle, coords, wanted), "nid long, items binary, sig binary")
-    grouped = _grouped(under, sets, block)
-    links = grouped.mapInArrow(_linker(coords, need, num, den), "a long, b long")
+    near = _grouped(_with_pivot(under, block, "dealt"), nodes, ["pivot", "block"]).mapInArrow(_near_pivot(coords, need), "pivot long, nid long")
+    near = materialize(near, "near")
+    sets = sets_of(near.select(F.explode(F.array("pivot", "nid")).alias("nid")))
+    like = _grouped(_with_pivot(near, block, "near-dealt"), sets, ["pivot", "block"]).mapInArrow(_like_pivot(num, den), "pivot long, nid long")
+    like = materialize(like.distinct(), "like")
+    left = materialize(under.where("nid <> pivot").join(like, ["pivot", "nid"], "left_anti"), "left-over")
+    links = like.select(F.col("pivot").alias("a"), F.col("nid").alias("b"))
+    if not left.isEmpty():
+        pairs, keys = materialize(_across(left, under, block), "across"), ["pivot", "bi", "bj"]
+        found = materialize(_grouped(pairs, nodes, keys).mapInArrow(_sifter(coords, need), "pivot long, nid long").distinct(), "sifted")
+        if not found.isEmpty():
+            pairs = materialize(_across(left.join(found, ["pivot", "nid"], "left_semi"), found, block), "across-sifted")
+            more = _grouped(pairs, sets_of(found), keys).mapInArrow(_linker(coords, need, num, den), "a long, b long")
+            links = links.unionByName(materialize(more, "links"))
 
     labels = materialize(connected_components(links), "components")
     named = copies.join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
     shared = materialize(named.groupBy("comp").agg(F.min("least").alias("component_id"), F.sum("n").alias("n")).where("n > 1").select("comp", "component_id"), "shared")
-    of_set = materialize(named.select("nid", "comp").join(shared, "comp").select("nid", "component_id"), "named")
+    of_set = materialize(named.select("nid", "comp").join(shared, "comp").select("nid", "component_id", "comp"), "named")
     out = signed.select("doc_id", "nid", "n_shingles").join(of_set, "nid", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), F.col("nid").alias("set_id"), F.coalesce("comp", "nid").alias("cluster"))

@@ -23,7 +23,7 @@ def op2_stupid_backoff(spark, sf_dir):
 
 
 def op3_near_duplicates(spark, sf_dir):
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), num=85).drop("set_id", "cluster")
 
 
 def op4_quality(spark, sf_dir):

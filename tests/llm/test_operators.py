@@ -75,7 +75,7 @@ def components(rows):
 @pytest.mark.parametrize("block", [512, 3])
 def test_near_duplicates_brute_force(spark, odd, block):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(odd.select(F.col("doc_id") + 10_000, "text").toDF("doc_id", "text"))
-    got = [(str(r[0]), r[1], str(r[2]), r[3]) for r in neardup.near_duplicates(docs, block=block).collect()]
+    got = [(str(r[0]), r[1], str(r[2]), r[3]) for r in neardup.near_duplicates(docs, num=85, block=block).collect()]
     assert sorted(got) == components(pairs(docs))
 
 
@@ -91,13 +91,13 @@ def test_near_duplicates_of_a_large_group(spark):
         rows.append((i, " ".join(own)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for block in (512, 64):
-        got = [(str(x[0]), x[1], str(x[2]), x[3]) for x in neardup.near_duplicates(docs, block=block).collect()]
+        got = [(str(x[0]), x[1], str(x[2]), x[3]) for x in neardup.near_duplicates(docs, num=85, block=block).collect()]
         assert sorted(got) == components(rows)
 
 
 def test_near_duplicates_odd(spark, odd, empty):
     docs = odd
-    got = [(str(r[0]), r[1], str(r[2]), r[3]) for r in neardup.near_duplicates(docs).collect()]
+    got = [(str(r[0]), r[1], str(r[2]), r[3]) for r in neardup.near_duplicates(docs, num=85).collect()]
     assert sorted(got) == components(pairs(docs))
     assert neardup.near_duplicates(empty).count() == 0
 
