@@ -1,15 +1,14 @@
-"""Benchmark decontamination by a prefix-filtered join of word windows.
-
-A window of an item is contained in a document only if its rarest word is, at the
-place that the window gives it. Windows are indexed under that one word (the
-prefix that containment of all their words needs), ordered by how often words
-occur in the documents. A document position with such a word proposes windows;
-bounds on position and length drop those that don't fit, and the rest are
-compared word by word. Documents stay where they are.
-
-The index goes to executors in chunks of at most `chunk_words` item words, read
-from a table one chunk at a time, so that no broadcast exceeds that bound however
-large the benchmark is.
+"""Benchmark decontamination by a prefix-filtered join of word shingles.
+
+A window of an item is contained in a document only if all its shingles are. So a
+window is indexed under one necessary shingle, that which the documents have most
+rarely, with the shingle's place in it. Both sides are tables: rarity is one count over
+the documents, and the index is joined by hash, whatever the size of the benchmark.
+
+Where they are read, documents pass two Bloom filters of fixed size: one of the
+prefix shingles, whose places propose windows, and, after bounds on position and length,
+one of whole windows. What passes is joined to the index by shingle, place and length,
+and by a digest of its very words, which verifies the containment.
 """
 
 from __future__ import annotations
@@ -18,177 +17,168 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._common import materialize, utf8_column
+from tessera.llm._common import GOLD, WordHash, bloom_filter, lean, materialize, mix, ngram_hashes, passing, utf8_column
 
 #: Word characters are ASCII digits and letters and all that isn't ASCII; A-Z become a-z.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+WINDOWS = "item string, n int, digest binary, whole long, shingles array<struct<token:long,offset:int>>"
+FOUND = "row_id long, doc_id long, n_words long, proposed array<struct<start:long,n:int,offset:int,token:long,digest:binary>>"
+#: Parts of a hot window's or shingle's rows.
+SALTS = 16
 
 
 def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(FOLD).split()
 
 
-def _item_words(batches):
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([words_of(x) for x in utf8_column(batch.column(1))], pa.list_(pa.binary()))], ["item", "words"])
+def digest_of(words: list[bytes]) -> bytes:
+    """16 bytes that tell the very words of a window."""
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def signed(x: np.ndarray) -> list[int]:
+    return x.view(np.int64).tolist()
 
 
-def _counter(vocabulary):
-    """Occurrences in the documents of the words that items have."""
+def _windower(window: int, shingle: int):
+    """All windows of items, with their shingles; a window shorter than a shingle is one."""
 
+    @lean
     def run(batches):
-        index = vocabulary.value
-        counts = np.zeros(len(index) + 1, np.int64)
+        hashes, schema = WordHash(), pa.schema([("item", pa.string()), ("n", pa.int32()), ("digest", pa.binary()), ("whole", pa.int64()), ("shingles", pa.list_(pa.struct([("token", pa.int64()), ("offset", pa.int32())])))])
         for batch in batches:
-            for text in utf8_column(batch.column(0)):
+            for item, text in zip(batch.column(0).to_pylist(), utf8_column(batch.column(1)), strict=True):
                 words = words_of(text)
-                counts += np.bincount(np.fromiter((index.get(w, 0) for w in words), np.int64, len(words)), minlength=len(counts))
-        at = np.flatnonzero(counts[1:])
-        yield pa.RecordBatch.from_arrays([pa.array(at + 1), pa.array(counts[at + 1])], ["word", "n"])
+                n, own = min(window, len(words)), hashes.of(words)
+                tokens = signed(ngram_hashes(own, min(n, shingle)))
+                whole = signed(ngram_hashes(own, n))
+                each = n - min(n, shingle) + 1
+                for low in range(0, len(whole) if n else 0, 4096):
+                    at = range(low, min(low + 4096, len(whole)))
+                    yield pa.RecordBatch.from_pylist([{"item": item, "n": n, "digest": digest_of(words[k : k + n]), "whole": whole[k], "shingles": [{"token": tokens[k + j], "offset": j} for j in range(each)]} for k in at], schema=schema)
 
     return run
 
 
-def build_index(items: list[tuple[str, list[bytes]]], counts: dict[bytes, int], window: int) -> dict:
-    """Windows as word numbers, by their rarest word. Numbers start at 1; 0 is any other word."""
-    numbers: dict[bytes, int] = {}
-    coded = [(item, np.array([numbers.setdefault(w, len(numbers) + 1) for w in words], np.int32)) for item, words in items]
-    rarity = np.zeros(len(numbers) + 1, np.int64)
-    for word, k in numbers.items():
-        rarity[k] = counts.get(word, 0)
-    by_words: dict[bytes, tuple[int, set[int]]] = {}
-    windows, owners, names = [], [], [item for item, _ in items]
-    for owner, (_, words) in enumerate(coded):
-        size = min(window, len(words))
-        for at in range(len(words) - size + 1 if size else 0):
-            part = words[at : at + size]
-            seen = by_words.get(part.tobytes())
-            if seen is None:
-                by_words[part.tobytes()] = seen = (len(windows), set())
-                windows.append(part)
-                owners.append(seen[1])
-            seen[1].add(owner)
-    lengths = np.array([len(w) for w in windows], np.int32)
-    flat = np.zeros((len(windows), window), np.int32)
-    for k, part in enumerate(windows):
-        flat[k, : len(part)] = part
-    offset = np.array([int(np.lexsort((w, rarity[w]))[0]) for w in windows], np.int32)
-    prefix = flat[np.arange(len(windows)), offset] if len(windows) else np.zeros(0, np.int32)
-    order = np.argsort(prefix, kind="stable")
-    starts = np.searchsorted(prefix[order], np.arange(len(numbers) + 2))
-    return {"numbers": numbers, "flat": flat[order], "lengths": lengths[order], "offset": offset[order], "owners": [sorted(owners[k]) for k in order], "starts": starts, "names": names, "window": window}
-
-
-def find(index: dict, codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(windows, starts) of the true occurrences in documents joined end to end.
-
-    ends: for each position, where its document ends; a document begins where the one before ends.
-    """
-    size = index["starts"][codes + 1] - index["starts"][codes]
-    size[codes == 0] = 0
-    at = np.flatnonzero(size)
-    if not len(at):
-        return at, at
-    begins = np.zeros(len(codes), np.int64)
-    fresh = np.flatnonzero(np.diff(ends, prepend=-1))
-    begins[fresh] = fresh
-    begins = np.maximum.accumulate(begins)
-    hit_window, hit_start = [], []
-    # in slices that propose a bounded number of windows
-    total = np.cumsum(size[at])
-    edges = np.unique(np.searchsorted(total, np.arange(0, int(total[-1]) + 1, 1 << 18), side="left"))
-    for low, high in zip(edges, [*edges[1:], len(at)], strict=True):
-        pos = at[low:high]
-        n = size[pos]
-        if not len(pos):
-            continue
-        first = np.repeat(index["starts"][codes[pos]], n)
-        window = first + np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)
-        where = np.repeat(pos, n)
-        start = where - index["offset"][window]
-        fits = (start >= begins[where]) & (start + index["lengths"][window] <= ends[where])
-        window, start = window[fits], start[fits]
-        for j in range(index["window"]):
-            inside = index["lengths"][window] > j
-            same = np.ones(len(window), bool)
-            same[inside] = codes[start[inside] + j] == index["flat"][window[inside], j]
-            window, start = window[same], start[same]
-        hit_window.append(window)
-        hit_start.append(start)
-    return np.concatenate(hit_window), np.concatenate(hit_start)
-
-
-def _scanner(chunks, separator: str):
+def _counter(shingles, sizes: list[int]):
+    """Occurrences in the documents of the shingles that pass the filter, added up within a task."""
+
+    @lean
+    def run(batches):
+        hashes, keys, counts, rest, held = WordHash(), np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+
+        def merged():
+            own, n = np.unique(np.concatenate([*rest, np.zeros(0, np.uint64)]), return_counts=True)
+            every, place = np.unique(np.concatenate([keys, own]), return_inverse=True)
+            return every, np.bincount(place, np.concatenate([counts, n]), len(every)).astype(np.int64)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                for text in utf8_column(batch.column(0).slice(at, 256)):
+                    own = hashes.of(words_of(text))
+                    for n in sizes:
+                        grams = ngram_hashes(own, n)
+                        some = grams[passing(shingles.value, grams.view(np.int64))]
+                        if len(some):
+                            rest.append(some)
+                            held += len(some)
+                if held > 1 << 18:
+                    (keys, counts), rest, held = merged(), [], 0
+                if len(keys) > 1 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["token", "n"])
+                    keys, counts = keys[:0], counts[:0]
+        keys, counts = merged()
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["token", "n"])
+
+    return run
+
+
+def propose(own: np.ndarray, sizes: list[int], shingle: int, prefix: np.ndarray, whole: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(start, n, offset, token) of the places where a window may occur in a document of word hashes."""
+    out = []
+    for n in sizes:
+        k = min(n, shingle)
+        tokens = ngram_hashes(own, k)
+        at = np.flatnonzero(passing(prefix, tokens.view(np.int64))) if len(tokens) else tokens.astype(np.int64)
+        for offset in range(n - k + 1):
+            start = at - offset
+            start = start[(start >= 0) & (start + n <= len(own))]  # bounds on position and length
+            if len(start):
+                grams = own[start]
+                for j in range(1, n):
+                    grams = grams * GOLD + own[start + j]
+                start = start[passing(whole, mix(grams + np.uint64(n)).view(np.int64))]
+                out += [(s, n, offset, t) for s, t in zip(start.tolist(), signed(tokens[start + offset]), strict=True)]
+    return out
+
+
+def _finder(prefix, whole, sizes: list[int], shingle: int):
+    place = pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int32()), ("offset", pa.int32()), ("token", pa.int64()), ("digest", pa.binary())]))
+
+    @lean
     def run(batches):
+        hashes, row = WordHash(), TaskContext.get().partitionId() << 40
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
-                texts = [words_of(x) for x in utf8_column(part.column(1))]
-                sizes = np.array([len(x) for x in texts], np.int64)
-                total = int(sizes.sum())
-                ends = np.repeat(np.cumsum(sizes), sizes)
-                doc_of = np.repeat(np.arange(len(texts)), sizes)
-                covered = np.zeros(total, bool)
-                items: list[set[str]] = [set() for _ in texts]
-                for chunk in chunks:
-                    index = chunk.value
-                    get = index["numbers"].get
-                    codes = np.fromiter((get(w, 0) for words in texts for w in words), np.int32, total)
-                    window, start = find(index, codes, ends)
-                    if not len(window):
-                        continue
-                    step = np.zeros(total + 1, np.int64)
-                    np.add.at(step, start, 1)
-                    np.add.at(step, start + index["lengths"][window], -1)
-                    covered |= np.cumsum(step[:-1]) > 0
-                    for d, w in np.unique(np.stack([doc_of[start], window]), axis=1).T.tolist():
-                        items[d].update(index["names"][k] for k in index["owners"][w])
-                hits = np.bincount(doc_of[covered], minlength=len(texts))
-                lists = [separator.join(sorted(x)) for x in items]
-                yield pa.RecordBatch.from_arrays([
-                    part.column(0), pa.array(sizes), pa.array(hits.astype(np.int64)), pa.array([len(x) for x in items], pa.int64()), pa.array(lists, pa.string()),
-                    pa.array([hashlib.sha256(x.encode()).hexdigest() for x in lists], pa.string()), pa.array((hits > 0).tolist(), pa.bool_()),
-                ], ["doc_id", "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated"])
+            for at in range(0, batch.num_rows, 256):
+                part, sizes_, found = batch.slice(at, 256), [], []
+                for text in utf8_column(part.column(1)):
+                    words = words_of(text)
+                    sizes_.append(len(words))
+                    found.append([{"start": s, "n": n, "offset": o, "token": t, "digest": digest_of(words[s : s + n])} for s, n, o, t in propose(hashes.of(words), sizes, shingle, prefix.value, whole.value)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + part.num_rows)), part.column(0), pa.array(sizes_, pa.int64()), pa.array(found, place)], ["row_id", "doc_id", "n_words", "proposed"])
+                row += part.num_rows
 
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, chunk_words: int = 400_000) -> DataFrame:
+def salted(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, shingle: int = 3) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items, items_sha256, contaminated for each row of docs.
 
     n_hit counts document words inside any occurrence of a window of `window`
     consecutive item words (the whole item if it has fewer, but some); items are
     the ids of items with such windows, sorted as strings and comma-joined.
 
-    Null texts have no words, and such items no windows. Items without an id are
-    ignored. Repeated items count once, repeated documents each. No item at all
-    leaves every document clean. An item larger than a chunk has one of its own.
+    Null and empty texts have no words, and such items no windows. Items without an id
+    are ignored. Repeated items count once, repeated documents each; windows that several
+    items have count for each of them, and of equally rare shingles the least hash is
+    taken. Without items or documents nothing is contaminated. A text is in one task's
+    memory, however long; its occurrences are rows. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    items = materialize(benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).distinct().mapInArrow(_item_words, "item string, words array<binary>").where("size(words) > 0"), "items")
-    texts = docs.select(F.col(text_col).alias("text"))
-    chunks, part, size = [], [], 0
-
-    def close():
-        numbers: dict[bytes, int] = {}
-        for _, words in part:
-            for w in words:
-                numbers.setdefault(w, len(numbers) + 1)
-        names = list(numbers)
-        rows = texts.mapInArrow(_counter(spark.sparkContext.broadcast(numbers)), "word long, n long").groupBy("word").agg(F.sum("n")).collect()
-        chunks.append(spark.sparkContext.broadcast(build_index(part, {names[k - 1]: n for k, n in rows}, window)))
-
-    for row in items.toLocalIterator():
-        words = [bytes(w) for w in row["words"]]
-        if part and size + len(words) > chunk_words:
-            close()
-            part, size = [], 0
-        part.append((row["item"], words))
-        size += len(words)
-    if part:
-        close()
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return out.mapInArrow(_scanner(chunks, ","), "doc_id long, n_words long, n_hit long, n_items long, items string, items_sha256 string, contaminated boolean")
+    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).distinct()
+    windows = materialize(items.mapInArrow(_windower(window, shingle), WINDOWS), "windows")
+    sizes = sorted(r[0] for r in windows.select("n").distinct().collect())  # at most `window`
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+    own = materialize(windows.dropDuplicates(["n", "digest"]).select("n", "digest", "whole", F.explode("shingles").alias("s")).select("n", "digest", "whole", "s.*"), "shingles")
+    shingles = bloom_filter(own.select("token").distinct())
+    rarity = rows.select("text").mapInArrow(_counter(shingles, sorted({min(n, shingle) for n in sizes})), "token long, n long").groupBy("token").agg(F.sum("n").alias("rarity"))
+    rarity = materialize(rarity, "rarity")
+    first = F.min(F.struct(F.coalesce("rarity", F.lit(0)).alias("rarity"), "token", "offset")).alias("f")
+    index = materialize(own.join(rarity, "token", "left").groupBy("n", "digest", "whole").agg(first).select("n", "digest", "whole", "f.token", "f.offset"), "index")
+
+    prefix, whole = bloom_filter(index.select("token").distinct()), bloom_filter(index.select("whole"))
+    found = materialize(rows.mapInArrow(_finder(prefix, whole, sizes, shingle), FOUND), "found")
+    for used in (shingles, prefix, whole):
+        used.destroy()
+    asked = found.where(F.size("proposed") > 0).select("row_id", F.inline("proposed")).withColumn("salt", F.pmod("row_id", F.lit(SALTS)).cast("int"))
+    hits = asked.join(salted(index.drop("whole")), ["token", "offset", "n", "digest", "salt"]).select("row_id", "start", "n", "digest", "salt")
+    hits = materialize(hits, "hits")
+
+    before = F.max(F.col("start") + F.col("n")).over(Window.partitionBy("row_id").orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1))
+    new = F.greatest(F.lit(0), F.col("start") + F.col("n") - F.greatest("start", F.coalesce(before, F.lit(0))))
+    covered = hits.select("row_id", new.alias("new")).groupBy("row_id").agg(F.sum("new").alias("n_hit"))
+    owners = windows.select("n", "digest", "item").distinct()
+    owned = hits.select("row_id", "n", "digest", "salt").distinct().join(salted(owners), ["n", "digest", "salt"])
+    owned = owned.groupBy("row_id").agg(F.array_sort(F.collect_set("item")).alias("own"))
+    out = found.select("row_id", "doc_id", "n_words").join(covered, "row_id", "left").join(owned, "row_id", "left")
+    listed = F.coalesce(F.array_join("own", ","), F.lit(""))
+    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.when(F.col("own").isNull(), 0).otherwise(F.size("own")).cast("long").alias("n_items"), listed.alias("items"), F.sha2(listed, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
