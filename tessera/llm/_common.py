@@ -83,6 +83,10 @@ class WordHash(dict):
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
+    @staticmethod
+    def of_text(words: list[bytes]) -> int:
+        return hash_of(b" ".join(words))
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer that spreads every input bit over the 64 output bits."""

@@ -1,12 +1,13 @@
 """Stupid-backoff scores of documents from n-gram counts over the whole corpus.
 
-Words become numbers within blocks of documents. A block asks for the counts of
-its distinct n-grams; requests go to shards by the hash of the n-gram, where equal
-ones meet and are summed, and the sums go back to the block. Rows between stages
-hold compressed arrays, one for each block and shard, and no n-gram is shuffled more than
-once a block, however frequent. The score of a word is its n-gram's count over its
-context's, or `alpha` times the score of the next shorter n-gram where the count
-is below `least`; a document's score is the sum of their logarithms.
+Documents are read in blocks. A block sends its distinct n-grams and their numbers to
+the shards of their hashes, where those of all blocks meet: the count table, sorted by
+n-gram, is summed there, and joined back to the blocks that asked. Rows between stages
+hold compressed arrays, one for each block and shard, so that no n-gram is shuffled more
+than once a block, however frequent; a row for each n-gram of each document would
+exceed the disk. The score of a word is its n-gram's count over its context's, or
+`alpha` times the score of the next shorter n-gram where the count is below `least`; a
+document's score is the sum of their logarithms.
 """
 
 from __future__ import annotations
@@ -15,47 +16,56 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import WordHash, materialize, mix, ngram_hashes, spread, squeezed, steps, summed, utf8_column
+from tessera.llm._common import WordHash, lean, materialize, mix, ngram_hashes, spread, squeezed, steps, summed, utf8_column
 
+BLOCK = "block long, ids array<long>, sizes array<int>, words binary"
+ASKED = "shard int, block long, keys binary, counts binary, large binary"
+#: Words of a block and shard, and documents of a block.
+BLOCK_WORDS = 1 << 20
+SHARD_WORDS = 1 << 20
 
-def _blocker(block_words: int):
-    """Blocks of documents: ids, lengths, distinct word hashes and word places."""
-    names = ["block", "ids", "missing", "sizes", "vocabulary", "places"]
-    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
 
-    def run(batches):
-        hashes = WordHash()
-        ids, sizes, words, total = [], [], [], 0
-
-        def flush():
-            joined = np.concatenate([*words, np.zeros(0, np.uint64)])
-            own, places = np.unique(joined, return_inverse=True)
-            key = mix(np.array([len(ids), len(joined), *(0 if x is None else x & ((1 << 64) - 1) for x in ids), int(joined.sum(dtype=np.uint64))], np.uint64))
-            block = int(np.bitwise_xor.reduce(mix(key + np.arange(len(key), dtype=np.uint64))).view(np.int64))
-            row = [block, [x or 0 for x in ids], [x is None for x in ids], sizes, steps(own), squeezed(places.astype(np.uint32))]
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names)
-
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), utf8_column(batch.column(1)), strict=True):
-                own = hashes.of((text or b"").lower().split())
+def blocks_of(batches, block_words: int):
+    """(block, ids, words of each document) of some block_words words; a block's number comes from its content.
+
+    The same rows in the same order give the same blocks again.
+    """
+    ids, docs, total = [], [], 0
+
+    def closed() -> tuple[int, list, list[list[bytes]]]:
+        content = [(x or 0) & ((1 << 64) - 1) for x in ids] + [len(x) for x in docs] + [sum(x is None for x in ids), *(WordHash.of_text(x) for x in docs)]
+        key = mix(np.array(content, np.uint64) + mix(np.arange(len(content), dtype=np.uint64)))
+        return int(np.bitwise_xor.reduce(key).view(np.int64)), ids, docs
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            for doc, text in zip(part.column(0).to_pylist(), utf8_column(part.column(1)), strict=True):
+                own = (text or b"").lower().split()
                 ids.append(doc)
-                sizes.append(len(own))
-                words.append(own)
+                docs.append(own)
                 total += len(own)
                 if total >= block_words or len(ids) >= block_words:
-                    yield flush()
-                    ids, sizes, words, total = [], [], [], 0
-        if ids:
-            yield flush()
+                    yield closed()
+                    ids, docs, total = [], [], 0
+    if ids:
+        yield closed()
 
-    return run
 
+def _blocker(block_words: int):
+    @lean
+    def run(batches):
+        press = zstandard.ZstdCompressor(level=3)
+        for block, ids, docs in blocks_of(batches, block_words):
+            words = press.compress(b" ".join(b" ".join(x) for x in docs if x))
+            row = ([block], [ids], [[len(x) for x in docs]], [words])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()), strict=True)], ["block", "ids", "sizes", "words"])
 
-def block_words_of(vocabulary: bytes, places: bytes) -> np.ndarray:
-    return summed(vocabulary)[spread(places, np.uint32)]
+    return run
 
 
 def grams(words: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarray]:
@@ -71,19 +81,22 @@ def grams(words: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
-def _asker(order: int, shards: int):
+def _asker(order: int, shards: int, block_words: int):
+    @lean
     def run(batches):
-        for batch in batches:
-            for block, sizes, vocabulary, places in zip(*(batch.column(k).to_pylist() for k in (0, 3, 4, 5)), strict=True):
-                words = block_words_of(vocabulary, places)
-                asked = np.concatenate([x[x > 0] for x in grams(words, np.array(sizes, np.int64), order)])
-                keys, counts = np.unique(asked, return_counts=True)
-                # the high bits choose the shard, so that a shard's keys stay in order
-                cuts = np.searchsorted((keys >> np.uint64(32)).astype(np.int64) * shards >> 32, np.arange(shards + 1))
-                some = [k for k in range(shards) if cuts[k] < cuts[k + 1]]
-                counted = [packed(counts[cuts[k] : cuts[k + 1]]) for k in some]
+        hashes = WordHash()
+        for block, _, docs in blocks_of(batches, block_words):
+            words = np.concatenate([*(hashes.of(x) for x in docs), np.zeros(0, np.uint64)])
+            asked = np.concatenate([x[x > 0] for x in grams(words, np.array([len(x) for x in docs], np.int64), order)])
+            keys, counts = np.unique(asked, return_counts=True)
+            # the high bits choose the shard, so that a shard's keys stay in order
+            cuts = np.searchsorted((keys >> np.uint64(32)).astype(np.int64) * shards >> 32, np.arange(shards + 1))
+            some = np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()
+            for low in range(0, len(some), 256):
+                own = some[low : low + 256]
+                counted = [packed(counts[cuts[k] : cuts[k + 1]]) for k in own]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([steps(keys[cuts[k] : cuts[k + 1]]) for k in some], pa.binary()),
+                    pa.array(own, pa.int32()), pa.array([block] * len(own), pa.int64()), pa.array([steps(keys[cuts[k] : cuts[k + 1]]) for k in own], pa.binary()),
                     pa.array([x[0] for x in counted], pa.binary()), pa.array([x[1] for x in counted], pa.binary()),
                 ], ["shard", "block", "keys", "counts", "large"])
 
@@ -117,27 +130,32 @@ def _summer(table: pa.Table) -> pa.Table:
     return pa.table({"block": table["block"], "shard": table["shard"], "counts": pa.array([a for a, _ in answers], pa.binary()), "large": pa.array([b for _, b in answers], pa.binary())})
 
 
-def _scorer(order: int, alpha: float, least: int, total_words: int):
+def _scorer(order: int, alpha: float, least: int):
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        """A block (or copies of one) and the sums for its n-grams, shard by shard."""
+        """A block (or copies of one) and the sums for its n-grams, shard by shard.
+
+        score leaves out the number of all words, which n_alone words are to be divided by.
+        """
         right = right.take(pa.compute.sort_indices(right, [("shard", "ascending")]))
-        copies = left.num_rows
         sums = sums_of_first(right) if right.num_rows else np.zeros(0, np.int64)  # equal blocks ask alike; one answer serves them
-        ids, missing, sizes = (left[c][0].as_py() for c in ("ids", "missing", "sizes"))
-        sizes = np.array(sizes, np.int64)
-        words = block_words_of(left["vocabulary"][0].as_py(), left["places"][0].as_py())
+        ids, sizes = left["ids"][0].as_py(), np.array(left["sizes"][0].as_py(), np.int64)
+        words = WordHash().of(zstandard.ZstdDecompressor().decompress(left["words"][0].as_py()).split())
         own = grams(words, sizes, order)
         keys = np.unique(np.concatenate([x[x > 0] for x in own])) if len(words) else np.zeros(0, np.uint64)
-        count = [np.where(x > 0, sums[np.minimum(np.searchsorted(keys, x), max(0, len(keys) - 1))], 0) if len(keys) else x.astype(np.int64) for x in own]
-        value = np.log(np.maximum(count[0], 1) / max(1, total_words))
+        if len(keys) != len(sums):
+            raise ValueError("a block's n-grams differ from those that it asked for: its rows must read the same twice")
+        count = [np.where(x > 0, sums[np.searchsorted(keys, np.maximum(x, keys[:1]))], 0) if len(keys) else x.astype(np.int64) for x in own]
+        value, alone = np.log(np.maximum(count[0], 1)), np.ones(len(words), bool)
         for n in range(2, order + 1):
             context = np.concatenate([[0], count[n - 2][:-1]])
-            seen = (own[n - 1] > 0) & (count[n - 1] >= least)
-            value = np.where(seen, np.log(np.maximum(count[n - 1], 1) / np.maximum(context, 1)), np.where(own[n - 1] > 0, value + math.log(alpha), value))
+            there = own[n - 1] > 0
+            seen = there & (count[n - 1] >= least)
+            value = np.where(seen, np.log(np.maximum(count[n - 1], 1) / np.maximum(context, 1)), np.where(there, value + math.log(alpha), value))
+            alone &= ~seen
         doc = np.repeat(np.arange(len(sizes)), sizes)
-        scores = np.bincount(doc, value, len(sizes))
-        ids = [None if m else x for x, m in zip(ids, missing, strict=True)] * copies
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(np.tile(sizes, copies)), "score": pa.array(np.tile(scores, copies))})
+        scores, single = np.bincount(doc, value, len(sizes)), np.bincount(doc, alone, len(sizes)).astype(np.int64)
+        copies = left.num_rows
+        return pa.table({"doc_id": pa.array(ids * copies, pa.int64()), "n_words": pa.array(np.tile(sizes, copies)), "score": pa.array(np.tile(scores, copies)), "n_alone": pa.array(np.tile(single, copies))})
 
     def sums_of_first(right: pa.Table) -> np.ndarray:
         shard = right["shard"].to_numpy()
@@ -148,7 +166,7 @@ def _scorer(order: int, alpha: float, least: int, total_words: int):
     return score
 
 
-def stupid_backoff(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 2, alpha: float = 0.4, least: int = 2, block_words: int = 1_000_000, shard_words: int = 1_000_000, shards: int | None = None) -> DataFrame:
+def stupid_backoff(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 3, alpha: float = 0.4, least: int = 2, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, shards: int | None = None) -> DataFrame:
     """doc_id, n_words, score, mean_score of every row of docs.
 
     Words are runs between ASCII white space, A-Z in lower case. Counts are over all
@@ -158,13 +176,19 @@ def stupid_backoff(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     mean. The first words of a document have shorter n-grams without that factor.
 
     Texts that are null or without words have n_words 0, score 0 and a null
-    mean_score. Repeated rows get a row each. There is a shard for every
-    shard_words words by default, so that tasks stay bounded.
+    mean_score. Repeated rows get a row each; a null id stays null. An empty table
+    gives an empty result. A text longer than a block is a block of its own, in one
+    task's memory. There is a shard for every shard_words words of some 6 bytes, with no
+    upper limit, so that tasks stay bounded. docs is read twice and must give the same
+    rows in the same order, as files do. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = materialize(rows.mapInArrow(_blocker(block_words), "block long, ids array<long>, missing array<boolean>, sizes array<int>, vocabulary binary, places binary"), "blocks")
-    total = blocks.agg(F.sum(F.expr("aggregate(sizes, 0L, (s, x) -> s + x)"))).first()[0]
-    asked = blocks.mapInArrow(_asker(order, shards or max(12, min(1 << 20, int(total or 0) // shard_words))), "shard int, block long, keys binary, counts binary, large binary")
+    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    asked = rows.mapInArrow(_asker(order, shards or max(12, int(n_bytes) // 6 // shard_words), block_words), ASKED)
     sums = asked.groupBy("shard").applyInArrow(_summer, "block long, shard int, counts binary, large binary")
-    scored = blocks.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(_scorer(order, alpha, least, int(total or 0)), "doc_id long, n_words long, score double")
+    blocks = rows.mapInArrow(_blocker(block_words), BLOCK)
+    scored = blocks.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(_scorer(order, alpha, least), "doc_id long, n_words long, score double, n_alone long")
+    scored = materialize(scored, "scored")
+    total = scored.agg(F.sum("n_words")).first()[0] or 1
+    scored = scored.select("doc_id", "n_words", (F.col("score") - F.col("n_alone") * math.log(max(1, total))).alias("score"))
     return scored.withColumn("mean_score", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")))

@@ -68,11 +68,15 @@ ORACLE = {
     "op2_stupid_backoff": rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all({FOLDED}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
 t AS (SELECT r, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM d),
-g AS (SELECT r, i, w, lag(w) OVER (PARTITION BY r ORDER BY i) AS p FROM t),
+g AS (SELECT r, i, w, lag(w) OVER (PARTITION BY r ORDER BY i) AS p, lag(w, 2) OVER (PARTITION BY r ORDER BY i) AS q FROM t),
 c1 AS (SELECT w, count(*) AS n FROM t GROUP BY w),
 c2 AS (SELECT p, w, count(*) AS n FROM g WHERE p IS NOT NULL GROUP BY p, w),
-s AS (SELECT r, sum(CASE WHEN g.p IS NULL THEN ln(c1.n / (SELECT count(*) FROM t)) WHEN c2.n >= 2 THEN ln(c2.n / cp.n) ELSE ln(c1.n / (SELECT count(*) FROM t)) + ln(0.4) END) AS score
-      FROM g JOIN c1 ON c1.w = g.w LEFT JOIN c2 ON c2.p = g.p AND c2.w = g.w LEFT JOIN c1 cp ON cp.w = g.p GROUP BY r)
+c3 AS (SELECT q, p, w, count(*) AS n FROM g WHERE q IS NOT NULL GROUP BY q, p, w),
+two AS (SELECT g.*, c2.n AS n2, ln(c1.n / (SELECT count(*) FROM t)) AS s1, ln(c2.n / cp.n) AS s2
+        FROM g JOIN c1 ON c1.w = g.w LEFT JOIN c2 ON c2.p = g.p AND c2.w = g.w LEFT JOIN c1 cp ON cp.w = g.p),
+three AS (SELECT r, CASE WHEN two.p IS NULL THEN s1 WHEN n2 >= 2 THEN s2 ELSE s1 + ln(0.4) END AS shorter, c3.n AS n3, ln(c3.n / cq.n) AS s3
+          FROM two LEFT JOIN c3 ON c3.q = two.q AND c3.p = two.p AND c3.w = two.w LEFT JOIN c2 cq ON cq.p = two.q AND cq.w = two.p),
+s AS (SELECT r, sum(CASE WHEN n3 IS NULL THEN shorter WHEN n3 >= 2 THEN s3 ELSE shorter + ln(0.4) END) AS score FROM three GROUP BY r)
 SELECT doc_id, CAST(len(d.w) AS BIGINT) AS n_words, round(coalesce(score, 0), 4) AS score, round(score / len(d.w), 4) AS mean_score FROM d LEFT JOIN s ON s.r = d.r""",
     "op6_decontamination": rf"""
 WITH d AS (SELECT doc_id, coalesce(regexp_extract_all({FOLDED}, '{ITEM_WORDS}'), []) AS w FROM documents),

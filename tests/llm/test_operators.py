@@ -292,13 +292,13 @@ def brute_contamination(docs, items, n=10):
     return sorted(out)
 
 
-@pytest.mark.parametrize("chunk", [400_000, 60])
-def test_contamination(spark, odd, empty, chunk):
+@pytest.mark.parametrize("shingle", [3, 1])
+def test_contamination(spark, odd, empty, shingle):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     more = [(900, "One, TWO!"), (901, None), (902, "--"), (None, "one two"), (900, "one two"), (903, " ".join(["the"] * 12)), (904, "é ü é ü é ü é ü é ü é")]
     items = bench.union(spark.createDataFrame(more, "item_id long, text string"))
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(odd.select("doc_id", "text")).union(spark.createDataFrame([(70_000, "the " * 30), (70_001, "a one-two b")], "doc_id long, text string"))
-    got = decontam.contamination(docs, items, chunk_words=chunk).drop("items").collect()
+    got = decontam.contamination(docs, items, shingle=shingle).drop("items").collect()
     assert sorted((str(r[0]), *r[1:]) for r in got) == brute_contamination(pairs(docs), [tuple(r) for r in items.collect()])
     assert any(r["contaminated"] for r in got)
     assert decontam.contamination(empty, bench).count() == 0
