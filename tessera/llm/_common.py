@@ -5,48 +5,22 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.tables import shared_dir as shared_dir
+from tessera.operators.tables import stored as materialize
+
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 MASK64 = (1 << 64) - 1
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: spark.checkpoint.dir.
-
-    Only a single-machine session (tests) may lack it; it then gets a temporary one.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back.
-
-    Cuts lineage so that a lost executor costs a reread, and gives later joins
-    two plain exchanges, which AQE can split where a key is hot.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def lean(run):
     """A function over batches that gives its memory back to the system when a task ends; workers outlive tasks."""
 
@@ -138,8 +112,10 @@ def _bloom_rows(size: int):
     def run(batches):
         bits = np.zeros(size // 8, np.uint8)
         for batch in batches:
-            for at in _places(batch.column(0).to_numpy(), size):
-                np.bitwise_or.at(bits, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
+            ids = batch.column(0)
+            for own in [ids.to_numpy()] if pa.types.is_integer(ids.type) else (np.frombuffer(x, np.int64) for x in ids.to_pylist()):
+                for at in _places(own, size):
+                    np.bitwise_or.at(bits, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
         words = bits.view(np.int64)
         at = np.flatnonzero(words)
         for low in range(0, len(at), 1 << 16):
@@ -150,9 +126,9 @@ def _bloom_rows(size: int):
 
 
 def bloom_filter(ids: DataFrame, most_bits: int = 1 << 27) -> Broadcast:
-    """Bits for a column of ids, ten each or more up to most_bits (16 MB); beyond, more ids pass by chance."""
+    """Bits for a column of ids, or of packed arrays of them: ten each or more up to most_bits (16 MB); beyond, more ids pass by chance."""
     size = 1 << 20
-    n = ids.count()
+    n = ids.count() if ids.dtypes[0][1] == "bigint" else int(ids.agg(F.sum(F.octet_length(ids.columns[0]))).first()[0] or 0) // 8
     while size < min(10 * n, most_bits):
         size *= 2
     rows = ids.mapInArrow(_bloom_rows(size), "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
