@@ -20,7 +20,8 @@ from tessera.operators import list_proofs, proofs, spatial_tree
 from tessera.operators.mmr import mmr_nodes
 from tessera.operators.tables import stored
 from tessera.plans import authenticated as auth
-from tessera.plans.queries import statement, updated
+from tessera.plans.engine import statement
+from tessera.plans.queries import updated
 from tessera.plans.world import matrix, world
 
 LABELS = {60: "1min", 1800: "30min", 3600: "1h", 14400: "4h", 43200: "12h", 86400: "24h"}

@@ -8,24 +8,59 @@ in the hashes are fixed values of the record formats.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from tessera.functions.dialect import overlaps, segment_hits
 
 
+class Made(str):
+    """SQL of an expression that in Spark an operator makes, from the expression that source names."""
+
+    source: str
+
+
+class Rank(Made):
+    """Ranks r from 0 by a total order: tables.ranked."""
+
+    select: str
+    order: str
+
+
+class Mmr(Made):
+    """Nodes of the edges' MMRs over the entries in source, in an order: mmr.ordered_nodes."""
+
+    order: str
+
+
+class Levels(Made):
+    """All levels of a packed tree over the leaves in source, up to that with one node."""
+
+    up: Callable[[str], str]
+
+
+def made(kind: type, sql: str, **parts) -> str:
+    out = kind(sql)
+    for name, value in parts.items():
+        setattr(out, name, value)
+    return out
+
+
 def rank(select: str, source: str, order: str) -> str:
-    """The select with ranks r from 0 by a total order; Spark's form is tables.ranked on the parts of this text."""
-    return f"SELECT {select}, CAST(row_number() OVER (ORDER BY {order}) - 1 AS BIGINT) AS r FROM {source}"
+    """The select with ranks r from 0 by a total order."""
+    return made(Rank, f"SELECT {select}, CAST(row_number() OVER (ORDER BY {order}) - 1 AS BIGINT) AS r FROM {source}", select=select, source=source, order=order)
 
 
-def mmr(d, levels: int, source: str = "entries", prefix: str = "") -> list[tuple[str, str]]:
+def mmr(d, levels: int, source: str = "entries", prefix: str = "", order: str = "start_ts, end_ts, tid") -> list[tuple[str, str]]:
+    """Nodes, peaks and roots of the edges' MMRs; order: of an edge's entries, by default the sorted one."""
     p = prefix
-    out = [(f"{p}leaf0", f"SELECT eid, row_number() OVER (PARTITION BY eid ORDER BY start_ts, end_ts, tid) - 1 AS j, {d.sha('tid', d.u32('start_ts'), d.u32('end_ts'))} AS hash, start_ts AS lo, end_ts AS hi FROM {source}")]
+    out = [(f"{p}leaf0", f"SELECT eid, row_number() OVER (PARTITION BY eid ORDER BY {order}) - 1 AS j, {d.sha('tid', d.u32('start_ts'), d.u32('end_ts'))} AS hash, start_ts AS lo, end_ts AS hi FROM {source}")]
     for h in range(1, levels + 1):
         pair = lambda c: f"max(CASE WHEN j % 2 = 0 THEN {c} END)", lambda c: f"max(CASE WHEN j % 2 = 1 THEN {c} END)"
         parts = [f(x) for f in pair for x in ("hash", d.u32("lo"), d.u32("hi"))]
         out.append((f"{p}leaf{h}", f"SELECT eid, {d.idiv('j', 2)} AS j, {d.sha(*parts)} AS hash, min(lo) AS lo, max(hi) AS hi FROM {p}leaf{h - 1} GROUP BY eid, {d.idiv('j', 2)} HAVING count(*) = 2"))
     every = " UNION ALL ".join(f"SELECT eid, CAST({h} AS BIGINT) AS h, j, hash, lo, hi FROM {p}leaf{h}" for h in range(levels + 1))
     last = f"((j + 1) * {d.pow2('h')} - 1)"
-    out.append((f"{p}mmr", f"SELECT eid, h, j, 2 * {last} - {d.bits(last)} + h AS pos, hash, lo, hi FROM ({every}) every_level"))
+    out.append((f"{p}mmr", made(Mmr, f"SELECT eid, h, j, 2 * {last} - {d.bits(last)} + h AS pos, hash, lo, hi FROM ({every}) every_level", source=source, order=order)))
     out.append((f"{p}mmr_k", f"SELECT eid, count(*) AS k FROM {source} GROUP BY eid"))
     out.append((f"{p}peaks", f"SELECT m.eid, k, h, j, hash, lo, hi FROM {p}mmr m JOIN {p}mmr_k USING (eid) WHERE {d.shift('k', 'h')} % 2 = 1 AND j = {d.shift('k', 'h + 1')} * 2"))
     out.append((f"{p}roots", f"SELECT eid, k, {d.sha(d.u32('k'), d.ordered(f'concat(hash, {d.u32("lo")}, {d.u32("hi")})', '-h'))} AS root, min(lo) AS lo, max(hi) AS hi FROM {p}peaks GROUP BY eid, k"))
@@ -63,17 +98,20 @@ def btree(d, key: str, cap: int, fanout: int, levels: int, leaf: str | None = No
         (f"{key}_records", f"SELECT {leaf} AS idx, r, tid, {entry} AS record FROM {key}_rank"),
         (f"{key}_level0", f"SELECT {leaf} AS idx, {d.sha(d.text_hex('THREE-MBT-LEAF-v1'), d.u64('count(*)'), d.ordered(entry, 'r'))} AS hash, min(CAST({key} AS DOUBLE)) AS lo, max(CAST({key} AS DOUBLE)) AS hi FROM {key}_rank GROUP BY {leaf}"),
     ]
-    for h in range(1, levels + 1):
-        child = f"concat(lox, hix, {d.u64(32)}, hash)"
-        out.append((f"{key}_level{h}", f"SELECT {d.idiv('idx', fanout)} AS idx, {d.sha(d.text_hex('THREE-MBT-INTERNAL-v1'), d.u64('count(*)'), d.ordered(child, 'idx'))} AS hash, min(lo) AS lo, max(hi) AS hi FROM (SELECT idx, hash, lo, hi, {d.f64('lo')} AS lox, {d.f64('hi')} AS hix FROM {key}_level{h - 1}) children GROUP BY {d.idiv('idx', fanout)}"))
-    return [*out, *tree_top(key, levels, "idx, hash, lo, hi")]
+    child = f"concat(lox, hix, {d.u64(32)}, hash)"
+    up = lambda below: f"SELECT {d.idiv('idx', fanout)} AS idx, {d.sha(d.text_hex('THREE-MBT-INTERNAL-v1'), d.u64('count(*)'), d.ordered(child, 'idx'))} AS hash, min(lo) AS lo, max(hi) AS hi FROM (SELECT idx, hash, lo, hi, {d.f64('lo')} AS lox, {d.f64('hi')} AS hix FROM {below}) children GROUP BY {d.idiv('idx', fanout)}"
+    return [*out, *tree_top(key, levels, "idx, hash, lo, hi", up)]
+
 
+def tree_top(prefix: str, levels: int, columns: str, up: Callable[[str], str]) -> list[tuple[str, str]]:
+    """Nodes up to the first level that has one node, which is the root's; up: SQL of the level above the one named.
 
-def tree_top(prefix: str, levels: int, columns: str) -> list[tuple[str, str]]:
-    """Nodes up to the first level that has one node, which is the root's."""
+    DuckDB's text has a fixed number of levels; Spark goes up until one node is left.
+    """
     every = " UNION ALL ".join(f"SELECT CAST({h} AS BIGINT) AS h, {columns} FROM {prefix}_level{h}" for h in range(levels + 1))
     return [
-        (f"{prefix}_levels", every),
+        *((f"{prefix}_level{h}", up(f"{prefix}_level{h - 1}")) for h in range(1, levels + 1)),
+        (f"{prefix}_levels", made(Levels, every, source=f"{prefix}_level0", up=up)),
         (f"{prefix}_top", f"SELECT min(h) AS top FROM (SELECT h FROM {prefix}_levels GROUP BY h HAVING count(*) = 1) single"),
         (f"{prefix}_nodes", f"SELECT l.* FROM {prefix}_levels l JOIN {prefix}_top ON l.h <= top"),
         (f"{prefix}_rootnode", f"SELECT l.* FROM {prefix}_levels l JOIN {prefix}_top ON l.h = top"),
@@ -106,9 +144,40 @@ def rtree(d, cap: int, fanout: int, levels: int, leaf: str | None = None) -> lis
         ("rt_records", f"SELECT {leaf or d.idiv('r', cap)} AS idx, r, tid, ts, {record} AS record, lon AS x0, lat AS y0, lon AS x1, lat AS y1 FROM morton_rank"),
         ("rt_level0", f"SELECT idx, {d.sha(d.text_hex('L'), d.little(d.u32('count(*)')), d.ordered('record', 'r'))} AS hash, {box} FROM rt_records GROUP BY idx"),
     ]
-    for h in range(1, levels + 1):
-        up = d.idiv("idx", fanout)
-        out.append((f"rt_level{h}", f"SELECT {up} AS idx, {d.sha(d.text_hex('I'), d.little(d.u16('count(*)')), d.ordered('child', 'idx'))} AS hash, {box} FROM (SELECT idx, concat({corners}, hash) AS child, x0, y0, x1, y1 FROM rt_level{h - 1}) children GROUP BY {up}"))
-    out += tree_top("rt", levels, "idx, hash, x0, y0, x1, y1")
+    over = d.idiv("idx", fanout)
+    up = lambda below: f"SELECT {over} AS idx, {d.sha(d.text_hex('I'), d.little(d.u16('count(*)')), d.ordered('child', 'idx'))} AS hash, {box} FROM (SELECT idx, concat({corners}, hash) AS child, x0, y0, x1, y1 FROM {below}) children GROUP BY {over}"
+    out += tree_top("rt", levels, "idx, hash, x0, y0, x1, y1", up)
     out.append(("rt_root", f"SELECT {d.sha(d.text_hex('R'), *map(f, ('x0', 'y0', 'x1', 'y1')), 'hash')} AS root FROM rt_rootnode"))
     return out
+
+
+def fine_points(d, candidates: str) -> list[tuple[str, str]]:
+    """Exact answer over points: candidates (query_id, tid) whose path between their points, clipped to the window in time, meets the rectangle.
+
+    Points are in order of time; where a clipped end is a point itself, it's that point, also of
+    pairs without duration. A trajectory of one point is that point.
+    """
+    at = lambda c, t: f"p.{c}0 + (p.{c}1 - p.{c}0) * (({t} - p.t0) / CAST(p.t1 - p.t0 AS DOUBLE))"
+    low, high = "greatest(p.t0, w.q_start)", "least(p.t1, w.q_end)"
+    ends = ", ".join([*(f"CASE WHEN {low} = p.t0 THEN p.{c}0 ELSE {at(c, low)} END AS {c}0" for c in ("lon", "lat")), *(f"CASE WHEN {high} = p.t1 THEN p.{c}1 ELSE {at(c, high)} END AS {c}1" for c in ("lon", "lat"))])
+    nxt = lambda c: f"lead({c}) OVER (PARTITION BY tid ORDER BY ts, point_id)"
+    return [
+        ("path_pairs", f"SELECT tid, ts AS t0, lon AS lon0, lat AS lat0, {nxt('ts')} AS t1, {nxt('lon')} AS lon1, {nxt('lat')} AS lat1, count(*) OVER (PARTITION BY tid) AS n FROM points"),
+        ("paths", "SELECT tid, t0, lon0, lat0, coalesce(t1, t0) AS t1, coalesce(lon1, lon0) AS lon1, coalesce(lat1, lat0) AS lat1 FROM path_pairs WHERE t1 IS NOT NULL OR n = 1"),
+        ("clipped_paths", f"SELECT w.*, p.tid, {ends} FROM {candidates} c JOIN windows w ON w.query_id = c.query_id JOIN paths p ON p.tid = c.tid AND {overlaps('p.t0', 'p.t1', 'w.q_start', 'w.q_end')}"),
+        ("exact_points", f"SELECT DISTINCT query_id, tid FROM clipped_paths c WHERE {segment_hits('c.lon0', 'c.lat0', 'c.lon1', 'c.lat1', 'c')}"),
+    ]
+
+
+def point_candidates() -> list[tuple[str, str]]:
+    """Candidates of the point indexes: a point in each of the three ranges, and one point in all of them."""
+    within = lambda *keys: " AND ".join(f"p.{k} BETWEEN w.{a} AND w.{b}" for k, a, b in keys)
+    lon, lat, ts = ("lon", "min_lon", "max_lon"), ("lat", "min_lat", "max_lat"), ("ts", "q_start", "q_end")
+    one = lambda *keys: f"SELECT w.query_id, p.tid FROM windows w JOIN points p ON {within(*keys)}"
+    return [
+        ("three_way", " INTERSECT ".join(one(k) for k in (lon, lat, ts))),
+        ("in_box", f"SELECT DISTINCT * FROM ({one(lon, lat, ts)}) x"),
+    ]
+
+
+NORMAL = "SELECT query_id, least(min_lon, max_lon) AS min_lon, least(min_lat, max_lat) AS min_lat, greatest(min_lon, max_lon) AS max_lon, greatest(min_lat, max_lat) AS max_lat, q_start, q_end"

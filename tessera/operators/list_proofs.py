@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tessera.functions.dialect import Spark as d
 from tessera.functions.dialect import segment_hits
 from tessera.operators import chains
-from tessera.operators.proofs import ORDER, REPORT, Rejected, hits, in_order
+from tessera.operators.proofs import ORDER, REPORT, Rejected, hits, in_order, in_order_of_corners, normalized
 from tessera.operators.spatial_tree import BOX
 
 # Fixed values of the proof format: token types. Entries are a list of their own in it.
@@ -36,7 +36,7 @@ MEETS = "min_lon <= w.max_lon AND max_lon >= w.min_lon AND min_lat <= w.max_lat
 
 
 def _asked(windows: DataFrame) -> DataFrame:
-    return windows.select("query_id", F.struct(*[F.col(c).cast("double").alias(c) for c in BOX]).alias("w"), F.col("q_start").cast("long"), F.col("q_end").cast("long"))
+    return normalized(windows).select("query_id", F.struct(*[F.col(c).cast("double").alias(c) for c in BOX]).alias("w"), F.col("q_start").cast("long"), F.col("q_end").cast("long"))
 
 
 def proof_tokens(tree: DataFrame, placed: DataFrame, ranked: DataFrame, states: DataFrame, road: DataFrame, windows: DataFrame) -> DataFrame:
@@ -82,7 +82,7 @@ class Verifier:
     """Takes tokens one by one, with the edge's own geometry test by the client's road copy."""
 
     def __init__(self, box: tuple, q_start: int, q_end: int) -> None:
-        self.box, self.start, self.end = box, q_start, q_end
+        self.box, self.start, self.end = in_order_of_corners(box), q_start, q_end
         self.nodes: list[bytes] = []
         self._clear()
         self.left, self.n_results = 0, 0
@@ -95,6 +95,7 @@ class Verifier:
             raise Rejected(why)
 
     def take(self, token: int, body: bytes, hit: bool | None) -> None:
+        self._need(self.start <= self.end, "the query ends before its start")
         self._need(token in FORMATS and len(body) == struct.calcsize(FORMATS[token]), "malformed token")
         v = struct.unpack(FORMATS[token], body)
         self._need((token == ENTRY) == (self.left > 0), "entries and lists don't fit")
@@ -108,7 +109,7 @@ class Verifier:
                 self._edge(v[1], v[2])
                 return
             _, self.total, shown, more, self.state = v
-            self._need(shown <= self.total and more == (shown < self.total), "an edge without its witness")
+            self._need(more in (0, 1) and shown <= self.total and more == (shown < self.total), "an edge without its witness")
             self._need(shown + more < self.total or self.state.hex() == chains.LIST_TAIL, "a list has a wrong tail")
             self.left, self.witness, self.before = shown + more, bool(more), None
             if not self.left:
@@ -137,10 +138,12 @@ class Verifier:
     def _node(self, token: int, v: tuple) -> None:
         box, rest = struct.pack(">dddd", *v[:4]), v[4:]
         meets = v[0] <= self.box[2] and v[2] >= self.box[0] and v[1] <= self.box[3] and v[3] >= self.box[1]
+        self._need(v[0] <= v[2] and v[1] <= v[3], "a box has its corners reversed")
         if token in (PRUNED_LEAF, PRUNED_INTERNAL):
             self._need(not meets and not self.n_edges, "a pruned node meets the window")
             below, n, group = b"".join(rest[:-2]), rest[-2], rest[-1]
         else:
+            self._need(meets, "a node is opened in vain")
             self._need(rest[0] == self.n_edges, "a node's edges differ from its record")
             below, n, group = b"", self.n_edges, self.group
             if token == INTERNAL:
@@ -151,6 +154,7 @@ class Verifier:
         self.nodes.append(hashlib.sha256(domain + box + below + struct.pack(">I", n) + group).digest())
 
     def finish(self, root: bytes) -> int:
+        self._need(self.start <= self.end, "the query ends before its start")
         self._need(len(self.nodes) == 1 and not self.left and not self.n_edges, "the proof is incomplete")
         self._need(self.nodes[0] == root, "the root differs")
         return self.n_results
@@ -194,6 +198,13 @@ def verify_report(tokens: DataFrame, road: DataFrame, windows: DataFrame, root:
     return in_order(own).select("query_id", "token", "body", "hit", "w", "q_start", "q_end").mapInPandas(stream, REPORT)
 
 
+def disclosed(tokens: DataFrame, windows: DataFrame) -> DataFrame:
+    """query_id and tid of the disclosed entries that overlap their window, from the tokens' own bytes."""
+    at = lambda k: F.conv(F.substring("body", k, 8), 16, 10).cast("long")
+    entries = tokens.where(F.col("token") == ENTRY).select("query_id", F.substring("body", 9, 64).alias("tid"), at(73).alias("start"), at(81).alias("end"))
+    return entries.join(windows.select("query_id", "q_start", "q_end"), "query_id").where("start <= q_end AND end >= q_start").select("query_id", "tid").distinct()
+
+
 def sizes(tokens: DataFrame) -> DataFrame:
     """Bytes of each query's proof file with its entries, and their numbers."""
     entry = F.col("token") == ENTRY

@@ -34,13 +34,20 @@ WINDOW = [*BOX, "q_start", "q_end"]
 ORDER = ["place", "of_node", "eid", "phase", "pos"]
 
 
+def normalized(windows: DataFrame) -> DataFrame:
+    """windows with the corners of their boxes in order."""
+    low = {c: F.least(c, c.replace("min", "max")).alias(c) for c in BOX[:2]}
+    high = {c: F.greatest(c, c.replace("max", "min")).alias(c) for c in BOX[2:]}
+    return windows.select(*[(low | high).get(c, F.col(c)) for c in windows.columns])
+
+
 def proof_tokens(tree: DataFrame, records: DataFrame, mmr: DataFrame, leaves: DataFrame, windows: DataFrame) -> DataFrame:
     """query_id, the order columns, token, body, and tid, start_ts, end_ts of result slots.
 
     tree, records: of spatial_tree.sem_tree; mmr: mmr.mmr_nodes; leaves: mmr.numbered;
     windows: query_id, box, q_start, q_end, a stated set of queries.
     """
-    w = windows.select("query_id", *[F.col(c).alias(f"w_{c}") for c in BOX], "q_start", "q_end")
+    w = normalized(windows).select("query_id", *[F.col(c).alias(f"w_{c}") for c in BOX], "q_start", "q_end")
     misses = f"NOT (min_lon <= w_max_lon AND max_lon >= w_min_lon AND min_lat <= w_max_lat AND max_lat >= w_min_lat) OR (lo = {EMPTY_LO} AND hi = {EMPTY_HI}) OR NOT {overlaps('lo', 'hi', 'q_start', 'q_end')}"
     seen = tree.join(w).withColumn("open", F.expr(f"path = '' OR NOT ({misses})"))
     parents = seen.where("open AND NOT leaf").select("query_id", F.col("path").alias("parent"))
@@ -100,11 +107,16 @@ def hits(x0: float, y0: float, x1: float, y1: float, box: tuple) -> bool:
     return low <= high
 
 
+def in_order_of_corners(box: tuple) -> tuple:
+    x0, y0, x1, y1 = box
+    return min(x0, x1), min(y0, y1), max(x0, x1), max(y0, y1)
+
+
 class Verifier:
     """Takes tokens one by one; finish() compares the rebuilt root with the trusted one."""
 
     def __init__(self, box: tuple, q_start: int, q_end: int) -> None:
-        self.box, self.start, self.end = box, q_start, q_end
+        self.box, self.start, self.end = in_order_of_corners(box), q_start, q_end
         self.nodes: list[tuple] = []
         self.mmr: list[tuple] = []
         self.found: list[tuple] = []
@@ -120,6 +132,7 @@ class Verifier:
             raise Rejected(why)
 
     def take(self, token: int, body: bytes, entry: tuple | None = None) -> None:
+        self._need(self.start <= self.end, "the query ends before its start")
         self._need(token in FORMATS and len(body) == struct.calcsize(FORMATS[token]), "malformed token")
         v, self.last = struct.unpack(FORMATS[token], body), token
         if token in (NODE_PRUNED, NODE_LEAF, NODE_INTERNAL):
@@ -133,11 +146,13 @@ class Verifier:
 
     def _part(self, token: int, v: tuple, entry: tuple | None) -> None:
         if token == MMR_PRUNED:
+            self._need(v[1] <= v[2], "a part ends before its start")
             self._need(not self._meets(v[1], v[2]), "a pruned part meets the window")
             self.mmr.append(v)
         elif token == RESULT_SLOT:
             self._need(entry is not None, "a result is missing")
             eid, tid, lo, hi = entry
+            self._need(len(tid) == 32 and lo <= hi, "a result ends before its start")
             self._need(self._meets(lo, hi), "a result misses the window")
             self._need(not self.found or self.found[0] == eid, "results of two edges in one")
             self.found = [eid]
@@ -156,6 +171,7 @@ class Verifier:
     def _edge(self, token: int, v: tuple, body: bytes) -> None:
         eid, *ends, k, lo, hi = v[:8]
         self._need(not self.mmr and eid > self.last_eid, "edges out of order")
+        self._need(k == 0 or (lo != EMPTY_LO and lo <= hi), "an edge ends before its start")
         needed = k > 0 and self._meets(lo, hi) and hits(*ends, self.box)
         if token == EDGE_OPAQUE:
             self._need(self.edge_root is None and not needed, "an edge that matters isn't opened")
@@ -190,6 +206,7 @@ class Verifier:
 
     def finish(self, root: bytes) -> int:
         """Number of results of a proof that holds."""
+        self._need(self.start <= self.end, "the query ends before its start")
         self._need(len(self.nodes) == 1 and not self.in_leaf and not self.mmr and self.edge_root is None, "the proof is incomplete")
         self._need(self.last in (NODE_LEAF, NODE_INTERNAL), "the root isn't opened")
         self._need(self.nodes[0][0] == root, "the root differs")
@@ -242,6 +259,23 @@ def verify_report(tokens: DataFrame, windows: DataFrame, root: str) -> DataFrame
     return rows.select("query_id", "token", "body", "eid", "tid", "start_ts", "end_ts", "w").mapInPandas(stream, REPORT)
 
 
+def with_claims(report: DataFrame, derived: DataFrame, claimed: DataFrame) -> DataFrame:
+    """report, with a refusal of queries whose claimed candidates aren't those that the proof discloses.
+
+    derived, claimed: query_id, tid.
+    """
+    own, other = (df.select("query_id", "tid").distinct() for df in (derived, claimed))
+    apart = own.withColumn("a", F.lit(1)).join(other.withColumn("b", F.lit(1)), ["query_id", "tid"], "full_outer").where("a IS NULL OR b IS NULL").select("query_id").distinct().withColumn("differs", F.lit(True))
+    out = report.join(apart, "query_id", "left").withColumn("differs", F.coalesce("differs", F.lit(False)))
+    wrong = F.when(F.col("accepted") & F.col("differs"), F.lit("the claimed candidates differ")).otherwise(F.col("reason"))
+    return out.withColumn("reason", wrong).withColumn("accepted", F.col("accepted") & ~F.col("differs")).select(report.columns)
+
+
+def disclosed(tokens: DataFrame) -> DataFrame:
+    """query_id and tid of the results in proofs."""
+    return tokens.where("tid IS NOT NULL").select("query_id", "tid").distinct()
+
+
 def sizes(tokens: DataFrame) -> DataFrame:
     """Bytes of each query's proof file and result file, headers included, and their rows."""
     return tokens.groupBy("query_id").agg((F.lit(16) + F.sum(1 + F.expr("length(body) div 2"))).alias("proof_bytes"), F.count("*").alias("n_tokens"), (F.lit(16) + F.count("tid") * 44).alias("result_bytes"), F.count("tid").alias("n_results"))

@@ -155,6 +155,15 @@ def binary_tree(nodes: DataFrame, edges: DataFrame, heads: DataFrame, theta: int
     return bottom_up(full, F.col("hash"), d.sha(d.text_hex("BL-SPATIAL-INTERNAL-v2"), *box, "parts", d.u32("n_edges"), "grp"), ["n_edges", "grp"]), placed
 
 
+def partition_problems(tree: DataFrame, records: DataFrame, edges: DataFrame) -> DataFrame:
+    """eid, problem of edges that aren't in exactly one leaf, lie at no leaf of the tree, or aren't the road's."""
+    twice = records.groupBy("eid").agg(F.count("*").alias("n")).where("n > 1").select("eid", F.lit("in several leaves").alias("problem"))
+    lost = edges.select("eid").join(records, "eid", "left_anti").select("eid", F.lit("in no leaf").alias("problem"))
+    strange = records.join(edges.select("eid"), "eid", "left_anti").select("eid", F.lit("not of the road").alias("problem"))
+    astray = records.join(tree.where("leaf"), "path", "left_anti").select("eid", F.lit("at no leaf").alias("problem"))
+    return reduce(DataFrame.unionByName, [twice, lost, strange, astray])
+
+
 def delta_problems(records: DataFrame, delta: DataFrame) -> DataFrame:
     """eid, problem of entries that can't be appended: an edge the tree lacks, or an end before its start."""
     lost = delta.join(records, "eid", "left_anti").select("eid", F.lit("unknown edge").alias("problem"))

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only a local session may lack it, and then gets a temporary folder."""
+    """Folder that the driver and all executors see: spark.checkpoint.dir.
+
+    Only a single-machine session (tests) may lack it; it then gets a temporary one.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         master = spark.sparkContext.master
@@ -21,13 +24,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """Where a session's intermediate tables lie."""
+    return f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet and read back, which cuts its lineage."""
-    path = f"{shared_dir(df.sparkSession)}/tessera/{label}-{uuid.uuid4().hex}"
+    """df written as Parquet in the shared folder and read back.
+
+    Cuts lineage so that a lost executor costs a reread, and gives later joins
+    two plain exchanges, which AQE can split where a key is hot.
+    """
+    path = f"{session_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """The path and its file system, as Spark itself reaches it."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return own, own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the session's intermediate tables. DataFrames that still read from them fail afterwards."""
+    path, files = hadoop_path(spark, session_dir(spark))
+    files.delete(path, True)
+
+
 def running(df: DataFrame, order: list, sums: dict[str, str], keys: list[str] = (), label: str = "ranges") -> DataFrame:
     """df with running sums, the row's own included, over (keys, order), in tasks of even size.
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.functions.dialect import Duck, Spark
 from tessera.operators import index_sql as ix
-from tessera.plans.queries import chained, points, statement, updated
+from tessera.plans.engine import statement
+from tessera.plans.queries import chained, points, updated
 from tessera.plans.world import MAIN, matrix, render, world
 
 EARTH_METERS = "6371008.8e0"  # fixed value: mean radius

@@ -12,8 +12,11 @@ from tessera.operators import chains, inserts, list_proofs, packed_proofs, proof
 from tessera.operators import index_sql as ix
 from tessera.operators.mmr import mmr_nodes, numbered
 from tessera.operators.tables import ranked, stored
-from tessera.plans.queries import CAP, FANOUT, LEVELS, points, statement, updated
-from tessera.plans.world import MAIN, matrix, render, world
+from tessera.plans import tree_oracles
+from tessera.plans.engine import evaluate, statement
+from tessera.plans.queries import ORACLE as PLAIN
+from tessera.plans.queries import CAP, FANOUT, RANKED, points, updated
+from tessera.plans.world import MAIN, matrix, world
 
 THETA = 8  # nodes of a leaf; the road networks here have 100
 
@@ -22,10 +25,10 @@ class Road:
     """The relations of a session's events that the trees are built from."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.events = spark, spark.read.parquet(f"{sf_dir}/events.parquet")
+        self.spark, self.sf_dir = spark, sf_dir
 
     def sql(self, body: str, more: tuple = ()) -> DataFrame:
-        return self.spark.sql(render([*world(d), *more], body), events=self.events)
+        return statement(self.spark, self.sf_dir, [*world(d), *more], body)
 
     @property
     def nodes(self) -> DataFrame:
@@ -41,9 +44,8 @@ class Road:
 
 def mmr_roots(spark: SparkSession, nodes: DataFrame) -> DataFrame:
     """eid, k, root, lo, hi from the nodes of the edges' MMRs."""
-    own = {"mmr": "SELECT eid, h, j, pos, hash, lo, hi FROM {mmr_nodes}", "mmr_k": "SELECT eid, count(*) AS k FROM {mmr_nodes} WHERE h = 0 GROUP BY eid"}
-    ctes = [(n, own.get(n, sql)) for n, sql in ix.mmr(d, 0)]
-    return spark.sql(render(ctes, "SELECT eid, k, root, lo, hi FROM roots"), mmr_nodes=nodes)
+    ctes = [(n, "SELECT eid, count(*) AS k FROM mmr WHERE h = 0 GROUP BY eid" if n == "mmr_k" else sql) for n, sql in ix.mmr(d, 0)]
+    return evaluate(spark, ctes, "SELECT eid, k, root, lo, hi FROM roots", given={"mmr": nodes})
 
 
 def main_tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -77,6 +79,16 @@ def vo_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proofs.proof_tokens(*main_tree(spark, sf_dir), spark.sql(MAIN))
 
 
+def vo_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of the main window's proof by kind."""
+    return vo_tokens(spark, sf_dir).groupBy("token").agg(F.count("*").alias("n"))
+
+
+def edge_partition_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges that aren't in exactly one leaf of the main tree."""
+    return spatial_tree.partition_problems(*main_tree(spark, sf_dir)[:2], Road(spark, sf_dir).edges)
+
+
 def vo_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proofs.sizes(proofs.proof_tokens(*main_tree(spark, sf_dir), spark.sql(matrix(d))))
 
@@ -113,6 +125,15 @@ def list_vo_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return list_proofs.proof_tokens(*list_tree(spark, sf_dir), spark.sql(MAIN))
 
 
+def query_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the main window's query over the sorted lists visits, prunes, checks and scans."""
+    tokens = list_vo_tokens(spark, sf_dir)
+    is_ = lambda *kinds: F.count_if(F.col("token").isin(*kinds))
+    nodes = (list_proofs.PRUNED_LEAF, list_proofs.PRUNED_INTERNAL), (list_proofs.LEAF, list_proofs.INTERNAL)
+    more = F.when(F.col("token") == list_proofs.EDGE_PREFIX, F.conv(F.substring("body", 25, 2), 16, 10).cast("long"))
+    return tokens.groupBy("query_id").agg(is_(*nodes[0], *nodes[1]).alias("n_visited"), is_(*nodes[0]).alias("n_pruned"), is_(list_proofs.EDGE_OPAQUE, list_proofs.EDGE_PREFIX).alias("n_checked"), is_(list_proofs.EDGE_PREFIX).alias("n_opened"), is_(list_proofs.ENTRY).alias("n_scanned"), F.sum(more).alias("n_boundary"), F.count("tid").alias("n_matched"))
+
+
 def list_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trajectories of the main window as the proof over sorted lists discloses them."""
     return list_vo_tokens(spark, sf_dir).where("tid is not null").select("tid").distinct()
@@ -132,25 +153,25 @@ def _windows(spark: SparkSession, windows: str, low: str, high: str) -> DataFram
     return spark.sql(f"SELECT query_id, array({low}) AS lows, array({high}) AS highs FROM ({windows}) w")
 
 
-def box_proofs(spark: SparkSession, sf_dir: str, windows: str) -> tuple[DataFrame, DataFrame, str]:
+def box_proofs(spark: SparkSession, sf_dir: str, windows: str, cap: int = CAP, fanout: int = FANOUT) -> tuple[DataFrame, DataFrame, str]:
     """R-tree proof tokens of windows, these as ranges, and the trusted root."""
-    sql = lambda body: stored(statement(spark, sf_dir, points(d), body), "rtree")
+    sql = lambda body: stored(statement(spark, sf_dir, points(d, cap, fanout), body), "rtree")
     corners = [d.little(d.f64(c)) for c in ("x0", "y0", "x1", "y1")]
     nodes = sql(f"SELECT h, idx, hash, concat({', '.join(corners)}) AS bounds, array(x0, y0) AS lows, array(x1, y1) AS highs FROM rt_nodes")
     root = nodes.orderBy(F.desc("h")).selectExpr(f"{d.sha(d.text_hex('R'), 'bounds', 'hash')} AS root").first()["root"]
     asked = _windows(spark, windows, "min_lon, min_lat", "max_lon, max_lat")
-    return packed_proofs.tokens(nodes, sql("SELECT idx, r, record, tid FROM rt_records"), FANOUT, asked, (4, 2)), asked, root
+    return packed_proofs.tokens(nodes, sql("SELECT idx, r, record, tid FROM rt_records"), fanout, asked, (4, 2)), asked, root
 
 
-def key_proofs(spark: SparkSession, sf_dir: str, windows: str) -> tuple[dict, dict, str]:
+def key_proofs(spark: SparkSession, sf_dir: str, windows: str, cap: int = CAP, fanout: int = FANOUT) -> tuple[dict, dict, str]:
     """B-tree proof tokens by dimension, the windows as ranges, and the trusted root."""
     proofs_, asked, roots = {}, {}, []
     for key, low, high in (("lon", "min_lon", "max_lon"), ("lat", "min_lat", "max_lat"), ("ts", "q_start", "q_end")):
-        sql = lambda body: stored(statement(spark, sf_dir, points(d), body), "btree")
+        sql = lambda body: stored(statement(spark, sf_dir, points(d, cap, fanout), body), "btree")
         nodes = sql(f"SELECT h, idx, hash, concat({d.f64('lo')}, {d.f64('hi')}) AS bounds, array(lo) AS lows, array(hi) AS highs FROM {key}_nodes")
         roots.append(nodes.orderBy(F.desc("h")).first()["hash"])
         asked[key] = _windows(spark, windows, f"CAST({low} AS DOUBLE)", f"CAST({high} AS DOUBLE)")
-        proofs_[key] = packed_proofs.tokens(nodes, sql(f"SELECT idx, r, record, tid FROM {key}_records"), FANOUT, asked[key], (8, 8))
+        proofs_[key] = packed_proofs.tokens(nodes, sql(f"SELECT idx, r, record, tid FROM {key}_records"), fanout, asked[key], (8, 8))
     trusted = hashlib.sha256(b"THREE-MBT-ROOT-v1" + b"".join(map(bytes.fromhex, roots))).hexdigest()
     return proofs_, asked, trusted
 
@@ -171,7 +192,7 @@ def rtree_disclosed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.join(own, "point_id").join(spark.sql(MAIN), "query_id").where("lon between min_lon and max_lon and lat between min_lat and max_lat and ts between q_start and q_end").select("tid").distinct()
 
 
-def insert_points(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+def insert_points(spark: SparkSession, sf_dir: str, key: str, cap: int = CAP) -> DataFrame:
     """Rows of a point tree with their leaves after the base's 60 % of trajectories took in the rest.
 
     key: lon, lat or ts for a B-tree, morton for the R-tree; grid bounds are those of all points.
@@ -182,24 +203,23 @@ def insert_points(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
     base = "(SELECT tid FROM ids JOIN ordinal USING (user_id) CROSS JOIN cutoff WHERE o <= n_base)"
     rows = stored(statement(spark, sf_dir, both, f"SELECT p.*, b.tid IS NOT NULL AS old FROM (SELECT {own}) p LEFT JOIN {base} b ON b.tid = p.tid"), "points")
     old, new = rows.where("old").drop("old"), rows.where("NOT old").drop("old")
-    packed = ranked(old, order, label="pack").withColumn("idx", F.expr(f"r div {CAP}")).withColumn("r", F.expr(f"r % {CAP}"))
-    return inserts.insert(packed, new, key, order, CAP, last_of_equal=key != "morton")
+    packed = ranked(old, order, label="pack").withColumn("idx", F.expr(f"r div {cap}")).withColumn("r", F.expr(f"r % {cap}"))
+    return inserts.insert(packed, new, key, order, cap, last_of_equal=key != "morton")
 
 
-def btree_insert_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+def btree_insert_root(spark: SparkSession, sf_dir: str, cap: int = CAP, fanout: int = FANOUT) -> DataFrame:
     """Aggregated root of the three B-trees after the insert."""
     roots = []
     for key in ("lon", "lat", "ts"):
-        ctes = [(n, s) for n, s in ix.btree(d, key, CAP, FANOUT, LEVELS, leaf="idx") if n != f"{key}_rank"]
-        grown = insert_points(spark, sf_dir, key)
-        roots.append(spark.sql(render([(f"{key}_rank", "SELECT * FROM {grown}"), *ctes], f"SELECT hash AS {key} FROM {key}_rootnode"), grown=grown))
+        grown = {f"{key}_rank": insert_points(spark, sf_dir, key, cap)}
+        roots.append(evaluate(spark, ix.btree(d, key, cap, fanout, 0, leaf="idx"), f"SELECT hash AS {key} FROM {key}_rootnode", given=grown))
     return roots[0].join(roots[1]).join(roots[2]).selectExpr(f"{d.sha(d.text_hex('THREE-MBT-ROOT-v1'), 'lon', 'lat', 'ts')} AS root")
 
 
-def rtree_insert_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rtree_insert_root(spark: SparkSession, sf_dir: str, cap: int = CAP, fanout: int = FANOUT) -> DataFrame:
     """Root commitment of the R-tree after the insert."""
-    ctes = [("morton_rank", "SELECT * FROM {grown}"), *ix.rtree(d, CAP, FANOUT, LEVELS, leaf="idx")]
-    return spark.sql(render(ctes, "SELECT root FROM rt_root"), grown=insert_points(spark, sf_dir, "morton"))
+    ctes = [("morton_rank", ""), *ix.rtree(d, cap, fanout, 0, leaf="idx")]
+    return evaluate(spark, ctes, "SELECT root FROM rt_root", given={"morton_rank": insert_points(spark, sf_dir, "morton", cap)})
 
 
 def updated_trees(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -298,8 +318,7 @@ def road_update_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
-RANKED = "SELECT eid, tid, start_ts, end_ts, CAST(row_number() OVER (PARTITION BY eid ORDER BY start_ts, user_id, seq) AS BIGINT) AS rank, count(*) OVER (PARTITION BY eid) AS total FROM entries"
-
-QUERIES = {f.__name__: f for f in (sem_tree, sem_leaf_edges, l0_root, sem_origins, vo_tokens, vo_sizes, verify_report, verified_candidates, binary_tree, binary_tree_root, list_vo_tokens, list_candidates, list_verify_report, rtree_verify_report, btree_verify_report, rtree_disclosed_candidates, btree_insert_root, rtree_insert_root, append_equals_rebuild, btree_json_sizes, list_vo_sizes, list_update_equals_rebuild, road_tree_root, road_new_edges, road_update_report)}
+QUERIES = {f.__name__: f for f in (sem_tree, sem_leaf_edges, l0_root, sem_origins, edge_partition_problems, vo_tokens, vo_token_histogram, query_counters, vo_sizes, verify_report, verified_candidates, binary_tree, binary_tree_root, list_vo_tokens, list_candidates, list_verify_report, rtree_verify_report, btree_verify_report, rtree_disclosed_candidates, btree_insert_root, rtree_insert_root, append_equals_rebuild, btree_json_sizes, list_vo_sizes, list_update_equals_rebuild, road_tree_root, road_new_edges, road_update_report)}
 #: The candidates that a proof discloses are those of the plain query.
 SAME_AS = {"verified_candidates": "coarse_candidates", "list_candidates": "coarse_candidates", "rtree_disclosed_candidates": "rtree_candidates"}
+ORACLE = {name: PLAIN[same] for name, same in SAME_AS.items()} | tree_oracles.oracles(THETA)

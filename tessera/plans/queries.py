@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-import re
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.functions.dialect import Duck, Spark
-from tessera.operators import chains
+from tessera.operators import chains, packed_proofs
 from tessera.operators import index_sql as ix
-from tessera.operators.mmr import mmr_nodes
-from tessera.operators.tables import ranked, stored
+from tessera.plans.engine import statement
 from tessera.plans.world import MAIN, matrix, render, world
 
-CAP, FANOUT, LEVELS = 128, 64, 3  # points of up to 128 * 64^3 in a tree
-MMR_LEVELS = 12  # of the SQL form; the rounds of tessera.operators.mmr have no bound
+CAP, FANOUT = 128, 64
+LEVELS, MMR_LEVELS = 9, 30  # of the oracle's text: 128 * 64^9 points, 2^30 entries an edge; the operators have no bound
+EMPTY_ROOT = packed_proofs.EMPTY_ROOT
+
+
+RANKED = "SELECT eid, tid, start_ts, end_ts, CAST(row_number() OVER (PARTITION BY eid ORDER BY start_ts, user_id, seq) AS BIGINT) AS rank, count(*) OVER (PARTITION BY eid) AS total FROM entries"
 
 
 def windowed(d):
@@ -34,16 +36,25 @@ def chained(d):
     """Sorted lists of edges: rank by start with ties in order of arrival, and the main window's prefix."""
     return [
         *world(d), ("windows", MAIN),
-        ("ranked", "SELECT eid, tid, start_ts, end_ts, CAST(row_number() OVER (PARTITION BY eid ORDER BY start_ts, user_id, seq) AS BIGINT) AS rank, count(*) OVER (PARTITION BY eid) AS total FROM entries"),
+        ("ranked", RANKED),
         ("open_edges", f"SELECT e.* FROM edges e JOIN windows w ON {ix.segment_hits('e.alon', 'e.alat', 'e.blon', 'e.blat', 'w')}"),
         ("prefix", "SELECT r.eid, r.tid, r.start_ts, r.end_ts, r.rank, r.total FROM ranked r JOIN open_edges o ON o.eid = r.eid CROSS JOIN windows w WHERE r.start_ts <= w.q_end"),
         ("cut", "SELECT o.eid, coalesce(max(p.rank), 0) AS k FROM open_edges o LEFT JOIN prefix p ON p.eid = o.eid GROUP BY o.eid"),
     ]
 
 
-def points(d):
-    return [*world(d), ("windows", MAIN), *(x for key in ("lon", "lat", "ts") for x in ix.btree(d, key, CAP, FANOUT, LEVELS)), *ix.morton(d),
-            ("morton_rank", ix.rank("point_id, tid, ts, lon, lat, morton", "keyed", "morton, point_id")), *ix.rtree(d, CAP, FANOUT, LEVELS)]
+def points(d, cap: int = CAP, fanout: int = FANOUT):
+    return [*world(d), ("windows", MAIN), *(x for key in ("lon", "lat", "ts") for x in ix.btree(d, key, cap, fanout, LEVELS)), *ix.morton(d),
+            ("morton_rank", ix.rank("point_id, tid, ts, lon, lat, morton", "keyed", "morton, point_id")), *ix.rtree(d, cap, fanout, LEVELS)]
+
+
+def pointwise(d, candidates: str):
+    """The exact answers of the point indexes for all windows of the matrix."""
+    return [*world(d), ("windows", matrix(d)), *ix.point_candidates(), *ix.fine_points(d, candidates)]
+
+
+REVERSED = "SELECT query_id, max_lon AS min_lon, max_lat AS min_lat, min_lon AS max_lon, min_lat AS max_lat, q_start, q_end"
+ONE_KM = "SELECT 'center' AS query_id, 104.045e0 - 0.5e0 / (111.32e0 * cos(radians(30.645e0))) AS min_lon, 30.645e0 - 0.5e0 / 111.32e0 AS min_lat, 104.045e0 + 0.5e0 / (111.32e0 * cos(radians(30.645e0))) AS max_lon, 30.645e0 + 0.5e0 / 111.32e0 AS max_lat, CAST(0 AS BIGINT) AS q_start, CAST(4102444800 AS BIGINT) AS q_end"
 
 
 def updated(d):
@@ -95,7 +106,7 @@ BODIES = {
     "edge_distinct_trajectories": (world, lambda d: "SELECT eid, count(DISTINCT tid) AS n FROM entries GROUP BY eid"),
     "vertex_degree_weight": (world, lambda d: "SELECT node_id, count(*) AS weight FROM (SELECT a AS node_id FROM edges UNION ALL SELECT b FROM edges) ends GROUP BY node_id"),
     "vertex_load_weight": (world, lambda d: "SELECT node_id, CAST(sum(n) AS BIGINT) AS weight FROM (SELECT a AS node_id, n FROM edges JOIN (SELECT eid, count(DISTINCT tid) AS n FROM entries GROUP BY eid) c USING (eid) UNION ALL SELECT b, n FROM edges JOIN (SELECT eid, count(DISTINCT tid) AS n FROM entries GROUP BY eid) c USING (eid)) ends GROUP BY node_id"),
-    "time_violations": (world, lambda d: "SELECT count(*) AS n FROM (SELECT start_ts, lag(end_ts) OVER (PARTITION BY user_id ORDER BY seq) AS before FROM segments) s WHERE before > start_ts"),
+    "time_violations": (world, lambda d: "SELECT count(*) AS n, count(DISTINCT user_id) AS n_trajectories FROM (SELECT user_id, t, lag(t) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM ev) s WHERE before > t"),
     "missing_edges": (world, lambda d: "SELECT s.user_id, s.seq FROM segments s LEFT JOIN (SELECT a, b FROM edges WHERE eid % 7 <> 0) e ON e.a = least(s.u, s.v) AND e.b = greatest(s.u, s.v) WHERE e.a IS NULL"),
     "dataset_counters": (world, lambda d: "SELECT count(*) AS raw, count(CASE WHEN v IS NULL THEN 1 END) AS last_points, count(CASE WHEN u = v THEN 1 END) AS stationary, count(CASE WHEN u <> v THEN 1 END) AS kept, min(start_ts) AS first_ts, max(start_ts) AS last_ts FROM seg"),
     "points_densified": (world, lambda d: f"SELECT user_id, seq, CAST(step AS BIGINT) AS step, p.lon + (q.lon - p.lon) * step / 10e0 AS lon, p.lat + (q.lat - p.lat) * step / 10e0 AS lat, start_ts + (end_ts - start_ts) * step / 10e0 AS ts FROM (SELECT user_id, seq, u, coalesce(v, u) AS v, start_ts, coalesce(end_ts, start_ts) AS end_ts, {d.series('0', 'CASE WHEN v IS NULL THEN 0 ELSE 9 END')} AS step FROM seg) s JOIN nodes p ON p.node_id = s.u JOIN nodes q ON q.node_id = s.v"),
@@ -115,11 +126,10 @@ BODIES = {
     "sorted_list_candidates": (chained, lambda d: "SELECT DISTINCT p.tid FROM prefix p CROSS JOIN windows w WHERE p.end_ts >= w.q_start"),
     "list_chain_states": (chained, lambda d: "SELECT eid, pos, state FROM {chain}" if d is Spark else f"SELECT eid, pos, state FROM ({CHAIN}) c"),
     "list_chain_roots": (chained, lambda d: "SELECT eid, state AS root FROM {chain} WHERE pos = 0" if d is Spark else f"SELECT eid, state AS root FROM ({CHAIN}) c WHERE pos = 0"),
-    "query_counters": (chained, lambda d: "SELECT (SELECT count(*) FROM open_edges) AS n_open, (SELECT count(*) FROM edges) - (SELECT count(*) FROM open_edges) AS n_pruned, (SELECT count(*) FROM prefix) AS n_scanned, (SELECT count(*) FROM cut c JOIN ranked r ON r.eid = c.eid AND r.rank = c.k + 1) AS n_boundary"),
     "btree_leaves_lon": (points, lambda d: "SELECT idx, hash, lo, hi FROM lon_level0"),
     "btree_leaves_lat": (points, lambda d: "SELECT idx, hash, lo, hi FROM lat_level0"),
     "btree_leaves_time": (points, lambda d: "SELECT idx, hash, lo, hi FROM ts_level0"),
-    "btree_root": (points, lambda d: f"SELECT {d.sha(d.text_hex('THREE-MBT-ROOT-v1'), 'x.hash', 'y.hash', 't.hash')} AS root FROM lon_rootnode x CROSS JOIN lat_rootnode y CROSS JOIN ts_rootnode t"),
+    "btree_root": (points, lambda d: f"SELECT {d.sha(d.text_hex('THREE-MBT-ROOT-v1'), *(f'coalesce((SELECT hash FROM {k}_rootnode), {EMPTY_ROOT!r})' for k in ('lon', 'lat', 'ts')))} AS root"),
     "btree_visited_leaves": (points, lambda d: "SELECT 'lon' AS dim, count(*) AS n FROM lon_level0 CROSS JOIN windows w WHERE hi >= w.min_lon AND lo <= w.max_lon UNION ALL SELECT 'lat', count(*) FROM lat_level0 CROSS JOIN windows w WHERE hi >= w.min_lat AND lo <= w.max_lat UNION ALL SELECT 'time', count(*) FROM ts_level0 CROSS JOIN windows w WHERE hi >= w.q_start AND lo <= w.q_end"),
     "three_way_candidates": (points, lambda d: "SELECT DISTINCT tid FROM points CROSS JOIN windows w WHERE lon BETWEEN w.min_lon AND w.max_lon INTERSECT SELECT tid FROM points CROSS JOIN windows w WHERE lat BETWEEN w.min_lat AND w.max_lat INTERSECT SELECT tid FROM points CROSS JOIN windows w WHERE ts BETWEEN w.q_start AND w.q_end"),
     "rtree_candidates": (points, lambda d: "SELECT DISTINCT tid FROM points CROSS JOIN windows w WHERE lon BETWEEN w.min_lon AND w.max_lon AND lat BETWEEN w.min_lat AND w.max_lat AND ts BETWEEN w.q_start AND w.q_end"),
@@ -134,51 +144,29 @@ BODIES = {
     "scaling_prefix_counts": (updated, lambda d: " UNION ALL ".join(f"SELECT CAST({p} AS BIGINT) AS pct, count(DISTINCT e.tid) AS n_trajectories, count(*) AS n_entries FROM entries e JOIN ordinal USING (user_id) CROSS JOIN cutoff WHERE o <= {d.idiv(f'n * {p}', 100)}" for p in (20, 40, 60, 80, 100))),
     "dense_cells_topk": (world, lambda d: "SELECT cx, cy, CAST(sum(k) AS BIGINT) AS weight, sum(k * mx) / sum(k) AS lon, sum(k * my) / sum(k) AS lat FROM (SELECT k, (min_lon + max_lon) / 2e0 AS mx, (min_lat + max_lat) / 2e0 AS my, CAST(floor((min_lon + max_lon) / 2e0 / 0.02e0) AS BIGINT) AS cx, CAST(floor((min_lat + max_lat) / 2e0 / 0.02e0) AS BIGINT) AS cy FROM edges JOIN env USING (eid)) c GROUP BY cx, cy ORDER BY weight DESC, cx, cy LIMIT 30"),
     "dense_minutes_topk": (world, lambda d: SWEEP if d is Spark else f"SELECT minute, count(DISTINCT user_id) AS n FROM (SELECT user_id, 60 * m AS minute FROM (SELECT user_id, {d.series(d.idiv('start_ts - 60', 60), d.idiv('end_ts', 60))} AS m FROM segments) s) t GROUP BY minute ORDER BY n DESC, minute LIMIT 20"),
-    "center_weight": (windowed, lambda d: f"SELECT CAST(sum(v.k) AS BIGINT) AS weight, count(*) AS n_edges FROM windows w CROSS JOIN edges e JOIN env v ON v.eid = e.eid WHERE {ix.segment_hits('e.alon', 'e.alat', 'e.blon', 'e.blat', 'w')}"),
+    "center_weight": (lambda d: [*world(d), ("windows", ONE_KM)], lambda d: f"SELECT CAST(coalesce(sum(v.k), 0) AS BIGINT) AS weight, count(*) AS n_edges FROM windows w CROSS JOIN edges e JOIN env v ON v.eid = e.eid WHERE {ix.segment_hits('e.alon', 'e.alat', 'e.blon', 'e.blat', 'w')}"),
+    "normalized_windows": (lambda d: [("windows", MAIN), ("reversed", f"{REVERSED} FROM windows")], lambda d: f"{ix.NORMAL} FROM reversed"),
+    "exact_result_points": (lambda d: pointwise(d, "three_way"), lambda d: "SELECT query_id, tid FROM exact_points"),
+    "exact_result_boxes": (lambda d: pointwise(d, "in_box"), lambda d: "SELECT query_id, tid FROM exact_points"),
+    "clipped_points": (lambda d: pointwise(d, "in_box"), lambda d: "SELECT query_id, tid, round(lon0, 9) AS lon0, round(lat0, 9) AS lat0, round(lon1, 9) AS lon1, round(lat1, 9) AS lat1 FROM clipped_paths"),
+    "arrival_roots": (lambda d: [*world(d), *ix.mmr(d, MMR_LEVELS, order="user_id, seq")], lambda d: "SELECT eid, k, root, lo, hi FROM roots"),
     "nearest_nodes_topk": (world, lambda d: f"SELECT n.node_id, round({DISTANCE}, 3) AS meters FROM nodes n ORDER BY {DISTANCE}, n.node_id LIMIT 64"),
     "new_edge_candidates": (world, lambda d: f"SELECT p.node_id AS u, q.node_id AS v FROM (SELECT n.node_id FROM nodes n ORDER BY {DISTANCE}, n.node_id LIMIT 64) p JOIN (SELECT n.node_id FROM nodes n ORDER BY {DISTANCE}, n.node_id LIMIT 64) q ON p.node_id < q.node_id LEFT JOIN edges e ON e.a = p.node_id AND e.b = q.node_id WHERE e.eid IS NULL ORDER BY u, v LIMIT 10"),
-    "vo_token_histogram": (windowed, lambda d: f"SELECT CASE WHEN v.max_end >= w.q_start AND v.min_start <= w.q_end AND {ix.segment_hits('e.alon', 'e.alat', 'e.blon', 'e.blat', 'w')} THEN CAST(11 AS BIGINT) ELSE CAST(10 AS BIGINT) END AS token, count(*) AS n FROM windows w CROSS JOIN edges e JOIN env v ON v.eid = e.eid GROUP BY 1"),
     "catalog_time_range": (world, lambda d: "SELECT min(start_ts) AS first_ts, max(end_ts) AS last_ts, count(*) AS n_segments, count(DISTINCT user_id) AS n_trajectories FROM segments"),
-    "repeat_statistics": (world, lambda d: "SELECT eid, round(avg(end_ts - start_ts), 6) AS mean, round(coalesce(stddev_pop(end_ts - start_ts), 0), 6) AS deviation FROM entries GROUP BY eid"),
+    "repeat_statistics": (world, lambda d: "SELECT eid, round(avg(end_ts - start_ts), 6) AS mean, round(coalesce(stddev_pop(end_ts - start_ts), 0), 6) AS deviation, round(coalesce(stddev_samp(end_ts - start_ts), 0), 6) AS sample_deviation FROM entries GROUP BY eid"),
 }
 
 
 def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A registered body over events."""
     ctes, body = BODIES[name]
-    return statement(spark, sf_dir, ctes(Spark), body(Spark))
-
-
-def statement(spark: SparkSession, sf_dir: str, ctes: list, body: str) -> DataFrame:
-    """The body over events; MMR levels, chains and global ranks are made by operators in place of their expressions."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    text, more = render(ctes, body), {}
-    if "leaf0 AS" in text:
-        source = "grown" if any(n == "grown" for n, _ in ctes) else "entries"
-        more = {"mmr_nodes": mmr_nodes(spark.sql(render(ctes, f"SELECT eid, tid, start_ts, end_ts FROM {source}"), events=events))}
-        own = {"mmr": "SELECT eid, h, j, pos, hash, lo, hi FROM {mmr_nodes}", "mmr_k": "SELECT eid, count(*) AS k FROM {mmr_nodes} WHERE h = 0 GROUP BY eid"}
-        text = render([(n, own.get(n, sql)) for n, sql in ctes], body)
+    own, text, given = ctes(Spark), body(Spark), {}
     if "{chain}" in text:
-        lists = spark.sql(render(ctes, "SELECT eid, rank, total, tid, start_ts, end_ts FROM ranked"), events=events)
-        more["chain"] = chains.list_states(lists)
-    for name, sql in ctes:
-        part = RANK.fullmatch(sql)
-        if part and re.search(rf"\b{name} AS \(", text):
-            select, order, source = part.groups()
-            rows = spark.sql(render(ctes, f"SELECT {select} FROM {source}"), events=events)
-            more[name + "s"] = ranked(rows, order.split(", "), label=name)
-            text = text.replace(f"{name} AS ({sql})", f"{name} AS (SELECT * FROM {{{name}s}})")
-            ctes = [(n, f"SELECT * FROM {{{name}s}}" if n == name else x) for n, x in ctes]
-    for name, sql in ctes:  # leaves of a packed tree, which every level above would read anew
-        if name.endswith("_level0") and name[:-1] + "1 AS (" in text:
-            leaves = render(ctes, f"SELECT * FROM {name}")
-            used = {"events": events, **more}
-            more[name + "s"] = stored(spark.sql(leaves, **{k: v for k, v in used.items() if "{" + k + "}" in leaves}), name)
-            text = text.replace(f"{name} AS ({sql})", f"{name} AS (SELECT * FROM {{{name}s}})")
-    used = {"events": events, **more}
-    return spark.sql(text, **{k: v for k, v in used.items() if "{" + k + "}" in text})
-
-
-RANK = re.compile(r"SELECT (.*), CAST\(row_number\(\) OVER \(ORDER BY ([a-z_, ]+)\) - 1 AS BIGINT\) AS r FROM ([a-z_]+)")
+        lists = statement(spark, sf_dir, own, "SELECT eid, rank, total, tid, start_ts, end_ts FROM ranked")
+        own, given = [*own, ("chain", "")], {"chain": chains.list_states(lists)}
+        text = text.replace("{chain}", "chain")
+    return statement(spark, sf_dir, own, text, given)
+
+
 QUERIES = {name: partial(run, name=name) for name in BODIES}
 ORACLE = {name: render(ctes(Duck), body(Duck)) for name, (ctes, body) in BODIES.items()}

@@ -8,10 +8,14 @@ import struct
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 from tessera.functions.dialect import Spark
-from tessera.plans import analytics
-from tessera.plans.queries import ORACLE, QUERIES
-from tessera.plans.world import render, world
+from tessera.operators import mmr, packed_proofs
+from tessera.plans import analytics, authenticated
+from tessera.plans.engine import statement
+from tessera.plans.queries import ORACLE, QUERIES, points
+from tessera.plans.world import MAIN, world
 from tessera.sources import road, trajectories
 from tessera.streaming import mmr_stream
 
@@ -26,10 +30,10 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES | analytics.QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE | analytics.ORACLE | authenticated.ORACLE))
 def test_oracle(spark, duck, name):
-    found = duck.sql((ORACLE | analytics.ORACLE)[name])
-    df = (QUERIES | analytics.QUERIES)[name](spark, SF)
+    found = duck.sql((ORACLE | analytics.ORACLE | authenticated.ORACLE)[name])
+    df = (QUERIES | analytics.QUERIES | authenticated.QUERIES)[name](spark, SF)
     assert sorted(df.columns) == sorted(found.columns)
     key = lambda row: tuple(f"{v:.9g}" if isinstance(v, float) else str(v) for v in row)
     assert sorted(key(r) for r in df.select(found.columns).collect()) == sorted(key(r) for r in found.fetchall())
@@ -57,7 +61,7 @@ def test_roots_against_appends(spark):
 
 def test_rtree_hashes_against_packed_records(spark):
     """Leaves of up to 128 points, then one level of up to 64 children, packed with struct."""
-    points = {r["point_id"]: r for r in spark.sql(render(world(Spark), "SELECT point_id, tid, ts, lon, lat FROM points"), events=spark.read.parquet(f"{SF}/events.parquet")).collect()}
+    points = {r["point_id"]: r for r in statement(spark, SF, world(Spark), "SELECT point_id, tid, ts, lon, lat FROM points").collect()}
     order = [points[r["point_id"]] for r in QUERIES["morton_order"](spark, SF).orderBy("r").collect()]
     sha = lambda b: hashlib.sha256(b).digest()
     leaves = []
@@ -81,20 +85,87 @@ def test_peaks(k):
     assert k or mmr_stream.root(peaks, 0) == hashlib.sha256(bytes(4)).hexdigest()
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rows = QUERIES["entries"](spark, SF).orderBy("start_ts", "end_ts", "tid").toPandas()
-    rows["arrival_seq"] = range(len(rows))
+def streamed(spark, folder, rows, name, time_safe):
+    """The last k and root of each edge after three micro-batches of rows in their order of arrival."""
     for part in range(3):
-        spark.createDataFrame(rows.iloc[part * 400 : (part + 1) * 400]).coalesce(1).write.parquet(f"{tmp_path}/in", mode="append")
-    source = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    query = mmr_stream.stream_roots(source, time_safe=False).writeStream.outputMode("update").format("memory").queryName("mmr_roots_stream").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        spark.createDataFrame(rows.iloc[part * 400 : (part + 1) * 400]).coalesce(1).write.parquet(f"{folder}/in", mode="append")
+    source = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    query = mmr_stream.stream_roots(source, time_safe=time_safe).writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start()
     query.awaitTermination(120)
     last = {}
-    for r in spark.table("mmr_roots_stream").collect():
+    for r in spark.table(name).collect():
         if r["k"] >= last.get(r["eid"], (0,))[0]:
             last[r["eid"]] = (r["k"], r["root"])
-    want = {r["eid"]: r["k"] for r in QUERIES["mmr_roots"](spark, SF).collect()}
-    assert {e: k for e, (k, _) in last.items()} == want
+    return last
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    """Roots after the stream are those of the batch in the same order; late entries of an edge are dropped if asked."""
+    rows = QUERIES["entries"](spark, SF).orderBy("start_ts", "end_ts", "tid").toPandas()
+    rows["arrival_seq"] = range(len(rows))
+    want = {r["eid"]: (r["k"], r["root"]) for r in QUERIES["mmr_roots"](spark, SF).collect()}
+    assert streamed(spark, tmp_path / "a", rows, "mmr_roots_stream", False) == want
+    late = rows.iloc[[i ^ 1 if i ^ 1 < len(rows) else i for i in range(len(rows))]].reset_index(drop=True)
+    late["arrival_seq"] = range(len(late))
+    kept, tail = {}, {}
+    for r in late.itertuples():
+        if r.start_ts >= tail.get(r.eid, 0):
+            peaks = kept.setdefault(r.eid, [])
+            mmr_stream.append(peaks, sum(1 << p[0] for p in peaks), r.tid, r.start_ts, r.end_ts)
+            tail[r.eid] = r.start_ts
+    model = {e: (sum(1 << p[0] for p in peaks), mmr_stream.root(peaks, sum(1 << p[0] for p in peaks))) for e, peaks in kept.items()}
+    assert streamed(spark, tmp_path / "b", late, "mmr_late_stream", True) == model
+
+
+def test_append_or_rebuild(spark):
+    """MMRs that grow at their end, or anew where an entry comes earlier, equal a build of all."""
+    entries = QUERIES["entries"](spark, SF).withColumn("base", F.expr("xxhash64(eid, tid, start_ts) % 3 <> 0")).persist()
+    base, delta = (entries.where(c).drop("base") for c in ("base", "NOT base"))
+    nodes = mmr.mmr_nodes(base)
+    grown, how = mmr.append_or_rebuild(nodes, base, delta)
+    touched = delta.select("eid").distinct()
+    whole = mmr.mmr_nodes(entries.drop("base")).join(touched, "eid", "left_semi")
+    row = lambda df: sorted(map(tuple, df.select("eid", "h", "j", "pos", "hash", "lo", "hi").collect()))
+    assert row(grown) == row(whole)
+    assert {r["rebuilt"] for r in how.collect()} == {True, False}
+
+
+@pytest.mark.parametrize("cap, fanout", [(4, 4), (3, 2)])
+def test_trees_of_many_levels(spark, cap, fanout):
+    """B-trees and the R-tree go up to one node whatever their height, against recursive models; their proofs hold."""
+    sha = lambda b: hashlib.sha256(b).digest()
+    rows = statement(spark, SF, world(Spark), "SELECT point_id, tid, ts, lon, lat FROM points").collect()
+    roots = []
+    for key in ("lon", "lat", "ts"):
+        order = sorted(rows, key=lambda p: (p[key], p["point_id"], p["tid"]))
+        leaves = [order[i : i + cap] for i in range(0, len(order), cap)]
+        level = [(struct.pack(">dd", x[0][key], x[-1][key]), sha(b"THREE-MBT-LEAF-v1" + struct.pack(">Q", len(x)) + b"".join(struct.pack(">dQQ", p[key], p["point_id"], 32) + bytes.fromhex(p["tid"]) for p in x))) for x in leaves]
+        height = 1
+        while len(level) > 1:
+            groups = [level[i : i + fanout] for i in range(0, len(level), fanout)]
+            level = [(x[0][0][:8] + x[-1][0][8:], sha(b"THREE-MBT-INTERNAL-v1" + struct.pack(">Q", len(x)) + b"".join(b + struct.pack(">Q", 32) + h for b, h in x))) for x in groups]
+            height += 1
+        assert height > 4
+        found = statement(spark, SF, points(Spark, cap, fanout), f"SELECT h, hash FROM {key}_nodes").collect()
+        assert max(r["h"] for r in found) == height - 1 and [r["hash"] for r in found if r["h"] == height - 1] == [level[0][1].hex()]
+        roots.append(level[0][1])
+    proofs_, asked, root = authenticated.key_proofs(spark, SF, MAIN, cap, fanout)
+    assert root == sha(b"THREE-MBT-ROOT-v1" + b"".join(roots)).hex()
+    claimed = {k: packed_proofs.disclosed(proofs_[k], asked[k], packed_proofs.KEYS) for k in ("lon", "lat", "ts")}
+    claimed["all"] = QUERIES["three_way_candidates"](spark, SF).selectExpr("'main' AS query_id", "tid")
+    assert packed_proofs.verify_keys(proofs_, asked, root, claimed).first()["accepted"]
+    report = packed_proofs.verify_keys(proofs_, asked, root, {"lat": claimed["lat"].limit(1)}).first()
+    assert not report["accepted"] and report["reason"] == "the claimed candidates differ"
+    proof, windows, root = authenticated.box_proofs(spark, SF, MAIN, cap, fanout)
+    assert packed_proofs.verify_boxes(proof, windows, root).first()["accepted"]
+    assert authenticated.btree_insert_root(spark, SF, cap, fanout).count() == authenticated.rtree_insert_root(spark, SF, cap, fanout).count() == 1
+
+
+def test_trees_without_points(spark, tmp_path):
+    spark.read.parquet(f"{SF}/events.parquet").where("false").write.parquet(f"{tmp_path}/events.parquet")
+    empty = hashlib.sha256(b"THREE-MBT-ROOT-v1" + bytes(96)).hexdigest()
+    assert QUERIES["btree_root"](spark, str(tmp_path)).first()["root"] == empty
+    assert QUERIES["rtree_root"](spark, str(tmp_path)).count() == 0
 
 
 def test_sources(spark, tmp_path):

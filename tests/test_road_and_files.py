@@ -10,7 +10,8 @@ from tessera.functions.dialect import Spark
 from tessera.operators import list_proofs, proofs, road_tree
 from tessera.plans import authenticated as auth
 from tessera.plans.queries import QUERIES
-from tessera.plans.world import MAIN, matrix, render, world
+from tessera.plans.engine import statement
+from tessera.plans.world import MAIN, matrix, world
 from tests.test_authenticated import halves, sha
 
 SF = "/root/testdata/sf0.001"
@@ -115,7 +116,7 @@ def test_backwards(tmp_path):
 
 def test_json_sizes(spark):
     """Lengths of the proofs as json.dumps writes them, for all windows."""
-    rows = spark.sql(render(world(Spark), "SELECT point_id, tid, lon, lat, CAST(ts AS DOUBLE) AS ts FROM points"), events=spark.read.parquet(f"{SF}/events.parquet")).collect()
+    rows = statement(spark, SF, world(Spark), "SELECT point_id, tid, lon, lat, CAST(ts AS DOUBLE) AS ts FROM points").collect()
 
     def packed(key):
         level = sorted((r[key], r["point_id"], r["tid"]) for r in rows)
