@@ -141,10 +141,13 @@ def _scorer(order: int, alpha: float, least: int):
         ids, sizes = left["ids"][0].as_py(), np.array(left["sizes"][0].as_py(), np.int64)
         words = WordHash().of(zstandard.ZstdDecompressor().decompress(left["words"][0].as_py()).split())
         own = grams(words, sizes, order)
-        keys = np.unique(np.concatenate([x[x > 0] for x in own])) if len(words) else np.zeros(0, np.uint64)
+        # one sort finds the distinct n-grams, in the order in which they were asked for, and their places; 0 is no n-gram
+        keys, place = np.unique(np.concatenate(own), return_inverse=True)
+        if len(keys) and keys[0] == 0:
+            sums = np.concatenate([[0], sums])
         if len(keys) != len(sums):
             raise ValueError("a block's n-grams differ from those that it asked for: its rows must read the same twice")
-        count = [np.where(x > 0, sums[np.searchsorted(keys, np.maximum(x, keys[:1]))], 0) if len(keys) else x.astype(np.int64) for x in own]
+        count = np.split(sums[place], order) if len(keys) else [x.astype(np.int64) for x in own]
         value, alone = np.log(np.maximum(count[0], 1)), np.ones(len(words), bool)
         for n in range(2, order + 1):
             context = np.concatenate([[0], count[n - 2][:-1]])
