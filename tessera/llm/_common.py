@@ -71,6 +71,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order; a sort is several times as fast here as numpy's unique without counts."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the n-grams of word hashes, in order; empty if there are fewer words."""
     if len(words) < n:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import GOLD, WordHash, materialize, mix, utf8_column
+from tessera.llm._common import GOLD, WordHash, distinct, lean, materialize, mix, utf8_column
 
 LOWEST = -(1 << 63)
 ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -89,7 +89,7 @@ def _worker(coords: int, batch_terms: int):
             bags[doc, 1] = bag(other.encode().lower().split(), hashes)
             rest[doc] = hashlib.sha256(other.encode()).hexdigest()
         last = bag(pairs[-1][2].encode().lower().split(), hashes)
-        terms = np.unique(np.concatenate([x[0] for x in bags.values()] + [last[0]]))
+        terms = distinct(np.concatenate([x[0] for x in bags.values()] + [last[0]]))
         sigs: dict = {}
         # parameters of a slice of the terms at a time would cost a merge; long lists go document by document
         params = gammas(terms, coords) if len(terms) <= 4 * batch_terms else None

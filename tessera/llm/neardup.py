@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import WordHash, bloom_filter, connected_components, lean, materialize, mix, ngram_hashes, passing, runs, utf8_column
+from tessera.llm._common import WordHash, bloom_filter, connected_components, distinct, lean, materialize, mix, ngram_hashes, passing, runs, utf8_column
 
 SKETCH = 1 << 16
 
@@ -35,7 +35,7 @@ def shingle_set(words: np.ndarray, n: int) -> np.ndarray:
     """Sorted distinct n-shingles; the whole sequence if there are fewer words."""
     if len(words) == 0:
         return words
-    return np.unique(ngram_hashes(words, min(n, len(words))))
+    return distinct(ngram_hashes(words, min(n, len(words))))
 
 
 def multipliers(coords: int) -> np.ndarray:
@@ -149,21 +149,21 @@ def _set_maker(shingle: int, coords: int, wanted):
     return run
 
 
-def _namer(columns: list[str], text_col: str, shingle: int):
+def _namer(columns: list[str], text_col: str, shingle: int, name: str):
     @lean
     def run(batches):
         hashes = WordHash()
         for batch in batches:
             nids = [set_id(shingle_set(hashes.of((x or b"").lower().split()), shingle)) for x in utf8_column(batch.column(columns.index(text_col)))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nids, pa.int64())], [*columns, "set_id"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nids, pa.int64())], [*columns, name])
 
     return run
 
 
-def with_set_id(docs: DataFrame, text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """docs with set_id, the name of each row's set of shingles as in near_duplicates."""
-    docs = docs.drop("set_id")
-    return docs.mapInArrow(_namer(docs.columns, text_col, shingle), docs.withColumn("set_id", F.lit(None).cast("long")).schema)
+def with_set_id(docs: DataFrame, name: str = "set_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """docs with the name of each row's set of shingles, as in near_duplicates, in a new column."""
+    docs = docs.drop(name)
+    return docs.mapInArrow(_namer(docs.columns, text_col, shingle, name), docs.withColumn(name, F.lit(None).cast("long")).schema)
 
 
 def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:

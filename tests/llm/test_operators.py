@@ -48,7 +48,7 @@ def shingles(text, n=5):
     return frozenset([tuple(w[i : i + n]) for i in range(len(w) - n + 1)] or [tuple(w)]) if w else frozenset()
 
 
-def components(rows):
+def components(rows, num=85):
     sets = [shingles(t) for _, t in rows]
     root = list(range(len(rows)))
 
@@ -63,7 +63,7 @@ def components(rows):
             where.setdefault(g, []).append(i)
     seen = {p for own in where.values() for p in itertools.combinations(own, 2)}
     for i, j in seen:
-        if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+        if 100 * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
             root[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(rows):

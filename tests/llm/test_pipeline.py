@@ -19,7 +19,7 @@ def test_stages(spark):
     rows = [(r[0], r[1]) for r in docs.select("doc_id", "text").collect()]
     kept = {r[0] for r in quality.quality(docs, spark.read.parquet(f"{SF}/labels.parquet")).where("kept").collect()}
     rows = [r for r in rows if r[0] in kept]
-    single = {int(d) for d, _, c, own in components(rows) if own}
+    single = {int(d) for d, _, c, own in components(rows, 80) if own}
     rows = [r for r in rows if r[0] in single]
     bench = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     clean = {int(x[0]) for x in brute_contamination(rows, bench) if not x[-1]}
@@ -41,6 +41,17 @@ def test_stages_on_odd_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_groups_of_repeated_ids(spark):
+    """A doc_id on rows of several groups: every group keeps one row, whatever becomes of the others."""
+    w = lambda a: " ".join(f"{a}{k}" for k in range(60))
+    a, b, c = w("a"), w("b"), w("c")
+    rows = [(3, a), (5, a + " x"), (5, b), (7, b + " y"), (None, c), (None, c + " z"), (9, c), (None, w("d")), (None, w("d")), (11, ""), (11, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, cluster int, set_id int")
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(((x["doc_id"], x["text"]) for x in got.collect()), key=str) == sorted([(3, a), (5, b), (9, c), (None, w("d")), (11, ""), (None, None)], key=str)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_oracle(spark, name):
     c = duckdb.connect()
