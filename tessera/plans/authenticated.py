@@ -149,31 +149,51 @@ def binary_tree_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_tree(spark, sf_dir).where("path = ''").select(F.col("hash").alias("root"))
 
 
-def _windows(spark: SparkSession, windows: str, low: str, high: str) -> DataFrame:
-    return spark.sql(f"SELECT query_id, array({low}) AS lows, array({high}) AS highs FROM ({windows}) w")
+def box_index(spark: SparkSession, sf_dir: str, cap: int = CAP, fanout: int = FANOUT) -> tuple[DataFrame, DataFrame, str]:
+    """Nodes and records of the R-tree, and its root."""
+    sql = lambda body: stored(statement(spark, sf_dir, points(d, cap, fanout), body), "rtree")
+    corners = [d.little(d.f64(c)) for c in ("x0", "y0", "x1", "y1")]
+    nodes = sql(f"SELECT h, idx, hash, concat({', '.join(corners)}) AS bounds, array(x0, y0) AS lows, array(x1, y1) AS highs FROM rt_nodes")
+    root = nodes.orderBy(F.desc("h")).selectExpr(f"{d.sha(d.text_hex('R'), 'bounds', 'hash')} AS root").first()
+    return nodes, sql("SELECT idx, r, record, tid FROM rt_records"), root["root"] if root else ""
+
+
+def box_ranges(windows: DataFrame) -> DataFrame:
+    return proofs.normalized(windows).selectExpr("query_id", "array(min_lon, min_lat) AS lows", "array(max_lon, max_lat) AS highs")
 
 
 def box_proofs(spark: SparkSession, sf_dir: str, windows: str, cap: int = CAP, fanout: int = FANOUT) -> tuple[DataFrame, DataFrame, str]:
     """R-tree proof tokens of windows, these as ranges, and the trusted root."""
-    sql = lambda body: stored(statement(spark, sf_dir, points(d, cap, fanout), body), "rtree")
-    corners = [d.little(d.f64(c)) for c in ("x0", "y0", "x1", "y1")]
-    nodes = sql(f"SELECT h, idx, hash, concat({', '.join(corners)}) AS bounds, array(x0, y0) AS lows, array(x1, y1) AS highs FROM rt_nodes")
-    root = nodes.orderBy(F.desc("h")).selectExpr(f"{d.sha(d.text_hex('R'), 'bounds', 'hash')} AS root").first()["root"]
-    asked = _windows(spark, windows, "min_lon, min_lat", "max_lon, max_lat")
-    return packed_proofs.tokens(nodes, sql("SELECT idx, r, record, tid FROM rt_records"), fanout, asked, (4, 2)), asked, root
+    nodes, records, root = box_index(spark, sf_dir, cap, fanout)
+    asked = box_ranges(spark.sql(windows))
+    return packed_proofs.tokens(nodes, records, fanout, asked, (4, 2)), asked, root
 
 
-def key_proofs(spark: SparkSession, sf_dir: str, windows: str, cap: int = CAP, fanout: int = FANOUT) -> tuple[dict, dict, str]:
-    """B-tree proof tokens by dimension, the windows as ranges, and the trusted root."""
-    proofs_, asked, roots = {}, {}, []
-    for key, low, high in (("lon", "min_lon", "max_lon"), ("lat", "min_lat", "max_lat"), ("ts", "q_start", "q_end")):
+KEYS = {"lon": ("min_lon", "max_lon"), "lat": ("min_lat", "max_lat"), "ts": ("q_start", "q_end")}
+
+
+def key_index(spark: SparkSession, sf_dir: str, cap: int = CAP, fanout: int = FANOUT) -> tuple[dict[str, tuple[DataFrame, DataFrame]], str]:
+    """Nodes and records of the B-trees by dimension, and the root over all three."""
+    trees, roots = {}, []
+    for key in KEYS:
         sql = lambda body: stored(statement(spark, sf_dir, points(d, cap, fanout), body), "btree")
         nodes = sql(f"SELECT h, idx, hash, concat({d.f64('lo')}, {d.f64('hi')}) AS bounds, array(lo) AS lows, array(hi) AS highs FROM {key}_nodes")
-        roots.append(nodes.orderBy(F.desc("h")).first()["hash"])
-        asked[key] = _windows(spark, windows, f"CAST({low} AS DOUBLE)", f"CAST({high} AS DOUBLE)")
-        proofs_[key] = packed_proofs.tokens(nodes, sql(f"SELECT idx, r, record, tid FROM {key}_records"), fanout, asked[key], (8, 8))
-    trusted = hashlib.sha256(b"THREE-MBT-ROOT-v1" + b"".join(map(bytes.fromhex, roots))).hexdigest()
-    return proofs_, asked, trusted
+        top = nodes.orderBy(F.desc("h")).first()
+        roots.append(top["hash"] if top else packed_proofs.EMPTY_ROOT)
+        trees[key] = nodes, sql(f"SELECT idx, r, record, tid FROM {key}_records")
+    return trees, hashlib.sha256(b"THREE-MBT-ROOT-v1" + b"".join(map(bytes.fromhex, roots))).hexdigest()
+
+
+def key_ranges(windows: DataFrame) -> dict[str, DataFrame]:
+    own = proofs.normalized(windows)
+    return {key: own.selectExpr("query_id", f"array(CAST({low} AS DOUBLE)) AS lows", f"array(CAST({high} AS DOUBLE)) AS highs") for key, (low, high) in KEYS.items()}
+
+
+def key_proofs(spark: SparkSession, sf_dir: str, windows: str, cap: int = CAP, fanout: int = FANOUT) -> tuple[dict, dict, str]:
+    """B-tree proof tokens by dimension, the windows as ranges, and the trusted root."""
+    trees, root = key_index(spark, sf_dir, cap, fanout)
+    asked = key_ranges(spark.sql(windows))
+    return {key: packed_proofs.tokens(*trees[key], fanout, asked[key], (8, 8)) for key in KEYS}, asked, root
 
 
 def rtree_verify_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,12 +266,11 @@ def append_equals_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
 def btree_json_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of the three proofs of each window of the matrix as compact JSON."""
     parts, windows = {}, spark.sql(matrix(d))
-    for key, low, high in (("lon", "min_lon", "max_lon"), ("lat", "min_lat", "max_lat"), ("ts", "q_start", "q_end")):
+    for key in KEYS:
         sql = lambda body: stored(statement(spark, sf_dir, points(d), body), "btree")
         nodes = sql(f"SELECT h, idx, hash, array(lo) AS lows, array(hi) AS highs FROM {key}_nodes")
         records = sql(f"SELECT {d.idiv('r', CAP)} AS idx, CAST({key} AS DOUBLE) AS key, point_id, tid FROM {key}_rank")
-        asked = _windows(spark, matrix(d), f"CAST({low} AS DOUBLE)", f"CAST({high} AS DOUBLE)")
-        parts[key] = packed_proofs.json_sizes(nodes, records, FANOUT, asked, {"ts": "time"}.get(key, key))
+        parts[key] = packed_proofs.json_sizes(nodes, records, FANOUT, key_ranges(windows)[key], {"ts": "time"}.get(key, key))
     return packed_proofs.composite_json_sizes(parts, windows)
 
 

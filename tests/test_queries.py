@@ -172,7 +172,7 @@ def test_sources(spark, tmp_path):
     (tmp_path / "n.txt").write_text("0 1.0 2.0\n\n1  1.5 2.5\n5 3 4\n")
     (tmp_path / "e.txt").write_text("0 0 1\n3 1 0\n2 1 5\n")
     nodes = road.read_nodes(spark, str(tmp_path / "n.txt"))
-    edges = road.read_edges(spark, str(tmp_path / "e.txt"), nodes)
+    edges = road.read_edges(spark, str(tmp_path / "e.txt"), nodes, parallel="least")
     assert sorted(map(tuple, edges.collect())) == [(0, 0, 1, 1.0, 2.0, 1.5, 2.5), (2, 1, 5, 1.5, 2.5, 3.0, 4.0)]
     assert road.violations(nodes, edges).count() == 0
     assert road.violations(nodes.where("node_id < 5"), edges).collect()[0]["id"] == 2
