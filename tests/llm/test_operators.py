@@ -372,6 +372,54 @@ def test_licenses(spark, odd, empty):
     assert licenses.scan(odd, templates=[]).where("n_matches > 0").count() == 0
 
 
+def brute_licenses(templates, words, coverage=0.85):
+    """All alignments by plain recursion over whole neighbourhoods of exact 3-grams, without winnowing or an index."""
+    found = set()
+    for t, own in enumerate(templates):
+        band = min(16, 2 + len(own) // 4)
+        places = {tuple(own[i : i + 3]): i for i in range(len(own) - 2)}
+        for at in range(len(words) - 2):
+            i = places.get(tuple(words[at : at + 3]))
+            if i is None:
+                continue
+            best: dict = {}
+            for a in range(len(own) - 1, -1, -1):
+                for j in range(2 * band, -1, -1):
+                    b = a + at - i + j - band
+                    skip = best.get((a, j + 1), []), best.get((a + 1, j - 1), [])
+                    longest = max(skip, key=len)
+                    if 0 <= b < len(words) and own[a] == words[b] and len(best.get((a + 1, j), [])) + 1 >= len(longest):
+                        longest = [b, *best.get((a + 1, j), [])]
+                    best[a, j] = longest
+            if len(best[0, 0]) >= coverage * len(own):
+                found.add((t, len(best[0, 0])))
+    return found
+
+
+def test_licenses_brute_force():
+    """Edited templates among other words: the best match of each template is as good as without an index."""
+    r = random.Random(9)
+    texts = [words(r, n).split() for n in (8, 14, 30)]
+    index = licenses.build([(str(k), " ".join(t)) for k, t in enumerate(texts)], 3, 3)
+    for turn in range(40):
+        own = list(texts[turn % 3])
+        for _ in range(turn % 4):
+            at = r.randrange(len(own))
+            own[at : at + 1] = r.choice([[], ["new"], [own[at], "more"]])
+        doc = words(r, 20).split() + own + words(r, 15).split()
+        hashed = licenses.WordHash().of([w.encode() for w in doc])
+        got = {(t, n) for t, _, _, n in licenses.matches(index, hashed, 3, 3, 16, 0.85)}
+        want: dict = {}
+        for t, n in brute_licenses(texts, doc):
+            want[t] = max(n, want.get(t, 0))
+        runs = [k for k, (a, b) in enumerate(zip(own, texts[turn % 3], strict=False)) if a != b]
+        if not runs or runs[0] >= 5:  # five words in a row surely share a fingerprint
+            assert got == set(want.items()), turn
+    many = [(-5, 0, 0, k * 10, k * 10 + 5) for k in range(20_000)]
+    assert len(licenses.chosen(many)) == 20_000
+    assert licenses.chosen([(-9, 0, 1, 5, 20), (-8, 0, 0, 0, 5), (-7, 0, 2, 21, 25), (-6, 0, 3, 20, 22)]) == [(1, 5, 20, 9), (2, 21, 25, 7)]
+
+
 def brute_pii(text):
     text = text or ""
     digits = lambda x: re.sub("[^0-9]", "", x)
