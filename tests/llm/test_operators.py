@@ -434,6 +434,35 @@ def brute_pii(text):
     return sorted(out)
 
 
+def test_pii_held_out(spark):
+    """Recall and precision of the added spans on sentences that no generator made."""
+    good = [
+        "You can reach Anna at anna.k (at) posteo [dot] de for details.", "mail: bob_77(at)uni-koeln.de", "Please write to j.smith [at] example.org before Friday", "contact sales{at}acme{dot}com", "his address is lee (at) mail (dot) net, I think",
+        "Call 415-555-0132 after six.", "my mobile is (212) 555-0199", "Telefon 303.555.0147, bitte", "fax 646 555 0176 or by post", "ring me on 718-555-0101!",
+        "SSN 219-09-9999 on file", "her social security number, 078-05-1120, leaked", "tax id: 457-55-5462", "social: 123-45-6789.",
+        "IBAN DE89 3704 0044 0532 0130 00", "transfer it to GB29 NWBK 6016 1331 9268 19 today", "Konto: FR1420041010050500013M02606", "pay into NL91ABNA0417164300 please", "cuenta ES91 2100 0418 4502 0005 1332",
+    ]
+    bad = [
+        "tune(at)440.0", "version 000-12-3456", "part 987-65-4321 of the set", "order 666-12-1234", "model 123-00-4567", "serial 100-200-3000", "ratio 001-200-3000 at best", "ISBN 012 345 6789 in print", "build 045.123.4567", "ticket 199-321-0000",
+        "code AB12 CDEF GH01 2345 6789", "sku XZ99ABCD01234567", "ref. DE00 1111 2222 3333 4444 55", "lot EF45 0000 1111 2222 3333",
+    ]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(good + bad)], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.scan(rows).collect()}
+    recall = sum(bool(got[i]) for i in range(len(good))) / len(good)
+    wrong = sum(bool(got[len(good) + i]) for i in range(len(bad))) / len(bad)
+    assert recall >= 0.85 and wrong <= 0.15, (recall, wrong, [good[i] for i in range(len(good)) if not got[i]], [bad[i] for i in range(len(bad)) if got[len(good) + i]])
+
+
+def test_pii_of_many_spans(spark):
+    """Thousands of spans in one text, base and added, at their places."""
+    text = " ".join(f"u{k}@ex.org call ({200 + k % 700}) 555-{k % 10000:04d}" for k in range(3_000))
+    row = pii.scan(spark.createDataFrame([(1, text, 2, "x", None)], "doc_id long, text string, b int, found string, m string")).first()
+    assert row["n_email"] == 3_000
+    base = {f"email:{m.start()}:{m.end()}" for m in re.finditer(r"u[0-9]+@ex\.org", text)}
+    assert base <= set(row["spans"].split(",")) and len(row["spans"].split(",")) == 6_000
+    assert all(text[x["start"] : x["end"]][0] in "u(" for x in row["found"])
+
+
 def test_pii(spark, odd, empty):
     texts = [
         "a@b.c_d@e.f x@y z@w.org. é😀 q.r+s@m-n.co.uk", "1.2.3.4.5.6.7.8 256.1.1.1 001.02.3.255 1.2.3", "4111 1111 1111 1111 4111-1111-1111-1112 +49 (30) 1234-5678 and +1", "@@@ " + "a" * 30_000 + " " + "a." * 5_000 + "@", "+" + "1 " * 5_000,
