@@ -115,6 +115,7 @@ def _worker(coords: int, batch_terms: int):
             best = np.minimum(a[rows], best)
         return out
 
+    @lean
     def run(batches):
         hashes = WordHash()
         names = [x.split()[0] for x in ROW.split(", ")]
@@ -144,7 +145,7 @@ def _worker(coords: int, batch_terms: int):
     return run
 
 
-def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", coords: int = 64, bucket_bytes: int = 4 << 20, max_buckets: int = 1 << 14, batch_terms: int = 60_000) -> DataFrame:
+def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", coords: int = 64, bucket_bytes: int = 4 << 20, max_buckets: int = 1 << 17, batch_terms: int = 60_000) -> DataFrame:
     """Fingerprints of every text and of its edited text, which borrows from the next document.
 
     The edited text has its last floor(n / 2) code points replaced by the first as
@@ -158,7 +159,9 @@ def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Documents are cut into up to max_buckets buckets of about bucket_bytes or more by
     ranges of the id, whose bounds come from a quantile sketch; each bucket also gets the first row of the
-    next one, so that one shuffle of the texts serves all.
+    next one, so that one shuffle of the texts serves all. A bucket is streamed in order
+    by one task, whatever its size (some 800 MB at 100 TB); rows of one id are in one bucket.
+    A very long text's terms are sampled in slices.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -12,7 +12,9 @@ key that follow its header are spans if one of them is novel.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import random
 import re
 
@@ -21,6 +23,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._common import lean
+
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
@@ -103,10 +107,32 @@ def key_lines(text: str) -> list[list[tuple[int, int]]]:
     return out
 
 
-def uncovered(s: int, e: int, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+class Taken:
+    """Spans in order, asked for those that overlap a range."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.spans = sorted(spans)
+        self.starts = [s for s, _, _ in self.spans]
+        self.far = list(itertools.accumulate((e for _, _, e in self.spans), max))  # the greatest end so far
+
+    def overlaps(self, s: int, e: int) -> bool:
+        """Whether a span that starts before e ends behind s."""
+        at = bisect.bisect_left(self.starts, e)
+        return at > 0 and self.far[at - 1] > s
+
+    def meeting(self, s: int, e: int) -> list[tuple[int, int, int]]:
+        at, out = bisect.bisect_left(self.starts, e), []
+        while at > 0 and self.far[at - 1] > s:
+            at -= 1
+            if self.spans[at][2] > s:
+                out.append(self.spans[at])
+        return out[::-1]
+
+
+def uncovered(s: int, e: int, taken: Taken) -> list[tuple[int, int]]:
     """The parts of s to e that no span covers."""
     out = []
-    for a, _, b in sorted(x for x in taken if x[0] < e and s < x[2]):
+    for a, _, b in taken.meeting(s, e):
         if s < a:
             out.append((s, a))
         s = max(s, b)
@@ -118,7 +144,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], reach: int, width:
     low = text.lower()
     if not any(w in low for w in CONTEXT_WORDS):
         return []
-    out, seen = [], set()
+    out, seen, base = [], set(), Taken(taken)
 
     def is_novel(s: int, e: int) -> bool:
         around = text[max(0, s - width) : s] + " " + text[e : e + width]
@@ -127,8 +153,8 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], reach: int, width:
     if "-----BEGIN" in text:
         for lines in key_lines(text):
             if any(e - s >= 16 and is_novel(s, e) for s, e in lines):
-                out += [(a, 3, b) for s, e in lines for a, b in uncovered(s, e, taken)]
-        taken = taken + out
+                out += [(a, 3, b) for s, e in lines for a, b in uncovered(s, e, base)]
+        base = Taken(taken + out)
     for hint in CONTEXT.finditer(text):
         for m in CANDIDATE.finditer(text, hint.end(), min(len(text), hint.end() + reach + 512)):
             s, e = m.span()
@@ -138,7 +164,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], reach: int, width:
                 e = s + len(re.compile(r"[A-Za-z0-9+/_.=-]+").match(text, s)[0])
             word = text[s:e].rstrip(".")
             e = s + len(word)
-            if s in seen or len(word) < 16 or any(a < e and s < b for a, _, b in taken):
+            if s in seen or len(word) < 16 or base.overlaps(s, e):
                 continue
             seen.add(s)
             classes = sum(any(f(c) for c in word) for f in (str.islower, str.isupper, str.isdigit))
@@ -156,6 +182,7 @@ def digest(spans: list[tuple[int, int, int]]) -> str:
 def _scanner(reach: int, width: int, least: float):
     names = ["doc_id", "n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans", "found"]
 
+    @lean
     def run(batches):
         for batch in batches:
             rows = []
@@ -183,13 +210,16 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rea
     spans and found also have the candidates whose novelty is `least` or more.
     Spans are sorted by start, then kind; those of different kinds may overlap, but
     novel ones do not overlap base ones. A null text counts as empty and has no
-    span. Repeated rows are scanned each; other columns are ignored.
+    span, an empty table gives an empty result. Repeated rows are scanned each; a text
+    of any length is scanned whole, in time that grows with it and its candidates.
+    Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_scanner(reach, width, least), SCHEMA)
 
 
 def _redactor(columns: list[str], text_col: str, reach: int, width: int, least: float):
+    @lean
     def run(batches):
         for batch in batches:
             at = columns.index(text_col)
