@@ -78,6 +78,21 @@ three AS (SELECT r, CASE WHEN two.p IS NULL THEN s1 WHEN n2 >= 2 THEN s2 ELSE s1
           FROM two LEFT JOIN c3 ON c3.q = two.q AND c3.p = two.p AND c3.w = two.w LEFT JOIN c2 cq ON cq.p = two.q AND cq.w = two.p),
 s AS (SELECT r, sum(CASE WHEN n3 IS NULL THEN shorter WHEN n3 >= 2 THEN s3 ELSE shorter + ln(0.4) END) AS score FROM three GROUP BY r)
 SELECT doc_id, CAST(len(d.w) AS BIGINT) AS n_words, round(coalesce(score, 0), 4) AS score, round(score / len(d.w), 4) AS mean_score FROM d LEFT JOIN s ON s.r = d.r""",
+    "op3_near_duplicates": rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all({FOLDED}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+sets AS (SELECT r, n, md5(string_agg(g, chr(10) ORDER BY g)) AS h FROM s JOIN n USING (r) GROUP BY r, n),
+one AS (SELECT h, min(r) AS r, min(n) AS n FROM sets GROUP BY h),
+own AS (SELECT s.r, s.g FROM s JOIN one USING (r)),
+met AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM own a JOIN own b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r),
+link AS (SELECT x, y FROM met JOIN one p ON p.r = x JOIN one q ON q.r = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+way AS (SELECT x AS a, y AS b FROM link UNION SELECT y, x FROM link),
+reach AS (SELECT r AS a, r AS b FROM one UNION SELECT e.a, w.b FROM reach e JOIN way w ON w.a = e.b),
+part AS (SELECT a AS r, min(b) AS part FROM reach GROUP BY a),
+placed AS (SELECT d.doc_id, d.r, coalesce(t.n, 0) AS n, p.part FROM d LEFT JOIN sets t ON t.r = d.r LEFT JOIN one o ON o.h = t.h LEFT JOIN part p ON p.r = o.r),
+first AS (SELECT part, min(doc_id) AS first FROM placed WHERE part IS NOT NULL GROUP BY part)
+SELECT doc_id, n AS n_shingles, coalesce(first, doc_id) AS component_id, coalesce(doc_id = coalesce(first, doc_id), false) AS kept FROM placed LEFT JOIN first USING (part)""",
     "op6_decontamination": rf"""
 WITH d AS (SELECT doc_id, coalesce(regexp_extract_all({FOLDED}, '{ITEM_WORDS}'), []) AS w FROM documents),
 b AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({FOLDED}, '{ITEM_WORDS}') AS w FROM benchmark WHERE item_id IS NOT NULL),
