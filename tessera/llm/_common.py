@@ -5,13 +5,14 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import re
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.tables import shared_dir as shared_dir
@@ -21,24 +22,47 @@ GOLD = np.uint64(0x9E3779B97F4A7C15)
 MASK64 = (1 << 64) - 1
 
 
+#: glibc's names of the sizes from which memory is mapped, kept free, and of the number of arenas.
+MMAP_THRESHOLD, TRIM_THRESHOLD, ARENA_MAX = -3, -1, -8
+
+
 def lean(run):
-    """A function over batches that gives its memory back to the system when a task ends; workers outlive tasks."""
+    """A function over batches that keeps no memory which it doesn't use; workers outlive tasks.
+
+    Blocks of 1 MB or more, Arrow's too, go back to the system when freed, the rest when a task ends.
+    """
 
     @functools.wraps(run)
     def streamed(batches):
+        libc = ctypes.CDLL(None)
+        glibc = hasattr(libc, "mallopt") and hasattr(libc, "malloc_trim")
+        if glibc:
+            for name, value in ((MMAP_THRESHOLD, 1 << 20), (TRIM_THRESHOLD, 4 << 20), (ARENA_MAX, 2)):
+                libc.mallopt(name, value)
+            pa.set_memory_pool(pa.system_memory_pool())
         try:
             yield from run(batches)
         finally:
             gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except AttributeError:  # only glibc has it
-                pass
+            if glibc:
+                libc.malloc_trim(0)
 
     return streamed
 
 
+#: Rows and bytes that Spark hands to Python at a time.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session's batches to Python workers be no larger than BATCH_ROWS and BATCH_BYTES, so that workers stay small."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        found = re.sub("[^0-9-]", "", spark.conf.get(key))
+        if not 0 < int(found) <= most:
+            spark.conf.set(key, str(most))
+
+
 def hash_of(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import WordHash, lean, materialize, mix, ngram_hashes, spread, squeezed, steps, summed, utf8_column
+from tessera.llm._common import WordHash, lean, materialize, mix, ngram_hashes, small_batches, spread, squeezed, steps, summed, utf8_column
 
 BLOCK = "block long, ids array<long>, sizes array<int>, words binary"
 ASKED = "shard int, block long, keys binary, counts binary, large binary"
@@ -185,6 +185,7 @@ def stupid_backoff(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     upper limit, so that tasks stay bounded. docs is read twice and must give the same
     rows in the same order, as files do. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     asked = rows.mapInArrow(_asker(order, shards or max(12, int(n_bytes) // 6 // shard_words), block_words), ASKED)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._common import GOLD, WordHash, bloom_filter, lean, materialize, mix, ngram_hashes, passing, utf8_column
+from tessera.llm._common import GOLD, WordHash, bloom_filter, lean, materialize, mix, ngram_hashes, passing, small_batches, utf8_column
 
 #: Word characters are ASCII digits and letters and all that isn't ASCII; A-Z become a-z.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -152,6 +152,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     taken. Without items or documents nothing is contaminated. A text is in one task's
     memory, however long; its occurrences are rows. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).distinct()
     windows = materialize(items.mapInArrow(_windower(window, shingle), WINDOWS), "windows")
     sizes = sorted(r[0] for r in windows.select("n").distinct().collect())  # at most `window`

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import GOLD, WordHash, distinct, lean, materialize, mix, utf8_column
+from tessera.llm._common import GOLD, WordHash, distinct, lean, materialize, mix, small_batches
 
 LOWEST = -(1 << 63)
 ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -164,6 +164,7 @@ def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     A very long text's terms are sampled in slices.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     total, count = rows.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     if not count:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import WordHash, lean, ngram_hashes, utf8_column
+from tessera.llm._common import WordHash, lean, ngram_hashes, small_batches, utf8_column
 from tessera.llm.decontam import FOLD
 
 #: Notices as licensors word them.
@@ -180,6 +180,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tem
     rows are scanned each. A text's words are in one task's memory, however long it is; time
     grows with its words and with the places where templates may lie. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     index = build(TEMPLATES if templates is None else templates, k, w)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_scanner(index, k, w, band, coverage), SCHEMA)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import WordHash, bloom_filter, connected_components, distinct, lean, materialize, mix, ngram_hashes, passing, runs, utf8_column
+from tessera.llm._common import WordHash, bloom_filter, connected_components, distinct, lean, materialize, mix, ngram_hashes, passing, runs, small_batches, utf8_column
 
 SKETCH = 1 << 16
 
@@ -162,6 +162,7 @@ def _namer(columns: list[str], text_col: str, shingle: int, name: str):
 
 def with_set_id(docs: DataFrame, name: str = "set_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """docs with the name of each row's set of shingles, as in near_duplicates, in a new column."""
+    small_batches(docs.sparkSession)
     docs = docs.drop(name)
     return docs.mapInArrow(_namer(docs.columns, text_col, shingle, name), docs.withColumn(name, F.lit(None).cast("long")).schema)
 
@@ -325,6 +326,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     long the text. An empty table gives an empty result; other columns are ignored.
     """
     spark, need = docs.sparkSession, matches_needed(coords, num, den)
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialize(rows.mapInArrow(_signer(shingle, coords), "doc_id long, nid long, n_shingles long, sig binary"), "signed")
     some = signed.where("nid is not null")

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import lean
+from tessera.llm._common import lean, small_batches
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -214,6 +214,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rea
     of any length is scanned whole, in time that grows with it and its candidates.
     Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_scanner(reach, width, least), SCHEMA)
 
@@ -242,4 +243,5 @@ def _redactor(columns: list[str], text_col: str, reach: int, width: int, least:
 
 def redact(docs: DataFrame, *, text_col: str = "text", reach: int = 40, width: int = 400, least: float = 0.9) -> DataFrame:
     """docs with every secret replaced by its kind in brackets; all rows and columns stay."""
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(_redactor(docs.columns, text_col, reach, width, least), docs.schema)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import materialize, shared_dir
+from tessera.llm._common import lean, materialize, shared_dir, small_batches
 
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -65,6 +65,7 @@ def page_record(page: int | None, url: str | None, sha1_hex: str, payload: bytes
 
 
 def _writer(uri: str, roll_bytes: int, level: int, date: str):
+    @lean
     def run(batches):
         files, folder = store(uri)
         task = TaskContext.get()
@@ -130,6 +131,7 @@ def write(pages: DataFrame, uri: str | None = None, *, id_col: str = "page_id",
     any scheme that pyarrow.fs opens will do.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     uri = uri or f"{shared_dir(spark)}/tessera/warc-{uuid.uuid4().hex}"
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.sha1(payload).alias("sha"), F.lit(1).alias("role"), F.lit(None).cast("long").alias("response"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
@@ -180,6 +182,7 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 def _reader(uri: str, with_payload: bool):
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
+    @lean
     def run(batches):
         files, folder = store(uri)
         for batch in batches:
