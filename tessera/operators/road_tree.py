@@ -131,14 +131,36 @@ def new_edges(nodes: DataFrame, edges: DataFrame, count: int) -> list[tuple[int,
     Of pairs among a target's nearest nodes the one whose middle is nearest: of preferred
     length, else of relaxed length, else of any length in a wider pool. Pairs already taken
     by earlier targets are passed over: each tier sends at most count rows a target to the driver.
+    Where a wider pool may lack pairs for a target, pools grow, at last to all nodes; targets get
+    no edge only if the network then lacks no more.
     """
     spark = nodes.sparkSession
     where = spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate(targets(count))], "target int, fx double, fy double")
-    box = nodes.agg(F.min("lon").alias("x0"), F.min("lat").alias("y0"), F.max("lon").alias("x1"), F.max("lat").alias("y1"))
-    asked = where.join(box).selectExpr("target", "x0 + (x1 - x0) * fx AS tlon", "y0 + (y1 - y0) * fy AS tlat")
+    box = nodes.agg(F.min("lon").alias("x0"), F.min("lat").alias("y0"), F.max("lon").alias("x1"), F.max("lat").alias("y1"), F.count(F.lit(1)).alias("n"))
+    asked = stored(where.join(box).selectExpr("target", "x0 + (x1 - x0) * fx AS tlon", "y0 + (y1 - y0) * fy AS tlat", "n"), "road-targets")
+    n_nodes = asked.agg(F.max("n")).first()[0] or 0
+    taken: set = set()
+    out: dict[int, tuple] = {}
+    wide = WIDE_POOL
+    while True:
+        rest = asked.where(~F.col("target").isin(list(out))).drop("n")
+        for r in _candidates(nodes, edges, rest, wide, count):
+            if r["target"] not in out and (r["a"], r["b"]) not in taken:
+                taken.add((r["a"], r["b"]))
+                out[r["target"]] = (r["target"], r["u"], r["v"], r["meters"])
+        if len(out) == count or wide >= n_nodes:
+            break
+        wide *= 4
+    if any(math.isnan(x[3]) for x in out.values()):
+        raise ValueError("a place of a node is not a number")
+    return [out[k] for k in sorted(out)]
+
+
+def _candidates(nodes: DataFrame, edges: DataFrame, asked: DataFrame, wide: int, count: int) -> list:
+    """Rows target, u, v, a, b, meters in order of preference, at most count a tier, for targets (target, tlon, tlat)."""
     away = F.expr("power((lon - tlon) * greatest(cos(radians(tlat)), 1e-9), 2) + power(lat - tlat, 2)")
     near = nodes.join(F.broadcast(asked)).withColumn("away", away)
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("target").orderBy("away", "node_id"))).where(F.col("r") <= WIDE_POOL)
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy("target").orderBy("away", "node_id"))).where(F.col("r") <= wide)
     near = stored(near.select("target", "tlon", "tlat", "node_id", "lon", "lat", "r"), "road-near")
     p, q = near.alias("p"), near.alias("q")
     pairs = p.join(q, F.expr("p.target = q.target AND p.r < q.r")).selectExpr("p.target", "p.node_id AS u", "q.node_id AS v", "least(p.node_id, q.node_id) AS a", "greatest(p.node_id, q.node_id) AS b", "q.r AS far", f"{_meters('p.lon', 'p.lat', 'q.lon', 'q.lat')} AS meters", f"{_meters('(p.lon + q.lon) * 0.5e0', '(p.lat + q.lat) * 0.5e0', 'p.tlon', 'p.tlat')} AS gap")
@@ -147,15 +169,7 @@ def new_edges(nodes: DataFrame, edges: DataFrame, count: int) -> list[tuple[int,
     fits = F.array(F.expr(f"far <= {POOL} AND meters BETWEEN {low} AND {high}"), F.expr(f"far <= {POOL} AND meters <= {RELAXED_METERS}"), F.lit(True))
     tiers = pairs.select("*", F.posexplode(fits).alias("tier", "fit")).where("fit")
     best = tiers.withColumn("k", F.row_number().over(Window.partitionBy("target", "tier").orderBy("gap", "meters", "a", "b"))).where(F.col("k") <= count)
-    taken: set = set()
-    out: dict[int, tuple] = {}
-    for r in best.orderBy("target", "tier", "k").select("target", "u", "v", "a", "b", "meters").collect():
-        if r["target"] not in out and (r["a"], r["b"]) not in taken:
-            taken.add((r["a"], r["b"]))
-            out[r["target"]] = (r["target"], r["u"], r["v"], r["meters"])
-    if len(out) < count or any(math.isnan(x[3]) for x in out.values()):
-        raise ValueError("no new road near some target")
-    return list(out.values())
+    return best.orderBy("target", "tier", "k").select("target", "u", "v", "a", "b", "meters").collect()
 
 
 def with_new_edges(nodes: DataFrame, edges: DataFrame, added: list[tuple[int, int, int, float]]) -> DataFrame:

@@ -83,6 +83,32 @@ def test_road_update(spark, road):
     assert road_tree.road_tree(nodes, grown, auth.THETA)[0].where("path = ''").first()["hash"] == road_model(xy, now, auth.THETA)
 
 
+def test_road_that_lacks_few_edges(spark, tmp_path):
+    """A complete network gets no edge, one that lacks three gets these; a full pool of near nodes is widened."""
+    xy = [(k, 104.0 + k % 5 / 100, 30.0 + k // 5 / 100) for k in range(20)]
+    nodes = spark.createDataFrame(xy, "node_id long, lon double, lat double")
+    every = [(a, b) for a in range(20) for b in range(a + 1, 20)]
+    lacking = {(0, 1), (2, 9), (4, 19)}
+    table = lambda pairs: spark.createDataFrame([(k, a, b, *xy[a][1:], *xy[b][1:]) for k, (a, b) in enumerate(pairs)], "eid long, u long, v long, ulon double, ulat double, vlon double, vlat double")
+    whole = table(every)
+    assert road_tree.new_edges(nodes, whole, 10) == []
+    assert road_tree.with_new_edges(nodes, whole, []).count() == len(every)
+    added = road_tree.new_edges(nodes, table([p for p in every if p not in lacking]), 10)
+    assert {tuple(sorted(x[1:3])) for x in added} == lacking and len({x[0] for x in added}) == 3
+    far = spark.createDataFrame([*xy, *((k, 120.0 + k, 40.0) for k in range(20, 22))], "node_id long, lon double, lat double")
+    road_tree.WIDE_POOL, old = 4, road_tree.WIDE_POOL
+    try:
+        added = road_tree.new_edges(far, whole, 10)
+    finally:
+        road_tree.WIDE_POOL = old
+    assert len({tuple(sorted(x[1:3])) for x in added}) == 10 and all(max(x[1:3]) >= 20 for x in added)
+    events = spark.createDataFrame([(4 * k + i, 1_704_000_000 + 100 * (4 * k + i), k, f'{{"k": {n}}}') for k, (a, b) in enumerate((a, b) for a in range(9) for b in range(a + 1, 9)) for i, n in enumerate((a, b))], "event_id long, t long, user_id long, props string")
+    events.selectExpr("event_id", "timestamp_seconds(t) AS ts", "user_id", "props").write.parquet(f"{tmp_path}/events.parquet")
+    assert auth.road_new_edges(spark, str(tmp_path)).count() == 0
+    report = {r["state"]: r for r in auth.road_update_report(spark, str(tmp_path)).collect()}
+    assert report["before"]["root"] == report["after"]["root"] and report["before"]["accepted"] and report["after"]["accepted"]
+
+
 def test_list_proof_file(spark, tmp_path):
     built = auth.list_tree(spark, SF)
     root = built[0].where("path = ''").first()["hash"]
