@@ -7,10 +7,11 @@
    comes from a counting sketch of fixed size over all signatures.
 3. Posting lists with equal members are skipped but for one. Every list names a
    pivot, its most central member, and members meet under their pivots.
-4. Collisions of members with their pivot are counted over the signatures, and those
-   that have `need` of them are compared with it on full sets: one row a member, in
-   blocks, to each of which the pivot goes, so that a group of near copies costs rows
-   in proportion to its size.
+4. Collisions of members with their pivot are counted over the signatures, of which the
+   low byte of each coordinate is enough: equal coordinates have equal bytes, so that no
+   pair gets fewer collisions. Those that have `need` of them are compared with it on full
+   sets: one row a member, in blocks, to each of which the pivot goes, so that a group of
+   near copies costs rows in proportion to its size.
 5. Only members that this does not link to their pivot are compared with all the
    others of the group, in pairs of blocks, on signatures and then on full sets.
 6. Links are merged into components.
@@ -50,6 +51,11 @@ def signature(items: np.ndarray, by: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
+def low_bytes(sigs: np.ndarray) -> np.ndarray:
+    """The low byte of each coordinate; the high ones are mostly 0 in large sets."""
+    return (sigs & np.uint32(255)).astype(np.uint8)
+
+
 def tokens(sigs: np.ndarray) -> np.ndarray:
     """64-bit names of the coordinate-value pairs."""
     return mix((np.arange(sigs.shape[1], dtype=np.uint64) << np.uint64(32))[None, :] | sigs.astype(np.uint64))
@@ -120,6 +126,20 @@ def _poster(coords: int, prefix: int, sketch, only=None):
     return run
 
 
+def _shortener(coords: int):
+    """(nid, low): the low bytes of the signatures."""
+
+    @lean
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                low = low_bytes(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, coords))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in low], pa.binary())], ["nid", "low"])
+
+    return run
+
+
 def set_id(items: np.ndarray) -> np.int64 | None:
     """64 bits that name a set; None for the empty one."""
     return np.int64(np.uint64(xxhash.xxh3_64_intdigest(items.tobytes()))) if len(items) else None
@@ -143,8 +163,8 @@ def _set_maker(shingle: int, coords: int, wanted):
                     if nid is not None and passing(wanted.value, np.array([nid]))[0]:
                         nids.append(nid)
                         sets.append(items.tobytes())
-                        sigs.append(signature(items, by).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(nids, pa.int64()), pa.array(sets, pa.binary()), pa.array(sigs, pa.binary())], ["nid", "items", "sig"])
+                        sigs.append(low_bytes(signature(items, by)).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(nids, pa.int64()), pa.array(sets, pa.binary()), pa.array(sigs, pa.binary())], ["nid", "items", "low"])
 
     return run
 
@@ -187,7 +207,7 @@ def _near_pivot(coords: int, need: int):
             nid, pivot = table["nid"].to_numpy(), table["pivot"][0].as_py()
             hub = np.flatnonzero(nid == pivot)
             if len(hub) and len(nid) > 1:
-                sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, coords)
+                sigs = np.frombuffer(b"".join(table["low"].to_pylist()), np.uint8).reshape(-1, coords)
                 near = nid[((sigs == sigs[hub[0]]).sum(axis=1) >= need) & (nid != pivot)]
                 if len(near):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), pivot, np.int64)), pa.array(near)], ["pivot", "nid"])
@@ -220,7 +240,7 @@ def _sifter(coords: int, need: int):
     def run(batches):
         for table in runs(batches, ["pivot", "bi", "bj"]):
             nid, left = table["nid"].to_numpy(), table["left"].to_numpy(zero_copy_only=False).astype(bool)
-            sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, coords)
+            sigs = np.frombuffer(b"".join(table["low"].to_pylist()), np.uint8).reshape(-1, coords)
             every = np.flatnonzero(~left)
             found = np.zeros(len(nid), bool)
             for i in np.flatnonzero(left).tolist():
@@ -243,7 +263,7 @@ def _linker(coords: int, need: int, num: int, den: int):
         nid, left = table["nid"].to_numpy(), table["left"].to_numpy(zero_copy_only=False).astype(bool)
         _, group = np.unique(nid, return_inverse=True)  # of nids known to hang together
         sets = table["items"]
-        sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, coords)
+        sigs = np.frombuffer(b"".join(table["low"].to_pylist()), np.uint8).reshape(-1, coords)
         every = np.flatnonzero(~left)
         out = []
         for i in np.flatnonzero(left).tolist():
@@ -349,10 +369,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         used.destroy()
 
     def sets_of(members: DataFrame) -> DataFrame:
-        """nid, items, sig of the members' sets, made again from one row each."""
+        """nid, items, low of the members' sets, made again from one row each."""
         wanted = materialize(members.select("nid").distinct().join(copies, "nid").select("nid", "least"), "wanted")
         keys = bloom_filter(wanted.select(F.explode(F.array("nid", "least")).alias("id")).where("id is not null"))
-        made = lambda df: df.mapInArrow(_set_maker(shingle, coords, keys), "nid long, items binary, sig binary")
+        made = lambda df: df.mapInArrow(_set_maker(shingle, coords, keys), "nid long, items binary, low binary")
         out = made(rows.where("doc_id is not null"))
         if not wanted.where("least is null").isEmpty():
             out = out.unionByName(made(rows.where("doc_id is null")))
@@ -360,7 +380,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         keys.destroy()
         return out
 
-    near = _grouped(_with_pivot(under, block, "dealt"), nodes, ["pivot", "block"]).mapInArrow(_near_pivot(coords, need), "pivot long, nid long")
+    short = nodes.mapInArrow(_shortener(coords), "nid long, low binary")
+    near = _grouped(_with_pivot(under, block, "dealt"), short, ["pivot", "block"]).mapInArrow(_near_pivot(coords, need), "pivot long, nid long")
     near = materialize(near, "near")
     sets = sets_of(near.select(F.explode(F.array("pivot", "nid")).alias("nid")))
     like = _grouped(_with_pivot(near, block, "near-dealt"), sets, ["pivot", "block"]).mapInArrow(_like_pivot(num, den), "pivot long, nid long")
@@ -369,7 +390,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = like.select(F.col("pivot").alias("a"), F.col("nid").alias("b"))
     if not left.isEmpty():
         pairs, keys = materialize(_across(left, under, block), "across"), ["pivot", "bi", "bj"]
-        found = materialize(_grouped(pairs, nodes, keys).mapInArrow(_sifter(coords, need), "pivot long, nid long").distinct(), "sifted")
+        found = materialize(_grouped(pairs, short, keys).mapInArrow(_sifter(coords, need), "pivot long, nid long").distinct(), "sifted")
         if not found.isEmpty():
             pairs = materialize(_across(left.join(found, ["pivot", "nid"], "left_semi"), found, block), "across-sifted")
             more = _grouped(pairs, sets_of(found), keys).mapInArrow(_linker(coords, need, num, den), "a long, b long")

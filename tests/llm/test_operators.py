@@ -95,6 +95,20 @@ def test_near_duplicates_of_a_large_group(spark):
         assert sorted(got) == components(rows)
 
 
+def test_near_duplicates_deal_short_signatures(spark, monkeypatch):
+    """What goes to pivots is a byte a coordinate, which no equal coordinates lose."""
+    r = np.random.default_rng(5)
+    a, b = r.integers(0, 1 << 32, (2, 500, 128), dtype=np.uint64).astype(np.uint32)
+    b[:, :90] = a[:, :90]
+    assert ((neardup.low_bytes(a) == neardup.low_bytes(b)).sum(axis=1) >= (a == b).sum(axis=1)).all()
+    grouped, seen = neardup._grouped, []
+    monkeypatch.setattr(neardup, "_grouped", lambda dealt, by_nid, keys: seen.append(by_nid) or grouped(dealt, by_nid, keys))
+    words = [f"w{k}" for k in range(60)]
+    docs = spark.createDataFrame([(k, " ".join([*words[:20], f"x{k}", *words[20:]])) for k in range(12)], "doc_id long, text string")
+    neardup.near_duplicates(docs, num=80).count()
+    assert seen and all("sig" not in x.columns and x.selectExpr("max(octet_length(low))").first()[0] == 128 for x in seen)
+
+
 def test_near_duplicates_odd(spark, odd, empty):
     docs = odd
     got = [(str(r[0]), r[1], str(r[2]), r[3]) for r in neardup.near_duplicates(docs, num=85).collect()]
