@@ -203,6 +203,11 @@ def runs(batches, key_names: list[str]):
         yield rest
 
 
+def sorted_join(df: DataFrame) -> DataFrame:
+    """A side of a join that is shuffled and sorted: tables that grow with the input are not gathered by the driver, whatever the session's threshold for broadcasts."""
+    return df.hint("shuffle_merge")
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, comp) for every node of a link; comp is one node of its component.
 
@@ -217,19 +222,19 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         parent = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), "parent")
         while True:
             up = parent.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-            jumped = materialize(parent.join(up, "comp").select("node", F.col("up").alias("comp"), (F.col("up") != F.col("comp")).alias("moved")), "jump")
+            jumped = materialize(parent.join(sorted_join(up), "comp").select("node", F.col("up").alias("comp"), (F.col("up") != F.col("comp")).alias("moved")), "jump")
             moved = not jumped.where("moved").isEmpty()
             parent = jumped.select("node", "comp")
             if not moved:
                 break
         to_a = parent.select(F.col("node").alias("a"), F.col("comp").alias("ra"))
         to_b = parent.select(F.col("node").alias("b"), F.col("comp").alias("rb"))
-        edges = materialize(edges.join(to_a, "a").join(to_b, "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where("a <> b").distinct(), "edges")
+        edges = materialize(edges.join(sorted_join(to_a), "a").join(sorted_join(to_b), "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where("a <> b").distinct(), "edges")
         if labels is None:
             labels = parent
         else:
             up = parent.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-            labels = materialize(labels.join(up, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")), "labels")
+            labels = materialize(labels.join(sorted_join(up), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")), "labels")
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     return labels

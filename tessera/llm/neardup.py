@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import WordHash, bloom_filter, connected_components, distinct, lean, materialize, mix, ngram_hashes, passing, runs, small_batches, utf8_column
+from tessera.llm._common import WordHash, bloom_filter, connected_components, distinct, lean, materialize, mix, ngram_hashes, passing, runs, small_batches, sorted_join, utf8_column
 
 SKETCH = 1 << 16
 
@@ -296,7 +296,7 @@ def _blocked(members: DataFrame, block: int, label: str) -> DataFrame:
     """
     many = members.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n_blocks")).where("n_blocks > 1")
     many = many.select("pivot", "n_blocks", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    dealt = members.withColumn("salt", F.pmod(F.xxhash64("nid", "pivot"), F.lit(SALTS)).cast("int")).join(many, ["pivot", "salt"], "left")
+    dealt = members.withColumn("salt", F.pmod(F.xxhash64("nid", "pivot"), F.lit(SALTS)).cast("int")).join(sorted_join(many), ["pivot", "salt"], "left")
     dealt = dealt.withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1))).select("pivot", "nid", "n_blocks", F.pmod(F.xxhash64("nid"), F.col("n_blocks")).cast("int").alias("block"))
     return materialize(dealt, label)
 
@@ -312,19 +312,19 @@ def _across(left: DataFrame, under: DataFrame, block: int) -> DataFrame:
     """(pivot, nid, left, bi, bj): blocks of the members left over with blocks of all members of their groups."""
     left = _blocked(left, block, "left")
     groups = left.groupBy("pivot").agg(F.max("n_blocks").alias("k_left"))
-    with_left = materialize(under.join(groups.select("pivot"), "pivot", "left_semi"), "with-left")
+    with_left = materialize(under.join(sorted_join(groups.select("pivot")), "pivot", "left_semi"), "with-left")
     every = _blocked(with_left, block, "all")
-    ranges = materialize(groups.join(every.groupBy("pivot").agg(F.max("n_blocks").alias("k_all")), "pivot"), "ranges")
+    ranges = materialize(groups.join(sorted_join(every.groupBy("pivot").agg(F.max("n_blocks").alias("k_all"))), "pivot"), "ranges")
     salted = ranges.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salt = F.pmod(F.xxhash64("nid", "pivot"), F.lit(SALTS)).cast("int")
-    one = left.withColumn("salt", salt).join(salted, ["pivot", "salt"]).select("pivot", "nid", F.lit(True).alias("left"), F.col("block").alias("bi"), F.explode(F.expr("sequence(0, k_all - 1)")).alias("bj"))
-    other = every.withColumn("salt", salt).join(salted, ["pivot", "salt"]).select("pivot", "nid", F.lit(False).alias("left"), F.explode(F.expr("sequence(0, k_left - 1)")).alias("bi"), F.col("block").alias("bj"))
+    one = left.withColumn("salt", salt).join(sorted_join(salted), ["pivot", "salt"]).select("pivot", "nid", F.lit(True).alias("left"), F.col("block").alias("bi"), F.explode(F.expr("sequence(0, k_all - 1)")).alias("bj"))
+    other = every.withColumn("salt", salt).join(sorted_join(salted), ["pivot", "salt"]).select("pivot", "nid", F.lit(False).alias("left"), F.explode(F.expr("sequence(0, k_left - 1)")).alias("bi"), F.col("block").alias("bj"))
     return one.unionByName(other)
 
 
 def _grouped(dealt: DataFrame, by_nid: DataFrame, keys: list[str]) -> DataFrame:
     """Members with the columns of by_nid, each group in one task and sorted."""
-    return dealt.join(by_nid.hint("shuffle_merge"), "nid").repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.join(sorted_join(by_nid), "nid").repartition(*keys).sortWithinPartitions(*keys)
 
 
 SALTS = 16
@@ -362,15 +362,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     lists = materialize(lists.groupBy("members", "n", "top").agg(F.min("key").alias("key")).select("key", "top"), "lists")
     listed = bloom_filter(lists.select("key"))
     posts = nodes.mapInArrow(_poster(coords, prefix, sketch, listed), "key long, nid long, central long")
-    met = materialize(posts.join(lists, "key").select("key", "nid", "central", "top"), "met")
+    met = materialize(posts.join(sorted_join(lists), "key").select("key", "nid", "central", "top"), "met")
     pivots = met.where("central = top").groupBy("key").agg(F.min("nid").alias("pivot"))
-    under = materialize(met.join(pivots, "key").select("pivot", "nid").distinct(), "under")
+    under = materialize(met.join(sorted_join(pivots), "key").select("pivot", "nid").distinct(), "under")
     for used in (sketch, listed):
         used.destroy()
 
     def sets_of(members: DataFrame) -> DataFrame:
         """nid, items, low of the members' sets, made again from one row each."""
-        wanted = materialize(members.select("nid").distinct().join(copies, "nid").select("nid", "least"), "wanted")
+        wanted = materialize(members.select("nid").distinct().join(sorted_join(copies), "nid").select("nid", "least"), "wanted")
         keys = bloom_filter(wanted.select(F.explode(F.array("nid", "least")).alias("id")).where("id is not null"))
         made = lambda df: df.mapInArrow(_set_maker(shingle, coords, keys), "nid long, items binary, low binary")
         out = made(rows.where("doc_id is not null"))
@@ -386,21 +386,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sets = sets_of(near.select(F.explode(F.array("pivot", "nid")).alias("nid")))
     like = _grouped(_with_pivot(near, block, "near-dealt"), sets, ["pivot", "block"]).mapInArrow(_like_pivot(num, den), "pivot long, nid long")
     like = materialize(like.distinct(), "like")
-    left = materialize(under.where("nid <> pivot").join(like, ["pivot", "nid"], "left_anti"), "left-over")
+    left = materialize(under.where("nid <> pivot").join(sorted_join(like), ["pivot", "nid"], "left_anti"), "left-over")
     links = like.select(F.col("pivot").alias("a"), F.col("nid").alias("b"))
     if not left.isEmpty():
         pairs, keys = materialize(_across(left, under, block), "across"), ["pivot", "bi", "bj"]
         found = materialize(_grouped(pairs, short, keys).mapInArrow(_sifter(coords, need), "pivot long, nid long").distinct(), "sifted")
         if not found.isEmpty():
-            pairs = materialize(_across(left.join(found, ["pivot", "nid"], "left_semi"), found, block), "across-sifted")
+            pairs = materialize(_across(left.join(sorted_join(found), ["pivot", "nid"], "left_semi"), found, block), "across-sifted")
             more = _grouped(pairs, sets_of(found), keys).mapInArrow(_linker(coords, need, num, den), "a long, b long")
             links = links.unionByName(materialize(more, "links"))
 
     labels = materialize(connected_components(links), "components")
-    named = copies.join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
+    named = copies.join(sorted_join(labels.withColumnRenamed("node", "nid")), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
     shared = materialize(named.groupBy("comp").agg(F.min("least").alias("component_id"), F.sum("n").alias("n")).where("n > 1").select("comp", "component_id"), "shared")
-    of_set = materialize(named.select("nid", "comp").join(shared, "comp").select("nid", "component_id", "comp"), "named")
-    out = signed.select("doc_id", "nid", "n_shingles").join(of_set, "nid", "left")
+    of_set = materialize(named.select("nid", "comp").join(sorted_join(shared), "comp").select("nid", "component_id", "comp"), "named")
+    out = signed.select("doc_id", "nid", "n_shingles").join(sorted_join(of_set), "nid", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
     return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), F.col("nid").alias("set_id"), F.coalesce("comp", "nid").alias("cluster"))

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import mixing, quality, secrets
+from tessera.llm import mixing, neardup, quality, secrets
+from tessera.operators import tables
 from tests.llm.test_operators import shingles
 
 ALPHABETS = {"upper hex": "0123456789ABCDEF", "base32": string.ascii_uppercase + "234567", "lower": string.ascii_lowercase + string.digits, "base64": string.ascii_letters + string.digits + "+/", "base62": string.ascii_letters + string.digits}
@@ -116,3 +117,22 @@ def test_mix_of_many_blocks(spark, monkeypatch):
     assert sorted(x[-1] for x in rows) == list(range(30_000))
     monkeypatch.setattr(mixing, "BROADCAST_NUMBERS", 10)
     assert rows == {tuple(x) for x in mixing.mix(docs, block=2).collect()}
+
+
+def test_near_duplicates_gather_no_table_that_grows(spark):
+    """Whatever the session's threshold, no table of ids is broadcast from the driver."""
+    docs = spark.createDataFrame([(i, some_words(random.Random(i // 2), "abcd")) for i in range(40)], "doc_id long, text string")
+    out = neardup.near_duplicates(docs)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sum(x["kept"] for x in out.collect()) == 20
+
+
+def test_stored_tables_release_the_drivers_memory(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(tables, "_trim", lambda sc: calls.append(sc))
+    monkeypatch.setattr(tables, "_released", {})
+    for _ in range(2):
+        assert tables.stored(spark.range(3), "few").count() == 3
+    assert len(calls) == 1  # RELEASE_S apart
+    monkeypatch.undo()
+    assert tables._trim(spark.sparkContext) in (True, False)
