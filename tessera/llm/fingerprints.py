@@ -25,7 +25,15 @@ ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edit
 
 
 def gammas(terms: np.ndarray, coords: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r, b and ln(c) of every term and coordinate."""
+    """r, b and ln(c) of every term and coordinate; some terms at a time, so that they stay in a core's cache."""
+    out = tuple(np.empty((len(terms), coords), np.float32) for _ in range(3))
+    for low in range(0, len(terms), 256):
+        for whole, part in zip(out, _gammas(terms[low : low + 256], coords), strict=True):
+            whole[low : low + 256] = part
+    return out
+
+
+def _gammas(terms: np.ndarray, coords: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     salt = mix(np.arange(1, coords + 1, dtype=np.uint64) * GOLD)
     one = mix(terms[:, None] ^ salt[None, :])
     two = mix(one + GOLD)
@@ -40,6 +48,11 @@ def gammas(terms: np.ndarray, coords: int) -> tuple[np.ndarray, np.ndarray, np.n
     return r, b, np.log(c)
 
 
+def with_single(r: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
+    """r, b, ln(c) and the ln a of a term of weight 1."""
+    return r, b, c, c - r * (1 - b)
+
+
 def bag(words: list[bytes], hashes: WordHash) -> tuple[np.ndarray, np.ndarray]:
     """Distinct term hashes in order and their weights."""
     terms, counts = np.unique(hashes.of(words), return_counts=True)
@@ -47,24 +60,31 @@ def bag(words: list[bytes], hashes: WordHash) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample(terms: np.ndarray, weights: np.ndarray, params, at: np.ndarray, coords: int) -> np.ndarray:
-    """32 bits for each coordinate; zeros without terms. params: of a list of terms, at: the places in it."""
+    """32 bits for each coordinate; zeros without terms. params: of a list of terms, at: the places in it.
+
+    A weight of 1 has t = 0 whatever the term, so that ln a of single words comes ready with the parameters.
+    """
     if not len(terms):
         return np.zeros(coords, np.uint32)
     best, pick, level = None, None, None
+    cols = np.arange(coords)
     for low in range(0, len(terms), 2048):
-        own = at[low : low + 2048]
-        r, b, c = params[0][own], params[1][own], params[2][own]
-        t = np.floor(np.log(weights[low : low + 2048, None]) / r + b)
-        a = c - r * (t - b + 1)
+        own, w = at[low : low + 2048], weights[low : low + 2048]
+        a = params[3][own]
+        several = np.flatnonzero(w != 1)
+        r, b, c = (x[own[several]] for x in params[:3])
+        above = np.floor(np.log(w[several, None]) / r + b)
+        a[several] = c - r * (above - b + 1)
         k = a.argmin(axis=0)
-        rows = (k, np.arange(coords))
+        place = np.searchsorted(several, k)
+        t = np.vstack([above, np.zeros((1, coords), np.float32)])[np.where(np.append(several, -1)[place] == k, place, len(several)), cols]
         if best is None:
-            best, pick, level = a[rows], k, t[rows]
+            best, pick, level = a[k, cols], k, t
         else:
-            better = a[rows] < best
-            best = np.where(better, a[rows], best)
+            better = a[k, cols] < best
+            best = np.where(better, a[k, cols], best)
             pick = np.where(better, k + low, pick)
-            level = np.where(better, t[rows], level)
+            level = np.where(better, t, level)
     out = mix(terms[pick] ^ (level.astype(np.int64).view(np.uint64) * GOLD)) >> np.uint64(32)
     return np.maximum(out.astype(np.uint32), 1)
 
@@ -92,7 +112,7 @@ def _worker(coords: int, batch_terms: int):
         terms = distinct(np.concatenate([x[0] for x in bags.values()] + [last[0]]))
         sigs: dict = {}
         # parameters of a slice of the terms at a time would cost a merge; long lists go document by document
-        params = gammas(terms, coords) if len(terms) <= 4 * batch_terms else None
+        params = with_single(*gammas(terms, coords)) if len(terms) <= 4 * batch_terms else None
         for key, (own, weights) in [*bags.items(), ((len(pairs), 0), last)]:
             if params is not None:
                 sigs[key] = sample(own, weights, params, np.searchsorted(terms, own), coords)

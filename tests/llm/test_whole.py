@@ -4,11 +4,12 @@ import random
 import string
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import mixing, neardup, quality, secrets
+from tessera.llm import fingerprints, mixing, neardup, quality, secrets
 from tessera.operators import tables
 from tests.llm.test_operators import shingles
 
@@ -136,3 +137,17 @@ def test_stored_tables_release_the_drivers_memory(spark, monkeypatch):
     assert len(calls) == 1  # RELEASE_S apart
     monkeypatch.undo()
     assert tables._trim(spark.sparkContext) in (True, False)
+
+
+def test_single_words_come_with_the_parameters():
+    """Samples by their definition, where most or all words are single and over more than a slice of terms."""
+    r = np.random.default_rng(1)
+    for n, most in ((1, 1), (1, 5), (50, 1), (300, 4), (5000, 3)):
+        terms, counts = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64)), r.integers(1, most + 1, n)
+        weights = (1 + np.log(counts)).astype(np.float32)
+        u, b, c = fingerprints.gammas(terms, 64)
+        t = np.floor(np.log(weights[:, None]) / u + b)
+        k = (c - u * (t - b + 1)).argmin(axis=0)
+        level = t[k, np.arange(64)].astype(np.int64).view(np.uint64)
+        want = np.maximum((fingerprints.mix(terms[k] ^ (level * fingerprints.GOLD)) >> np.uint64(32)).astype(np.uint32), 1)
+        assert (fingerprints.sample(terms, weights, fingerprints.with_single(u, b, c), np.arange(n), 64) == want).all()
