@@ -208,16 +208,40 @@ def sorted_join(df: DataFrame) -> DataFrame:
     return df.hint("shuffle_merge")
 
 
+#: Edges that one task takes, in some 100 MB.
+FEW_EDGES = 1 << 20
+
+
+@lean
+def _merger(batches):
+    """(node, comp) of all edges at once: roots are hooked to their least neighbour until none has one."""
+    parts = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
+    nodes, ends = np.unique(np.concatenate([*(x[0] for x in parts), *(x[1] for x in parts), np.zeros(0, np.int64)]), return_inverse=True)
+    a, b = ends[: len(ends) // 2], ends[len(ends) // 2 :]
+    root = np.arange(len(nodes))
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := root[root], root):
+            root = up
+        a, b = root[a], root[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+    for at in range(0, len(nodes), 1 << 16):
+        own = slice(at, at + (1 << 16))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[root[own]])], ["node", "comp"])
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, comp) for every node of a link; comp is one node of its component.
 
     Rounds of hooking each vertex to its least neighbour, pointer jumping and
-    contraction; all state is in shared tables. Ends when no edge is left, after
-    a number of rounds that grows with the logarithm of the number of vertices.
+    contraction; all state is in shared tables. Once FEW_EDGES edges or fewer are left,
+    one task finds the rest, as a round costs some ten shuffles, however little it
+    reads. The number of rounds grows with the logarithm of the number of vertices.
     """
     edges = materialize(links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct(), "edges")
     labels = None
-    while not edges.isEmpty():
+    while (left := edges.count()) > FEW_EDGES:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), "parent")
         while True:
@@ -230,11 +254,14 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         to_a = parent.select(F.col("node").alias("a"), F.col("comp").alias("ra"))
         to_b = parent.select(F.col("node").alias("b"), F.col("comp").alias("rb"))
         edges = materialize(edges.join(sorted_join(to_a), "a").join(sorted_join(to_b), "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where("a <> b").distinct(), "edges")
-        if labels is None:
-            labels = parent
-        else:
-            up = parent.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-            labels = materialize(labels.join(sorted_join(up), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")), "labels")
-    if labels is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-    return labels
+        labels = parent if labels is None else renamed(labels, parent)
+    if not left:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")) if labels is None else labels
+    rest = materialize(edges.coalesce(1).mapInArrow(_merger, "node long, comp long"), "merged")
+    return rest if labels is None else renamed(labels, rest)
+
+
+def renamed(labels: DataFrame, parent: DataFrame) -> DataFrame:
+    """labels with their components' own components."""
+    up = parent.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
+    return materialize(labels.join(sorted_join(up), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")), "labels")

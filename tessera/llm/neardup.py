@@ -234,7 +234,7 @@ def _like_pivot(num: int, den: int):
 
 
 def _sifter(coords: int, need: int):
-    """Members of a pair of blocks, one left over and one of all, with a partner that agrees on `need` coordinates."""
+    """Members of a pair of blocks, one left over and one of all, with a partner of the other kind that agrees on `need` coordinates."""
 
     @lean
     def run(batches):
@@ -250,8 +250,7 @@ def _sifter(coords: int, need: int):
                     if len(near):
                         found[near] = found[i] = True
             if found.any():
-                own = np.unique(nid[found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), table["pivot"][0].as_py(), np.int64)), pa.array(own)], ["pivot", "nid"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(found.sum(), table["pivot"][0].as_py(), np.int64)), pa.array(nid[found]), pa.array(left[found])], ["pivot", "nid", "left"])
 
     return run
 
@@ -308,18 +307,19 @@ def _with_pivot(members: DataFrame, block: int, label: str) -> DataFrame:
     return dealt.select("pivot", "nid", "block").unionByName(heads)
 
 
-def _across(left: DataFrame, under: DataFrame, block: int) -> DataFrame:
-    """(pivot, nid, left, bi, bj): blocks of the members left over with blocks of all members of their groups."""
-    left = _blocked(left, block, "left")
-    groups = left.groupBy("pivot").agg(F.max("n_blocks").alias("k_left"))
-    with_left = materialize(under.join(sorted_join(groups.select("pivot")), "pivot", "left_semi"), "with-left")
-    every = _blocked(with_left, block, "all")
-    ranges = materialize(groups.join(sorted_join(every.groupBy("pivot").agg(F.max("n_blocks").alias("k_all"))), "pivot"), "ranges")
-    salted = ranges.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salt = F.pmod(F.xxhash64("nid", "pivot"), F.lit(SALTS)).cast("int")
-    one = left.withColumn("salt", salt).join(sorted_join(salted), ["pivot", "salt"]).select("pivot", "nid", F.lit(True).alias("left"), F.col("block").alias("bi"), F.explode(F.expr("sequence(0, k_all - 1)")).alias("bj"))
-    other = every.withColumn("salt", salt).join(sorted_join(salted), ["pivot", "salt"]).select("pivot", "nid", F.lit(False).alias("left"), F.explode(F.expr("sequence(0, k_left - 1)")).alias("bi"), F.col("block").alias("bj"))
-    return one.unionByName(other)
+def _across(both: DataFrame, block: int) -> DataFrame:
+    """(pivot, nid, left, bi, bj): blocks of the members left over with blocks of all members of their groups.
+
+    both: (pivot, nid, left), a row a member of either kind. Sizes of groups are sums of tasks'
+    sums; members meet them salted, in one join, so that no task has a large group.
+    """
+    blocks = lambda which: F.ceil(F.count_if(which) / block).cast("int")
+    sizes = both.groupBy("pivot").agg(blocks(F.col("left")).alias("k_left"), blocks(~F.col("left")).alias("k_all")).where("k_left > 0 and k_all > 0")
+    salted = sizes.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = both.withColumn("salt", F.pmod(F.xxhash64("nid", "pivot"), F.lit(SALTS)).cast("int")).join(sorted_join(salted), ["pivot", "salt"])
+    own = F.pmod(F.xxhash64("nid"), F.when(F.col("left"), F.col("k_left")).otherwise(F.col("k_all"))).cast("int")
+    dealt = dealt.select("pivot", "nid", "left", own.alias("own"), F.explode(F.expr("sequence(0, if(left, k_all, k_left) - 1)")).alias("other"))
+    return dealt.selectExpr("pivot", "nid", "left", "if(left, own, other) AS bi", "if(left, other, own) AS bj")
 
 
 def _grouped(dealt: DataFrame, by_nid: DataFrame, keys: list[str]) -> DataFrame:
@@ -350,8 +350,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialize(rows.mapInArrow(_signer(shingle, coords), "doc_id long, nid long, n_shingles long, sig binary"), "signed")
     some = signed.where("nid is not null")
-    nodes = materialize(some.groupBy("nid").agg(F.first("sig").alias("sig")), "nodes")
-    copies = materialize(some.groupBy("nid").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "copies")
+    each = materialize(some.groupBy("nid").agg(F.first("sig").alias("sig"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
+    nodes, copies = each.select("nid", "sig"), each.select("nid", "least", "n")
 
     counts = np.zeros(SKETCH, np.int64)
     for slot, n in nodes.select("sig").mapInArrow(_sketcher(coords), "slot long, n long").groupBy("slot").agg(F.sum("n")).collect():
@@ -389,17 +389,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     left = materialize(under.where("nid <> pivot").join(sorted_join(like), ["pivot", "nid"], "left_anti"), "left-over")
     links = like.select(F.col("pivot").alias("a"), F.col("nid").alias("b"))
     if not left.isEmpty():
-        pairs, keys = materialize(_across(left, under, block), "across"), ["pivot", "bi", "bj"]
-        found = materialize(_grouped(pairs, short, keys).mapInArrow(_sifter(coords, need), "pivot long, nid long").distinct(), "sifted")
+        keys = ["pivot", "bi", "bj"]
+        both = left.select("pivot", "nid", F.lit(True).alias("left")).unionByName(under.select("pivot", "nid", F.lit(False).alias("left")))
+        found = materialize(_grouped(_across(both, block), short, keys).mapInArrow(_sifter(coords, need), "pivot long, nid long, left boolean").distinct(), "sifted")
         if not found.isEmpty():
-            pairs = materialize(_across(left.join(sorted_join(found), ["pivot", "nid"], "left_semi"), found, block), "across-sifted")
-            more = _grouped(pairs, sets_of(found), keys).mapInArrow(_linker(coords, need, num, den), "a long, b long")
+            more = _grouped(_across(found, block), sets_of(found), keys).mapInArrow(_linker(coords, need, num, den), "a long, b long")
             links = links.unionByName(materialize(more, "links"))
 
-    labels = materialize(connected_components(links), "components")
-    named = copies.join(sorted_join(labels.withColumnRenamed("node", "nid")), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
-    shared = materialize(named.groupBy("comp").agg(F.min("least").alias("component_id"), F.sum("n").alias("n")).where("n > 1").select("comp", "component_id"), "shared")
-    of_set = materialize(named.select("nid", "comp").join(sorted_join(shared), "comp").select("nid", "component_id", "comp"), "named")
+    labels = connected_components(links)
+    named = copies.join(sorted_join(labels.withColumnRenamed("node", "nid")), "nid", "left").where("comp is not null or n > 1")
+    named = materialize(named.select("nid", "least", F.coalesce("comp", "nid").alias("comp")), "named")
+    least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
+    of_set = named.select("nid", "comp").join(sorted_join(least), "comp")
     out = signed.select("doc_id", "nid", "n_shingles").join(sorted_join(of_set), "nid", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import fingerprints, mixing, neardup, quality, secrets
+from tessera.llm import _common, fingerprints, mixing, neardup, quality, secrets
 from tessera.operators import tables
 from tests.llm.test_operators import shingles
 
@@ -151,3 +151,22 @@ def test_single_words_come_with_the_parameters():
         level = t[k, np.arange(64)].astype(np.int64).view(np.uint64)
         want = np.maximum((fingerprints.mix(terms[k] ^ (level * fingerprints.GOLD)) >> np.uint64(32)).astype(np.uint32), 1)
         assert (fingerprints.sample(terms, weights, fingerprints.with_single(u, b, c), np.arange(n), 64) == want).all()
+
+
+def test_components_in_one_task_are_those_of_the_rounds(spark, monkeypatch):
+    """Chains, stars and a tree of random links: a few links need two tables, and both ways find the same."""
+    r = random.Random(9)
+    links = [(i, i + 1) for i in range(200)] + [(1000, 1001 + i) for i in range(50)] + [(2000 + r.randrange(i), 2000 + i) for i in range(1, 200)] + [(5, 5), (3001, 3000), (3000, 3001)]
+    df = spark.createDataFrame(links, "a long, b long")
+    found, labels, stored = [], [], _common.materialize
+    monkeypatch.setattr(_common, "materialize", lambda df, label: labels.append(label) or stored(df, label))
+    for few in (1 << 20, 60, 0):
+        monkeypatch.setattr(_common, "FEW_EDGES", few)
+        groups = {}
+        for node, comp in _common.connected_components(df).collect():
+            groups.setdefault(comp, set()).add(node)
+        found.append(sorted(map(sorted, groups.values())))
+        if len(found) == 1:
+            assert labels == ["edges", "merged"]
+    assert found[0] == [list(range(201)), list(range(1000, 1051)), list(range(2000, 2200)), [3000, 3001]]
+    assert found[1] == found[0] and found[2] == found[0]
