@@ -15,6 +15,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.tables import drop as drop
+from tessera.operators.tables import release as release
 from tessera.operators.tables import shared_dir as shared_dir
 from tessera.operators.tables import stored as materialize
 

@@ -1,20 +1,28 @@
 """Quality classifier: interpolated modified Kneser-Ney trigrams, one model a language.
 
-A model is trained on a bounded sample of the language's trusted text, normalised by
-itself. Words that the sample has rarely are modelled by their shape (classes of
-characters, runs shortened), so that casing, symbols and layout count where words are
-new. The log-probability of a document is a sum over its n-grams: the unigrams give
-what backing off all the way would, each bigram and trigram that the model counted
-adds what it changes. So the count tables are joined by hash shards: blocks of
-documents send the n-grams that a Bloom filter lets pass, with the documents that have
-them, to the shard and salt of their keys, where a shard of the table meets them and
-returns one sum a document. A document is rejected if its perplexity exceeds the
-quantile that the language's trusted documents not trained on, all of them, set.
+A model counts half of the language's trusted texts, whole, and is normalised by itself;
+the other half, also whole, sets its threshold. Words that the counted half has rarely are
+modelled by their shape (classes of characters, runs shortened), so that casing, symbols
+and layout count where words are new. Counts are tables in hash shards: blocks of texts
+send their distinct trigrams to the shard of their last two words, where those of all
+blocks are summed and the words before each pair are distinct. What a probability needs of
+other shards (how a context goes on, how many pairs end in a word) is sent to the shards
+of those keys, summed there and sent back. The log-probability of a document is a sum
+over its n-grams: the unigrams give what backing off all the way would, each bigram and
+trigram that the model counted adds what it changes. So the count tables are joined by
+shard: blocks of documents send the n-grams that a Bloom filter lets pass, with the
+documents that have them, to the shard and salt of their keys, where a shard of the table
+meets them and returns one sum a document. The values of the most frequent n-grams, a
+bounded number, are with the blocks, so that these are not sent; they are the same values.
+A document is rejected if its perplexity exceeds the quantile that the language's trusted
+documents not trained on, all of them, set.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import GOLD, bloom_filter, hash_of, lean, materialize, mix, passing, small_batches, spread, squeezed, steps, summed, utf8_column
+from tessera.llm._common import GOLD, bloom_filter, drop, hash_of, lean, materialize, mix, passing, release, small_batches, spread, squeezed, steps, summed, utf8_column
 
 CLASSES = bytes(97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
 RUNS = re.compile(rb"(.)\1+", re.S)
@@ -30,10 +38,21 @@ POOLED = ""
 NEW_SHAPE = b"\x00"
 #: Words that a worker remembers over all languages.
 KNOWN_WORDS = 150_000
-MODEL = "model string, level int, shard int, words binary, keys binary, value binary, back binary"
-ASKED = "block long, shard int, salt int, role int, keys binary, value binary, back binary, docs binary, times binary, last binary, ids array<long>, langs array<string>, models array<string>, sizes array<long>, base array<double>, probes array<boolean>"
+#: Classes of counts by powers of 2 ** (1 / 8).
+CLASSES_OF_COUNTS = 512
+WORDS = "model string, shard int, keys binary, shapes binary, counts binary"
+GRAMS = "model string, shard int, u binary, v binary, w binary, n binary, counts array<long>"
+NEEDS = "model string, part int, shard int, keys binary, sums binary"
+ASKED = "block long, shard int, salt int, role int, model string, part int, keys binary, value binary, docs binary, times binary, last binary, ids array<long>, langs array<string>, models array<string>, sizes array<long>, base array<double>, probes array<boolean>"
 SUMMED = "block long, shard int, sums binary, ids array<long>, langs array<string>, models array<string>, sizes array<long>, base array<double>, probes array<boolean>"
 SCORED = "doc_id long, lang string, model string, n_words long, total double, probe boolean"
+#: Arrow types of the schemas' columns.
+KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64()), "array<boolean>": pa.list_(pa.bool_())}
+
+
+def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], KINDS[kind]) for k, (_, kind) in enumerate(fields)], [name for name, _ in fields])
 
 
 def shape(word: bytes) -> bytes:
@@ -41,43 +60,15 @@ def shape(word: bytes) -> bytes:
     return RUNS.sub(lambda m: m[1] if m[1] in b"aA0" else m[1] * 2, word.translate(CLASSES))
 
 
-def kneser_ney(ids: np.ndarray, begins: np.ndarray, size: int) -> dict:
-    """Log-probabilities and back-off weights from documents joined end to end.
+def discounts(n: list[int]) -> np.ndarray:
+    """Of counts 0, 1, 2 and 3 or more, from how many counts are 1, 2, 3 and 4."""
+    n = [max(1, int(x)) for x in n]
+    y = n[0] / (n[0] + 2 * n[1])
+    return np.clip([0.0, 1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]], 0.05, [0.05, 0.95, 1.9, 2.9])
 
-    ids: token numbers below size; begins: marks the first token of each document.
-    Pairs are u * size + v, triples (place of the pair) * size + w, both ascending;
-    tail: the place of a triple's last two tokens among the pairs.
-    """
 
-    def discounts(counts: np.ndarray) -> np.ndarray:
-        n = [max(1, int((counts == k).sum())) for k in (1, 2, 3, 4)]
-        y = n[0] / (n[0] + 2 * n[1])
-        return np.clip([0.0, 1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]], 0.05, [0.05, 0.95, 1.9, 2.9])
-
-    def level(counts: np.ndarray, context: np.ndarray, contexts: int, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        d = discounts(counts)[np.minimum(counts, 3)]
-        total = np.bincount(context, counts, contexts)
-        held = np.bincount(context, d, contexts)
-        back = np.where(total > 0, held / np.maximum(total, 1), 1.0)
-        return (counts - d) / total[context] + back[context] * lower, back
-
-    second = ~begins[1:]
-    pairs = (ids[:-1].astype(np.int64) * size + ids[1:])[second]
-    bi, bi_counts = np.unique(pairs, return_counts=True)
-    third = second[:-1] & second[1:]
-    ahead = np.searchsorted(bi, (ids[:-2].astype(np.int64) * size + ids[1:-1])[third])
-    tri, tri_counts = np.unique(ahead * size + ids[2:][third], return_counts=True)
-    # continuation counts: how many words stand before a word, or before a pair
-    into = np.bincount((bi % size).astype(np.int64), minlength=size)
-    tail = np.searchsorted(bi, bi[tri // size] % size * size + tri % size)
-    before = np.bincount(tail, minlength=len(bi)).astype(np.int64)
-    before = np.where(before == 0, np.minimum(bi_counts, 1), before)  # pairs that begin a document
-    d1 = discounts(into[into > 0])[np.minimum(into, 3)] * (into > 0)
-    total = max(1, into.sum())
-    p1 = (into - d1) / total + d1.sum() / total / size if into.sum() else np.full(size, 1 / size)
-    p2, back1 = level(before, bi // size, size, p1[bi % size])
-    p3, back2 = level(tri_counts, tri // size, len(bi), p2[tail])
-    return {"bi": bi, "tri": tri, "tail": tail, "p1": np.log(p1), "p2": np.log(p2), "p3": np.log(p3), "back1": np.log(back1), "back2": np.log(back2)}
+def ones_to_fours(counts: np.ndarray) -> list[int]:
+    return np.bincount(np.minimum(counts, 5), minlength=6)[1:5].tolist()
 
 
 def salt_of(model: str) -> np.uint64:
@@ -85,12 +76,17 @@ def salt_of(model: str) -> np.uint64:
 
 
 def pair_keys(u: np.ndarray, v: np.ndarray, salt) -> np.ndarray:
-    """Keys of pairs of token hashes of a model."""
-    return mix(u * GOLD + v + salt)
+    """Keys of pairs of places in the vocabulary of a model."""
+    return mix(u.astype(np.uint64) * GOLD + v.astype(np.uint64) + salt)
 
 
 def triple_keys(u: np.ndarray, v: np.ndarray, w: np.ndarray, salt) -> np.ndarray:
-    return mix((u * GOLD + v) * GOLD + w + salt + np.uint64(3))
+    """u: places + 1, or 0 where a document begins with the pair."""
+    return mix((u.astype(np.uint64) * GOLD + v.astype(np.uint64)) * GOLD + w.astype(np.uint64) + salt + np.uint64(3))
+
+
+def word_keys(w: np.ndarray, model: str) -> np.ndarray:
+    return mix(w.astype(np.uint64) + np.uint64(hash_of(model.encode() + b" words")))
 
 
 def shards_of(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -98,187 +94,405 @@ def shards_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def train(model: str, texts: list[bytes], vocabulary_count: int, shards: int) -> list[tuple]:
-    """Rows of MODEL: the vocabulary with its unigrams, and shards of what pairs and triples add."""
-    raw: dict[bytes, int] = {}
-    docs = [own for own in (np.array([raw.setdefault(w, len(raw)) for w in text.split()], np.int64) for text in texts) if len(own)]
-    joined = np.concatenate([*docs, np.zeros(0, np.int64)])
-    often = np.bincount(joined, minlength=len(raw)) >= vocabulary_count
-    own: dict[bytes, int] = {NEW_SHAPE: 0}
-    number = np.array([own.setdefault(w if often[k] else NEW_SHAPE + shape(w), len(own)) for w, k in raw.items()], np.int64)
-    begins = np.zeros(len(joined), bool)
-    begins[np.cumsum([0, *map(len, docs)])[:-1]] = True
-    size = len(own)
-    m = kneser_ney(number[joined], begins, size)
-    token = np.array([hash_of(w) for w in own], np.uint64)
-    u, v = (m["bi"] // size).astype(np.int64), (m["bi"] % size).astype(np.int64)
-    context, w = m["tri"] // size, (m["tri"] % size).astype(np.int64)
-    rows = [(model, 1, -1, b" ".join(own), None, m["p1"].tobytes(), m["back1"].tobytes())]
-    two = m["p2"] - m["p1"][v] - m["back1"][u]
-    three = m["p3"] - m["back2"][context] - m["p2"][m["tail"]]
-    salt = salt_of(model)
-    for level, keys, value, back in ((2, pair_keys(token[u], token[v], salt), two, m["back2"]), (3, triple_keys(token[u[context]], token[v[context]], token[w], salt), three, np.zeros(len(context)))):
-        order = np.argsort(keys)
-        cuts = np.searchsorted(shards_of(keys[order], shards), np.arange(shards + 1))
-        for k in range(shards):
-            part = order[cuts[k] : cuts[k + 1]]
-            if len(part):
-                rows.append((model, level, k, None, keys[part].tobytes(), value[part].tobytes(), back[part].tobytes()))
-    return rows
-
-
-def _trainer(vocabulary_count: int, shards: int):
-    schema = pa.schema([("model", pa.string()), ("level", pa.int32()), ("shard", pa.int32()), *((c, pa.binary()) for c in ("words", "keys", "value", "back"))])
+def parts_of(keys: np.ndarray, shards: int):
+    """(shard, slice) of ascending keys."""
+    cuts = np.searchsorted(shards_of(keys, shards), np.arange(shards + 1)).tolist()
+    return ((k, slice(cuts[k], cuts[k + 1])) for k in range(shards) if cuts[k] < cuts[k + 1])
+
+
+def _in_blocks(block_words: int, schema: str, own_rows):
+    """own_rows(model, texts as words) for blocks of the texts of a model."""
+
+    @lean
+    def run(batches):
+        held, total = {}, 0
+        make = own_rows()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                rows = batch.slice(at, 64)
+                for model, text in zip(rows.column(0).to_pylist(), utf8_column(rows.column(1)), strict=True):
+                    own = text.split()
+                    held.setdefault(model, []).append(own)
+                    total += len(own)
+                    if total >= block_words:
+                        for name, docs in held.items():
+                            yield batch_of(make(name, docs), schema)
+                        held, total = {}, 0
+        for name, docs in held.items():
+            yield batch_of(make(name, docs), schema)
+
+    return run
 
+
+def _word_counter(shards: int):
+    def make():
+        def rows(model: str, docs: list[list[bytes]]) -> list[tuple]:
+            own = Counter(itertools.chain.from_iterable(docs))
+            keys = np.fromiter(map(hash_of, own), np.uint64, len(own))
+            shapes = np.fromiter((hash_of(NEW_SHAPE + shape(w)) for w in own), np.uint64, len(own))
+            counts, order = np.fromiter(own.values(), np.int64, len(own)), np.argsort(keys)
+            keys, shapes, counts = keys[order], shapes[order], counts[order]
+            return [(model, k, steps(keys[at]), squeezed(shapes[at]), squeezed(counts[at])) for k, at in parts_of(keys, shards)]
+
+        return rows
+
+    return make
+
+
+def _tokens_of(vocabulary_count: int):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        rows = train(table["model"][0].as_py(), [x.encode() for x in table["text"].to_pylist()], vocabulary_count, shards)
-        return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+        """All words of a shard: those that are often there, and the shapes of the others."""
+        keys, at, back = np.unique(np.concatenate([summed(x) for x in table["keys"].to_pylist()]), return_index=True, return_inverse=True)
+        shapes = np.concatenate([spread(x, np.uint64) for x in table["shapes"].to_pylist()])[at]
+        often = np.bincount(back, np.concatenate([spread(x, np.int64) for x in table["counts"].to_pylist()])) >= vocabulary_count
+        tokens = np.unique(np.concatenate([keys[often], shapes[~often]]))
+        return pa.table({"model": table["model"][:1], "tokens": pa.array([tokens.tobytes()], pa.binary())})
+
+    return run
+
+
+def merged(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray, salt) -> tuple:
+    """Distinct (u, v, w) with their counts, in the order of pairs (v, w), and the keys of these."""
+    _, at, back = np.unique(triple_keys(u, v, w, salt), return_index=True, return_inverse=True)
+    n = np.bincount(back, n, len(at)).astype(np.int64)
+    u, v, w = u[at], v[at], w[at]
+    tail = pair_keys(v, w, salt)
+    order = np.lexsort((u, tail))
+    return u[order], v[order], w[order], n[order], tail[order]
+
+
+def _gram_counter(models, shards: int):
+    def make():
+        vocabulary = Vocabulary(models.value)
+
+        def rows(model: str, docs: list[list[bytes]]) -> list[tuple]:
+            places = [vocabulary.places(model, x) for x in docs]
+            doc = np.repeat(np.arange(len(places)), [len(x) for x in places])
+            tokens = np.concatenate([*places, np.zeros(0, np.int64)])
+            inside = doc[1:] == doc[:-1]
+            u = np.zeros(len(inside), np.int64)
+            u[1:][inside[:-1]] = tokens[:-2][inside[:-1]] + 1
+            u, v, w, n, tail = merged(u[inside], tokens[:-1][inside], tokens[1:][inside], np.ones(int(inside.sum()), np.int64), salt_of(model))
+            return [(model, k, *(squeezed(x[at].astype(np.uint32)) for x in (u, v, w, n)), None) for k, at in parts_of(tail, shards)]
+
+        return rows
+
+    return make
+
+
+class Pairs:
+    """What the sorted (u, v, w) of a shard say of its pairs (v, w)."""
+
+    def __init__(self, model: str, u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray, tail: np.ndarray):
+        first = np.flatnonzero(np.concatenate([[True], tail[1:] != tail[:-1]])) if len(tail) else np.zeros(0, np.int64)
+        self.model, self.keys, self.v, self.w = model, tail[first], v[first], w[first]
+        self.some = u > 0  # triples; the others are pairs that begin a document
+        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(tail))))
+        self.of, self.n = of[self.some], n[self.some]
+        # continuation counts: how many words stand before a pair, or 1 before one that only begins documents
+        self.before = np.maximum(np.bincount(self.of, minlength=len(first)), 1)
+        self.times = np.bincount(of, n, len(first)).astype(np.int64)
+        salt = salt_of(model)
+        self.triples = triple_keys(u[self.some], v[self.some], w[self.some], salt)
+        asked = [pair_keys(u[self.some] - 1, v[self.some], salt), self.keys, word_keys(self.v, model), word_keys(self.w, model)]
+        self.needs, at = np.unique(np.concatenate(asked), return_inverse=True)
+        self.context, self.own, self.at_v, self.at_w = np.split(at, np.cumsum([len(x) for x in asked])[:-1])
+
+    def gives(self) -> np.ndarray:
+        """For each key of needs: how often it goes on 1, 2, 3 or more times, and in all; the pairs that end in it; whether it is a word."""
+        out = np.zeros((6, len(self.needs)), np.int64)
+        for at, n in ((self.context, self.n), (self.at_v, self.before)):
+            for k in range(3):
+                out[k] += np.bincount(at[np.minimum(n, 3) == k + 1], minlength=len(self.needs))
+            out[3] += np.bincount(at, n, len(self.needs)).astype(np.int64)
+        out[4] = np.bincount(self.at_w, minlength=len(self.needs))
+        out[5][self.at_v] = out[5][self.at_w] = 1
+        return out
+
+    def values(self, sums: np.ndarray, p1: np.ndarray, back1: np.ndarray, d2: np.ndarray, d3: np.ndarray) -> tuple:
+        """(keys, values, back-off weights, counts) of pairs, then triples, from the sums over all shards for needs."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            p2 = (self.before - d2[np.minimum(self.before, 3)]) / sums[3][self.at_v] + np.exp(back1[self.v] + p1[self.w])
+            held, total = d3[1:] @ sums[:3], sums[3]
+            back = np.where(total > 0, np.log(held / total), 0.0)
+        c = self.context
+        p3 = (self.n - d3[np.minimum(self.n, 3)]) / total[c] + np.exp(back[c]) * p2[self.of]
+        two = np.log(p2) - p1[self.w] - back1[self.v]
+        three = np.log(p3) - back[c] - np.log(p2[self.of])
+        return np.concatenate([self.keys, self.triples]), np.concatenate([two, three]), np.concatenate([back[self.own], np.zeros(len(three))]), np.concatenate([self.times, self.n])
+
+
+def pairs_of(model: str, u: bytes, v: bytes, w: bytes, n: bytes) -> Pairs:
+    u, v, w, n = (spread(x, np.uint32).astype(np.int64) for x in (u, v, w, n))
+    return Pairs(model, u, v, w, n, pair_keys(v, w, salt_of(model)))
+
+
+def class_of(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(np.floor(8 * np.log2(counts)), CLASSES_OF_COUNTS - 1).astype(np.int64)
+
+
+def _gatherer(table: pa.Table) -> pa.Table:
+    """All trigrams of a shard of a model, summed; how many have counts of 1 to 4, pairs likewise, and the classes of both."""
+    model = table["model"][0].as_py()
+    parts = [np.concatenate([spread(x, np.uint32) for x in table[c].to_pylist()]).astype(np.int64) for c in "uvwn"]
+    u, v, w, n, tail = merged(*parts, salt_of(model))
+    p = Pairs(model, u, v, w, n, tail)
+    counts = [*ones_to_fours(p.n), *ones_to_fours(p.before), *np.bincount(class_of(np.concatenate([p.n, p.times])), minlength=CLASSES_OF_COUNTS).tolist()]
+    return pa.Table.from_batches([batch_of([(model, table["shard"][0].as_py(), *(squeezed(x.astype(np.uint32)) for x in (u, v, w, n)), counts)], GRAMS)])
+
+
+def _needer(shards: int):
+    @lean
+    def run(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                p = pairs_of(*(row[c] for c in ("model", "u", "v", "w", "n")))
+                gives = p.gives()
+                yield batch_of([(row["model"], k, row["shard"], steps(p.needs[own]), squeezed(gives[:, own].ravel())) for k, own in parts_of(p.needs, shards)], NEEDS)
 
     return run
 
 
+def _summer(table: pa.Table) -> pa.Table:
+    """All that shards give for the keys of one: the sums for each; those of words once more, in a row of shard -1."""
+    keys = [summed(x) for x in table["keys"].to_pylist()]
+    gives = np.concatenate([spread(x, np.int64).reshape(6, -1) for x in table["sums"].to_pylist()], axis=1)
+    each, back = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = np.stack([np.bincount(back, x, len(each)).astype(np.int64) for x in gives])
+    cuts = np.cumsum([0, *map(len, keys)])
+    model, part = table["model"][0].as_py(), table["part"][0].as_py()
+    rows = [(model, part, shard, None, squeezed(sums[:4, back[cuts[k] : cuts[k + 1]]].ravel())) for k, shard in enumerate(table["shard"].to_pylist())]
+    word = sums[5] > 0
+    rows.append((model, part, -1, each[word].tobytes(), squeezed(sums[:5, word].ravel())))
+    return pa.Table.from_batches([batch_of(rows, NEEDS)])
+
+
+def unigrams_of(model: str, tokens: np.ndarray, parts: list[tuple[bytes, bytes]], d2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of the probabilities and back-off weights of a model's words."""
+    sums = np.zeros((5, len(tokens)), np.int64)
+    own = word_keys(np.arange(len(tokens)), model)
+    order = np.argsort(own)
+    for keys, packed in parts:
+        if keys:
+            sums[:, order[np.searchsorted(own[order], np.frombuffer(keys, np.uint64))]] = spread(packed, np.int64).reshape(5, -1)
+    into, size = sums[4], len(tokens)
+    d1 = discounts(ones_to_fours(into))[np.minimum(into, 3)] * (into > 0)
+    p1 = (into - d1) / into.sum() + d1.sum() / into.sum() / size if into.sum() else np.full(size, 1 / size)
+    back = np.where(sums[3] > 0, d2[1:] @ sums[:3] / np.maximum(sums[3], 1), 1.0)
+    return np.log(p1), np.log(back)
+
+
 class Vocabulary:
-    """Token hashes and unigram values of the words of a language; words met are kept in a bounded dict."""
+    """Places and unigram values of the words of a language; words met are kept in a bounded dict."""
 
-    def __init__(self, models: dict[str, tuple[bytes, bytes, bytes]]):
-        self.own, self.known, self.n_known = {}, {name: {} for name in models}, 0
-        for name, (words, p1, back1) in models.items():
-            listed = words.split(b" ")
-            self.own[name] = ({w: k for k, w in enumerate(listed)}, np.array([hash_of(w) for w in listed], np.uint64), np.frombuffer(p1), np.frombuffer(back1))
+    def __init__(self, models: dict[str, tuple]):
+        self.own, self.known, self.n_known = models, {name: {} for name in models}, 0
 
     def places(self, model: str, words: list[bytes]) -> np.ndarray:
-        own, known = self.own[model][0], self.known[model]
-        out = []
-        for w in words:
-            k = known.get(w)
-            if k is None:
-                k = own.get(w)
-                if k is None:
-                    k = own.get(NEW_SHAPE + shape(w), 0)
-                if self.n_known >= KNOWN_WORDS:
-                    for x in self.known.values():
-                        x.clear()
-                    self.n_known = 0
-                known[w] = k
-                self.n_known += 1
-            out.append(k)
-        return np.array(out, np.int64)
-
-
-def asked_of(docs: list[np.ndarray], salts: list[np.uint64], bloom: np.ndarray, shards: int) -> list[tuple]:
-    """(shard, keys, docs, times, last) for documents of token hashes; only n-grams that pass the filter.
+        tokens = self.own[model][0]
+        if self.n_known >= KNOWN_WORDS:
+            for x in self.known.values():
+                x.clear()
+            self.n_known = 0
+        known = self.known[model]
+        new = [w for w in set(words) if w not in known]
+        if new:
+
+            def at(kept: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+                hashes = np.fromiter(map(hash_of, kept), np.uint64, len(kept))
+                place = np.minimum(np.searchsorted(tokens, hashes), len(tokens) - 1)
+                return place, tokens[place] == hashes
+
+            place, there = at(new)
+            rare = np.flatnonzero(~there)
+            if len(rare):
+                of_shape, there = at([NEW_SHAPE + shape(new[k]) for k in rare.tolist()])
+                place[rare] = np.where(there, of_shape, at([NEW_SHAPE])[0][0])
+            known.update(zip(new, place.tolist(), strict=True))
+            self.n_known += len(new)
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+
+def found(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of asked keys among ascending ones, and whether they are there."""
+    place = np.minimum(np.searchsorted(keys, asked), max(0, len(keys) - 1))
+    return place, keys[place] == asked if len(keys) else np.zeros(len(asked), bool)
+
+
+def asked_of(docs: list[np.ndarray], salts: list[np.uint64], bloom: np.ndarray, hot: tuple, shards: int) -> tuple[list[tuple], np.ndarray]:
+    """(shard, keys, docs, times, last) for documents of places; only n-grams that pass the filter and aren't hot. Then the sums of the hot ones.
 
     keys: of each document's n-grams, ascending, with how many documents have each; docs and
     times: these documents and how often; last: the pairs that end documents, which nothing follows.
     """
     sizes = np.array([len(x) for x in docs], np.int64)
-    tokens, doc = np.concatenate([*docs, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(docs)), sizes)
+    tokens, doc = np.concatenate([*docs, np.zeros(0, np.int64)]), np.repeat(np.arange(len(docs)), sizes)
     salt = np.repeat(np.array(salts, np.uint64), sizes)
     inside = doc[1:] == doc[:-1]
     two = pair_keys(tokens[:-1], tokens[1:], salt[1:])
     has = inside.copy()
     has[inside] = passing(bloom, two[inside].view(np.int64))
     both = has[:-1] & has[1:]
-    three = triple_keys(tokens[:-2][both], tokens[1:-1][both], tokens[2:][both], salt[2:][both])
+    three = triple_keys(tokens[:-2][both] + 1, tokens[1:-1][both], tokens[2:][both], salt[2:][both])
     some = passing(bloom, three.view(np.int64))
     ends = np.cumsum(sizes)[sizes > 1] - 2  # places of the last pairs
     ends = ends[has[ends]] if len(ends) else ends
+    hot_keys, hot_value, hot_back = hot
     keys = np.concatenate([two[has], three[some]])
     whose = np.concatenate([doc[1:][has], doc[2:][both][some]])
-    order = np.lexsort((whose, keys))
-    keys, whose = keys[order], whose[order]
+    shard = shards_of(np.concatenate([two[has], two[1:][both][some]]), shards)  # of the last two words
+    order = np.lexsort((whose, keys, shard))
+    keys, whose, shard = keys[order], whose[order], shard[order]
+    at, there = found(hot_keys, keys)
+    sums = np.bincount(whose[there], hot_value[at[there]] + hot_back[at[there]], len(docs))
+    keys, whose, shard = keys[~there], whose[~there], shard[~there]
+    at, there = found(hot_keys, two[ends])
+    sums -= np.bincount(doc[ends[there]], hot_back[at[there]], len(docs))
+    ends = ends[~there]
     first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (whose[1:] != whose[:-1])])) if len(keys) else np.zeros(0, np.int64)
     times = np.diff(np.append(first, len(keys)))
-    keys, whose = keys[first], whose[first]
-    cuts = np.searchsorted(shards_of(keys, shards), np.arange(shards + 1))
+    keys, whose, shard = keys[first], whose[first], shard[first]
     last_shard = shards_of(two[ends], shards)
     out = []
-    for k in range(shards):
+    cuts = np.searchsorted(shard, np.arange(shards + 1)).tolist()
+    for k in np.unique(shard).tolist():
         own = slice(cuts[k], cuts[k + 1])
-        if cuts[k] == cuts[k + 1]:
-            continue
         each, n = np.unique(keys[own], return_counts=True)
         at = ends[last_shard == k]
         last = two[at].tobytes() + doc[at].astype(np.uint32).tobytes()
         out.append((k, steps(each), squeezed(n.astype(np.uint32)), squeezed(whose[own].astype(np.uint16)), squeezed(times[own].astype(np.uint32)), last))
-    return out
-
+    return out, sums
 
-def _asker(models, bloom, shards: int, salts: int, block_words: int, block_docs: int):
-    names = [x.split()[0] for x in ASKED.split(", ")]
-    lists = [pa.list_(t) for t in (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.bool_())]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 6, *lists]
 
+def _asker(models, bloom, hot, shards: int, salts: int, block_words: int, block_docs: int):
     @lean
     def run(batches):
         vocabulary, filter_ = Vocabulary(models.value), bloom.value
         part, seq = TaskContext.get().partitionId(), 0
-        docs, salt, meta, total = [], [], [], 0
+        docs, salt, meta, base, total = [], [], [], [], 0
 
         def flush():
             block = part << 32 | seq
             of = int(mix(np.array([block], np.uint64))[0] % np.uint64(salts))
-            rows = [(block, k, of, 1, keys, n, None, who, times, last, *[None] * 6) for k, keys, n, who, times, last in asked_of(docs, salt, filter_, shards)]
-            rows.append((block, -1, of, 1, *[None] * 6, *map(list, zip(*meta, strict=True))))
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+            asked, sums = asked_of(docs, salt, filter_, hot.value, shards)
+            rows = [(block, k, of, 2, None, None, keys, n, who, times, last, *[None] * 6) for k, keys, n, who, times, last in asked]
+            ids, langs, names, sizes, probes = map(list, zip(*meta, strict=True))
+            rows.append((block, -1, of, 2, *[None] * 7, ids, langs, names, sizes, (np.array(base) + sums).tolist(), probes))
+            return batch_of(rows, ASKED)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 rows = batch.slice(at, 64)
                 for doc, lang, model, probe, text in zip(*(rows.column(k).to_pylist() for k in range(4)), utf8_column(rows.column(4)), strict=True):
-                    _, hashes, p1, back1 = vocabulary.own[model]
+                    _, p1, back1 = vocabulary.own[model][:3]
                     places = vocabulary.places(model, (text or b"").split())
-                    docs.append(hashes[places])
+                    docs.append(places)
                     salt.append(salt_of(model))
-                    meta.append((doc, lang, model, len(places), float(p1[places].sum() + back1[places[:-1]].sum()), probe))
+                    meta.append((doc, lang, model, len(places), probe))
+                    base.append(float(p1[places].sum() + back1[places[:-1]].sum()))
                     total += len(places)
                     if total >= block_words or len(docs) >= block_docs:
                         yield flush()
-                        docs, salt, meta, total, seq = [], [], [], 0, seq + 1
+                        docs, salt, meta, base, total, seq = [], [], [], [], 0, seq + 1
         if docs:
             yield flush()
 
     return run
 
 
-@lean
-def _joiner(batches):
+class Shard:
+    """The values of a shard, from the trigrams and the sums of its models."""
+
+    def __init__(self, models: dict[str, tuple]):
+        self.models, self.grams, self.sums = models, [], {}
+
+    def take(self, row: dict) -> None:
+        if row["role"] == 0:
+            self.grams.append([row[c] for c in ("model", "keys", "value", "docs", "times")])
+        else:
+            self.sums.setdefault(row["model"], {})[row["part"]] = row["keys"]
+
+    def values(self) -> tuple:
+        """(keys, values, back-off weights, counts), ascending."""
+        out = []
+        for gram in self.grams:
+            parts = self.sums[gram[0]]
+            out.append(pairs_of(*gram).values(np.concatenate([spread(parts[k], np.int64).reshape(4, -1) for k in sorted(parts)], axis=1), *self.models[gram[0]][1:]))
+        joined = [np.concatenate([*(x[k] for x in out), np.zeros(0, t)]) for k, t in enumerate((np.uint64, np.float64, np.float64, np.int64))]
+        order = np.argsort(joined[0])
+        return tuple(x[order] for x in joined)
+
+
+def _hot_ones(models, least: int):
+    """Rows sorted by shard and role: the n-grams of the class of counts `least` or more."""
+
+    @lean
+    def run(batches):
+        def of(shard: Shard) -> pa.RecordBatch:
+            keys, value, back, counts = shard.values()
+            some = class_of(counts) >= least
+            return pa.RecordBatch.from_arrays([pa.array([x[some].tobytes()], pa.binary()) for x in (keys, value, back)], ["keys", "value", "back"])
+
+        own, shard = None, None
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                if row["shard"] != own:
+                    if shard is not None:
+                        yield of(shard)
+                    own, shard = row["shard"], Shard(models.value)
+                shard.take(row)
+        if shard is not None:
+            yield of(shard)
+
+    return run
+
+
+def _joiner(models):
     """Rows sorted by shard, salt and role: a shard of the tables, then what blocks ask of it."""
     names = [x.split()[0] for x in SUMMED.split(", ")]
-    own, parts, keys, value, back = None, [], None, None, None
+
+    @lean
+    def run(batches):
+        own, shard, table = None, None, None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4):
+                rows = batch.slice(at, 4)
+                sums = []
+                for row in rows.select(["shard", "salt", "role", "model", "part", "keys", "value", "docs", "times", "last"]).to_pylist():
+                    if (row["shard"], row["salt"]) != own:
+                        own, shard, table = (row["shard"], row["salt"]), Shard(models.value), None
+                    if row["role"] < 2:
+                        shard.take(row)
+                    elif row["shard"] < 0:
+                        sums.append(None)
+                    else:
+                        if table is None:
+                            table, shard = shard.values(), None
+                        keys, value, back, _ = table
+                        place, there = found(keys, summed(row["keys"]))
+                        each = np.zeros(len(place))
+                        each[there] = value[place[there]] + back[place[there]]
+                        out = np.bincount(spread(row["docs"], np.uint16), np.repeat(each, spread(row["value"], np.uint32)) * spread(row["times"], np.uint32))
+                        n = len(row["last"]) // 12
+                        place, there = found(keys, np.frombuffer(row["last"], np.uint64, n))
+                        np.subtract.at(out, np.frombuffer(row["last"], np.uint32, n, 8 * n)[there], back[place[there]])
+                        sums.append(out.tobytes())
+                asks = rows.filter(pa.compute.equal(rows["role"], 2))
+                if asks.num_rows:
+                    yield pa.RecordBatch.from_arrays([asks["block"], asks["shard"], pa.array(sums, pa.binary()), *(asks[c] for c in names[3:])], names)
+
+    return run
+
+
+@lean
+def _keys(batches):
+    """The keys of all n-grams of the tables."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 4):
-            rows = batch.slice(at, 4)
-            sums = []
-            for row in rows.select(["shard", "salt", "role", "keys", "value", "back", "docs", "times", "last"]).to_pylist():
-                if (row["shard"], row["salt"]) != own:
-                    own, parts, keys = (row["shard"], row["salt"]), [], None
-                if row["role"] == 0:
-                    parts.append((np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["value"]), np.frombuffer(row["back"])))
-                    keys = None
-                elif row["shard"] < 0:
-                    sums.append(None)
-                else:
-                    if keys is None:
-                        keys, value, back = (np.concatenate([*(p[k] for p in parts), np.zeros(0, t)]) for k, t in enumerate((np.uint64, np.float64, np.float64)))
-                        order = np.argsort(keys)
-                        keys, value, back = keys[order], value[order], back[order]
-                        parts = [(keys, value, back)]
-
-                    def found(asked: np.ndarray, what: np.ndarray, keys=keys) -> np.ndarray:
-                        place = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-                        return np.where(keys[place] == asked, what[place], 0.0) if len(keys) else np.zeros(len(asked))
-
-                    each = np.repeat(found(summed(row["keys"]), value + back), spread(row["value"], np.uint32))
-                    out = np.bincount(spread(row["docs"], np.uint16), each * spread(row["times"], np.uint32))
-                    n = len(row["last"]) // 12
-                    ends = np.frombuffer(row["last"], np.uint64, n)
-                    np.subtract.at(out, np.frombuffer(row["last"], np.uint32, n, 8 * n), found(ends, back))
-                    sums.append(out.tobytes())
-            asks = rows.filter(pa.compute.equal(rows["role"], 1))
-            if asks.num_rows:
-                yield pa.RecordBatch.from_arrays([asks["block"], asks["shard"], pa.array(sums, pa.binary()), *(asks[c] for c in names[3:])], names)
+        for at in range(batch.num_rows):
+            p = pairs_of(*batch.slice(at, 1).to_pylist()[0].values())
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([p.keys, p.triples]).tobytes()], pa.binary())], ["keys"])
 
 
 @lean
@@ -308,83 +522,112 @@ def _adder(batches):
 RESULT = "doc_id long, lang string, n_words long, perplexity double, threshold double, kept boolean"
 
 
-def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", per_language: int = 500, pooled: int = 2000, least: int = 40, max_languages: int = 32, max_chars: int = 20_000, sample_chars: int = 16 << 20, vocabulary_count: int = 3, shards: int = 8, block_words: int = 200_000, block_docs: int = 512, quantile: float = 0.99, slack: float = 0.1, prior: float = 12.0) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", least: int = 40, max_languages: int = 32, vocabulary_count: int = 3, shards: int = 8, shard_bytes: int = 8 << 20, hot: int = 1 << 21, block_words: int = 200_000, block_docs: int = 512, quantile: float = 0.99, slack: float = 0.1, prior: float = 12.0) -> DataFrame:
     """doc_id, lang, n_words, perplexity, threshold, kept for every row of docs.
 
-    Trusted rows are those whose label is 1. For each of the max_languages largest
-    languages with at least `least` trusted rows, about per_language of them (half, if
-    there are fewer than twice as many), chosen by a hash of the id, train the model; of
-    longer texts the first max_chars characters count, and the shares are reduced alike
-    where the samples would exceed sample_chars characters in all. Other languages, null
-    among them, use a pooled model, trained on their own trusted rows, chosen likewise,
-    and about `pooled` of the other languages' samples. These bounds hold for models, not
-    for documents: every text is scored whole.
+    Trusted rows are those whose label is 1. A hash of the id halves them, with no bound
+    on their number or length: one half, whole, is counted for the models, all of the other
+    sets the thresholds. Each of the max_languages largest languages with at least `least`
+    trusted rows has a model of its own. Other languages, null among them, use a pooled
+    model, trained on the counted half of all languages.
 
     The threshold of a model is the `quantile` of the perplexity of all trusted rows that
-    use it and didn't train it, of any length (of those that did, if there are no others),
-    its logarithm raised by `slack`. The pooled model's is the greater of that over its
-    own languages and that over all, for which about as many of the other languages' rows
-    as trained it are scored with it. Perplexities are drawn to the mean as if by `prior` more words.
+    use it and didn't train it (of those that did, if there are no others), its logarithm
+    raised by `slack`. The pooled model's is the greater of that over its own languages and
+    that over all, for which the other languages' rows that it wasn't trained on are scored
+    with it. Perplexities are drawn to the mean as if by `prior` more words.
 
     A text without words (null, empty or white space) has no perplexity and is not kept.
     Without trusted rows that have words there is no model: perplexity and threshold are
     null and every text with words is kept. Repeated rows and ties are scored each; of
     several labels any 1 makes a row trusted. A very long text is a block of its own; a
-    task holds one block and one shard of the tables. Other columns are ignored.
+    task holds one block and one shard of the tables, of which there are `shards`, or more so
+    that each counts some shard_bytes of text. The driver and the workers hold 24 bytes
+    for each word that the models know, and at most `hot` n-grams with their values; the
+    results don't depend on that number. Other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     trusted = labels.where(F.col(label_col) == 1).select(F.col(id_col).cast("long").alias("doc_id")).distinct()
-    place = F.pmod(F.xxhash64(F.lit(41), F.col("doc_id")), F.lit(1 << 30)) / (1 << 30)
-    begun = F.ltrim("text", F.lit(" \t\n\v\f\r"))
-    usable = rows.where(F.octet_length(begun) > 0).select("doc_id", F.coalesce("lang", F.lit(POOLED)).alias("lang"), F.least(F.length(begun), F.lit(max_chars)).alias("n")).join(trusted, "doc_id", "left_semi")
-    sizes = materialize(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("chars")), "trusted")
+    counted = F.pmod(F.xxhash64(F.lit(41), F.col("doc_id")), F.lit(1 << 30)) / (1 << 30) < 0.5
+    usable = rows.where(F.octet_length(F.ltrim("text", F.lit(" \t\n\v\f\r"))) > 0)
+    sizes = materialize(usable.select("doc_id", F.coalesce("lang", F.lit(POOLED)).alias("lang")).join(trusted, "doc_id", "left_semi").groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "trusted")
     own = sorted(r["lang"] for r in sizes.where((F.col("n") >= least) & (F.col("lang") != POOLED)).orderBy(F.desc("n"), "lang").limit(max_languages).collect())
     is_own = F.coalesce(F.col("lang").isin(own), F.lit(False))
-    wanted = F.least(F.lit(0.5), per_language / F.col("n"))
-    rest = sizes.where(~is_own).agg(F.sum(wanted * F.col("n"))).first()[0] or 0.0
-    if not own and not rest:
+    if sizes.isEmpty():
         words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != ""))
         return rows.select("doc_id", "lang", words.cast("long").alias("n_words"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), (words > 0).alias("kept"))
-    pools = rest > 0 or not rows.where(~is_own).isEmpty()
-    share = F.when(is_own, wanted).otherwise(wanted * (min(1.0, per_language * max_languages / rest) if rest else 1.0))
-    chars = sizes.agg(F.sum(share * F.col("chars"))).first()[0]
-    part = min(1.0, sample_chars / chars)
-    of_pool = min(1.0, pooled / (per_language * len(own))) if own else 1.0
-    shares = materialize(sizes.select(F.col("lang").alias("of_lang"), (share * part).alias("share")), "shares")
-    with_share = lambda df: df.join(shares, F.coalesce("lang", F.lit(POOLED)) == F.col("of_lang"))
-    # of own languages, rows below share * of_pool also train the pooled model, and as many beyond share are scored with it
-    chosen = with_share(usable).withColumn("place", place).where(F.col("place") < F.col("share") * 2).select("doc_id", "share", "place").dropDuplicates(["doc_id"])
-    models = F.when(~is_own, F.when(F.col("place") < F.col("share"), F.array(F.lit(POOLED)))).when(F.col("place") < F.col("share"), F.when((F.col("place") < F.col("share") * of_pool) & F.lit(pools), F.array("lang", F.lit(POOLED))).otherwise(F.array("lang")))
-    sample = rows.join(F.broadcast(chosen), "doc_id").where(F.octet_length(begun) > 0)
-    sample = materialize(sample.select("doc_id", "lang", models.alias("models"), (is_own & (F.col("place") < F.col("share") * (1 + of_pool)) & F.lit(pools)).alias("probes"), F.substring(begun, 1, max_chars).alias("text")), "sample")
-    training = sample.select(F.explode("models").alias("model"), "doc_id", "text")
-    if training.isEmpty():  # every row of a few fell beyond its share
-        training = sample.select(F.explode(F.array(F.when(is_own, F.col("lang")).otherwise(F.lit(POOLED)), F.lit(POOLED))).alias("model"), "doc_id", "text").distinct()
-    tables = materialize(training.groupBy("model").applyInArrow(_trainer(vocabulary_count, shards), MODEL), "kneser-ney")
-    unigrams = {r["model"]: (bytes(r["words"]), bytes(r["value"]), bytes(r["back"])) for r in tables.where("level = 1").collect()}  # bounded by sample_chars
-    ngrams = tables.where("level > 1")
-    bloom = bloom_filter(ngrams.select("keys"))
-    vocabulary = spark.sparkContext.broadcast(unigrams)
-    used = F.when(is_own & F.col("lang").isin(list(unigrams)), F.col("lang")).otherwise(F.lit(POOLED if POOLED in unigrams else min(unigrams)))
+    pools = not rows.where(~is_own).isEmpty()
+    training = materialize(usable.where(counted).join(trusted, "doc_id", "left_semi").select("lang", "text"), "training")
+    probing = pools
+    if training.isEmpty():  # every row of a few fell into the other half
+        training, pools, probing = materialize(usable.join(trusted, "doc_id", "left_semi").select("lang", "text"), "training"), True, False
+    names = F.when(is_own & F.lit(pools), F.array("lang", F.lit(POOLED))).when(is_own, F.array("lang")).otherwise(F.array(F.lit(POOLED)))
+    texts, training = training, training.select(F.explode(names).alias("model"), "text")
+    shards = max(shards, int(training.agg(F.sum(F.octet_length("text"))).first()[0]) // shard_bytes)
+
+    words = training.mapInArrow(_in_blocks(block_words, WORDS, _word_counter(shards)), WORDS)
+    words = materialize(words.groupBy("model", "shard").applyInArrow(_tokens_of(vocabulary_count), "model string, tokens binary"), "words")
+    listed: dict[str, list] = {}
+    for model, own_tokens in zip(*words.toArrow().to_pydict().values(), strict=True):
+        listed.setdefault(model, [np.array([hash_of(NEW_SHAPE)], np.uint64)]).append(np.frombuffer(own_tokens, np.uint64))
+    tokens = {model: np.unique(np.concatenate(parts)) for model, parts in listed.items()}
+    drop(words)
+    del listed
+    vocabulary = spark.sparkContext.broadcast({model: (x,) for model, x in tokens.items()})
+    grams = training.mapInArrow(_in_blocks(block_words, GRAMS, _gram_counter(vocabulary, shards)), GRAMS)
+    grams = materialize(grams.groupBy("model", "shard").applyInArrow(_gatherer, GRAMS), "trigrams")
+    vocabulary.destroy()
+    drop(texts)
+    sums = grams.drop("counts").mapInArrow(_needer(shards), NEEDS)
+    sums = materialize(sums.groupBy("model", "part").applyInArrow(_summer, NEEDS), "sums")
+
+    counts: dict[str, np.ndarray] = {}
+    for r in grams.select("model", F.posexplode("counts").alias("at", "n")).groupBy("model", "at").agg(F.sum("n").alias("n")).where("n > 0").collect():  # at most 520 a model
+        counts.setdefault(r["model"], np.zeros(8 + CLASSES_OF_COUNTS, np.int64))[r["at"]] = r["n"]
+    of_words: dict[str, list] = {}
+    for model, *packed in zip(*sums.where("shard = -1").select("model", "keys", "sums").toArrow().to_pydict().values(), strict=True):
+        of_words.setdefault(model, []).append(tuple(packed))
+    models = {}
+    for model, x in tokens.items():
+        n = counts.get(model, np.zeros(8, np.int64))
+        d3, d2 = discounts(n[:4]), discounts(n[4:8])
+        models[model] = (x, *unigrams_of(model, x, of_words.pop(model, []), d2), d2, d3)
+    vocabulary = spark.sparkContext.broadcast(models)
+    used = F.when(is_own & F.col("lang").isin(list(models)), F.col("lang")).otherwise(F.lit(POOLED if POOLED in models else min(models)))
+    del tokens, models
+
+    asked_columns = [x.split() for x in ASKED.split(", ")]
+    filled = lambda df: df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(kind).alias(c) for c, kind in asked_columns])
+    dealt = filled(grams.select("shard", F.lit(0).alias("role"), "model", F.col("u").alias("keys"), F.col("v").alias("value"), F.col("w").alias("docs"), F.col("n").alias("times")))
+    dealt = dealt.union(filled(sums.where("shard >= 0").select("shard", F.lit(1).alias("role"), "model", "part", F.col("sums").alias("keys"))))
+    above = np.cumsum(sum((x[8:] for x in counts.values()), np.zeros(CLASSES_OF_COUNTS, np.int64))[::-1])[::-1]
+    frequent = dealt.repartition("shard").sortWithinPartitions("shard", "role").mapInArrow(_hot_ones(vocabulary, int((above > hot).sum())), "keys binary, value binary, back binary").toArrow()
+    hottest = [np.concatenate([np.zeros(0, t), *(np.frombuffer(x, t) for x in frequent[c].to_pylist())]) for c, t in (("keys", np.uint64), ("value", np.float64), ("back", np.float64))]
+    order = np.argsort(hottest[0])
+    hottest = spark.sparkContext.broadcast(tuple(x[order] for x in hottest))
+    del frequent
+    release(spark)
+    # each task of the filter shuffles all of its bits
+    bloom = bloom_filter(grams.select("model", "u", "v", "w", "n").coalesce(max(4, shards // 16)).mapInArrow(_keys, "keys binary"))
+    release(spark)
     every = rows.select("doc_id", "lang", used.alias("model"), F.lit(False).alias("probe"), "text")
-    if POOLED in unigrams:
-        every = every.union(sample.where("probes and models is null").select("doc_id", "lang", F.lit(POOLED), F.lit(True), "text"))
-    salts = max(2, rows.count() // 100_000)
-    asked = every.mapInArrow(_asker(vocabulary, bloom, shards, salts, block_words, min(block_docs, 1 << 16)), ASKED)
-    names = [x.split()[0] for x in ASKED.split(", ")]
-    dealt = ngrams.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("role"), "keys", "value", "back")
-    dealt = dealt.select(*[F.col(c) if c in dealt.columns else F.lit(None).alias(c) for c in names])
-    met = asked.unionByName(dealt).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "role", "block").mapInArrow(_joiner, SUMMED)
+    if probing:
+        every = every.union(usable.where(is_own & ~counted).join(trusted, "doc_id", "left_semi").select("doc_id", "lang", F.lit(POOLED), F.lit(True), "text"))
+    salts = max(1, -(-rows.count() // (50_000 * shards)))
+    asked = every.mapInArrow(_asker(vocabulary, bloom, hottest, shards, salts, block_words, min(block_docs, 1 << 16)), ASKED)
+    dealt = dealt.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    met = asked.unionByName(dealt).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "role", "block").mapInArrow(_joiner(vocabulary), SUMMED)
     scored = materialize(met.repartition("block").sortWithinPartitions("block", "shard").mapInArrow(_adder, SCORED), "scored")
-    vocabulary.destroy()
-    bloom.destroy()
+    names = list(vocabulary.value)
+    for x in (vocabulary, hottest, bloom):
+        x.destroy()
 
-    held = with_share(scored.where("n_words > 0 and not probe").join(trusted, "doc_id", "left_semi")).select("model", "lang", "n_words", "total", (place < F.col("share")).alias("trained"))
+    held = scored.where("n_words > 0 and not probe").join(trusted, "doc_id", "left_semi").select("model", "lang", "n_words", "total", counted.alias("trained"))
     held = materialize(held.unionByName(scored.where("probe").select("model", "lang", "n_words", "total", F.lit(False).alias("trained"))), "held")
     counts = {(r["model"], r["trained"]): (r["total"], r["n"]) for r in held.groupBy("model", "trained").agg(F.sum("total").alias("total"), F.sum("n_words").alias("n")).collect()}  # two rows a model
-    levels = [(m, (m, False) not in counts, -t / n) for m in unigrams for t, n in [counts.get((m, False)) or counts.get((m, True)) or (0.0, 1)]]
+    levels = [(m, (m, False) not in counts, -t / n) for m in names for t, n in [counts.get((m, False)) or counts.get((m, True)) or (0.0, 1)]]
     levels = spark.createDataFrame(levels, "model string, trained boolean, mean double")
     each = (prior * F.col("mean") - F.col("total")) / (F.col("n_words") + prior)
     at = lambda c: F.percentile_approx(c, quantile, 10_000)

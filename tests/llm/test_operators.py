@@ -1,5 +1,6 @@
 """Operators against brute force, and on nulls, empty and long texts, ties, repeats, clashing columns."""
 
+import functools
 import hashlib
 import itertools
 import random
@@ -263,6 +264,28 @@ def test_kneser_ney_brute_force(spark):
         assert got[0 if lang == "en" else 24]["threshold"] == pytest.approx(np.exp(max(held) + 0.1), rel=1e-6)
 
 
+def test_quality_counts_every_trusted_text(spark):
+    """More and longer trusted texts than a model once took, in many blocks and shards; with hot n-grams and without."""
+    r = random.Random(8)
+    text = lambda n: " ".join("".join(r.choice("abC") for _ in range(r.randint(1, 4))) for _ in range(n))
+    rows = [(i, text(r.randint(1, 8))) for i in range(1_300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    trains = {x[0] for x in docs.where("pmod(xxhash64(41, doc_id), 1 << 30) / (1 << 30) < 0.5").collect()}
+    assert len(trains) > 600
+    long = min(trains)
+    rows[long] = (long, " " + "the same again " * 1_400 + "and then a last part, after 20000 characters " * 3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en")).repartition(3)
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    found = [{x["doc_id"]: x for x in quality.quality(docs, labels, prior=0.0, **more).collect()} for more in ({"hot": 0, "shard_bytes": 2_000, "block_words": 300, "block_docs": 7}, {"hot": 60}, {})]
+    _, token, p = brute_model([t for i, t in rows if i in trains])
+    p = functools.cache(p)
+    for i, t in [rows[long], *rows[:12]]:
+        seq = [token(w) for w in t.split()]
+        logs = [np.log(p(w, *seq[max(0, k - 2) : k])) for k, w in enumerate(seq)]
+        assert [x[i]["perplexity"] for x in found] == pytest.approx([np.exp(-np.mean(logs))] * 3, rel=1e-6), i
+    assert [x[5]["threshold"] for x in found] == pytest.approx([found[0][5]["threshold"]] * 3, rel=1e-9)
+
+
 def brute_secrets(text):
     text = text or ""
     spans = [(m.start(), 0, m.end()) for m in re.finditer(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 12]
