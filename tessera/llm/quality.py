@@ -20,6 +20,7 @@ documents not trained on, all of them, set.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 from collections import Counter
@@ -341,12 +342,12 @@ def asked_of(docs: list[np.ndarray], salts: list[np.uint64], bloom: np.ndarray,
     hot_keys, hot_value, hot_back = hot
     keys = np.concatenate([two[has], three[some]])
     whose = np.concatenate([doc[1:][has], doc[2:][both][some]])
-    shard = shards_of(np.concatenate([two[has], two[1:][both][some]]), shards)  # of the last two words
-    order = np.lexsort((whose, keys, shard))
-    keys, whose, shard = keys[order], whose[order], shard[order]
     at, there = found(hot_keys, keys)
     sums = np.bincount(whose[there], hot_value[at[there]] + hot_back[at[there]], len(docs))
-    keys, whose, shard = keys[~there], whose[~there], shard[~there]
+    shard = shards_of(np.concatenate([two[has], two[1:][both][some]])[~there], shards)  # of the last two words
+    keys, whose = keys[~there], whose[~there]
+    order = np.lexsort((whose, keys, shard))
+    keys, whose, shard = keys[order], whose[order], shard[order]
     at, there = found(hot_keys, two[ends])
     sums -= np.bincount(doc[ends[there]], hot_back[at[there]], len(docs))
     ends = ends[~there]
@@ -522,7 +523,7 @@ def _adder(batches):
 RESULT = "doc_id long, lang string, n_words long, perplexity double, threshold double, kept boolean"
 
 
-def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", least: int = 40, max_languages: int = 32, vocabulary_count: int = 3, shards: int = 8, shard_bytes: int = 8 << 20, hot: int = 1 << 21, block_words: int = 200_000, block_docs: int = 512, quantile: float = 0.99, slack: float = 0.1, prior: float = 12.0) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", least: int = 40, max_languages: int = 32, vocabulary_count: int = 3, shards: int = 8, shard_bytes: int = 8 << 20, hot: int = 1 << 21, block_words: int = 200_000, block_docs: int = 512, round_rows: int = 100_000, quantile: float = 0.99, slack: float = 0.1, prior: float = 12.0) -> DataFrame:
     """doc_id, lang, n_words, perplexity, threshold, kept for every row of docs.
 
     Trusted rows are those whose label is 1. A hash of the id halves them, with no bound
@@ -544,7 +545,8 @@ def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_
     task holds one block and one shard of the tables, of which there are `shards`, or more so
     that each counts some shard_bytes of text. The driver and the workers hold 24 bytes
     for each word that the models know, and at most `hot` n-grams with their values; the
-    results don't depend on that number. Other columns are ignored.
+    results don't depend on that number. From round_rows rows on, documents are scored in two
+    or three rounds. Other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -615,14 +617,24 @@ def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_
     every = rows.select("doc_id", "lang", used.alias("model"), F.lit(False).alias("probe"), "text")
     if probing:
         every = every.union(usable.where(is_own & ~counted).join(trusted, "doc_id", "left_semi").select("doc_id", "lang", F.lit(POOLED), F.lit(True), "text"))
-    salts = max(1, -(-rows.count() // (50_000 * shards)))
-    asked = every.mapInArrow(_asker(vocabulary, bloom, hottest, shards, salts, block_words, min(block_docs, 1 << 16)), ASKED)
+    # rounds over parts of the documents, so that what blocks ask is not all on disk at once
+    n_rows = rows.count()
+    rounds = 1 if n_rows < round_rows else 2 if n_rows < 10 * round_rows else 3
+    salts = max(1, -(-n_rows // (50_000 * shards * rounds)))
     dealt = dealt.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    met = asked.unionByName(dealt).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "role", "block").mapInArrow(_joiner(vocabulary), SUMMED)
-    scored = materialize(met.repartition("block").sortWithinPartitions("block", "shard").mapInArrow(_adder, SCORED), "scored")
+    parts = []
+    for k in range(rounds):
+        of_round = every.where(F.pmod(F.xxhash64(F.lit(43), F.col("doc_id")), F.lit(rounds)) == k)
+        asked = of_round.mapInArrow(_asker(vocabulary, bloom, hottest, shards, salts, block_words, min(block_docs, 1 << 16)), ASKED)
+        met = asked.unionByName(dealt).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "role", "block").mapInArrow(_joiner(vocabulary), SUMMED)
+        parts.append(materialize(met.repartition("block").sortWithinPartitions("block", "shard").mapInArrow(_adder, SCORED), "scored"))
+        del asked, met
+    scored = functools.reduce(DataFrame.union, parts)
     names = list(vocabulary.value)
     for x in (vocabulary, hottest, bloom):
         x.destroy()
+    drop(grams)
+    drop(sums)
 
     held = scored.where("n_words > 0 and not probe").join(trusted, "doc_id", "left_semi").select("model", "lang", "n_words", "total", counted.alias("trained"))
     held = materialize(held.unionByName(scored.where("probe").select("model", "lang", "n_words", "total", F.lit(False).alias("trained"))), "held")

@@ -276,7 +276,7 @@ def test_quality_counts_every_trusted_text(spark):
     rows[long] = (long, " " + "the same again " * 1_400 + "and then a last part, after 20000 characters " * 3)
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en")).repartition(3)
     labels = docs.select("doc_id", F.lit(1).alias("quality"))
-    found = [{x["doc_id"]: x for x in quality.quality(docs, labels, prior=0.0, **more).collect()} for more in ({"hot": 0, "shard_bytes": 2_000, "block_words": 300, "block_docs": 7}, {"hot": 60}, {})]
+    found = [{x["doc_id"]: x for x in quality.quality(docs, labels, prior=0.0, **more).collect()} for more in ({"hot": 0, "shard_bytes": 2_000, "block_words": 300, "block_docs": 7, "round_rows": 500}, {"hot": 60, "round_rows": 9}, {})]
     _, token, p = brute_model([t for i, t in rows if i in trains])
     p = functools.cache(p)
     for i, t in [rows[long], *rows[:12]]:
