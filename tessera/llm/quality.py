@@ -10,10 +10,10 @@ other shards (how a context goes on, how many pairs end in a word) is sent to th
 of those keys, summed there and sent back. The log-probability of a document is a sum
 over its n-grams: the unigrams give what backing off all the way would, each bigram and
 trigram that the model counted adds what it changes. So the count tables are joined by
-shard: blocks of documents send the n-grams that a Bloom filter lets pass, with the
-documents that have them, to the shard and salt of their keys, where a shard of the table
-meets them and returns one sum a document. The values of the most frequent n-grams, a
-bounded number, are with the blocks, so that these are not sent; they are the same values.
+shard: the values of the most frequent n-grams, a bounded number, are with the blocks of
+documents. What else a Bloom filter lets pass is sent, with the documents that have it, to
+the shard and salt of its keys, where a shard of the tables meets it and returns one sum a
+document. An n-gram has the same value either way.
 A document is rejected if its perplexity exceeds the quantile that the language's trusted
 documents not trained on, all of them, set.
 """
@@ -31,24 +31,32 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import GOLD, bloom_filter, drop, hash_of, lean, materialize, mix, passing, release, small_batches, spread, squeezed, steps, summed, utf8_column
+from tessera.llm._common import GOLD, drop, hash_of, lean, materialize, mix, release, small_batches, spread, squeezed, steps, summed, utf8_column
 
 CLASSES = bytes(97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
-RUNS = re.compile(rb"(.)\1+", re.S)
+RUNS = [(re.compile(rb"aa+"), b"a"), (re.compile(rb"AA+"), b"A"), (re.compile(rb"00+"), b"0"), (re.compile(rb"([^aA0\n])\1\1+"), rb"\1\1")]
 POOLED = ""
 NEW_SHAPE = b"\x00"
 #: Words that a worker remembers over all languages.
 KNOWN_WORDS = 150_000
 #: Classes of counts by powers of 2 ** (1 / 8).
 CLASSES_OF_COUNTS = 512
+#: Words that a block looks up at a time, in arrays that stay in the cache.
+PIECE_WORDS = 50_000
+#: Bits of a trigram's key that are those of its last two words: these give the shard.
+SHARD_BITS = np.uint64(20)
+#: Bits of the Bloom filter (16 MB), at most.
+MOST_BITS = 1 << 27
 WORDS = "model string, shard int, keys binary, shapes binary, counts binary"
 GRAMS = "model string, shard int, u binary, v binary, w binary, n binary, counts array<long>"
 NEEDS = "model string, part int, shard int, keys binary, sums binary"
-ASKED = "block long, shard int, salt int, role int, model string, part int, keys binary, value binary, docs binary, times binary, last binary, ids array<long>, langs array<string>, models array<string>, sizes array<long>, base array<double>, probes array<boolean>"
-SUMMED = "block long, shard int, sums binary, ids array<long>, langs array<string>, models array<string>, sizes array<long>, base array<double>, probes array<boolean>"
+FREQUENT = "shard int, keys binary, value binary, back binary, bits binary"
+DOCS = "ids array<long>, langs array<string>, models array<string>, sizes array<long>, base array<double>, probes array<boolean>"
+ASKED = f"block long, shard int, salt int, role int, model string, part int, u binary, v binary, w binary, n binary, {DOCS}"
+SUMMED = f"block long, shard int, sums binary, {DOCS}"
 SCORED = "doc_id long, lang string, model string, n_words long, total double, probe boolean"
 #: Arrow types of the schemas' columns.
-KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64()), "array<boolean>": pa.list_(pa.bool_())}
+KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64()), "array<boolean>": pa.list_(pa.bool_()), "double": pa.float64()}
 
 
 def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -58,7 +66,15 @@ def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 def shape(word: bytes) -> bytes:
     """The classes of the characters; runs of one are shortened to one, or two of a symbol."""
-    return RUNS.sub(lambda m: m[1] if m[1] in b"aA0" else m[1] * 2, word.translate(CLASSES))
+    return shapes([word])[0]
+
+
+def shapes(words: list[bytes]) -> list[bytes]:
+    """Of many words at once; no word has a line feed."""
+    out = b"\n".join(words).translate(CLASSES)
+    for of, by in RUNS:
+        out = of.sub(by, out)
+    return out.split(b"\n")
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -82,8 +98,13 @@ def pair_keys(u: np.ndarray, v: np.ndarray, salt) -> np.ndarray:
 
 
 def triple_keys(u: np.ndarray, v: np.ndarray, w: np.ndarray, salt) -> np.ndarray:
-    """u: places + 1, or 0 where a document begins with the pair."""
-    return mix((u.astype(np.uint64) * GOLD + v.astype(np.uint64)) * GOLD + w.astype(np.uint64) + salt + np.uint64(3))
+    """u: places + 1, or 0 where a document begins with the pair. The first SHARD_BITS are those of (v, w)."""
+    return with_tail(mix((u.astype(np.uint64) * GOLD + v.astype(np.uint64)) * GOLD + w.astype(np.uint64) + salt + np.uint64(3)), pair_keys(v, w, salt))
+
+
+def with_tail(keys: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    rest = np.uint64(64) - SHARD_BITS
+    return tail >> rest << rest | keys & np.uint64((1 << int(rest)) - 1)
 
 
 def word_keys(w: np.ndarray, model: str) -> np.ndarray:
@@ -91,8 +112,8 @@ def word_keys(w: np.ndarray, model: str) -> np.ndarray:
 
 
 def shards_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    """By the high bits, so that the keys of a shard are a range."""
-    return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    """By the first SHARD_BITS, so that the keys of a shard are a range and trigrams are where their last two words are."""
+    return ((keys >> (np.uint64(64) - SHARD_BITS)) * np.uint64(shards) >> SHARD_BITS).astype(np.int64)
 
 
 def parts_of(keys: np.ndarray, shards: int):
@@ -130,10 +151,10 @@ def _word_counter(shards: int):
         def rows(model: str, docs: list[list[bytes]]) -> list[tuple]:
             own = Counter(itertools.chain.from_iterable(docs))
             keys = np.fromiter(map(hash_of, own), np.uint64, len(own))
-            shapes = np.fromiter((hash_of(NEW_SHAPE + shape(w)) for w in own), np.uint64, len(own))
+            own_shapes = np.fromiter((hash_of(NEW_SHAPE + x) for x in shapes(list(own))), np.uint64, len(own))
             counts, order = np.fromiter(own.values(), np.int64, len(own)), np.argsort(keys)
-            keys, shapes, counts = keys[order], shapes[order], counts[order]
-            return [(model, k, steps(keys[at]), squeezed(shapes[at]), squeezed(counts[at])) for k, at in parts_of(keys, shards)]
+            keys, own_shapes, counts = keys[order], own_shapes[order], counts[order]
+            return [(model, k, steps(keys[at]), squeezed(own_shapes[at]), squeezed(counts[at])) for k, at in parts_of(keys, shards)]
 
         return rows
 
@@ -154,14 +175,22 @@ def _tokens_of(vocabulary_count: int):
 
 def merged(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray, salt) -> tuple:
     """Distinct (u, v, w) with their counts, in the order of pairs (v, w), and the keys of these."""
-    _, at, back = np.unique(triple_keys(u, v, w, salt), return_index=True, return_inverse=True)
-    n = np.bincount(back, n, len(at)).astype(np.int64)
+    keys = triple_keys(u, v, w, salt)
+    order = np.argsort(keys)
+    first = starts(keys[order])
+    n = np.add.reduceat(n[order], first) if len(first) else n
+    at = order[first]
     u, v, w = u[at], v[at], w[at]
     tail = pair_keys(v, w, salt)
-    order = np.lexsort((u, tail))
+    order = np.argsort(tail)
     return u[order], v[order], w[order], n[order], tail[order]
 
 
+def starts(ascending: np.ndarray) -> np.ndarray:
+    """Places at which another value begins."""
+    return np.flatnonzero(np.concatenate([[True], ascending[1:] != ascending[:-1]])) if len(ascending) else np.zeros(0, np.int64)
+
+
 def _gram_counter(models, shards: int):
     def make():
         vocabulary = Vocabulary(models.value)
@@ -185,7 +214,7 @@ class Pairs:
     """What the sorted (u, v, w) of a shard say of its pairs (v, w)."""
 
     def __init__(self, model: str, u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray, tail: np.ndarray):
-        first = np.flatnonzero(np.concatenate([[True], tail[1:] != tail[:-1]])) if len(tail) else np.zeros(0, np.int64)
+        first = starts(tail)
         self.model, self.keys, self.v, self.w = model, tail[first], v[first], w[first]
         self.some = u > 0  # triples; the others are pairs that begin a document
         of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(tail))))
@@ -193,11 +222,15 @@ class Pairs:
         # continuation counts: how many words stand before a pair, or 1 before one that only begins documents
         self.before = np.maximum(np.bincount(self.of, minlength=len(first)), 1)
         self.times = np.bincount(of, n, len(first)).astype(np.int64)
-        salt = salt_of(model)
-        self.triples = triple_keys(u[self.some], v[self.some], w[self.some], salt)
-        asked = [pair_keys(u[self.some] - 1, v[self.some], salt), self.keys, word_keys(self.v, model), word_keys(self.w, model)]
+        self.triple = u[self.some], v[self.some], w[self.some]
+
+    def ask(self) -> Pairs:
+        """Find the keys whose sums over all shards are needed."""
+        u, v, _ = self.triple
+        asked = [pair_keys(u - 1, v, salt_of(self.model)), self.keys, word_keys(self.v, self.model), word_keys(self.w, self.model)]
         self.needs, at = np.unique(np.concatenate(asked), return_inverse=True)
         self.context, self.own, self.at_v, self.at_w = np.split(at, np.cumsum([len(x) for x in asked])[:-1])
+        return self
 
     def gives(self) -> np.ndarray:
         """For each key of needs: how often it goes on 1, 2, 3 or more times, and in all; the pairs that end in it; whether it is a word."""
@@ -220,12 +253,12 @@ class Pairs:
         p3 = (self.n - d3[np.minimum(self.n, 3)]) / total[c] + np.exp(back[c]) * p2[self.of]
         two = np.log(p2) - p1[self.w] - back1[self.v]
         three = np.log(p3) - back[c] - np.log(p2[self.of])
-        return np.concatenate([self.keys, self.triples]), np.concatenate([two, three]), np.concatenate([back[self.own], np.zeros(len(three))]), np.concatenate([self.times, self.n])
+        return np.concatenate([self.keys, triple_keys(*self.triple, salt_of(self.model))]), np.concatenate([two, three]), np.concatenate([back[self.own], np.zeros(len(three))]), np.concatenate([self.times, self.n])
 
 
 def pairs_of(model: str, u: bytes, v: bytes, w: bytes, n: bytes) -> Pairs:
     u, v, w, n = (spread(x, np.uint32).astype(np.int64) for x in (u, v, w, n))
-    return Pairs(model, u, v, w, n, pair_keys(v, w, salt_of(model)))
+    return Pairs(model, u, v, w, n, pair_keys(v, w, salt_of(model))).ask()
 
 
 def class_of(counts: np.ndarray) -> np.ndarray:
@@ -297,7 +330,7 @@ class Vocabulary:
                 x.clear()
             self.n_known = 0
         known = self.known[model]
-        new = [w for w in set(words) if w not in known]
+        new = list(set(words).difference(known))
         if new:
 
             def at(kept: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -308,7 +341,7 @@ class Vocabulary:
             place, there = at(new)
             rare = np.flatnonzero(~there)
             if len(rare):
-                of_shape, there = at([NEW_SHAPE + shape(new[k]) for k in rare.tolist()])
+                of_shape, there = at([NEW_SHAPE + x for x in shapes([new[k] for k in rare.tolist()])])
                 place[rare] = np.where(there, of_shape, at([NEW_SHAPE])[0][0])
             known.update(zip(new, place.tolist(), strict=True))
             self.n_known += len(new)
@@ -321,65 +354,133 @@ def found(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place, keys[place] == asked if len(keys) else np.zeros(len(asked), bool)
 
 
-def asked_of(docs: list[np.ndarray], salts: list[np.uint64], bloom: np.ndarray, hot: tuple, shards: int) -> tuple[list[tuple], np.ndarray]:
-    """(shard, keys, docs, times, last) for documents of places; only n-grams that pass the filter and aren't hot. Then the sums of the hot ones.
+class Frequent:
+    """The hot n-grams, found by the bits of their keys that follow those of the shard."""
+
+    def __init__(self, keys: np.ndarray, value: np.ndarray, back: np.ndarray):
+        """keys: as turned gives them, ascending."""
+        self.keys, self.value, self.back = keys, value, back
+        bits = max(1, len(keys).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.low = np.zeros((1 << bits) + 1, np.int32)
+        np.cumsum(np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << bits), out=self.low[1:])
+
+    @staticmethod
+    def turned(keys: np.ndarray) -> np.ndarray:
+        return keys << SHARD_BITS | keys >> (np.uint64(64) - SHARD_BITS)
+
+    def found(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the asked keys, and whether they are there."""
+        asked = self.turned(asked)
+        first = (asked >> self.shift).astype(np.int64)
+        place, end = self.low[first], self.low[first + 1]
+        there = np.zeros(len(asked), bool)
+        left = np.flatnonzero(place < end)
+        while len(left):
+            own, key = self.keys[place[left]], asked[left]
+            there[left[own == key]] = True
+            left = left[own < key]
+            place[left] += 1
+            left = left[place[left] < end[left]]
+        return place, there
+
+
+def bits_of(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Two places of each key among the bits of its shard."""
+    h = mix(keys)
+    return [((x * np.uint64(bits)) >> np.uint64(32)).astype(np.int64) for x in (h & np.uint64(0xFFFFFFFF), h >> np.uint64(32))]
+
+
+def filter_of(keys: np.ndarray, bits: int) -> bytes:
+    out = np.zeros(bits // 8, np.uint8)
+    for at in bits_of(keys, bits):
+        np.bitwise_or.at(out, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+    return out.tobytes()
+
+
+def passed(filter_: np.ndarray, keys: np.ndarray, shards: int) -> np.ndarray:
+    """Which keys the filters of their shards let pass."""
+    bits = 8 * len(filter_) // shards
+    base, out = shards_of(keys, shards) * bits, np.ones(len(keys), bool)
+    for at in bits_of(keys, bits):
+        at += base
+        out &= (filter_[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    return out
+
+
+class Asked:
+    """The n-grams of a block of documents: the sums of the hot ones, and those to ask for."""
+
+    def __init__(self, hot: Frequent, filter_: np.ndarray, shards: int):
+        self.hot, self.filter, self.shards = hot, filter_, shards
+        self.n_docs, self.keys, self.whose, self.last, self.sums = 0, [], [], [], []
+
+    def take(self, docs: list[np.ndarray], salts: list[np.uint64]) -> None:
+        """Further documents, of places."""
+        sizes = np.array([len(x) for x in docs], np.int64)
+        tokens, doc = np.concatenate([*docs, np.zeros(0, np.int64)]), np.repeat(np.arange(len(docs)), sizes)
+        salt = np.repeat(np.array(salts, np.uint64), sizes)
+        at = np.flatnonzero(doc[1:] == doc[:-1])  # first places of pairs
+        two = pair_keys(tokens[at], tokens[at + 1], salt[at])
+        whose = doc[at]
+        sums, there, cold = self._looked_up(two, whose, len(docs))
+        has = there | cold
+        both = np.flatnonzero(has[:-1] & has[1:] & (whose[:-1] == whose[1:]))  # a trigram has two pairs
+        u, v, w = (tokens[at[both] + k] for k in range(3))
+        three = with_tail(mix(((u + 1).astype(np.uint64) * GOLD + v.astype(np.uint64)) * GOLD + w.astype(np.uint64) + salt[at[both]] + np.uint64(3)), two[both + 1])
+        more, _, cold3 = self._looked_up(three, whose[both], len(docs))
+        sums += more
+        ends = np.flatnonzero(np.append(whose[1:] != whose[:-1], True)) if len(at) else at  # the last pairs, which nothing follows
+        hot = ends[there[ends]]
+        place, _ = self.hot.found(two[hot])
+        sums -= np.bincount(whose[hot], self.hot.back[place], len(docs))
+        ends = ends[cold[ends]]
+        self.sums.append(sums)
+        self.last.append((two[ends], whose[ends] + self.n_docs))
+        self.keys += [two[cold], three[cold3]]
+        self.whose += [(whose[cold] + self.n_docs).astype(np.uint16), (whose[both][cold3] + self.n_docs).astype(np.uint16)]
+        self.n_docs += len(docs)
+
+    def _looked_up(self, keys: np.ndarray, whose: np.ndarray, n: int) -> tuple:
+        """The sums of the hot ones, which are hot, and which others may be in the tables."""
+        place, there = self.hot.found(keys)
+        own = place[there]
+        sums = np.bincount(whose[there], self.hot.value[own] + self.hot.back[own], n)
+        cold = ~there
+        cold[cold] = passed(self.filter, keys[cold], self.shards)
+        return sums, there, cold
+
+    def rows(self) -> tuple[list[tuple], np.ndarray]:
+        """(shard, keys, how many n-grams have each, their documents, last pairs), and the sums of the hot ones."""
+        keys, whose = np.concatenate(self.keys), np.concatenate(self.whose)
+        order = np.argsort(keys)
+        keys, whose = keys[order], whose[order]
+        ends, of = (np.concatenate(x) for x in zip(*self.last, strict=True))
+        of_shard = shards_of(ends, self.shards)
+        out = []
+        for k, own in parts_of(keys, self.shards):
+            first = starts(keys[own])
+            n = np.diff(np.append(first, own.stop - own.start))
+            some = of_shard == k
+            out.append((k, steps(keys[own][first]), squeezed(n.astype(np.uint32)), squeezed(whose[own]), ends[some].tobytes() + of[some].astype(np.uint32).tobytes()))
+        return out, np.concatenate(self.sums)
 
-    keys: of each document's n-grams, ascending, with how many documents have each; docs and
-    times: these documents and how often; last: the pairs that end documents, which nothing follows.
-    """
-    sizes = np.array([len(x) for x in docs], np.int64)
-    tokens, doc = np.concatenate([*docs, np.zeros(0, np.int64)]), np.repeat(np.arange(len(docs)), sizes)
-    salt = np.repeat(np.array(salts, np.uint64), sizes)
-    inside = doc[1:] == doc[:-1]
-    two = pair_keys(tokens[:-1], tokens[1:], salt[1:])
-    has = inside.copy()
-    has[inside] = passing(bloom, two[inside].view(np.int64))
-    both = has[:-1] & has[1:]
-    three = triple_keys(tokens[:-2][both] + 1, tokens[1:-1][both], tokens[2:][both], salt[2:][both])
-    some = passing(bloom, three.view(np.int64))
-    ends = np.cumsum(sizes)[sizes > 1] - 2  # places of the last pairs
-    ends = ends[has[ends]] if len(ends) else ends
-    hot_keys, hot_value, hot_back = hot
-    keys = np.concatenate([two[has], three[some]])
-    whose = np.concatenate([doc[1:][has], doc[2:][both][some]])
-    at, there = found(hot_keys, keys)
-    sums = np.bincount(whose[there], hot_value[at[there]] + hot_back[at[there]], len(docs))
-    shard = shards_of(np.concatenate([two[has], two[1:][both][some]])[~there], shards)  # of the last two words
-    keys, whose = keys[~there], whose[~there]
-    order = np.lexsort((whose, keys, shard))
-    keys, whose, shard = keys[order], whose[order], shard[order]
-    at, there = found(hot_keys, two[ends])
-    sums -= np.bincount(doc[ends[there]], hot_back[at[there]], len(docs))
-    ends = ends[~there]
-    first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (whose[1:] != whose[:-1])])) if len(keys) else np.zeros(0, np.int64)
-    times = np.diff(np.append(first, len(keys)))
-    keys, whose, shard = keys[first], whose[first], shard[first]
-    last_shard = shards_of(two[ends], shards)
-    out = []
-    cuts = np.searchsorted(shard, np.arange(shards + 1)).tolist()
-    for k in np.unique(shard).tolist():
-        own = slice(cuts[k], cuts[k + 1])
-        each, n = np.unique(keys[own], return_counts=True)
-        at = ends[last_shard == k]
-        last = two[at].tobytes() + doc[at].astype(np.uint32).tobytes()
-        out.append((k, steps(each), squeezed(n.astype(np.uint32)), squeezed(whose[own].astype(np.uint16)), squeezed(times[own].astype(np.uint32)), last))
-    return out, sums
-
-
-def _asker(models, bloom, hot, shards: int, salts: int, block_words: int, block_docs: int):
+
+def _asker(models, filter_, hot, shards: int, salts: int, block_words: int, block_docs: int):
     @lean
     def run(batches):
-        vocabulary, filter_ = Vocabulary(models.value), bloom.value
+        vocabulary, frequent = Vocabulary(models.value), Frequent(*hot.value)
         part, seq = TaskContext.get().partitionId(), 0
-        docs, salt, meta, base, total = [], [], [], [], 0
+        new_block = lambda: Asked(frequent, filter_.value, shards)
+        asked, docs, salt, meta, base, total, piece = new_block(), [], [], [], [], 0, 0
 
         def flush():
             block = part << 32 | seq
             of = int(mix(np.array([block], np.uint64))[0] % np.uint64(salts))
-            asked, sums = asked_of(docs, salt, filter_, hot.value, shards)
-            rows = [(block, k, of, 2, None, None, keys, n, who, times, last, *[None] * 6) for k, keys, n, who, times, last in asked]
+            asks, sums = asked.rows()
+            rows = [(block, k, of, 2, None, None, *own, *[None] * 6) for k, *own in asks]
             ids, langs, names, sizes, probes = map(list, zip(*meta, strict=True))
-            rows.append((block, -1, of, 2, *[None] * 7, ids, langs, names, sizes, (np.array(base) + sums).tolist(), probes))
+            rows.append((block, -1, of, 2, *[None] * 6, ids, langs, names, sizes, (np.array(base) + sums).tolist(), probes))
             return batch_of(rows, ASKED)
 
         for batch in batches:
@@ -392,11 +493,17 @@ def _asker(models, bloom, hot, shards: int, salts: int, block_words: int, block_
                     salt.append(salt_of(model))
                     meta.append((doc, lang, model, len(places), probe))
                     base.append(float(p1[places].sum() + back1[places[:-1]].sum()))
-                    total += len(places)
-                    if total >= block_words or len(docs) >= block_docs:
+                    total, piece = total + len(places), piece + len(places)
+                    full = total >= block_words or len(meta) >= block_docs
+                    if full or piece >= PIECE_WORDS:
+                        asked.take(docs, salt)
+                        docs, salt, piece = [], [], 0
+                    if full:
                         yield flush()
-                        docs, salt, meta, base, total, seq = [], [], [], [], 0, seq + 1
+                        asked, meta, base, total, seq = new_block(), [], [], 0, seq + 1
         if docs:
+            asked.take(docs, salt)
+        if meta:
             yield flush()
 
     return run
@@ -410,9 +517,9 @@ class Shard:
 
     def take(self, row: dict) -> None:
         if row["role"] == 0:
-            self.grams.append([row[c] for c in ("model", "keys", "value", "docs", "times")])
+            self.grams.append([row[c] for c in ("model", "u", "v", "w", "n")])
         else:
-            self.sums.setdefault(row["model"], {})[row["part"]] = row["keys"]
+            self.sums.setdefault(row["model"], {})[row["part"]] = row["u"]
 
     def values(self) -> tuple:
         """(keys, values, back-off weights, counts), ascending."""
@@ -425,27 +532,27 @@ class Shard:
         return tuple(x[order] for x in joined)
 
 
-def _hot_ones(models, least: int):
-    """Rows sorted by shard and role: the n-grams of the class of counts `least` or more."""
+def _hot_ones(models, least: int, bits: int):
+    """Rows sorted by shard and role: the n-grams of the class of counts `least` or more, and the filter of the others."""
 
     @lean
     def run(batches):
-        def of(shard: Shard) -> pa.RecordBatch:
-            keys, value, back, counts = shard.values()
-            some = class_of(counts) >= least
-            return pa.RecordBatch.from_arrays([pa.array([x[some].tobytes()], pa.binary()) for x in (keys, value, back)], ["keys", "value", "back"])
+        def of(shard: int, tables: Shard) -> pa.RecordBatch:
+            keys, value, back, counts = tables.values()
+            hot = class_of(counts) >= least
+            return batch_of([(shard, *(x[hot].tobytes() for x in (keys, value, back)), filter_of(keys[~hot], bits))], FREQUENT)
 
-        own, shard = None, None
+        own, tables = None, None
         for batch in batches:
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1).to_pylist()[0]
                 if row["shard"] != own:
-                    if shard is not None:
-                        yield of(shard)
-                    own, shard = row["shard"], Shard(models.value)
-                shard.take(row)
-        if shard is not None:
-            yield of(shard)
+                    if tables is not None:
+                        yield of(own, tables)
+                    own, tables = row["shard"], Shard(models.value)
+                tables.take(row)
+        if tables is not None:
+            yield of(own, tables)
 
     return run
 
@@ -461,7 +568,7 @@ def _joiner(models):
             for at in range(0, batch.num_rows, 4):
                 rows = batch.slice(at, 4)
                 sums = []
-                for row in rows.select(["shard", "salt", "role", "model", "part", "keys", "value", "docs", "times", "last"]).to_pylist():
+                for row in rows.select(["shard", "salt", "role", "model", "part", "u", "v", "w", "n"]).to_pylist():
                     if (row["shard"], row["salt"]) != own:
                         own, shard, table = (row["shard"], row["salt"]), Shard(models.value), None
                     if row["role"] < 2:
@@ -472,13 +579,13 @@ def _joiner(models):
                         if table is None:
                             table, shard = shard.values(), None
                         keys, value, back, _ = table
-                        place, there = found(keys, summed(row["keys"]))
+                        place, there = found(keys, summed(row["u"]))
                         each = np.zeros(len(place))
                         each[there] = value[place[there]] + back[place[there]]
-                        out = np.bincount(spread(row["docs"], np.uint16), np.repeat(each, spread(row["value"], np.uint32)) * spread(row["times"], np.uint32))
-                        n = len(row["last"]) // 12
-                        place, there = found(keys, np.frombuffer(row["last"], np.uint64, n))
-                        np.subtract.at(out, np.frombuffer(row["last"], np.uint32, n, 8 * n)[there], back[place[there]])
+                        out = np.bincount(spread(row["w"], np.uint16), np.repeat(each, spread(row["v"], np.uint32)))
+                        n = len(row["n"]) // 12
+                        place, there = found(keys, np.frombuffer(row["n"], np.uint64, n))
+                        np.subtract.at(out, np.frombuffer(row["n"], np.uint32, n, 8 * n)[there], back[place[there]])
                         sums.append(out.tobytes())
                 asks = rows.filter(pa.compute.equal(rows["role"], 2))
                 if asks.num_rows:
@@ -487,15 +594,6 @@ def _joiner(models):
     return run
 
 
-@lean
-def _keys(batches):
-    """The keys of all n-grams of the tables."""
-    for batch in batches:
-        for at in range(batch.num_rows):
-            p = pairs_of(*batch.slice(at, 1).to_pylist()[0].values())
-            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([p.keys, p.triples]).tobytes()], pa.binary())], ["keys"])
-
-
 @lean
 def _adder(batches):
     """Rows sorted by block and shard: the documents of a block, then their sums from the shards."""
@@ -600,20 +698,25 @@ def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_
     used = F.when(is_own & F.col("lang").isin(list(models)), F.col("lang")).otherwise(F.lit(POOLED if POOLED in models else min(models)))
     del tokens, models
 
-    asked_columns = [x.split() for x in ASKED.split(", ")]
-    filled = lambda df: df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(kind).alias(c) for c, kind in asked_columns])
-    dealt = filled(grams.select("shard", F.lit(0).alias("role"), "model", F.col("u").alias("keys"), F.col("v").alias("value"), F.col("w").alias("docs"), F.col("n").alias("times")))
-    dealt = dealt.union(filled(sums.where("shard >= 0").select("shard", F.lit(1).alias("role"), "model", "part", F.col("sums").alias("keys"))))
     above = np.cumsum(sum((x[8:] for x in counts.values()), np.zeros(CLASSES_OF_COUNTS, np.int64))[::-1])[::-1]
-    frequent = dealt.repartition("shard").sortWithinPartitions("shard", "role").mapInArrow(_hot_ones(vocabulary, int((above > hot).sum())), "keys binary, value binary, back binary").toArrow()
+    least_hot = int((above > hot).sum())
+    n_cold = int(above[0]) - (int(above[least_hot]) if least_hot < CLASSES_OF_COUNTS else 0)
+    bits = -(-max(min(10 * n_cold, MOST_BITS), shards << 10) // (8 * shards)) * 8  # of a shard
+    columns = [x.split() for x in ASKED.split(", ")]
+    filled = lambda df: df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(kind).alias(c) for c, kind in columns])
+    dealt = filled(grams.withColumn("role", F.lit(0)).drop("counts"))
+    dealt = dealt.union(filled(sums.where("shard >= 0").select("shard", F.lit(1).alias("role"), "model", "part", F.col("sums").alias("u"))))
+    frequent = dealt.repartition("shard").sortWithinPartitions("shard", "role").mapInArrow(_hot_ones(vocabulary, least_hot, bits), FREQUENT).toArrow()
+    filter_ = np.zeros(shards * bits // 8, np.uint8)
+    for shard, own_bits in zip(*(frequent[c].to_pylist() for c in ("shard", "bits")), strict=True):
+        filter_[shard * bits // 8 : (shard + 1) * bits // 8] = np.frombuffer(own_bits, np.uint8)
     hottest = [np.concatenate([np.zeros(0, t), *(np.frombuffer(x, t) for x in frequent[c].to_pylist())]) for c, t in (("keys", np.uint64), ("value", np.float64), ("back", np.float64))]
+    hottest[0] = Frequent.turned(hottest[0])
     order = np.argsort(hottest[0])
     hottest = spark.sparkContext.broadcast(tuple(x[order] for x in hottest))
+    filter_ = spark.sparkContext.broadcast(filter_)
     del frequent
     release(spark)
-    # each task of the filter shuffles all of its bits
-    bloom = bloom_filter(grams.select("model", "u", "v", "w", "n").coalesce(max(4, shards // 16)).mapInArrow(_keys, "keys binary"))
-    release(spark)
     every = rows.select("doc_id", "lang", used.alias("model"), F.lit(False).alias("probe"), "text")
     if probing:
         every = every.union(usable.where(is_own & ~counted).join(trusted, "doc_id", "left_semi").select("doc_id", "lang", F.lit(POOLED), F.lit(True), "text"))
@@ -625,13 +728,14 @@ def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_
     parts = []
     for k in range(rounds):
         of_round = every.where(F.pmod(F.xxhash64(F.lit(43), F.col("doc_id")), F.lit(rounds)) == k)
-        asked = of_round.mapInArrow(_asker(vocabulary, bloom, hottest, shards, salts, block_words, min(block_docs, 1 << 16)), ASKED)
+        asked = of_round.mapInArrow(_asker(vocabulary, filter_, hottest, shards, salts, block_words, min(block_docs, 1 << 16)), ASKED)
         met = asked.unionByName(dealt).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "role", "block").mapInArrow(_joiner(vocabulary), SUMMED)
         parts.append(materialize(met.repartition("block").sortWithinPartitions("block", "shard").mapInArrow(_adder, SCORED), "scored"))
-        del asked, met
+        del asked, met, of_round
+        release(spark)
     scored = functools.reduce(DataFrame.union, parts)
     names = list(vocabulary.value)
-    for x in (vocabulary, hottest, bloom):
+    for x in (vocabulary, hottest, filter_):
         x.destroy()
     drop(grams)
     drop(sums)
@@ -640,7 +744,7 @@ def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_
     held = materialize(held.unionByName(scored.where("probe").select("model", "lang", "n_words", "total", F.lit(False).alias("trained"))), "held")
     counts = {(r["model"], r["trained"]): (r["total"], r["n"]) for r in held.groupBy("model", "trained").agg(F.sum("total").alias("total"), F.sum("n_words").alias("n")).collect()}  # two rows a model
     levels = [(m, (m, False) not in counts, -t / n) for m in names for t, n in [counts.get((m, False)) or counts.get((m, True)) or (0.0, 1)]]
-    levels = spark.createDataFrame(levels, "model string, trained boolean, mean double")
+    levels = spark.createDataFrame(pa.Table.from_batches([batch_of(levels, "model string, trained boolean, mean double")]))
     each = (prior * F.col("mean") - F.col("total")) / (F.col("n_words") + prior)
     at = lambda c: F.percentile_approx(c, quantile, 10_000)
     # a language of its own may use the pooled model only in probes

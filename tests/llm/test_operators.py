@@ -286,6 +286,28 @@ def test_quality_counts_every_trusted_text(spark):
     assert [x[5]["threshold"] for x in found] == pytest.approx([found[0][5]["threshold"]] * 3, rel=1e-9)
 
 
+def test_quality_finds_ngrams_by_their_keys():
+    """Hot n-grams are found, filters lose none, and a trigram is in the shard of its last two words, also where thousands share these."""
+    r = np.random.default_rng(4)
+    u, v, w = r.integers(0, 5_000, 20_000), r.integers(0, 3, 20_000), r.integers(0, 3, 20_000)
+    salt = quality.salt_of("en")
+    keys, tail = np.unique(quality.triple_keys(u, v, w, salt)), quality.pair_keys(v, w, salt)
+    assert len(keys) == len(set(zip(u.tolist(), v.tolist(), w.tolist(), strict=True)))
+    for shards in (1, 8, 601):
+        assert (quality.shards_of(quality.triple_keys(u, v, w, salt), shards) == quality.shards_of(tail, shards)).all()
+        filters = np.zeros(shards * 1_024, np.uint8)
+        for k, own in quality.parts_of(keys, shards):
+            filters[k * 1_024 : (k + 1) * 1_024] = np.frombuffer(quality.filter_of(keys[own], 8_192), np.uint8)
+        assert quality.passed(filters, keys, shards).all() and quality.passed(filters, quality.pair_keys(u + 9, v, salt), shards).mean() < 1
+    for n in (0, 1, 7_000):
+        own = keys[::2][:n]
+        hot = quality.Frequent(np.sort(quality.Frequent.turned(own)), np.zeros(len(own)), np.zeros(len(own)))
+        place, there = hot.found(keys)
+        assert (there == np.isin(keys, own)).all() and (hot.keys[place[there]] == hot.turned(keys[there])).all()
+    words = [b"aab", b"Ab..--x", b"1000", b"====", b"\xc3\xa9t\xc3\xa9"]
+    assert quality.shapes(words) == [quality.shape(x) for x in words] == [b"a", b"Aa..--a", b"0", b"==", b"a"]
+
+
 def brute_secrets(text):
     text = text or ""
     spans = [(m.start(), 0, m.end()) for m in re.finditer(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 12]
