@@ -15,6 +15,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.tables import bucketed as bucketed
 from tessera.operators.tables import drop as drop
 from tessera.operators.tables import release as release
 from tessera.operators.tables import shared_dir as shared_dir
@@ -205,6 +206,32 @@ def runs(batches, key_names: list[str]):
         yield rest
 
 
+#: Ids that are sent to rows of texts (32 MB), at most.
+MOST_IDS = 1 << 22
+
+
+def sent_ids(ids: DataFrame, most: int) -> Broadcast | None:
+    """A column of integer ids, ascending, for among; None if there are more than most."""
+    ids = ids.where(F.col(ids.columns[0]).isNotNull())
+    if ids.count() > most:
+        return None
+    return ids.sparkSession.sparkContext.broadcast(np.sort(ids.toArrow()[0].to_numpy()))
+
+
+def among(rows: DataFrame, ids: DataFrame, sent: Broadcast | None) -> DataFrame:
+    """The rows whose id is among ids, as sent_ids sent them; so texts aren't shuffled, else they are joined."""
+    (name,) = ids.columns
+    if sent is None:
+        return rows.join(sorted_join(ids), name, "left_semi")
+
+    def there(own: pa.Array) -> pa.Array:
+        held, asked = sent.value, own.fill_null(0).to_numpy(zero_copy_only=False)
+        found = held[np.minimum(np.searchsorted(held, asked), len(held) - 1)] == asked if len(held) else np.zeros(len(asked), bool)
+        return pa.array(found & own.is_valid().to_numpy(zero_copy_only=False))
+
+    return rows.where(F.arrow_udf(there, "boolean")(name))
+
+
 def sorted_join(df: DataFrame) -> DataFrame:
     """A side of a join that is shuffled and sorted: tables that grow with the input are not gathered by the driver, whatever the session's threshold for broadcasts."""
     return df.hint("shuffle_merge")

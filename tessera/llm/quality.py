@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import GOLD, drop, hash_of, lean, materialize, mix, release, small_batches, spread, squeezed, steps, summed, utf8_column
+from tessera.llm._common import GOLD, MOST_IDS, among, bucketed, drop, hash_of, lean, materialize, mix, release, sent_ids, small_batches, spread, squeezed, steps, summed, utf8_column
 
 CLASSES = bytes(97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
 RUNS = [(re.compile(rb"aa+"), b"a"), (re.compile(rb"AA+"), b"A"), (re.compile(rb"00+"), b"0"), (re.compile(rb"([^aA0\n])\1\1+"), rb"\1\1")]
@@ -52,7 +52,8 @@ GRAMS = "model string, shard int, u binary, v binary, w binary, n binary, counts
 NEEDS = "model string, part int, shard int, keys binary, sums binary"
 FREQUENT = "shard int, keys binary, value binary, back binary, bits binary"
 DOCS = "ids array<long>, langs array<string>, models array<string>, sizes array<long>, base array<double>, probes array<boolean>"
-ASKED = f"block long, shard int, salt int, role int, model string, part int, u binary, v binary, w binary, n binary, {DOCS}"
+TABLES = "shard int, salt int, role int, model string, part int, u binary, v binary, w binary, n binary"
+ASKED = f"block long, shard int, salt int, u binary, v binary, w binary, n binary, {DOCS}"
 SUMMED = f"block long, shard int, sums binary, {DOCS}"
 SCORED = "doc_id long, lang string, model string, n_words long, total double, probe boolean"
 #: Arrow types of the schemas' columns.
@@ -476,11 +477,11 @@ def _asker(models, filter_, hot, shards: int, salts: int, block_words: int, bloc
 
         def flush():
             block = part << 32 | seq
-            of = int(mix(np.array([block], np.uint64))[0] % np.uint64(salts))
+            rest, of = divmod(int(mix(np.array([block], np.uint64))[0]), salts)
             asks, sums = asked.rows()
-            rows = [(block, k, of, 2, None, None, *own, *[None] * 6) for k, *own in asks]
+            rows = [(block, k, of, *own, *[None] * 6) for k, *own in asks]
             ids, langs, names, sizes, probes = map(list, zip(*meta, strict=True))
-            rows.append((block, -1, of, 2, *[None] * 6, ids, langs, names, sizes, (np.array(base) + sums).tolist(), probes))
+            rows.append((block, -1 - rest % shards, of, *[None] * 4, ids, langs, names, sizes, (np.array(base) + sums).tolist(), probes))
             return batch_of(rows, ASKED)
 
         for batch in batches:
@@ -532,66 +533,55 @@ class Shard:
         return tuple(x[order] for x in joined)
 
 
-def _hot_ones(models, least: int, bits: int):
-    """Rows sorted by shard and role: the n-grams of the class of counts `least` or more, and the filter of the others."""
+def lean_on_tables(run):
+    """lean for a function of whole tables."""
+    whole = lean(lambda given: iter([run(*given)]))
+    return lambda *given: next(iter([*whole(given)]))
 
-    @lean
-    def run(batches):
-        def of(shard: int, tables: Shard) -> pa.RecordBatch:
-            keys, value, back, counts = tables.values()
-            hot = class_of(counts) >= least
-            return batch_of([(shard, *(x[hot].tobytes() for x in (keys, value, back)), filter_of(keys[~hot], bits))], FREQUENT)
 
-        own, tables = None, None
-        for batch in batches:
-            for at in range(batch.num_rows):
-                row = batch.slice(at, 1).to_pylist()[0]
-                if row["shard"] != own:
-                    if tables is not None:
-                        yield of(own, tables)
-                    own, tables = row["shard"], Shard(models.value)
-                tables.take(row)
-        if tables is not None:
-            yield of(own, tables)
+def _hot_ones(models, least: int, bits: int):
+    """The n-grams of a shard that are of the class of counts `least` or more, and the filter of the others."""
 
-    return run
+    def of(table: pa.Table) -> pa.Table:
+        shard = Shard(models.value)
+        for at in range(table.num_rows):
+            shard.take(table.slice(at, 1).to_pylist()[0])
+        keys, value, back, counts = shard.values()
+        hot = class_of(counts) >= least
+        return pa.Table.from_batches([batch_of([(table["shard"][0].as_py(), *(x[hot].tobytes() for x in (keys, value, back)), filter_of(keys[~hot], bits))], FREQUENT)])
+
+    alone = lean_on_tables(of)
+    return lambda table: alone(table)
 
 
 def _joiner(models):
-    """Rows sorted by shard, salt and role: a shard of the tables, then what blocks ask of it."""
+    """A shard of the tables and what blocks ask of it: the sums for these."""
     names = [x.split()[0] for x in SUMMED.split(", ")]
 
-    @lean
-    def run(batches):
-        own, shard, table = None, None, None
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4):
-                rows = batch.slice(at, 4)
-                sums = []
-                for row in rows.select(["shard", "salt", "role", "model", "part", "u", "v", "w", "n"]).to_pylist():
-                    if (row["shard"], row["salt"]) != own:
-                        own, shard, table = (row["shard"], row["salt"]), Shard(models.value), None
-                    if row["role"] < 2:
-                        shard.take(row)
-                    elif row["shard"] < 0:
-                        sums.append(None)
-                    else:
-                        if table is None:
-                            table, shard = shard.values(), None
-                        keys, value, back, _ = table
-                        place, there = found(keys, summed(row["u"]))
-                        each = np.zeros(len(place))
-                        each[there] = value[place[there]] + back[place[there]]
-                        out = np.bincount(spread(row["w"], np.uint16), np.repeat(each, spread(row["v"], np.uint32)))
-                        n = len(row["n"]) // 12
-                        place, there = found(keys, np.frombuffer(row["n"], np.uint64, n))
-                        np.subtract.at(out, np.frombuffer(row["n"], np.uint32, n, 8 * n)[there], back[place[there]])
-                        sums.append(out.tobytes())
-                asks = rows.filter(pa.compute.equal(rows["role"], 2))
-                if asks.num_rows:
-                    yield pa.RecordBatch.from_arrays([asks["block"], asks["shard"], pa.array(sums, pa.binary()), *(asks[c] for c in names[3:])], names)
-
-    return run
+    def of(tables: pa.Table, asks: pa.Table) -> pa.Table:
+        shard, table, sums = Shard(models.value), None, []
+        for at in range(tables.num_rows):
+            shard.take(tables.slice(at, 1).to_pylist()[0])
+        for at in range(0, asks.num_rows, 4):
+            for row in asks.slice(at, 4).select(["shard", "u", "v", "w", "n"]).to_pylist():
+                if row["shard"] < 0:
+                    sums.append(None)
+                    continue
+                if table is None:
+                    table, shard = shard.values(), None
+                keys, value, back, _ = table
+                place, there = found(keys, summed(row["u"]))
+                each = np.zeros(len(place))
+                each[there] = value[place[there]] + back[place[there]]
+                out = np.bincount(spread(row["w"], np.uint16), np.repeat(each, spread(row["v"], np.uint32)))
+                n = len(row["n"]) // 12
+                place, there = found(keys, np.frombuffer(row["n"], np.uint64, n))
+                np.subtract.at(out, np.frombuffer(row["n"], np.uint32, n, 8 * n)[there], back[place[there]])
+                sums.append(out.tobytes())
+        return pa.table([asks["block"], asks["shard"], pa.array(sums, pa.binary()), *(asks[c] for c in names[3:])], names)
+
+    alone = lean_on_tables(of)
+    return lambda tables, asks: alone(tables, asks)
 
 
 @lean
@@ -621,7 +611,7 @@ def _adder(batches):
 RESULT = "doc_id long, lang string, n_words long, perplexity double, threshold double, kept boolean"
 
 
-def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", least: int = 40, max_languages: int = 32, vocabulary_count: int = 3, shards: int = 8, shard_bytes: int = 8 << 20, hot: int = 1 << 21, block_words: int = 200_000, block_docs: int = 512, round_rows: int = 100_000, quantile: float = 0.99, slack: float = 0.1, prior: float = 12.0) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", least: int = 40, max_languages: int = 32, vocabulary_count: int = 3, shards: int = 8, shard_bytes: int = 8 << 20, hot: int = 1 << 21, block_words: int = 200_000, block_docs: int = 512, round_rows: int = 100_000, most_ids: int = MOST_IDS, quantile: float = 0.99, slack: float = 0.1, prior: float = 12.0) -> DataFrame:
     """doc_id, lang, n_words, perplexity, threshold, kept for every row of docs.
 
     Trusted rows are those whose label is 1. A hash of the id halves them, with no bound
@@ -644,7 +634,8 @@ def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_
     that each counts some shard_bytes of text. The driver and the workers hold 24 bytes
     for each word that the models know, and at most `hot` n-grams with their values; the
     results don't depend on that number. From round_rows rows on, documents are scored in two
-    or three rounds. Other columns are ignored.
+    or three rounds. Up to most_ids trusted ids of a half go to the texts; if there are more, the
+    texts are shuffled to them. Other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -659,7 +650,11 @@ def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_
         words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != ""))
         return rows.select("doc_id", "lang", words.cast("long").alias("n_words"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), (words > 0).alias("kept"))
     pools = not rows.where(~is_own).isEmpty()
-    training = materialize(usable.where(counted).join(trusted, "doc_id", "left_semi").select("lang", "text"), "training")
+    of_half = trusted.where(counted)
+    sent = sent_ids(of_half, most_ids)
+    training = materialize(among(usable.where(counted), of_half, sent).select("lang", "text"), "training")
+    if sent is not None:
+        sent.destroy()
     probing = pools
     if training.isEmpty():  # every row of a few fell into the other half
         training, pools, probing = materialize(usable.join(trusted, "doc_id", "left_semi").select("lang", "text"), "training"), True, False
@@ -702,11 +697,19 @@ def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_
     least_hot = int((above > hot).sum())
     n_cold = int(above[0]) - (int(above[least_hot]) if least_hot < CLASSES_OF_COUNTS else 0)
     bits = -(-max(min(10 * n_cold, MOST_BITS), shards << 10) // (8 * shards)) * 8  # of a shard
-    columns = [x.split() for x in ASKED.split(", ")]
-    filled = lambda df: df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(kind).alias(c) for c, kind in columns])
+    # rounds over parts of the documents, so that what blocks ask is not all on disk at once
+    n_rows = rows.count()
+    rounds = 1 if n_rows < round_rows else 2 if n_rows < 10 * round_rows else 3
+    salts = max(1, -(-n_rows // (50_000 * shards * rounds)))
+    columns = [x.split() for x in TABLES.split(", ")]
+    filled = lambda df: df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(kind).alias(c) for c, kind in columns if c != "salt"])
     dealt = filled(grams.withColumn("role", F.lit(0)).drop("counts"))
     dealt = dealt.union(filled(sums.where("shard >= 0").select("shard", F.lit(1).alias("role"), "model", "part", F.col("sums").alias("u"))))
-    frequent = dealt.repartition("shard").sortWithinPartitions("shard", "role").mapInArrow(_hot_ones(vocabulary, least_hot, bits), FREQUENT).toArrow()
+    # in buckets, as the hot n-grams and each round read them by shard
+    tables = bucketed(dealt.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select([c for c, _ in columns]), ["shard", "salt"], "tables")
+    drop(grams)
+    drop(sums)
+    frequent = tables.where("salt = 0").groupBy("shard", "salt").applyInArrow(_hot_ones(vocabulary, least_hot, bits), FREQUENT).toArrow()
     filter_ = np.zeros(shards * bits // 8, np.uint8)
     for shard, own_bits in zip(*(frequent[c].to_pylist() for c in ("shard", "bits")), strict=True):
         filter_[shard * bits // 8 : (shard + 1) * bits // 8] = np.frombuffer(own_bits, np.uint8)
@@ -718,27 +721,24 @@ def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_
     del frequent
     release(spark)
     every = rows.select("doc_id", "lang", used.alias("model"), F.lit(False).alias("probe"), "text")
+    sent = None
     if probing:
-        every = every.union(usable.where(is_own & ~counted).join(trusted, "doc_id", "left_semi").select("doc_id", "lang", F.lit(POOLED), F.lit(True), "text"))
-    # rounds over parts of the documents, so that what blocks ask is not all on disk at once
-    n_rows = rows.count()
-    rounds = 1 if n_rows < round_rows else 2 if n_rows < 10 * round_rows else 3
-    salts = max(1, -(-n_rows // (50_000 * shards * rounds)))
-    dealt = dealt.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        of_half = trusted.where(~counted)
+        sent = sent_ids(of_half, most_ids)
+        every = every.union(among(usable.where(is_own & ~counted), of_half, sent).select("doc_id", "lang", F.lit(POOLED), F.lit(True), "text"))
     parts = []
     for k in range(rounds):
         of_round = every.where(F.pmod(F.xxhash64(F.lit(43), F.col("doc_id")), F.lit(rounds)) == k)
         asked = of_round.mapInArrow(_asker(vocabulary, filter_, hottest, shards, salts, block_words, min(block_docs, 1 << 16)), ASKED)
-        met = asked.unionByName(dealt).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "role", "block").mapInArrow(_joiner(vocabulary), SUMMED)
+        met = tables.groupBy("shard", "salt").cogroup(asked.groupBy("shard", "salt")).applyInArrow(_joiner(vocabulary), SUMMED)
         parts.append(materialize(met.repartition("block").sortWithinPartitions("block", "shard").mapInArrow(_adder, SCORED), "scored"))
         del asked, met, of_round
         release(spark)
     scored = functools.reduce(DataFrame.union, parts)
     names = list(vocabulary.value)
-    for x in (vocabulary, hottest, filter_):
+    for x in (vocabulary, hottest, filter_, *([] if sent is None else [sent])):
         x.destroy()
-    drop(grams)
-    drop(sums)
+    drop(tables)
 
     held = scored.where("n_words > 0 and not probe").join(trusted, "doc_id", "left_semi").select("model", "lang", "n_words", "total", counted.alias("trained"))
     held = materialize(held.unionByName(scored.where("probe").select("model", "lang", "n_words", "total", F.lit(False).alias("trained"))), "held")

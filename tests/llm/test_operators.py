@@ -286,6 +286,33 @@ def test_quality_counts_every_trusted_text(spark):
     assert [x[5]["threshold"] for x in found] == pytest.approx([found[0][5]["threshold"]] * 3, rel=1e-9)
 
 
+def test_quality_shuffles_neither_texts_nor_tables_again(spark, monkeypatch):
+    """Trusted texts stay where they are, and each round finds the tables dealt by shard; with other languages and repeated or missing ids."""
+    r = random.Random(3)
+    rows = [(None if i % 50 == 9 else i - i % 20 // 19, r.choice(["en", "en", "de", None]), " ".join(r.choice("abcdefgh") * r.randint(1, 3) for _ in range(r.randint(1, 9)))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(3)
+    labels = spark.createDataFrame([(None if i == 9 else i, 1) for i in range(0, 600, 2)], "doc_id long, quality int")
+    plans, real = {}, quality.materialize
+
+    def kept(df, label):
+        plans.setdefault(label, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, label)
+
+    monkeypatch.setattr(quality, "materialize", kept)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = [sorted((str(x[:3]), x["kept"], round(x["perplexity"], 9), round(x["threshold"], 9)) for x in quality.quality(docs, labels, round_rows=300, **more).collect()) for more in ({}, {"most_ids": 0})]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(found[0]) == 600 and found[0] == found[1]
+    few, many = plans["training"]
+    assert "hashpartitioning(doc_id" not in few and "hashpartitioning(doc_id" in many
+    assert len(plans["scored"]) == 4
+    for plan in plans["scored"][:2]:
+        assert plan.count("Exchange hashpartitioning(shard") == 1  # of what is asked
+        assert "Join" not in plan
+
+
 def test_quality_finds_ngrams_by_their_keys():
     """Hot n-grams are found, filters lose none, and a trigram is in the shard of its last two words, also where thousands share these."""
     r = np.random.default_rng(4)
